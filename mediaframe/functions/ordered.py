@@ -135,3 +135,16 @@ def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, ou
     """First k rows per group (0-based rank). Spark trims each map task to k rows per group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k).withColumn(out, F.col(out) - 1)
+
+
+def with_halo(df: DataFrame, pos: str, before: int, after: int, width: int = 1 << 16) -> DataFrame:
+    """Cut a dense integer position into blocks and copy the rows near an edge into the neighbouring block.
+
+    Adds __blk and halo; windows over (group, __blk) then see ``before`` rows back and ``after`` rows ahead of every
+    row with halo = false. Only edge rows are copied, so one shuffle does.
+    """
+    b, r = int_div(F.col(pos), width), F.col(pos) % width
+    own = F.struct(b.alias(BLK), F.lit(False).alias("halo"))
+    nxt = F.when(r >= width - before, F.struct((b + 1).alias(BLK), F.lit(True).alias("halo")))
+    prv = F.when((r < after) & (b > 0), F.struct((b - 1).alias(BLK), F.lit(True).alias("halo")))
+    return df.select("*", F.inline(F.array_compact(F.array(own, nxt, prv))))
