@@ -6,7 +6,8 @@ window runs over the one-row-per-block totals, and both are joined on (group, bl
 shuffled once, on the pair. A block is bounded as long as the order column repeats a bounded number
 of times inside a group, which holds for the sample, frame, word and time orders used here.
 
-``keys`` and ``order`` are column names (NOT NULL); ``block`` is a Column.
+``keys`` and ``order`` are column names (NOT NULL); ``block`` is a Column. A frame that already carries the
+``__blk`` column (see ``in_blocks``) keeps it, and a chain of scans over the same blocks shuffles once.
 """
 
 from __future__ import annotations
@@ -32,6 +33,15 @@ def by_hour(name: str) -> Column:
     return int_div(F.unix_seconds(F.col(name).cast("timestamp")), 3600)
 
 
+def in_blocks(df: DataFrame, block: Column) -> DataFrame:
+    """Attach the block number; the scans below then reuse the partitioning instead of shuffling again."""
+    return df.withColumn(BLK, block)
+
+
+def _blocked(df: DataFrame, block: Column | None) -> DataFrame:
+    return df if BLK in df.columns else df.withColumn(BLK, block)
+
+
 def _inner(keys: Sequence[str], order: Sequence[str], desc: bool = False) -> WindowSpec:
     cols = [F.col(c).desc() if desc else F.col(c) for c in order]
     return Window.partitionBy(*keys, BLK).orderBy(*cols)
@@ -49,11 +59,11 @@ def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None,
     sums: Mapping[str, tuple[Column, bool]],
 ) -> DataFrame:
     """Add running sums; ``sums`` maps output name to (integer value, inclusive)."""
-    base = df.withColumn(BLK, block)
+    base = _blocked(df, block)
     for name, (value, _) in sums.items():
         base = base.withColumn("__v_" + name, value)
     totals = base.groupBy(*keys, BLK).agg(*[F.sum("__v_" + n).alias("__t_" + n) for n in sums])
@@ -76,12 +86,12 @@ def running_sums(
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column, out: str, inclusive: bool = True
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None, value: Column, out: str, inclusive: bool = True
 ) -> DataFrame:
     return running_sums(df, keys, order, block, {out: (value, inclusive)})
 
 
-def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, out: str) -> DataFrame:
+def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None, out: str) -> DataFrame:
     """0-based position of every row inside its group."""
     return running_sum(df, keys, order, block, F.lit(1).cast("bigint"), out, inclusive=False)
 
@@ -97,12 +107,12 @@ def _carry(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None,
     values: Mapping[str, Column],
     forward: bool,
     strict: bool,
 ) -> DataFrame:
-    base = df.withColumn(BLK, block)
+    base = _blocked(df, block)
     for name, value in values.items():
         base = base.withColumn("__v_" + name, value)
     ends = base.groupBy(*keys, BLK).agg(*[_edge_value(order, "__v_" + n, forward).alias("__e_" + n) for n in values])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mediaframe.functions.bits import bits, int_div, lit_long, u32_hex
-from mediaframe.functions.ordered import BLK, by_width, first_k, lag_rows, last_at, next_after, running_sum, with_halo
+from mediaframe.functions.ordered import BLK, by_width, first_k, in_blocks, lag_rows, last_at, next_after, running_sum, with_halo
 from mediaframe.functions.reach import reachable
 
 STREAM = ["stream_id"]
@@ -212,9 +212,9 @@ def ordering_hazards(writes: DataFrame, heads: DataFrame, risky: Sequence[int] =
     ev = writes.select("stream_id", "dw", "ord", "addr").unionByName(
         heads.where((F.col("kind") == 3) & F.col("op").isin(*draws)).select("stream_id", "dw", F.lit(-1).cast("bigint").alias("ord"), none.alias("addr"))
     )
-    order, blk = ["dw", "ord"], by_width("dw")
-    counted = running_sum(ev, STREAM, order, blk, F.col("addr").isNotNull().cast("bigint"), "n")
-    ahead = next_after(counted, STREAM, order, blk, {"n_at_draw": F.when(F.col("addr").isNull(), F.col("n"))})
+    order = ["dw", "ord"]
+    counted = running_sum(in_blocks(ev, by_width("dw")), STREAM, order, None, F.col("addr").isNotNull().cast("bigint"), "n")
+    ahead = next_after(counted, STREAM, order, None, {"n_at_draw": F.when(F.col("addr").isNull(), F.col("n"))})
     between = F.col("n_at_draw") - F.col("n")
     return ahead.where(F.col("addr").isin(*risky) & (between < need)).select("stream_id", "dw", "ord", "addr", between.alias("writes_before_draw"))
 

@@ -1 +1,181 @@
-"""Queries."""
+"""Streaming queries and their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from mediaframe.functions.bits import int_div
+from mediaframe.functions.lineage import work_dir
+from mediaframe.operators import batching as Q
+from mediaframe.operators import motion as M
+from mediaframe.operators.blocks import luma_dc
+from mediaframe.plans import fixtures as fx
+from mediaframe.plans.registry import query
+from mediaframe.streaming import run as R
+from mediaframe.streaming import stateful as S
+
+EVENTS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+    ]
+)
+PICTURE = ["file_id", "frame"]
+
+# the flush marks of every block, then the walk over batch starts
+BATCHES = """WITH RECURSIVE q0 AS (SELECT file_id, frame, seq, mb_x, mb_y, mb_type&7<>0 AS intra, reason IS NULL AS taken, mb_x=15 AND mb_y=11 AS last FROM outc),
+  q1 AS (SELECT *, (sum(CASE WHEN taken THEN 1 ELSE 0 END) OVER w)::BIGINT-CASE WHEN taken THEN 1 ELSE 0 END AS t, lag(taken) OVER w AS pt, lag(mb_x) OVER w AS px, lag(mb_y) OVER w AS py FROM q0
+    WINDOW w AS (PARTITION BY file_id, frame ORDER BY seq)),
+  q2 AS (SELECT *, CASE WHEN intra AND pt AND px=mb_x-1 AND py=mb_y THEN t END AS cl, CASE WHEN last THEN t+CASE WHEN taken THEN 1 ELSE 0 END END AS ce FROM q1),
+  q3 AS MATERIALIZED (SELECT *, least(t+64, coalesce(min(cl) OVER nx, 1000000000), coalesce(ce, min(ce) OVER nx, 1000000000), coalesce((SELECT min(i.t) FROM q1 i WHERE i.file_id=q2.file_id AND i.frame=q2.frame AND i.intra AND i.mb_y>q2.mb_y), 1000000000)) AS nxt
+    FROM q2 WINDOW nx AS (PARTITION BY file_id, frame ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+  q4 AS MATERIALIZED (SELECT * FROM q3 WHERE taken),
+  st AS (SELECT file_id, frame, t, nxt, 0::BIGINT AS batch_id FROM q4 WHERE t=0 UNION ALL SELECT q4.file_id, q4.frame, q4.t, q4.nxt, st.batch_id+1 FROM st JOIN q4 ON q4.file_id=st.file_id AND q4.frame=st.frame AND q4.t=st.nxt),
+  fb AS (SELECT q4.file_id, q4.frame, seq, batch_id FROM q4 ASOF JOIN st ON q4.file_id=st.file_id AND q4.frame=st.frame AND q4.t>=st.t)"""
+
+
+def _blocks(spark, sf):
+    out = M.outcomes(fx.macroblock_info(spark, sf))
+    return out.select(*PICTURE, "seq", "mb_x", "mb_y", M.is_intra(F.col("mb_type")).alias("intra"), "taken")
+
+
+def _is_last():
+    return (F.col("mb_x") == fx.MB_WIDTH - 1) & (F.col("mb_y") == fx.MB_HEIGHT - 1)
+
+
+@query("batch_flush_batches", BATCHES + " SELECT file_id, frame, seq, batch_id FROM fb", ["outc"])
+def _(spark, sf):
+    return Q.flush_batches(_blocks(spark, sf), PICTURE, _is_last(), queue_max=64).drop("mb_x", "mb_y")
+
+
+@query(
+    "batch_flush_stats",
+    BATCHES + " SELECT file_id, frame, count(*) AS flushes, sum(n)::BIGINT AS blocks, round(avg(n),6) AS mean_size, max(n) AS max_size FROM (SELECT file_id, frame, batch_id, count(*) AS n FROM fb GROUP BY ALL) GROUP BY ALL",
+    ["outc"],
+)
+def _(spark, sf):
+    b = Q.flush_batches(_blocks(spark, sf), PICTURE, _is_last(), queue_max=64)
+    return Q.batch_stats(b, PICTURE).withColumn("mean_size", F.round("mean_size", 6))
+
+
+@query(
+    "batch_patch_late",
+    """SELECT file_id, frame, seq, CASE WHEN mb_type&2<>0 THEN (c[1]+c[2]+c[3]+c[4]+c[5]+c[6]+c[7]+c[8]+c[9]+c[10]+c[11]+c[12]+c[13]+c[14]+c[15]+c[16])*(100+cbp)+128>>8 ELSE 0 END AS dc FROM mb""",
+    ["mb"],
+)
+def _(spark, sf):
+    mb = fx.macroblocks(spark, sf)
+    key = [*PICTURE, "seq"]
+    rows = mb.select(*key, F.lit(0).cast("bigint").alias("dc"))
+    late = luma_dc(mb.where(F.col("mb_type").bitwiseAND(F.lit(2)) != 0).select(*key, "c", "cbp"), "c", 100 + F.col("cbp"))
+    return Q.patch_late(rows, late.select(*key, F.get("dc_out", F.lit(0)).alias("dc")), key, "dc")
+
+
+@query(
+    "batch_complete_items",
+    "SELECT file_id, frame, seq, n, w, h FROM part SEMI JOIN (SELECT file_id, frame, seq FROM part GROUP BY ALL HAVING bool_and(luma_ok AND chroma_ok AND part_ref=ref)) k USING (file_id, frame, seq)",
+    ["part"],
+)
+def _(spark, sf):
+    p = M.explode_partitions(fx.macroblock_info(spark, sf), [*PICTURE, "seq"])
+    ok = F.col("luma_ok") & F.col("chroma_ok") & F.col("ref_agrees")
+    return Q.complete_items(p.select(*PICTURE, "seq", "n", "w", "h", ok.alias("ok")), [*PICTURE, "seq"], "ok").drop("ok")
+
+
+@query(
+    "batch_budget_by_hour",
+    "SELECT date_trunc('hour', ts) AS hour, user_id%10 AS run, count(*) AS n, count(*) FILTER (value<=33.333) AS met FROM events GROUP BY ALL",
+)
+def _(spark, sf):
+    e = fx.table(spark, sf, "events")
+    g = e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), (F.col("user_id") % 10).alias("run"))
+    return g.agg(F.count("*").alias("n"), F.count_if(F.col("value") <= 33.333).alias("met"))
+
+
+# ------------------------------------------------------------- streams
+
+
+def _events(spark, sf):
+    return R.file_stream(spark, sf, EVENTS, "events.parquet")
+
+
+def _staged(spark, df):
+    """Derived rows as a file stream; one micro-batch, so arrival order is the order inside it."""
+    path = work_dir(spark, "staged")
+    df.write.parquet(path)
+    return R.file_stream(spark, path, df.schema)
+
+
+@query("stream_drain", "SELECT event_id, user_id, value*2 AS twice FROM events WHERE event_type<>'error'")
+def _(spark, sf):
+    return R.drain(_events(spark, sf).where("event_type <> 'error'").select("event_id", "user_id", (F.col("value") * 2).alias("twice")))
+
+
+@query(
+    "stream_reorder",
+    """SELECT run AS stream, f//12 AS epoch, row_number() OVER (PARTITION BY run, f//12 ORDER BY poc)-1 AS display_no, poc, f AS decode_no FROM (SELECT run, f, ((f%12)//3)*6+[0,4,2][f%3+1] AS poc FROM tim)""",
+    ["tim"],
+)
+def _(spark, sf):
+    t = fx.timings(spark, sf).select("run", "f")
+    n = t.groupBy("run").agg(F.max("f").alias("f")).withColumn("run_end", F.lit(True))
+    f = F.col("f")
+    poc = int_div(f % 12, 3) * 6 + F.get(F.array(F.lit(0), F.lit(4), F.lit(2)), (f % 3).cast("int"))
+    frames = t.join(n, ["run", "f"], "left").select(
+        F.col("run").alias("stream"), int_div(f, 12).alias("epoch"), f.alias("decode_no"), poc.cast("bigint").alias("poc"),
+        ((f % 12 == 11) | F.coalesce("run_end", F.lit(False))).alias("last"),
+    )
+    return R.drain(S.reorder(_staged(spark, frames), depth=3))
+
+
+@query("stream_flush_batches", BATCHES + " SELECT file_id, frame, seq, batch_id FROM fb", ["outc"])
+def _(spark, sf):
+    mb = _blocks(spark, sf).withColumn("last", _is_last())
+    tail = mb.groupBy(*PICTURE).agg(F.max("seq").alias("seq")).withColumn("end", F.lit(True))
+    rows = mb.join(tail, [*PICTURE, "seq"], "left").withColumn("end", F.coalesce("end", F.lit(False)))
+    return R.drain(S.flush_batches(_staged(spark, rows), queue_max=64))
+
+
+@query("stream_counter_changes", "SELECT run, f, v, prev FROM (SELECT *, lag(v) OVER (PARTITION BY run ORDER BY f) AS prev FROM ctr) WHERE v<>prev", ["ctr"])
+def _(spark, sf):
+    return R.counter_changes(_staged(spark, fx.counters(spark, sf).drop("ts")))
+
+
+@query(
+    "stream_counter_watch",
+    """SELECT run, f, v, prev, 'change' AS kind FROM (SELECT *, lag(v) OVER (PARTITION BY run ORDER BY f) AS prev FROM ctr) WHERE v<>prev
+       UNION ALL SELECT run, f, v, CASE WHEN f=0 THEN NULL ELSE v END, 'timeout' FROM (SELECT *, f-max(CASE WHEN v<>p THEN f END) OVER (PARTITION BY run ORDER BY f) AS since FROM (SELECT *, lag(v) OVER (PARTITION BY run ORDER BY f) AS p FROM ctr)) WHERE coalesce(since, f+1)=8""",
+    ["ctr"],
+)
+def _(spark, sf):
+    return R.drain(S.counter_watch(_staged(spark, fx.counters(spark, sf).drop("ts")), max_polls=8))
+
+
+@query(
+    "stream_late_patch",
+    "SELECT event_id, user_id, value*3 AS late_value FROM events WHERE event_id%2=0",
+)
+def _(spark, sf):
+    e = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    late = e.where("event_id % 2 = 0").select("event_id", (F.col("ts") + F.expr("INTERVAL 5 minutes")).alias("ts"), (F.col("value") * 3).alias("value"))
+    out = S.late_patch(e.select("event_id", "user_id", "ts"), late, ["event_id"])
+    return R.drain(out.select("event_id", "user_id", "late_value"))
+
+
+@query("stream_first_matches", "SELECT event_id, user_id, value FROM events WHERE value>100 ORDER BY event_id LIMIT 40")
+def _(spark, sf):
+    return R.first_matches(_events(spark, sf).where("value > 100").select("event_id", "user_id", "value"), 40, ["event_id"])
+
+
+@query(
+    "stream_budget_monitor",
+    """SELECT hour, run, n, met FROM (SELECT date_trunc('hour', ts) AS hour, user_id%10 AS run, count(*) AS n, count(*) FILTER (value<=33.333) AS met FROM events GROUP BY ALL)
+       WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
+def _(spark, sf):
+    e = _events(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("run"), F.col("value").alias("live_ms"))
+    return R.drain(S.budget_monitor(e)).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
