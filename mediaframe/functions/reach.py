@@ -51,8 +51,34 @@ def _exits(pos: np.ndarray, nxt: np.ndarray, wanted: np.ndarray) -> list[tuple[i
 
 
 def _frame(keys: Sequence[str], key_values, columns: dict) -> pd.DataFrame:
-    n = len(next(iter(columns.values())))
-    return pd.DataFrame({**{k: [v] * n for k, v in zip(keys, key_values)}, **columns})
+    cols = {c: np.asarray(v, dtype="int64") for c, v in columns.items()}
+    n = len(next(iter(cols.values())))
+    held = {k: np.full(n, v, dtype=object) for k, v in zip(keys, key_values)}
+    return pd.DataFrame({**held, **cols})
+
+
+def _walk_sorted(edges: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame:
+    """All groups of a partition in one sorted pass; only the position expected next is carried along."""
+
+    def walk(batches):
+        expected, last = 0, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ids = pdf[keys]
+            change = (ids != ids.shift()).any(axis=1).to_numpy()
+            change[0] = last is None or tuple(ids.iloc[0]) != last
+            last = tuple(ids.iloc[-1])
+            hit = np.zeros(len(pdf), bool)
+            for i, (new, pos, nxt) in enumerate(zip(change.tolist(), pdf["pos"].tolist(), pdf["nxt"].tolist())):
+                if new:
+                    expected = 0
+                if pos == expected:
+                    hit[i] = True
+                    expected = nxt
+            yield pdf.loc[hit, [*keys, "pos"]]
+
+    return edges.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInPandas(walk, schema)
 
 
 def reachable(edges: DataFrame, keys: Sequence[str], block: int = 1 << 16) -> DataFrame:
@@ -68,11 +94,7 @@ def _reachable(edges: DataFrame, keys: list[str], block: int, top: int) -> DataF
     out_pos = _schema(edges, keys, with_next=False)
     edges = edges.select(*keys, "pos", "nxt")
     if top < block:
-
-        def walk(key, pdf):
-            return _frame(keys, key, {"pos": _follow(pdf["pos"].to_numpy(), pdf["nxt"].to_numpy(), 0)})
-
-        return edges.groupBy(*keys).applyInPandas(walk, out_pos)
+        return _walk_sorted(edges, keys, out_pos)
 
     blk = int_div(F.col("pos"), block).alias("blk")
     cut = edges.select("*", blk)

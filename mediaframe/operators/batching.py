@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe import schemas as S
+from mediaframe.functions.lineage import cut_lineage
 from mediaframe.functions.ordered import BLK, by_width, in_blocks, lag_rows, next_after, running_sum
 from mediaframe.functions.reach import reachable
 
@@ -24,19 +25,21 @@ def flush_batches(mb: DataFrame, keys: Sequence[str], is_last: Column, queue_max
     ``mb`` has the keys, seq (dense, raster order), mb_x, mb_y, intra and taken.
     """
     keys, big = list(keys), lambda c: c.cast("bigint")
-    rows = in_blocks(mb.select(*keys, "seq", "mb_x", "mb_y", "intra", "taken", is_last.alias("last")), by_width("seq"))
+    base = cut_lineage(mb.select(*keys, "seq", "mb_x", "mb_y", "intra", "taken", is_last.alias("last")))
+    rows = in_blocks(base, by_width("seq"))
     rows = running_sum(rows, keys, ["seq"], None, big(F.col("taken")), "t", inclusive=False)
     rows = lag_rows(rows, keys, ["seq"], None, {"p_taken": F.col("taken"), "p_x": F.col("mb_x"), "p_y": F.col("mb_y")})
     left_queued = F.col("p_taken") & (F.col("p_x") == F.col("mb_x") - 1) & (F.col("p_y") == F.col("mb_y"))
     ends = F.when(F.col("last"), F.col("t") + big(F.col("taken")))
     marks = {"by_left": F.when(F.col("intra") & left_queued, F.col("t")), "by_last": ends}
     rows = next_after(rows, keys, ["seq"], None, marks).withColumn("by_last", F.coalesce(ends, "by_last")).drop(BLK)
+    rows = cut_lineage(rows.select(*keys, "seq", "mb_x", "mb_y", "intra", "taken", "t", "by_left", "by_last"))
 
     per_row = rows.groupBy(*keys, "mb_y").agg(F.min(F.when(F.col("intra"), F.col("t"))).alias("first_intra"))
     lower = next_after(per_row, keys, ["mb_y"], by_width("mb_y"), {"by_row": F.col("first_intra")}).drop("first_intra")
     queued = rows.where("taken").join(lower, [*keys, "mb_y"])
     nxt = F.least(F.col("t") + queue_max, "by_left", "by_last", "by_row")
-    edges = queued.select(*keys, "seq", "mb_x", "mb_y", "t", nxt.alias("nxt"))
+    edges = cut_lineage(queued.select(*keys, "seq", "mb_x", "mb_y", "t", nxt.alias("nxt")))
     starts = reachable(edges.select(*keys, F.col("t").alias("pos"), "nxt"), keys).select(*keys, F.col("pos").alias("t"), F.lit(1).alias("new"))
     flagged = edges.drop("nxt").join(starts, [*keys, "t"], "left")
     numbered = running_sum(flagged, keys, ["t"], by_width("t"), big(F.coalesce("new", F.lit(0))), "batch_id")

@@ -76,7 +76,8 @@ def scatter(df: DataFrame, keys: Sequence[str], block: str, values: str) -> Data
     row = F.when(chroma, F.shiftright(k, 1)).otherwise(lookup(S.LUMA_ROW, b)) * 4
     col = F.when(chroma, k % 2).otherwise(lookup(S.LUMA_COL, b)) * 4
     plane = F.when(chroma, F.shiftright(b - 16, 2) + 1).otherwise(0)
-    e = df.select(*keys, plane.alias("plane"), row.alias("__r"), col.alias("__c"), F.posexplode(values).alias("__i", "v"))
+    # the outer form: a plain explode infers a filter on the array and copies the whole transform into it
+    e = df.select(*keys, plane.alias("plane"), row.alias("__r"), col.alias("__c"), F.posexplode_outer(values).alias("__i", "v"))
     return e.select(*keys, "plane", (F.col("__r") + F.shiftright("__i", 2)).alias("y"), (F.col("__c") + F.col("__i") % 4).alias("x"), "v")
 
 

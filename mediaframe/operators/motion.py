@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mediaframe import schemas as S
 from mediaframe.functions.bits import has_bit, int_div
+from mediaframe.functions.lineage import cut_lineage
 from mediaframe.functions.ordered import by_width, first_k, in_blocks, last_at, row_index, running_sum
 from mediaframe.functions.reach import reachable
 
@@ -271,7 +272,7 @@ def capacity_chunks(items: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``width`` is a positive integer. With items laid end to end, the chunk after one starting at s starts at the item
     covering position s + cap, so every item's successor is one as-of lookup and the real starts are a forward walk.
     """
-    laid = running_sum(items, keys, order, block, F.col(width).cast("bigint"), "__s", inclusive=False)
+    laid = cut_lineage(running_sum(items, keys, order, block, F.col(width).cast("bigint"), "__s", inclusive=False))
     item = F.struct(F.col("__s").alias("start"), (F.col("__s") + F.col(width)).alias("end"))
     spot = laid.select(*keys, F.col("__s").alias("at"), F.lit(0).alias("probe"), item.alias("item"), F.lit(None).cast("bigint").alias("owner"))
     ask = laid.where(F.col(width) <= cap).select(
@@ -285,7 +286,7 @@ def capacity_chunks(items: DataFrame, keys: Sequence[str], order: Sequence[str],
         *keys, F.col("owner").alias("pos"), F.when(F.col("hit.end") > full, F.col("hit.start")).otherwise(full).alias("nxt")
     )
     alone = laid.where(F.col(width) > cap).select(*keys, F.col("__s").alias("pos"), (F.col("__s") + F.col(width)).alias("nxt"))
-    starts = reachable(edges.unionByName(alone), keys).select(*keys, F.col("pos").alias("__s"), F.lit(1).cast("bigint").alias("__new"))
+    starts = reachable(cut_lineage(edges.unionByName(alone)), keys).select(*keys, F.col("pos").alias("__s"), F.lit(1).cast("bigint").alias("__new"))
     flagged = in_blocks(laid.join(starts, [*keys, "__s"], "left"), by_width("__s"))
     numbered = running_sum(flagged, keys, ["__s"], None, F.coalesce("__new", F.lit(0).cast("bigint")), "chunk_no")
     begun = last_at(numbered, keys, ["__s"], None, {"__b": F.when(F.col("__new") == 1, F.col("__s"))})

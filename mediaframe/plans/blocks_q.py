@@ -208,7 +208,7 @@ def _edges(spark, sf):
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     rows = F.array(*[F.array(*[((p * (k + 1) + s * r) % 24 + 100).cast("int") for k in range(6)]) for r in range(4)])
     tc = (p % 5 - 1).cast("int")
-    return fx.table(spark, sf, "lineitem").select(
+    return fx.spread(fx.table(spark, sf, "lineitem").select(*fx.LINE_ORDER)).select(
         *fx.LINE_ORDER, (15 + p % 30).cast("int").alias("alpha"), (6 + p % 10).cast("int").alias("beta"), F.array_repeat(tc, 4).alias("tc0"), rows.alias("window")
     )
 

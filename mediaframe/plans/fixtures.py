@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores when the scan has fewer splits than that; a large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---------------------------------------------------------------- pixels
 
 
@@ -112,7 +118,7 @@ def movie_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     Built row by row, nothing is grouped.
     """
     u32 = lambda c: F.lpad(F.hex(c.cast("bigint")), 8, "0")
-    doc = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    doc = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n").alias("lines"))
     unit = lambda w: F.concat(u32(F.octet_length(w)), F.hex(w.cast("binary")))
     body = doc.select(
         "doc_id",

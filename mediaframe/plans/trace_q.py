@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediaframe.functions.bits import bits, byte_swap, int_div, lit_long, wrap_diff32
+from mediaframe.functions.lineage import cut_lineage
 from mediaframe.functions.ordered import by_hour, by_width, first_k
 from mediaframe.operators import trace as X
 from mediaframe.plans import fixtures as fx
@@ -37,8 +38,8 @@ FIND = (
 
 
 def _heads(spark, sf):
-    w = fx.words(spark, sf)
-    return w, X.packets(w)
+    w = cut_lineage(fx.words(spark, sf))  # the stream table, read by several branches
+    return w, cut_lineage(X.packets(w))
 
 
 def _writes(spark, sf):
