@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.functions.bits import be_uint
+from mediaframe.functions.lineage import cut_lineage
 from mediaframe.functions.ordered import by_width, first_k, last_at, running_sum
 
 FILE = ["file_id"]
@@ -58,17 +59,20 @@ def run_rows(tracks: DataFrame, keys: Sequence[str]) -> DataFrame:
 def samples_per_chunk(chunks: DataFrame, runs: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
     """Add spc to every chunk: the run it lies in, or the last run when it precedes them all."""
     keys = list(keys)
-    r = runs.select(*keys, F.col("first_chunk").alias("chunk_no"), F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("chunk_off"), "spc")
-    c = chunks.select(*keys, "chunk_no", F.lit(1).alias("side"), "chunk_off", F.lit(None).cast("bigint").alias("spc"))
-    found = last_at(r.unionByName(c), keys, ["chunk_no", "side"], by_width("chunk_no"), {"hit": F.col("spc")}).where("side = 1")
-    last = runs.groupBy(*keys).agg(F.max_by("spc", "first_chunk").alias("last_spc"))
-    return found.join(last, keys).select(*keys, "chunk_no", "chunk_off", F.coalesce("hit", "last_spc").alias("spc"))
+    none = lambda n: F.lit(None).cast("bigint").alias(n)
+    r = runs.select(*keys, F.col("first_chunk").alias("chunk_no"), F.lit(0).alias("side"), none("chunk_off"), "spc")
+    # the last run also stands before chunk 1, which gives early chunks their value without a join on the file
+    last = runs.groupBy(*keys).agg(F.max_by("spc", "first_chunk").alias("spc"))
+    r = r.unionByName(last.select(*keys, F.lit(0).cast("bigint").alias("chunk_no"), F.lit(-1).alias("side"), none("chunk_off"), "spc"))
+    c = chunks.select(*keys, "chunk_no", F.lit(1).alias("side"), "chunk_off", none("spc"))
+    found = last_at(r.unionByName(c), keys, ["chunk_no", "side"], by_width("chunk_no"), {"hit": F.col("spc")})
+    return found.where((F.col("side") == 1) & F.col("hit").isNotNull()).select(*keys, "chunk_no", "chunk_off", F.col("hit").alias("spc"))
 
 
 def expand_samples(sizes: DataFrame, chunks_spc: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
     """Chunk number and file offset of every sample that falls into a chunk."""
     keys = list(keys)
-    placed = running_sum(chunks_spc, keys, ["chunk_no"], by_width("chunk_no"), F.col("spc").cast("bigint"), "first_sample", inclusive=False)
+    placed = cut_lineage(running_sum(chunks_spc, keys, ["chunk_no"], by_width("chunk_no"), F.col("spc").cast("bigint"), "first_sample", inclusive=False))
     null = lambda n: F.lit(None).cast("bigint").alias(n)
     c = placed.select(
         *keys, F.col("first_sample").alias("sample_idx"), F.lit(0).alias("side"), "chunk_no",
@@ -80,7 +84,8 @@ def expand_samples(sizes: DataFrame, chunks_spc: DataFrame, keys: Sequence[str]
     )
     hit = last_at(c.unionByName(s), keys, ["sample_idx", "side", "chunk_no"], by_width("sample_idx"), {"in": F.col("chunk")})
     hit = hit.where((F.col("side") == 1) & (F.col("sample_idx") < F.col("in.stop")))
-    flat = hit.select(*keys, "sample_idx", F.col("in.chunk_no").alias("chunk_no"), F.col("in.chunk_off").alias("chunk_off"), "size")
+    # each scan reads its input twice (block totals, rows), so the one in between is written once
+    flat = cut_lineage(hit.select(*keys, "sample_idx", F.col("in.chunk_no").alias("chunk_no"), F.col("in.chunk_off").alias("chunk_off"), "size"))
     out = running_sum(flat, [*keys, "chunk_no"], ["sample_idx"], by_width("sample_idx"), F.col("size"), "before", inclusive=False)
     return out.select(*keys, "sample_idx", "chunk_no", (F.col("chunk_off") + F.col("before")).alias("off"), "size")
 
@@ -120,10 +125,11 @@ def unit_pivot(units: DataFrame, types: Sequence[int]) -> DataFrame:
 
 
 def head_tail(samples: DataFrame, keys: Sequence[str] = FILE, head: int = 5, tail: int = 2) -> DataFrame:
-    """First and last samples per file; the dense index makes the count an aggregate instead of a window."""
-    n = samples.groupBy(*keys).agg(F.count("*").alias("n"))
-    j = samples.join(n, list(keys))
-    return j.where((F.col("sample_idx") < head) | (F.col("sample_idx") >= F.col("n") - tail)).drop("n")
+    """First and last samples per file: two top-k windows, each trimmed on the map side, so a huge file costs nothing extra."""
+    order = ["sample_idx"]
+    first = first_k(samples, keys, order, head, "__r")
+    last = first_k(samples.withColumn("__d", -F.col("sample_idx")), keys, ["__d"], tail, "__r").drop("__d")
+    return first.unionByName(last).drop("__r").dropDuplicates([*keys, *order])
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int = 3) -> DataFrame:

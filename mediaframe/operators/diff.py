@@ -1,7 +1,8 @@
 """Compare two versions of a pixel table.
 
-A version has frame, plane, y, x, v. Keys are unique, so the join is spread over every pixel and no
-single frame can overload a task; all summaries aggregate on the map side first.
+A version has frame, plane, y, x, v, or, packed, frame, plane, y, vs (one array per picture row). Packed
+rows join on a thousandth of the keys and open up to pixels only after the shuffle, next to the partial
+aggregation, so they are the form for large tables. Keys are unique: no frame can overload a task.
 """
 
 from __future__ import annotations
@@ -24,6 +25,24 @@ def align(live: DataFrame, ref: DataFrame, keys: Sequence[str] = PIXEL_KEY) -> D
     return left.join(right, list(keys)).withColumn("d", F.abs(F.col("v_live") - F.col("v_ref")))
 
 
+def pack_rows(px: DataFrame) -> DataFrame:
+    """Pixel table to one array per picture row (x = 0..width-1 present); a row is bounded by the picture width."""
+    g = px.groupBy("frame", "plane", "y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("a"))
+    return g.select("frame", "plane", "y", F.col("a.v").alias("vs"))
+
+
+def align_packed(live: DataFrame, ref: DataFrame) -> DataFrame:
+    """As ``align``, from packed rows; where one row is shorter, only the common pixels are compared."""
+    key = ["frame", "plane", "y"]
+    j = live.select(*key, F.col("vs").alias("__l")).join(ref.select(*key, F.col("vs").alias("__r")), key)
+    n = F.least(F.size("__l"), F.size("__r"))
+    both = F.arrays_zip(F.slice("__l", F.lit(1), n).alias("v_live"), F.slice("__r", F.lit(1), n).alias("v_ref"))
+    # outer only to keep the optimizer from filtering on the zipped array twice; rows are never empty
+    e = j.where(n > 0).select(*key, F.posexplode_outer(both).alias("x", "p"))
+    e = e.select(*key, "x", F.col("p.v_live").alias("v_live"), F.col("p.v_ref").alias("v_ref"))
+    return e.withColumn("d", F.abs(F.col("v_live") - F.col("v_ref")))
+
+
 def missing_keys(live: DataFrame, ref: DataFrame, keys: Sequence[str] = PIXEL_KEY) -> DataFrame:
     """Keys only one version has, with the side that lacks them."""
     a = live.select(*keys).join(ref.select(*keys), list(keys), "left_anti").withColumn("missing_in", F.lit("ref"))

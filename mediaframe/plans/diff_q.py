@@ -11,7 +11,7 @@ from mediaframe.plans.registry import query
 
 
 def _diff(spark, sf):
-    return D.align(fx.pixel_version(spark, sf, "live"), fx.pixel_version(spark, sf, "ref"))
+    return D.align_packed(fx.pixel_rows(spark, sf, "live"), fx.pixel_rows(spark, sf, "ref"))
 
 
 FRAME_REPORT = """SELECT frame, luma_bad, luma_total, luma_max, chroma_bad, chroma_total, chroma_max,
@@ -22,11 +22,25 @@ FROM (SELECT frame, count(*) FILTER (plane=0 AND d>2) AS luma_bad, count(*) FILT
   count(*) FILTER (plane>0) AS chroma_total, coalesce(max(d) FILTER (plane>0),0) AS chroma_max FROM pd GROUP BY frame)"""
 
 
-@query("diff_align", "SELECT frame, plane, y, x, live AS v_live, ref AS v_ref, d FROM pd", ["pd"])
+ALIGNED = "SELECT frame, plane, y, x, live AS v_live, ref AS v_ref, d FROM pd"
+
+
+@query("diff_align", ALIGNED, ["pd"])
+def _(spark, sf):
+    return D.align(fx.pixel_version(spark, sf, "live"), fx.pixel_version(spark, sf, "ref"))
+
+
+@query("diff_align_packed", ALIGNED, ["pd"])
 def _(spark, sf):
     return _diff(spark, sf)
 
 
+@query("diff_pack_rows", "SELECT frame, plane, y, string_agg(live::VARCHAR, ',' ORDER BY x) AS vs FROM pix GROUP BY frame, plane, y", ["pix"])
+def _(spark, sf):
+    p = D.pack_rows(fx.pixel_version(spark, sf, "live"))
+    return p.withColumn("vs", F.array_join(F.transform("vs", lambda v: v.cast("string")), ","))
+
+
 @query(
     "diff_missing_keys",
     """SELECT frame, plane, y, x, 'ref' AS missing_in FROM pix WHERE ref<100 AND live>=100

@@ -58,6 +58,26 @@ def pixel_version(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
     return pixels(spark, sf_dir).select("frame", "plane", "y", "x", F.col(version).alias("v"))
 
 
+def pixel_rows(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
+    """One version with packed rows: frame, plane, y, vs. Cut out of the embedding, nothing is grouped."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "embedding")
+    rows = e.select("frame", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), "embedding")
+
+    def value(v, x):
+        ref = F.floor(v.cast("double") * 200 + 128)
+        clipped = F.least(F.lit(255), F.greatest(F.lit(0), ref))
+        if version == "ref":
+            return clipped.cast("int")
+        p = F.col("y") * 8 + x
+        bump = (
+            F.when((F.col("frame") * 7 + p * 13) % 23 == 0, 3 + F.col("frame") % 5).when((F.col("frame") + p) % 11 == 0, F.lit(-1)).otherwise(F.lit(0))
+        )
+        return F.least(F.lit(255), F.greatest(F.lit(0), clipped + bump)).cast("int")
+
+    vs = F.transform(F.slice("embedding", F.col("y") * 8 + 1, F.lit(8)), value)
+    return rows.select("frame", F.shiftright("y", 2).alias("plane"), "y", vs.alias("vs"))
+
+
 def block_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per 4x4 block of every frame: class, track number, motion vector, coded flag."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "label")
