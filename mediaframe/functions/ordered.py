@@ -141,8 +141,20 @@ def lag_rows(df, keys, order, block, values: Mapping[str, Column]) -> DataFrame:
     return out.select(*df.columns, *[F.col("__prev")[n].alias(n) for n in values])
 
 
+GROUP_LIMIT = 1000  # Spark trims top-k windows before the shuffle only up to this k
+SALTS = 64
+
+
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, out: str = "rank") -> DataFrame:
-    """First k rows per group (0-based rank). Spark trims each map task to k rows per group before the shuffle."""
+    """First k rows per group (0-based rank).
+
+    Up to k = 1000 Spark trims each map task to k rows per group before the shuffle. Beyond that the group is first
+    ranked in salted parts, so the final window sees at most SALTS * k rows of it.
+    """
+    if k > GROUP_LIMIT:
+        df = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        part = Window.partitionBy(*keys, "__salt").orderBy(*order)
+        df = df.withColumn(out, F.row_number().over(part)).where(F.col(out) <= k).drop("__salt", out)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k).withColumn(out, F.col(out) - 1)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mediaframe.functions.ordered import BLK, by_width, in_blocks, lag_rows, last_at, next_after, row_index, running_sums, with_halo
+from mediaframe.functions.ordered import BLK, by_width, first_k, in_blocks, lag_rows, last_at, next_after, row_index, running_sums, with_halo
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +77,13 @@ def test_halo_windows_match_whole_windows(spark):
     whole = Window.partitionBy("g").orderBy("pos")
     want = d.select("g", "pos", F.lag("w", 2).over(whole).alias("a"), F.lead("w", 3).over(whole).alias("b"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_first_k_beyond_the_group_limit(spark):
+    d = spark.range(9000).select((F.col("id") % 2).alias("g"), F.xxhash64("id").alias("o"))
+    got = first_k(d, ["g"], ["o"], 3000).groupBy("g").agg(F.count("*").alias("n"), F.max("rank").alias("r"), F.max("o").alias("hi")).collect()
+    for r in got:
+        want = sorted(x.o for x in d.where(F.col("g") == r.g).collect())[:3000]
+        assert (r.n, r.r, r.hi) == (3000, 2999, want[-1])
+    plan = first_k(d, ["g"], ["o"], 5)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
