@@ -145,6 +145,16 @@ def file_summary(samples: DataFrame, chunks: DataFrame, runs: DataFrame, keys: S
     return s.join(c, keys, "full_outer").join(r, keys, "full_outer")
 
 
+def file_report(tracks: DataFrame) -> DataFrame:
+    """One line per track: picture size, prefix bytes, profile, level and table lengths, straight from the track row."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).alias("n_" + c)
+    total = F.coalesce(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, v: a + v), F.col("const_size") * F.col("sample_count"))
+    return tracks.select(
+        "path", "track_id", "width", "height", "nal_length_size", *sps_summary(F.col("sps")), "sample_count",
+        n("chunk_offsets"), n("first_chunk"), total.alias("bytes"),
+    )
+
+
 def decoder_config(sps: Column, pps: Column, nal_length_size: Column) -> Column:
     """Decoder configuration record: six header bytes, then one of each parameter set with its length."""
     byte = lambda v: F.unhex(F.lpad(F.hex(v), 2, "0"))

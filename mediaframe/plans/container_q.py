@@ -62,6 +62,15 @@ def _(spark, sf):
     )
 
 
+@query(
+    "container_file_report",
+    DOCS + """ SELECT path, 1::BIGINT AS track_id, 320+doc_id%64 AS width, 240+doc_id%32 AS height, 4::BIGINT AS nal_length_size, 100::BIGINT AS profile_idc, 31::BIGINT AS level_idc,
+       n AS sample_count, nc AS n_chunk_offsets, CASE WHEN nc>2 THEN 2 ELSE 1 END AS n_first_chunk, body AS bytes FROM t""",
+)
+def _(spark, sf):
+    return C.file_report(mv.tracks(fx.movie_files(spark, sf)))
+
+
 @query(
     "container_decoder_config",
     DOCS + " SELECT path, '0164001FFFE1000C6764001FACD9405005BB011001000668EBE3CB22C0' AS config FROM t",
