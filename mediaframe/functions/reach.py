@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediaframe.functions.bits import int_div
+from mediaframe.functions.lineage import cut_lineage
 
 FAN = 64
 
@@ -99,7 +100,7 @@ def _reachable(edges: DataFrame, keys: list[str], block: int, top: int) -> DataF
     # only groups that really outgrow a block are contracted; the others stay with the plain pass
     large = edges.groupBy(*keys).agg(F.max("pos").alias("top")).where(F.col("top") >= block).select(*keys)
     small = _walk_sorted(edges.join(large, keys, "left_anti"), keys, out_pos)
-    edges = edges.join(large, keys, "left_semi")
+    edges = cut_lineage(edges.join(large, keys, "left_semi"))
     blk = int_div(F.col("pos"), block).alias("blk")
     cut = edges.select("*", blk)
     crossing = cut.where(int_div(F.col("nxt"), block) != F.col("blk")).select(*keys, F.col("nxt").alias("pos"))
@@ -117,5 +118,5 @@ def _reachable(edges: DataFrame, keys: list[str], block: int, top: int) -> DataF
         return _frame(keys, key[:-1], {"pos": _follow(left["pos"].to_numpy(), left["nxt"].to_numpy(), int(right["pos"].iloc[0]))})
 
     contracted = cut.groupBy(*pair).cogroup(entries.groupBy(*pair)).applyInPandas(contract, _schema(edges, keys, True))
-    chosen = _reachable(contracted, keys, block * FAN, top).select("*", blk)
+    chosen = _reachable(cut_lineage(contracted), keys, block * FAN, top).select("*", blk)
     return small.unionByName(cut.groupBy(*pair).cogroup(chosen.groupBy(*pair)).applyInPandas(expand, out_pos))
