@@ -42,6 +42,10 @@ def _blocked(df: DataFrame, block: Column | None) -> DataFrame:
     return df if BLK in df.columns else df.withColumn(BLK, block)
 
 
+def _kept(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def _inner(keys: Sequence[str], order: Sequence[str], desc: bool = False) -> WindowSpec:
     cols = [F.col(c).desc() if desc else F.col(c) for c in order]
     return Window.partitionBy(*keys, BLK).orderBy(*cols)
@@ -55,34 +59,63 @@ _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
 
 
-def running_sums(
+def _edge_value(order: Sequence[str], value: str, last: bool) -> Column:
+    key = F.struct(*[F.col(c) for c in order])
+    pick = F.max_by if last else F.min_by
+    # key is NULL where the value is, so those rows are never picked
+    return pick(F.col(value), F.when(F.col(value).isNotNull(), key))
+
+
+def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     block: Column | None,
-    sums: Mapping[str, tuple[Column, bool]],
+    sums: Mapping[str, tuple[Column, bool]] | None = None,
+    last: Mapping[str, tuple[Column, bool]] | None = None,
+    lag: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add running sums; ``sums`` maps output name to (integer value, inclusive)."""
+    """Any number of forward scans over the same order in one pass: one shuffle of the rows, one table of block totals.
+
+    ``sums`` maps a name to (integer value, inclusive), ``last`` to (value, strict) for the last non-NULL value at or
+    before a row, ``lag`` to the value of the previous row.
+    """
+    sums, last, lag = sums or {}, last or {}, lag or {}
+    held = {**{n: v for n, (v, _) in sums.items()}, **{n: v for n, (v, _) in last.items()}}
+    strict = {n: s for n, (_, s) in last.items()}
+    if lag:
+        held["__row"] = F.struct(*[v.alias(n) for n, v in lag.items()])
+        strict["__row"] = True
     base = _blocked(df, block)
-    for name, (value, _) in sums.items():
-        base = base.withColumn("__v_" + name, value)
-    totals = base.groupBy(*keys, BLK).agg(*[F.sum("__v_" + n).alias("__t_" + n) for n in sums])
-    prefix = totals.select(
-        *keys,
-        BLK,
-        *[F.coalesce(F.sum("__t_" + n).over(_outer(keys).rowsBetween(*_BEFORE)), F.lit(0)).alias("__p_" + n) for n in sums],
-    )
-    inside = base.select(
-        "*",
-        *[
-            F.coalesce(
-                F.sum("__v_" + n).over(_inner(keys, order).rowsBetween(*(_UPTO if incl else _BEFORE))), F.lit(0)
-            ).alias("__i_" + n)
-            for n, (_, incl) in sums.items()
-        ],
-    )
+    for n, v in held.items():
+        base = base.withColumn("__v_" + n, v)
+    total = [F.sum("__v_" + n) if n in sums else _edge_value(order, "__v_" + n, True) for n in held]
+    ends = base.groupBy(*keys, BLK).agg(*[t.alias("__t_" + n) for n, t in zip(held, total)])
+    outer, inner = _outer(keys).rowsBetween(*_BEFORE), _inner(keys, order)
+
+    def over(n: str, col: str, w: WindowSpec) -> Column:
+        return F.coalesce(F.sum(col).over(w), F.lit(0)) if n in sums else F.last(col, ignorenulls=True).over(w)
+
+    def frame(n: str) -> WindowSpec:
+        before = not sums[n][1] if n in sums else strict[n]
+        return inner.rowsBetween(*(_BEFORE if before else _UPTO))
+
+    prefix = ends.select(*keys, BLK, *[over(n, "__t_" + n, outer).alias("__p_" + n) for n in held])
+    inside = base.select("*", *[over(n, "__v_" + n, frame(n)).alias("__i_" + n) for n in held])
     joined = inside.join(prefix, [*keys, BLK])
-    return joined.select(*df.columns, *[(F.col("__p_" + n) + F.col("__i_" + n)).alias(n) for n in sums])
+    part = lambda n: (F.col("__p_" + n), F.col("__i_" + n))
+    out = [(part(n)[0] + part(n)[1]).alias(n) for n in sums] + [F.coalesce(part(n)[1], part(n)[0]).alias(n) for n in last]
+    if lag:
+        row = F.coalesce(part("__row")[1], part("__row")[0])
+        out += [row[n].alias(n) for n in lag]
+    return joined.select(*_kept(df), *out)
+
+
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None, sums: Mapping[str, tuple[Column, bool]]
+) -> DataFrame:
+    """Add running sums; ``sums`` maps output name to (integer value, inclusive)."""
+    return scan(df, keys, order, block, sums=sums)
 
 
 def running_sum(
@@ -96,49 +129,27 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: C
     return running_sum(df, keys, order, block, F.lit(1).cast("bigint"), out, inclusive=False)
 
 
-def _edge_value(order: Sequence[str], value: str, last: bool) -> Column:
-    key = F.struct(*[F.col(c) for c in order])
-    pick = F.max_by if last else F.min_by
-    # key is NULL where the value is, so those rows are never picked
-    return pick(F.col(value), F.when(F.col(value).isNotNull(), key))
-
-
-def _carry(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    block: Column | None,
-    values: Mapping[str, Column],
-    forward: bool,
-    strict: bool,
-) -> DataFrame:
-    base = _blocked(df, block)
-    for name, value in values.items():
-        base = base.withColumn("__v_" + name, value)
-    ends = base.groupBy(*keys, BLK).agg(*[_edge_value(order, "__v_" + n, forward).alias("__e_" + n) for n in values])
-    outer = _outer(keys, desc=not forward).rowsBetween(*_BEFORE)
-    prefix = ends.select(*keys, BLK, *[F.last("__e_" + n, ignorenulls=True).over(outer).alias("__p_" + n) for n in values])
-    inner = _inner(keys, order, desc=not forward).rowsBetween(*(_BEFORE if strict else _UPTO))
-    inside = base.select("*", *[F.last("__v_" + n, ignorenulls=True).over(inner).alias("__i_" + n) for n in values])
-    joined = inside.join(prefix, [*keys, BLK])
-    return joined.select(*df.columns, *[F.coalesce(F.col("__i_" + n), F.col("__p_" + n)).alias(n) for n in values])
-
-
 def last_at(df, keys, order, block, values: Mapping[str, Column], strict: bool = False) -> DataFrame:
     """Last non-NULL value at (or, if strict, before) every row."""
-    return _carry(df, keys, order, block, values, forward=True, strict=strict)
-
-
-def next_after(df, keys, order, block, values: Mapping[str, Column], strict: bool = True) -> DataFrame:
-    """First non-NULL value after (or at) every row."""
-    return _carry(df, keys, order, block, values, forward=False, strict=strict)
+    return scan(df, keys, order, block, last={n: (v, strict) for n, v in values.items()})
 
 
 def lag_rows(df, keys, order, block, values: Mapping[str, Column]) -> DataFrame:
     """Value of the previous row of the group; NULL on the first one (a NULL value stays NULL)."""
-    packed = F.struct(*[v.alias(n) for n, v in values.items()])
-    out = last_at(df, keys, order, block, {"__prev": packed}, strict=True)
-    return out.select(*df.columns, *[F.col("__prev")[n].alias(n) for n in values])
+    return scan(df, keys, order, block, lag=values)
+
+
+def next_after(df, keys, order, block, values: Mapping[str, Column]) -> DataFrame:
+    """First non-NULL value after every row."""
+    base = _blocked(df, block)
+    for name, value in values.items():
+        base = base.withColumn("__v_" + name, value)
+    ends = base.groupBy(*keys, BLK).agg(*[_edge_value(order, "__v_" + n, False).alias("__e_" + n) for n in values])
+    outer, inner = _outer(keys, desc=True).rowsBetween(*_BEFORE), _inner(keys, order, desc=True).rowsBetween(*_BEFORE)
+    suffix = ends.select(*keys, BLK, *[F.last("__e_" + n, ignorenulls=True).over(outer).alias("__p_" + n) for n in values])
+    inside = base.select("*", *[F.last("__v_" + n, ignorenulls=True).over(inner).alias("__i_" + n) for n in values])
+    joined = inside.join(suffix, [*keys, BLK])
+    return joined.select(*_kept(df), *[F.coalesce("__i_" + n, "__p_" + n).alias(n) for n in values])
 
 
 GROUP_LIMIT = 1000  # Spark trims top-k windows before the shuffle only up to this k

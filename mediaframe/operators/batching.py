@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mediaframe import schemas as S
 from mediaframe.functions.lineage import cut_lineage
-from mediaframe.functions.ordered import BLK, by_width, in_blocks, lag_rows, next_after, running_sum
+from mediaframe.functions.ordered import BLK, by_width, in_blocks, next_after, running_sum, scan
 from mediaframe.functions.reach import reachable
 
 
@@ -27,8 +27,8 @@ def flush_batches(mb: DataFrame, keys: Sequence[str], is_last: Column, queue_max
     keys, big = list(keys), lambda c: c.cast("bigint")
     base = cut_lineage(mb.select(*keys, "seq", "mb_x", "mb_y", "intra", "taken", is_last.alias("last")))
     rows = in_blocks(base, by_width("seq"))
-    rows = running_sum(rows, keys, ["seq"], None, big(F.col("taken")), "t", inclusive=False)
-    rows = lag_rows(rows, keys, ["seq"], None, {"p_taken": F.col("taken"), "p_x": F.col("mb_x"), "p_y": F.col("mb_y")})
+    before = {"p_taken": F.col("taken"), "p_x": F.col("mb_x"), "p_y": F.col("mb_y")}
+    rows = scan(rows, keys, ["seq"], None, sums={"t": (big(F.col("taken")), False)}, lag=before)
     left_queued = F.col("p_taken") & (F.col("p_x") == F.col("mb_x") - 1) & (F.col("p_y") == F.col("mb_y"))
     ends = F.when(F.col("last"), F.col("t") + big(F.col("taken")))
     marks = {"by_left": F.when(F.col("intra") & left_queued, F.col("t")), "by_last": ends}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mediaframe import schemas as S
 from mediaframe.functions.bits import has_bit, int_div
 from mediaframe.functions.lineage import cut_lineage
-from mediaframe.functions.ordered import by_width, first_k, in_blocks, last_at, row_index, running_sum
+from mediaframe.functions.ordered import by_width, first_k, last_at, row_index, running_sum, scan
 from mediaframe.functions.reach import reachable
 
 # ------------------------------------------------------------- classification
@@ -287,9 +287,11 @@ def capacity_chunks(items: DataFrame, keys: Sequence[str], order: Sequence[str],
     )
     alone = laid.where(F.col(width) > cap).select(*keys, F.col("__s").alias("pos"), (F.col("__s") + F.col(width)).alias("nxt"))
     starts = reachable(cut_lineage(edges.unionByName(alone)), keys).select(*keys, F.col("pos").alias("__s"), F.lit(1).cast("bigint").alias("__new"))
-    flagged = in_blocks(laid.join(starts, [*keys, "__s"], "left"), by_width("__s"))
-    numbered = running_sum(flagged, keys, ["__s"], None, F.coalesce("__new", F.lit(0).cast("bigint")), "chunk_no")
-    begun = last_at(numbered, keys, ["__s"], None, {"__b": F.when(F.col("__new") == 1, F.col("__s"))})
+    flagged = laid.join(starts, [*keys, "__s"], "left")
+    begun = scan(
+        flagged, keys, ["__s"], by_width("__s"),
+        sums={"chunk_no": (F.coalesce("__new", F.lit(0).cast("bigint")), True)}, last={"__b": (F.when(F.col("__new") == 1, F.col("__s")), False)},
+    )
     return begun.select(*items.columns, (F.col("chunk_no") - 1).alias("chunk_no"), (F.col("__s") - F.col("__b")).alias("start_col"))
 
 
