@@ -59,11 +59,15 @@ _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
 
 
+def _order_key(order: Sequence[str]) -> Column:
+    """A single order column keeps max_by on plain values, which hash-aggregate; several need a struct and a sort."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
+
+
 def _edge_value(order: Sequence[str], value: str, last: bool) -> Column:
-    key = F.struct(*[F.col(c) for c in order])
     pick = F.max_by if last else F.min_by
-    # key is NULL where the value is, so those rows are never picked
-    return pick(F.col(value), F.when(F.col(value).isNotNull(), key))
+    # the key is NULL where the value is, so those rows are never picked
+    return pick(F.col(value), F.when(F.col(value).isNotNull(), _order_key(order)))
 
 
 def scan(
@@ -78,36 +82,37 @@ def scan(
     """Any number of forward scans over the same order in one pass: one shuffle of the rows, one table of block totals.
 
     ``sums`` maps a name to (integer value, inclusive), ``last`` to (value, strict) for the last non-NULL value at or
-    before a row, ``lag`` to the value of the previous row.
+    before a row, ``lag`` to the value of the previous row. Plain values and a single order column are cheapest.
     """
     sums, last, lag = sums or {}, last or {}, lag or {}
-    held = {**{n: v for n, (v, _) in sums.items()}, **{n: v for n, (v, _) in last.items()}}
-    strict = {n: s for n, (_, s) in last.items()}
-    if lag:
-        held["__row"] = F.struct(*[v.alias(n) for n, v in lag.items()])
-        strict["__row"] = True
     base = _blocked(df, block)
-    for n, v in held.items():
+    for n, v in [*((n, v) for n, (v, _) in sums.items()), *((n, v) for n, (v, _) in last.items()), *lag.items()]:
         base = base.withColumn("__v_" + n, v)
-    total = [F.sum("__v_" + n) if n in sums else _edge_value(order, "__v_" + n, True) for n in held]
-    ends = base.groupBy(*keys, BLK).agg(*[t.alias("__t_" + n) for n, t in zip(held, total)])
-    outer, inner = _outer(keys).rowsBetween(*_BEFORE), _inner(keys, order)
-
-    def over(n: str, col: str, w: WindowSpec) -> Column:
-        return F.coalesce(F.sum(col).over(w), F.lit(0)) if n in sums else F.last(col, ignorenulls=True).over(w)
-
-    def frame(n: str) -> WindowSpec:
-        before = not sums[n][1] if n in sums else strict[n]
-        return inner.rowsBetween(*(_BEFORE if before else _UPTO))
-
-    prefix = ends.select(*keys, BLK, *[over(n, "__t_" + n, outer).alias("__p_" + n) for n in held])
-    inside = base.select("*", *[over(n, "__v_" + n, frame(n)).alias("__i_" + n) for n in held])
-    joined = inside.join(prefix, [*keys, BLK])
-    part = lambda n: (F.col("__p_" + n), F.col("__i_" + n))
-    out = [(part(n)[0] + part(n)[1]).alias(n) for n in sums] + [F.coalesce(part(n)[1], part(n)[0]).alias(n) for n in last]
+    names = [*sums, *last, *lag]
+
+    totals = [F.sum("__v_" + n) for n in sums] + [_edge_value(order, "__v_" + n, True) for n in last]
+    totals += [F.max_by("__v_" + n, _order_key(order)) for n in lag]
+    ends = base.groupBy(*keys, BLK).agg(*[t.alias("__t_" + n) for n, t in zip(names, totals)])
+    outer = _outer(keys)
+    before = outer.rowsBetween(*_BEFORE)
+    prefix = [F.coalesce(F.sum("__t_" + n).over(before), F.lit(0)) for n in sums]
+    prefix += [F.last("__t_" + n, ignorenulls=True).over(before) for n in last]
+    prefix += [F.lag("__t_" + n, 1).over(outer) for n in lag]  # blocks without rows do not exist
+    prefix = ends.select(*keys, BLK, *[p.alias("__p_" + n) for n, p in zip(names, prefix)])
+
+    inner = _inner(keys, order)
+    rows = lambda cut: inner.rowsBetween(*(_BEFORE if cut else _UPTO))
+    local = [F.coalesce(F.sum("__v_" + n).over(rows(not incl)), F.lit(0)) for n, (_, incl) in sums.items()]
+    local += [F.last("__v_" + n, ignorenulls=True).over(rows(strict)) for n, (_, strict) in last.items()]
+    local += [F.lag("__v_" + n, 1).over(inner) for n in lag]
+    local = [c.alias("__i_" + n) for n, c in zip(names, local)]
     if lag:
-        row = F.coalesce(part("__row")[1], part("__row")[0])
-        out += [row[n].alias(n) for n in lag]
+        local.append((F.row_number().over(inner) == 1).alias("__first"))
+    joined = base.select("*", *local).join(prefix, [*keys, BLK])
+
+    p, i = (lambda n: F.col("__p_" + n)), (lambda n: F.col("__i_" + n))
+    out = [(p(n) + i(n)).alias(n) for n in sums] + [F.coalesce(i(n), p(n)).alias(n) for n in last]
+    out += [F.when(F.col("__first"), p(n)).otherwise(i(n)).alias(n) for n in lag]
     return joined.select(*_kept(df), *out)
 
 

@@ -60,13 +60,14 @@ def samples_per_chunk(chunks: DataFrame, runs: DataFrame, keys: Sequence[str] =
     """Add spc to every chunk: the run it lies in, or the last run when it precedes them all."""
     keys = list(keys)
     none = lambda n: F.lit(None).cast("bigint").alias(n)
-    r = runs.select(*keys, F.col("first_chunk").alias("chunk_no"), F.lit(0).alias("side"), none("chunk_off"), "spc")
+    at = lambda c, side: (F.col(c) * 2 + side).cast("bigint").alias("at")  # noqa: E731  (a run sorts before the chunk it starts at)
+    r = runs.select(*keys, at("first_chunk", 0), none("chunk_no"), none("chunk_off"), "spc")
     # the last run also stands before chunk 1, which gives early chunks their value without a join on the file
     last = runs.groupBy(*keys).agg(F.max_by("spc", "first_chunk").alias("spc"))
-    r = r.unionByName(last.select(*keys, F.lit(0).cast("bigint").alias("chunk_no"), F.lit(-1).alias("side"), none("chunk_off"), "spc"))
-    c = chunks.select(*keys, "chunk_no", F.lit(1).alias("side"), "chunk_off", none("spc"))
-    found = last_at(r.unionByName(c), keys, ["chunk_no", "side"], by_width("chunk_no"), {"hit": F.col("spc")})
-    return found.where((F.col("side") == 1) & F.col("hit").isNotNull()).select(*keys, "chunk_no", "chunk_off", F.col("hit").alias("spc"))
+    r = r.unionByName(last.select(*keys, F.lit(-1).cast("bigint").alias("at"), none("chunk_no"), none("chunk_off"), "spc"))
+    c = chunks.select(*keys, at("chunk_no", 1), "chunk_no", "chunk_off", none("spc"))
+    found = last_at(r.unionByName(c), keys, ["at"], by_width("at"), {"hit": F.col("spc")})
+    return found.where(F.col("chunk_no").isNotNull() & F.col("hit").isNotNull()).select(*keys, "chunk_no", "chunk_off", F.col("hit").alias("spc"))
 
 
 def expand_samples(sizes: DataFrame, chunks_spc: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
@@ -74,18 +75,19 @@ def expand_samples(sizes: DataFrame, chunks_spc: DataFrame, keys: Sequence[str]
     keys = list(keys)
     placed = cut_lineage(running_sum(chunks_spc, keys, ["chunk_no"], by_width("chunk_no"), F.col("spc").cast("bigint"), "first_sample", inclusive=False))
     null = lambda n: F.lit(None).cast("bigint").alias(n)
-    c = placed.select(
-        *keys, F.col("first_sample").alias("sample_idx"), F.lit(0).alias("side"), "chunk_no",
-        F.struct("chunk_no", "chunk_off", (F.col("first_sample") + F.col("spc")).alias("stop")).alias("chunk"), null("size"),
+    # chunks without samples share their place with the next chunk and never own any, so they are left out
+    c = placed.where(F.col("spc") > 0).select(
+        *keys, (F.col("first_sample") * 2).alias("at"), "chunk_no", "chunk_off", (F.col("first_sample") + F.col("spc")).alias("stop"), null("sample_idx"), null("size")
     )
     s = sizes.select(
-        *keys, "sample_idx", F.lit(1).alias("side"), null("chunk_no"),
-        F.lit(None).cast(c.schema["chunk"].dataType).alias("chunk"), F.col("size").cast("bigint").alias("size"),
+        *keys, (F.col("sample_idx") * 2 + 1).alias("at"), null("chunk_no"), null("chunk_off"), null("stop"),
+        F.col("sample_idx").cast("bigint").alias("sample_idx"), F.col("size").cast("bigint").alias("size"),
     )
-    hit = last_at(c.unionByName(s), keys, ["sample_idx", "side", "chunk_no"], by_width("sample_idx"), {"in": F.col("chunk")})
-    hit = hit.where((F.col("side") == 1) & (F.col("sample_idx") < F.col("in.stop")))
+    found = {"in_no": F.col("chunk_no"), "in_off": F.col("chunk_off"), "in_stop": F.col("stop")}
+    hit = last_at(c.unionByName(s), keys, ["at"], by_width("at"), found)
+    hit = hit.where(F.col("sample_idx") < F.col("in_stop"))
     # each scan reads its input twice (block totals, rows), so the one in between is written once
-    flat = cut_lineage(hit.select(*keys, "sample_idx", F.col("in.chunk_no").alias("chunk_no"), F.col("in.chunk_off").alias("chunk_off"), "size"))
+    flat = cut_lineage(hit.select(*keys, "sample_idx", F.col("in_no").alias("chunk_no"), F.col("in_off").alias("chunk_off"), "size"))
     out = running_sum(flat, [*keys, "chunk_no"], ["sample_idx"], by_width("sample_idx"), F.col("size"), "before", inclusive=False)
     return out.select(*keys, "sample_idx", "chunk_no", (F.col("chunk_off") + F.col("before")).alias("off"), "size")
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.functions.bits import int_div
+from mediaframe.functions.bits import bits, int_div, lit_long
 from mediaframe.functions.ordered import first_k
 
 PIXEL_KEY = ["frame", "plane", "y", "x"]
@@ -87,12 +87,24 @@ def verdict(report: DataFrame) -> DataFrame:
     return r.withColumn("exit_status", F.when(F.col("failed"), 1).otherwise(0))
 
 
+def _rank() -> Column:
+    """Difference and place in one BIGINT, larger for a larger difference and, on ties, for an earlier place.
+
+    Rows and columns take 20 bits each, the plane 2. One number keeps the maximum on hash aggregation; a struct would
+    sort every pixel first.
+    """
+    place = F.col("plane").cast("bigint") * (1 << 40) + F.col("y").cast("bigint") * (1 << 20) + F.col("x")
+    return F.col("d").cast("bigint") * (1 << 42) + (lit_long((1 << 42) - 1) - place)
+
+
+def _unrank(rank: Column) -> list[Column]:
+    place = lit_long((1 << 42) - 1) - rank.bitwiseAND(lit_long((1 << 42) - 1))
+    return [F.shiftright(rank, 42).alias("max_d"), bits(place, 41, 40).alias("plane"), bits(place, 39, 20).alias("y"), bits(place, 19, 0).alias("x")]
+
+
 def worst_pixel(diff: DataFrame, by: Sequence[str] = ("frame",)) -> DataFrame:
     """Largest difference per group and where it is; the first in raster order wins a tie."""
-    place = F.struct("plane", "y", "x")
-    rank = F.struct(F.col("d"), -F.col("plane"), -F.col("y"), -F.col("x"))
-    r = diff.groupBy(*by).agg(F.max("d").alias("max_d"), F.max_by(place, rank).alias("at"))
-    return r.select(*by, "max_d", F.col("at.plane").alias("plane"), F.col("at.y").alias("y"), F.col("at.x").alias("x"))
+    return diff.groupBy(*by).agg(F.max(_rank()).alias("__k")).select(*by, *_unrank(F.col("__k")))
 
 
 def with_blocks(diff: DataFrame, size: int) -> DataFrame:
@@ -116,12 +128,8 @@ def drill_down(diff: DataFrame, size: int = 16, tol: int = 2) -> DataFrame:
 
 def block_errors(diff: DataFrame, size: int = 16) -> DataFrame:
     """Total error, worst difference and its pixel per block."""
-    rank = F.struct(F.col("d"), -F.col("plane"), -F.col("y"), -F.col("x"))
-    return (
-        with_blocks(diff, size)
-        .groupBy("frame", "brow", "bcol")
-        .agg(F.sum("d").alias("err"), F.max("d").alias("max_d"), F.max_by(F.struct("plane", "y", "x"), rank).alias("at"))
-    )
+    g = with_blocks(diff, size).groupBy("frame", "brow", "bcol").agg(F.sum("d").alias("err"), F.max(_rank()).alias("__k"))
+    return g.select("frame", "brow", "bcol", "err", *_unrank(F.col("__k")))
 
 
 def tracked_errors(diff: DataFrame, tracked: DataFrame, size: int = 16) -> DataFrame:

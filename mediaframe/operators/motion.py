@@ -273,18 +273,15 @@ def capacity_chunks(items: DataFrame, keys: Sequence[str], order: Sequence[str],
     covering position s + cap, so every item's successor is one as-of lookup and the real starts are a forward walk.
     """
     laid = cut_lineage(running_sum(items, keys, order, block, F.col(width).cast("bigint"), "__s", inclusive=False))
-    item = F.struct(F.col("__s").alias("start"), (F.col("__s") + F.col(width)).alias("end"))
-    spot = laid.select(*keys, F.col("__s").alias("at"), F.lit(0).alias("probe"), item.alias("item"), F.lit(None).cast("bigint").alias("owner"))
-    ask = laid.where(F.col(width) <= cap).select(
-        *keys, (F.col("__s") + cap).alias("at"), F.lit(1).alias("probe"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("item"),
-        F.col("__s").alias("owner"),
-    )
-    found = last_at(spot.unionByName(ask), keys, ["at", "probe"], by_width("at"), {"hit": F.col("item")})
+    none = lambda n: F.lit(None).cast("bigint").alias(n)
+    spot = laid.select(*keys, (F.col("__s") * 2).alias("at"), F.col("__s").alias("start"), (F.col("__s") + F.col(width)).alias("end"), none("owner"))
+    # a probe sorts behind an item starting at the same place
+    ask = laid.where(F.col(width) <= cap).select(*keys, ((F.col("__s") + cap) * 2 + 1).alias("at"), none("start"), none("end"), F.col("__s").alias("owner"))
+    hits = {"hit_start": F.col("start"), "hit_end": F.col("end")}
+    found = last_at(spot.unionByName(ask), keys, ["at"], by_width("at"), hits).where("owner is not null")
     # no item reaches past s + cap: nothing follows, and no item starts at s + cap either
     full = F.col("owner") + cap
-    edges = found.where("probe = 1").select(
-        *keys, F.col("owner").alias("pos"), F.when(F.col("hit.end") > full, F.col("hit.start")).otherwise(full).alias("nxt")
-    )
+    edges = found.select(*keys, F.col("owner").alias("pos"), F.when(F.col("hit_end") > full, F.col("hit_start")).otherwise(full).alias("nxt"))
     alone = laid.where(F.col(width) > cap).select(*keys, F.col("__s").alias("pos"), (F.col("__s") + F.col(width)).alias("nxt"))
     starts = reachable(cut_lineage(edges.unionByName(alone)), keys).select(*keys, F.col("pos").alias("__s"), F.lit(1).cast("bigint").alias("__new"))
     flagged = laid.join(starts, [*keys, "__s"], "left")

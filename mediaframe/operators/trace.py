@@ -114,16 +114,15 @@ def register_writes(words: DataFrame, heads: DataFrame) -> DataFrame:
 
     Each data word takes the header before it, so repeated and consecutive addresses need no explode.
     """
-    h = heads.select("stream_id", "dw", F.struct("dw", "w", "kind", "base", "one_reg", "complete", (F.col("w") == 0).alias("zero")).alias("h"))
-    seen = last_at(words.join(h, ["stream_id", "dw"], "left"), STREAM, ["dw"], by_width("dw"), {"head": F.col("h")})
-    hd = F.col("head")
-    data = seen.where((F.col("dw") > hd["dw"]) & hd["complete"] & hd["kind"].isin(0, 1) & ~hd["zero"])
-    k = F.col("dw") - hd["dw"] - 1
-    type0 = hd["base"] + F.when(hd["one_reg"], 0).otherwise(k * 4)
-    type1 = F.when(k == 0, bits(hd["w"], 10, 0)).otherwise(bits(hd["w"], 21, 11)) * 4
-    return data.select(
-        "stream_id", hd["dw"].alias("dw"), k.alias("ord"), F.when(hd["kind"] == 0, type0).otherwise(type1).alias("addr"), F.col("w").alias("value")
-    )
+    h = heads.select("stream_id", "dw", F.col("dw").alias("h_dw"), F.col("w").alias("h_w"), F.col("complete").alias("h_ok"))
+    carried = {"at": F.col("h_dw"), "head": F.col("h_w"), "ok": F.col("h_ok")}
+    seen = last_at(words.join(h, ["stream_id", "dw"], "left"), STREAM, ["dw"], by_width("dw"), carried)
+    head, k = F.col("head"), F.col("dw") - F.col("at") - 1
+    kind = F.shiftright(head, 30)
+    data = seen.where((k >= 0) & F.col("ok") & kind.isin(0, 1) & (head != 0))
+    type0 = bits(head, 12, 0) * 4 + F.when(bits(head, 15, 15) == 1, 0).otherwise(k * 4)
+    type1 = F.when(k == 0, bits(head, 10, 0)).otherwise(bits(head, 21, 11)) * 4
+    return data.select("stream_id", F.col("at").alias("dw"), k.alias("ord"), F.when(kind == 0, type0).otherwise(type1).alias("addr"), F.col("w").alias("value"))
 
 
 def named_writes(writes: DataFrame, dim: DataFrame) -> DataFrame:
@@ -183,7 +182,7 @@ def empty_streams(streams: DataFrame, words: DataFrame) -> DataFrame:
 
 def last_state(writes: DataFrame) -> DataFrame:
     """Last value of every register per stream."""
-    return writes.groupBy("stream_id", "addr").agg(F.max_by("value", F.struct("dw", "ord")).alias("value"), F.count("*").alias("writes"))
+    return writes.groupBy("stream_id", "addr").agg(F.max_by("value", F.col("dw") * 32768 + F.col("ord")).alias("value"), F.count("*").alias("writes"))
 
 
 def distinct_registers(writes: DataFrame) -> DataFrame:

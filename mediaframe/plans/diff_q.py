@@ -148,7 +148,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     t = D.tracked_errors(_diff(spark, sf), fx.block_grid(spark, sf), size=4)
-    return t.select("frame", "brow", "bcol", "track_no", "class", "err", "max_d", "at.plane", "at.y", "at.x")
+    return t.select("frame", "brow", "bcol", "track_no", "class", "err", "max_d", "plane", "y", "x")
 
 
 @query(

@@ -138,15 +138,14 @@ def _(spark, sf):
 
 @query(
     "motion_first_per_phase",
-    """WITH c AS (SELECT *, (mv_y & 3)*4+(mv_x & 3) AS cls FROM mb WHERE frame=1 AND ref=0 AND file_id=(SELECT min(file_id) FROM mb))
+    """WITH c AS (SELECT *, (mv_y & 3)*4+(mv_x & 3) AS cls FROM mb WHERE frame>=1 AND ref=0)
        SELECT k.cls, f.n, f.file_id, f.frame, f.seq, f.mb_x, f.mb_y, f.mv_x, f.mv_y, f.n IS NOT NULL AS found FROM range(16) k(cls) LEFT JOIN
        (SELECT *, count(*) OVER (PARTITION BY cls) AS n, row_number() OVER (PARTITION BY cls ORDER BY file_id, frame, seq) AS r FROM c) f ON f.cls=k.cls AND f.r=1""",
     ["mb"],
 )
 def _(spark, sf):
     mb = fx.macroblocks(spark, sf)
-    first_file = mb.agg(F.min("file_id").alias("file_id"))
-    picked = mb.where((F.col("frame") == 1) & (F.col("ref") == 0)).join(first_file, "file_id", "left_semi")
+    picked = mb.where((F.col("frame") >= 1) & (F.col("ref") == 0))
     cls = (F.col("mv_y").bitwiseAND(F.lit(3)) * 4 + F.col("mv_x").bitwiseAND(F.lit(3))).cast("bigint")
     return M.first_per_class(picked, cls, KEY, ["mb_x", "mb_y", "mv_x", "mv_y"], spark.range(16).toDF("cls"))
 

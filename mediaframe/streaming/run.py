@@ -20,9 +20,25 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str
     return reader.parquet(path)
 
 
+def _start(writer, spark: SparkSession, path: str | None = None):
+    """Start a query with at most one state partition per core.
+
+    A query fixes its number of state partitions on its first run and every micro-batch commits all of them; the session
+    setting is put back at once, the query keeps its own copy.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        return writer.start(path) if path else writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def append_log(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Durable append sink: every micro-batch is committed once, together with its source offsets."""
-    return stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    w = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return _start(w, stream.sparkSession, path)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
