@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mediaframe import schemas as S
 from mediaframe.functions.bits import has_bit, int_div
@@ -257,10 +258,11 @@ def nnz_sum(nnz: Column) -> Column:
 def reference_groups(req: DataFrame, batch: Sequence[str], order: str, cap: int = S.REFERENCE_MAX) -> DataFrame:
     """Requests per batch, reference and phase family; references beyond the cap (by first use) are flagged, not dropped."""
     fam = req.groupBy(*batch, "ref", "family").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    refs = fam.groupBy(*batch, "ref").agg(F.min("first").alias("ref_first"))
-    # a cap-sized table per batch tells which references fit
-    kept = first_k(refs, list(batch), ["ref_first", "ref"], cap, "ref_no").select(*batch, "ref", "ref_no")
-    return fam.join(kept, [*batch, "ref"], "left").withColumn("within_cap", F.col("ref_no").isNotNull())
+    # a reference number is one signed byte, so a batch has at most 256 of them after the aggregation
+    used = fam.withColumn("ref_first", F.min("first").over(Window.partitionBy(*batch, "ref")))
+    no = F.dense_rank().over(Window.partitionBy(*batch).orderBy("ref_first", "ref")) - 1
+    r = used.withColumn("ref_no", no).drop("ref_first").withColumn("within_cap", F.col("ref_no") < cap)
+    return r.withColumn("ref_no", F.when(F.col("within_cap"), F.col("ref_no")))
 
 
 # ------------------------------------------------------------- packing
