@@ -44,10 +44,11 @@ def align_packed(live: DataFrame, ref: DataFrame) -> DataFrame:
 
 
 def missing_keys(live: DataFrame, ref: DataFrame, keys: Sequence[str] = PIXEL_KEY) -> DataFrame:
-    """Keys only one version has, with the side that lacks them."""
-    a = live.select(*keys).join(ref.select(*keys), list(keys), "left_anti").withColumn("missing_in", F.lit("ref"))
-    b = ref.select(*keys).join(live.select(*keys), list(keys), "left_anti").withColumn("missing_in", F.lit("live"))
-    return a.unionByName(b)
+    """Keys only one version has, with the side that lacks them; one full join finds both directions."""
+    a = live.select(*keys, F.lit(True).alias("__l"))
+    b = ref.select(*keys, F.lit(True).alias("__r"))
+    side = F.when(F.col("__l").isNull(), "live").when(F.col("__r").isNull(), "ref")
+    return a.join(b, list(keys), "full_outer").select(*keys, side.alias("missing_in")).where("missing_in is not null")
 
 
 def frame_counts(live: DataFrame, ref: DataFrame) -> DataFrame:
@@ -187,11 +188,15 @@ def mismatch_by_class(diff: DataFrame, grid: DataFrame, phase_class: Column, cel
 
 def coded_split(diff: DataFrame, coded: DataFrame, size: int = 4) -> DataFrame:
     """Wrong and all pixels by coded flag; wrong uncoded pixels by position modulo 8."""
-    px = with_blocks(diff, size).withColumn("bad", F.col("d") > 0).withColumn("y7", F.col("y") % 8).withColumn("x7", F.col("x") % 8)
-    small = px.groupBy("frame", "brow", "bcol", "y7", "x7").agg(F.count_if("bad").alias("nb"), F.count("*").alias("n"))
+    # one small code per pixel, one array of size * size codes per block: the flag join then moves blocks, not pixels
+    code = (F.col("y") % 8) * 16 + (F.col("x") % 8) * 2 + F.when(F.col("d") > 0, 1).otherwise(0)
+    blocks = with_blocks(diff, size).groupBy("frame", "brow", "bcol").agg(F.collect_list(code.cast("int")).alias("codes"))
     flags = coded.select("frame", "brow", "bcol").withColumn("coded", F.lit(True))
-    j = small.join(flags, ["frame", "brow", "bcol"], "left").withColumn("coded", F.coalesce("coded", F.lit(False)))
-    pre = j.groupBy("coded", "y7", "x7").agg(F.sum("nb").alias("nb"), F.sum("n").alias("n"))
+    j = blocks.join(flags, ["frame", "brow", "bcol"], "left")
+    px = j.select(F.coalesce("coded", F.lit(False)).alias("coded"), F.explode("codes").alias("c"))
+    pre = px.groupBy("coded", F.shiftright("c", 4).alias("y7"), (F.shiftright("c", 1) % 8).alias("x7")).agg(
+        F.count_if(F.col("c") % 2 == 1).alias("nb"), F.count("*").alias("n")
+    )
     uncoded_bad = F.sum(F.when(~F.col("coded"), F.col("nb")).otherwise(0))
     return pre.groupingSets([["coded"], ["y7"], ["x7"]], "coded", "y7", "x7").agg(
         F.grouping_id().alias("level"),
@@ -301,7 +306,9 @@ def reversed_rgb(before: Column, after: Column) -> Column:
 
 def with_evidence(report: DataFrame, taken: DataFrame) -> DataFrame:
     """Verdict that also fails when nothing was exercised; ``taken`` has a boolean column taken."""
-    v = verdict(report)
-    n = taken.agg(F.count_if("taken").alias("n_taken"))
-    j = v.crossJoin(n)  # two one-row tables
-    return j.withColumn("ok", ~F.col("failed") & (F.col("n_taken") > 0))
+    none = F.lit(None).cast("boolean")
+    rows = report.select("significant", none.alias("taken"), F.lit(1).alias("frame"))
+    both = rows.unionByName(taken.select(none.alias("significant"), "taken", F.lit(None).cast("int").alias("frame")))
+    r = both.agg(F.coalesce(F.bool_or("significant"), F.lit(False)).alias("failed"), F.count("frame").alias("frames"), F.count_if("taken").alias("n_taken"))
+    r = r.withColumn("exit_status", F.when(F.col("failed"), 1).otherwise(0))
+    return r.withColumn("ok", ~F.col("failed") & (F.col("n_taken") > 0))
