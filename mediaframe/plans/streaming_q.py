@@ -27,7 +27,7 @@ EVENTS = T.StructType(
 PICTURE = ["file_id", "frame"]
 
 # the flush marks of every block, then the walk over batch starts
-BATCHES = """WITH RECURSIVE q0 AS (SELECT file_id, frame, seq, mb_x, mb_y, mb_type&7<>0 AS intra, reason IS NULL AS taken, mb_x=15 AND mb_y=11 AS last FROM outc),
+MARKS = """WITH RECURSIVE q0 AS (SELECT file_id, {frame} AS frame, seq, mb_x, {row} AS mb_y, mb_type&7<>0 AS intra, reason IS NULL AS taken, mb_x=15 AND {row}=11 AS last FROM outc),
   q1 AS (SELECT *, (sum(CASE WHEN taken THEN 1 ELSE 0 END) OVER w)::BIGINT-CASE WHEN taken THEN 1 ELSE 0 END AS t, lag(taken) OVER w AS pt, lag(mb_x) OVER w AS px, lag(mb_y) OVER w AS py FROM q0
     WINDOW w AS (PARTITION BY file_id, frame ORDER BY seq)),
   q2 AS (SELECT *, CASE WHEN intra AND pt AND px=mb_x-1 AND py=mb_y THEN t END AS cl, CASE WHEN last THEN t+CASE WHEN taken THEN 1 ELSE 0 END END AS ce FROM q1),
@@ -36,6 +36,9 @@ BATCHES = """WITH RECURSIVE q0 AS (SELECT file_id, frame, seq, mb_x, mb_y, mb_ty
   q4 AS MATERIALIZED (SELECT * FROM q3 WHERE taken),
   st AS (SELECT file_id, frame, t, nxt, 0::BIGINT AS batch_id FROM q4 WHERE t=0 UNION ALL SELECT q4.file_id, q4.frame, q4.t, q4.nxt, st.batch_id+1 FROM st JOIN q4 ON q4.file_id=st.file_id AND q4.frame=st.frame AND q4.t=st.nxt),
   fb AS (SELECT q4.file_id, q4.frame, seq, batch_id FROM q4 ASOF JOIN st ON q4.file_id=st.file_id AND q4.frame=st.frame AND q4.t>=st.t)"""
+BATCHES = MARKS.format(frame="frame", row="mb_y")
+# the same blocks cut into whole pictures of 12 rows, which bounds the streaming state
+PICTURES = MARKS.format(frame="frame+30*(seq//192)", row="mb_y%12")
 
 
 def _blocks(spark, sf):
@@ -132,9 +135,10 @@ def _(spark, sf):
     return R.drain(S.reorder(_staged(spark, frames), depth=3))
 
 
-@query("stream_flush_batches", BATCHES + " SELECT file_id, frame, seq, batch_id FROM fb", ["outc"])
+@query("stream_flush_batches", PICTURES + " SELECT file_id, frame, seq, batch_id FROM fb", ["outc"])
 def _(spark, sf):
-    mb = _blocks(spark, sf).withColumn("last", _is_last())
+    mb = _blocks(spark, sf).withColumn("frame", F.col("frame") + 30 * int_div(F.col("seq"), fx.MB_WIDTH * fx.MB_HEIGHT))
+    mb = mb.withColumn("mb_y", F.col("mb_y") % fx.MB_HEIGHT).withColumn("last", _is_last())
     tail = mb.groupBy(*PICTURE).agg(F.max("seq").alias("seq")).withColumn("end", F.lit(True))
     rows = mb.join(tail, [*PICTURE, "seq"], "left").withColumn("end", F.coalesce("end", F.lit(False)))
     return R.drain(S.flush_batches(_staged(spark, rows), queue_max=64))
@@ -152,7 +156,7 @@ def _(spark, sf):
     ["ctr"],
 )
 def _(spark, sf):
-    return R.drain(S.counter_watch(_staged(spark, fx.counters(spark, sf).drop("ts")), max_polls=8))
+    return R.counter_watch(_staged(spark, fx.counters(spark, sf).drop("ts")), max_polls=8)
 
 
 @query(

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaframe.functions.lineage import work_dir
-from mediaframe.functions.ordered import by_width
-from mediaframe.operators.trace import change_points
+from mediaframe.functions.lineage import cut_lineage, work_dir
+from mediaframe.functions.ordered import by_width, in_blocks, lag_rows, last_at
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*", files_per_batch: int | None = None) -> DataFrame:
@@ -69,27 +68,42 @@ def first_matches(stream: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
-def counter_changes(polls: DataFrame) -> DataFrame:
-    """Online change points of counters (run, f, v) without keyed Python state.
+def counter_watch(polls: DataFrame, max_polls: int = 20_000_000) -> DataFrame:
+    """Online change points of counters (run, f, v), f numbering the polls of a run without gaps.
 
-    Each micro-batch joins the last poll of every run, kept as a table beside the output, and runs the blocked batch
-    operator, so a run with most of the polls is still spread out. A repeated micro-batch overwrites its own files.
+    Emits a row of kind 'change' where the value differs from the poll before, and one of kind 'timeout' when a value
+    has stood for max_polls polls (a bounded wait). No keyed Python state: each micro-batch joins the last poll of every
+    run, kept as a table beside the output, and runs the blocked scans, so a run with most of the polls is still spread
+    out. A repeated micro-batch overwrites its own files.
     """
     spark = polls.sparkSession
-    base = work_dir(spark, "changes")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("run", "f", "v", "prev")])
+    base = work_dir(spark, "watch")
+    f, v = F.col("f"), F.col("v")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("run", "f", "v")
+        rows = batch.select("run", "f", "v", F.lit(None).cast("bigint").alias("since"))
         if batch_id > 0:
-            rows = rows.unionByName(spark.read.schema("run bigint, f bigint, v bigint").parquet(f"{base}/last/batch={batch_id - 1}"))
-        change_points(rows, ["run"], ["f"], by_width("f"), "v").write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-        last = rows.groupBy("run").agg(F.max("f").alias("f"), F.max_by("v", "f").alias("v"))
+            rows = rows.unionByName(spark.read.schema("run bigint, f bigint, v bigint, since bigint").parquet(f"{base}/last/batch={batch_id - 1}"))
+        seen = lag_rows(in_blocks(rows, by_width("f")), ["run"], ["f"], None, {"prev": v})
+        old, changed = F.col("since").isNotNull(), F.col("prev") != v
+        # the poll a value has stood since: its change, or the one before the first poll of the run
+        mark = F.when(old, F.col("since")).when(F.col("prev").isNull(), f - 1).when(changed, f)
+        seen = cut_lineage(last_at(seen, ["run"], ["f"], None, {"stood": mark}))
+        kind = F.when(changed, "change").when(f - F.col("stood") == max_polls, "timeout")
+        out = seen.where(~old).select("run", "f", "v", "prev", kind.alias("kind")).where("kind is not null")
+        out.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        last = seen.groupBy("run").agg(F.max("f").alias("f"), F.max_by("v", "f").alias("v"), F.max_by("stood", "f").alias("since"))
         last.write.mode("overwrite").parquet(f"{base}/last/batch={batch_id}")
 
     for_each_batch(polls, step, f"{base}/checkpoint").awaitTermination()
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("run", "f", "v", "prev")] + [T.StructField("kind", T.StringType())])
     return spark.read.schema(schema).parquet(f"{base}/out").select(*schema.names)
 
 
+def counter_changes(polls: DataFrame) -> DataFrame:
+    """The change rows of ``counter_watch``."""
+    return counter_watch(polls).where("kind = 'change'").drop("kind")
+
+
 def for_each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str):
     return stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,9 +1,10 @@
 """Stateful streaming operators.
 
 State is keyed as finely as the semantics allow: reordering by (stream, epoch), batching by
-(file, picture), change detection by counter. A picture or an epoch ends with its last row, which clears
+(file, picture). A picture or an epoch is bounded by its format and ends with its last row, which clears
 the key, so nothing outlives its frame. Rows of one key are ordered inside a micro-batch by the
-processor itself; micro-batches must follow decode order.
+processor itself; micro-batches must follow decode order. Counters, whose keys are not bounded, are
+watched by ``run.counter_watch`` instead.
 """
 
 from __future__ import annotations
@@ -122,43 +123,6 @@ def flush_batches(mb: DataFrame, queue_max: int = S.QUEUE_MAX) -> DataFrame:
     return _with_state(mb, ["file_id", "frame"], FlushBatches(queue_max), BATCHED)
 
 
-class CounterChanges(StatefulProcessor):
-    """Emit a row when a polled counter differs from its last value, or when it stayed silent for too many polls."""
-
-    def __init__(self, max_polls: int) -> None:
-        self.max_polls = max_polls
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("v", T.LongType()), T.StructField("polls", T.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, polls = self.last.get() if self.last.exists() else (None, 0)
-        out = []
-        for r in _one_frame(rows, ["f"]).itertuples():
-            v = int(r.v)
-            if last is None or v == last:
-                polls += 1
-                if polls == self.max_polls:
-                    out.append((*key, int(r.f), v, last, "timeout"))
-            else:
-                out.append((*key, int(r.f), v, last, "change"))
-                polls = 0
-            last = v
-        self.last.update((last, polls))
-        yield pd.DataFrame(out, columns=["run", "f", "v", "prev", "kind"])
-
-    def close(self) -> None:
-        pass
-
-
-CHANGES = T.StructType([T.StructField(n, T.LongType()) for n in ("run", "f", "v", "prev")] + [T.StructField("kind", T.StringType())])
-
-
-def counter_watch(polls: DataFrame, max_polls: int = 20_000_000) -> DataFrame:
-    """run, f, v -> changes, and one timeout row per silence of max_polls polls (a bounded wait)."""
-    return _with_state(polls, ["run"], CounterChanges(max_polls), CHANGES)
-
-
 def late_patch(items: DataFrame, late: DataFrame, item_keys: list[str], delay: str = "10 minutes", within: str = "1 hour") -> DataFrame:
     """Stream-stream join of placeholders with their later results; both sides carry ts and forget old rows."""
     a = items.withWatermark("ts", delay).alias("a")

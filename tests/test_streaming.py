@@ -44,7 +44,7 @@ def test_counter_changes_across_batches(spark):
     parts = [spark.createDataFrame([x for x in rows if x[1] in span], "run bigint, f bigint, v bigint") for span in (range(0, 3), range(3, 7), range(7, 12))]
     want = {(r, f, vals[f] + r, vals[f - 1] + r) for r in (0, 1) for f in range(1, 12) if vals[f] != vals[f - 1]}
     assert {tuple(x) for x in R.counter_changes(staged(spark, parts)).select("run", "f", "v", "prev").collect()} == want
-    seen = R.drain(S.counter_watch(staged(spark, parts), max_polls=4)).collect()
+    seen = R.counter_watch(staged(spark, parts), max_polls=4).collect()
     assert {(x.run, x.f, x.v, x.prev) for x in seen if x.kind == "change"} == want
     assert {(x.run, x.f) for x in seen if x.kind == "timeout"} == {(0, 10), (1, 10)}
 
