@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediaframe.functions.bits import clip
+from mediaframe.functions.bits import clip, int_div
 from mediaframe.functions.ordered import by_width
 from mediaframe.operators import blocks as B
 from mediaframe.plans import fixtures as fx
@@ -159,8 +159,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     px = fx.pixel_version(spark, sf, "ref").drop("plane")
-    from mediaframe.functions.bits import int_div
-
     return B.bilinear(px, ["frame"], F.col("frame") % 8, int_div(F.col("frame"), 8) % 8).drop("v")
 
 
@@ -204,7 +202,7 @@ EDGES = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 15+l_partkey%
   list_transform(range(4), lambda r: list_transform(range(6), lambda k: (l_partkey*(k+1)+l_suppkey*r)%24+100)) AS win FROM lineitem)"""
 
 
-def _edges(spark, sf):
+def edge_rows(spark, sf):
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     rows = F.array(*[F.array(*[((p * (k + 1) + s * r) % 24 + 100).cast("int") for k in range(6)]) for r in range(4)])
     tc = (p % 5 - 1).cast("int")
@@ -225,7 +223,7 @@ SMOOTH = """list_transform(win, lambda w: CASE WHEN tc>=0 AND abs(w[3]-w[4])<alp
     f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(flatten({SMOOTH}), ',') AS pixels FROM {EDGES}",
 )
 def _(spark, sf):
-    e = _edges(spark, sf)
+    e = edge_rows(spark, sf)
     out = F.transform("window", lambda w: B.smooth_edge(w, F.col("alpha"), F.col("beta"), F.get("tc0", F.lit(0))))
     return e.select(*fx.LINE_ORDER, text(F.flatten(out)).alias("pixels"))
 
@@ -236,7 +234,7 @@ def _(spark, sf):
         AND least(tc+2,greatest(-tc-2,((w[4]-w[3])*4+(w[2]-w[5])+4)>>3))<>0))>0 GROUP BY l_suppkey""",
 )
 def _(spark, sf):
-    return B.first_candidates(_edges(spark, sf), ["l_suppkey"], "l_orderkey")
+    return B.first_candidates(edge_rows(spark, sf), ["l_suppkey"], "l_orderkey")
 
 
 YUV = "(SELECT frame, p, ref AS y, live AS u, (ref*3+live)%256 AS v FROM pix)"

@@ -9,6 +9,7 @@ from mediaframe.functions.lineage import work_dir
 from mediaframe.operators import blocks as B
 from mediaframe.operators import diff as D
 from mediaframe.plans import fixtures as fx
+from mediaframe.plans.blocks_q import edge_rows
 from mediaframe.plans.diff_q import FRAME_REPORT
 from mediaframe.plans.registry import query
 from mediaframe.schemas import EDGE, MB_INFO
@@ -140,10 +141,8 @@ def _(spark, sf):
 
 @query("source_edge_table", "SELECT 15+l_partkey%30 AS alpha, count(*) AS n, sum(l_partkey%5-1)::BIGINT AS tc FROM lineitem GROUP BY 1")
 def _(spark, sf):
-    from mediaframe.plans.blocks_q import _edges
-
     path = work_dir(spark, "edges")
-    K.write_table(_edges(spark, sf), path, EDGE)
+    K.write_table(edge_rows(spark, sf), path, EDGE)
     return K.read_table(spark, path, EDGE).groupBy("alpha").agg(F.count("*").alias("n"), F.sum(F.get("tc0", F.lit(0))).alias("tc"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from mediaframe.operators import udf as U
 from mediaframe.operators.blocks import smooth_edge
 from mediaframe.plans import fixtures as fx
+from mediaframe.plans.blocks_q import edge_rows
 from mediaframe.plans.container_q import UNITS
 from mediaframe.plans.registry import query
 from mediaframe.plans.trace_q import HEADS
@@ -62,9 +63,7 @@ def _(spark, sf):
        SELECT *, 21+l_partkey%30+l_partkey%10 AS t, (l_partkey*2)%24+100 AS q FROM lineitem)""",
 )
 def _(spark, sf):
-    from mediaframe.plans.blocks_q import _edges
-
-    e = _edges(spark, sf)
+    e = edge_rows(spark, sf)
     # default path: the filter itself; a negative strength leaves the pixel as it is
     default = F.get(smooth_edge(F.get("window", F.lit(0)), F.col("alpha"), F.col("beta"), F.lit(-1)), F.lit(0))
     return U.with_fallback(e, "result", flat_edges, ["alpha", "beta"], default).select(*fx.LINE_ORDER, "result", "handled")
