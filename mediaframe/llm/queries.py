@@ -47,10 +47,11 @@ bw AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 m AS (SELECT DISTINCT m FROM bw),
-pos AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-hit AS (
-  SELECT p.r, p.i, m.m, bw.item_id FROM pos p, m JOIN bw ON bw.m = m.m AND bw.win = array_to_string(p.w[p.i : p.i + m.m - 1], ' ')
-  WHERE p.i + m.m - 1 <= len(p.w)),
+pos AS (
+  SELECT r, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS win,
+    unnest(range(1, len(w) - m + 2)) AS i
+  FROM d, m WHERE len(w) >= m),
+hit AS (SELECT p.r, p.i, p.m, bw.item_id FROM pos p JOIN bw ON bw.m = p.m AND bw.win = p.win),
 hw AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + m)) AS j FROM hit) GROUP BY r),
 it AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hit WHERE item_id IS NOT NULL GROUP BY r)
 SELECT doc_id, len(d.w)::BIGINT AS n_words, coalesce(hw.n, 0)::BIGINT AS n_hit, coalesce(len(it.ids), 0)::BIGINT AS n_items,
@@ -84,7 +85,8 @@ s AS (
       OR (n <= 20 AND boiler) OR (n >= 12 AND stops = 0)), 0) AS lost
   FROM j GROUP BY r),
 t AS (
-  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+  SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c
+  FROM (SELECT r, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS win, unnest(range(1, len(w) - 1)) AS i FROM w)),
 rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM t WHERE c > 1) GROUP BY r),
 f AS (
   SELECT doc_id, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
