@@ -201,7 +201,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without_spans(t or "", list(s)) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    cleaned = F.when(F.size(f"{hits}.spans") > 0, cut(column(text), F.col(f"{hits}.spans"))).otherwise(column(text))
+    cleaned = F.when(F.size(f"{hits}.spans") > 0, cut(F.when(F.size(f"{hits}.spans") > 0, column(text)), F.col(f"{hits}.spans"))).otherwise(column(text))
     return found.withColumn(text, cleaned).drop(hits)
 
 

@@ -140,7 +140,7 @@ def keep_good(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max
         def strip(texts: pd.Series) -> pd.Series:
             return texts.map(clean_text)
 
-        kept = kept.withColumn(text, F.when(F.col("__q.lost_words") > 0, strip(column(text))).otherwise(column(text)))
+        kept = kept.withColumn(text, F.when(F.col("__q.lost_words") > 0, strip(F.when(F.col("__q.lost_words") > 0, column(text)))).otherwise(column(text)))
     return kept.drop("__q")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaframe.llm import decontaminate, language, quality, simhash
+from mediaframe.llm import decontaminate, language, mixing, quality, simhash
 from mediaframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
@@ -97,3 +102,37 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_words <= {quality.MAX_LOST} * n_words AS kept
 FROM f
 """
+
+_GOLDEN = f"{mixing.GOLDEN}::HUGEINT"
+_B = mixing.BLOCK_WORDS
+_MOST = mixing.MOST
+
+SQL["op5_mixing"] = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(len({_TOKENS.format(t="text")}), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key
+  FROM documents),
+src AS (
+  SELECT *, (ARRAY[5, 2, 1])[1 + no % 3]::DOUBLE AS w
+  FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS no FROM d GROUP BY source)),
+-- sources in the order in which they reach their cap; the first that does not fill it sets the level for itself and the rest
+lv AS (
+  SELECT *, {_MOST} * source_size / w AS ratio,
+    (sum(source_size) OVER () - coalesce(sum({_MOST} * source_size) OVER (ORDER BY {_MOST} * source_size / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY {_MOST} * source_size / w, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit
+  FROM src),
+level AS (SELECT coalesce(arg_min(unit, (ratio, no)) FILTER (unit <= ratio), max(ratio)) AS u FROM lv),
+tg AS (SELECT source, no, source_size, least(w * u, {_MOST} * source_size)::DOUBLE AS target, ceil(source_size / {_B})::BIGINT AS blocks FROM lv, level),
+total AS (SELECT sum(target) AS t, ceil(floor(sum(target)) / {_B})::BIGINT AS slots FROM tg),
+bound AS (SELECT no, blocks, sum(target) OVER (ORDER BY no) / t * 18446744073709551616.0 AS hi, coalesce(sum(target) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / t * 18446744073709551616.0 AS lo FROM tg, total),
+slot AS (SELECT i, (i::HUGEINT * {_GOLDEN}) % 18446744073709551616::HUGEINT AS p FROM (SELECT unnest(range(slots)) AS i FROM total)),
+ranked AS (SELECT b.no, b.blocks, row_number() OVER (PARTITION BY b.no ORDER BY i) - 1 AS rank FROM slot s JOIN bound b ON s.p >= b.lo AND s.p < b.hi),
+used AS (SELECT no, rank % blocks AS block, count(*) AS n FROM ranked WHERE rank // blocks < {_MOST} GROUP BY ALL),
+placed AS (
+  SELECT d.*, tg.no, tg.source_size, tg.target, coalesce(sum(size) OVER (PARTITION BY no ORDER BY key, doc_id NULLS FIRST, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM d JOIN tg ON d.source IS NOT DISTINCT FROM tg.source),
+piece AS (SELECT r, no, off, size, unnest(range(off // {_B}, (off + size - 1) // {_B} + 1)) AS block FROM placed WHERE size > 0),
+tk AS (
+  SELECT r, sum((least((p.block + 1) * {_B}, off + size) - greatest(p.block * {_B}, off)) * n)::BIGINT AS taken
+  FROM piece p JOIN used u ON u.no = p.no AND u.block = p.block GROUP BY r)
+SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN tk USING (r)
+"""
