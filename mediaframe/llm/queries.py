@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaframe.llm import decontaminate, language, mixing, quality, simhash
+from mediaframe.llm import chat, decontaminate, language, mixing, quality, simhash, tokens
 from mediaframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +28,26 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = r"\### Assistant: </turn> ok"
+    fixed = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return chat.report(turns.unionByName(fixed))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
@@ -136,3 +151,18 @@ tk AS (
   FROM piece p JOIN used u ON u.no = p.no AND u.block = p.block GROUP BY r)
 SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN tk USING (r)
 """
+
+_MARKS = "|".join(chat.CONTROLS)
+_MARKUP = sum(map(len, chat.CONTROLS)) + 1
+
+SQL["op7_chat"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({_MARKUP} + length(role) + length(text) + len(regexp_extract_all(role, '\\\\|{_MARKS}')) + len(regexp_extract_all(text, '\\\\|{_MARKS}')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -35,6 +35,7 @@ from mediaframe.llm.common import column, utf8
 LIMIT = 1024
 CHUNK_CHARS = 8192
 KEPT_PIECES = 500_000
+KEPT_STATES = 300_000
 # fixed value: the splitting pattern of this tokenizer
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -114,6 +115,9 @@ class PieceMachine:
         return done
 
     def count(self, piece: bytes) -> int:
+        if len(self.states) > KEPT_STATES:  # begin the table anew; states come back as they are reached
+            self.start = self._state(((0, b"", 0),), fresh=True)
+            self._pair.clear()
         state, n = self.start, 0
         for b in piece:
             state, k = self.step(state, b)
