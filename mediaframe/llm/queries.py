@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaframe.llm import chat, decontaminate, language, mixing, quality, simhash, tokens
+from mediaframe.llm import chat, decontaminate, language, mixing, quality, simhash, tokens, warc
 from mediaframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -166,3 +171,12 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum({_MARKUP} + length(role) + length(text) + len(regexp_extract_all(role, '\\\\|{_MARKS}')) + len(regexp_extract_all(text, '\\\\|{_MARKS}')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+SQL["op6_warc"] = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+g AS (SELECT *, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY payload_digest) END AS rep FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN coalesce(page_id <> rep, rep IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN coalesce(page_id <> rep, rep IS NOT NULL) THEN rep END AS refers_to
+FROM g
+"""
