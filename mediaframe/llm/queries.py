@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaframe.llm import chat, decontaminate, html, language, mixing, quality, simhash, tokens, warc
+from mediaframe.llm import chat, decontaminate, html, language, licenses, mixing, quality, simhash, tokens, warc
 from mediaframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(turns.unionByName(fixed))
 
 
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
@@ -185,3 +190,18 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN coalesce(page_id <> rep
   CASE WHEN coalesce(page_id <> rep, rep IS NOT NULL) THEN rep END AS refers_to
 FROM g
 """
+
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', {licenses.template_bigrams(body)!r})" for i, (name, body) in enumerate(licenses.TEMPLATES))
+
+SQL["op8_licenses"] = f"""
+WITH tpl(rank, licence, b) AS (VALUES {_TEMPLATE_ROWS}),
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+u AS (SELECT r, unnest(list_distinct(string_split(text, chr(10)) || regexp_split_to_array(text, '\n[ \t]*\n') || [text])) AS unit FROM d WHERE text IS NOT NULL),
+w AS (SELECT r, unit, string_split(trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u),
+g AS (SELECT r, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w),
+s AS (SELECT r, unit, rank, licence, 2.0 * len(list_intersect(g.b, tpl.b)) / (len(g.b) + len(tpl.b)) AS dice FROM g JOIN tpl ON len(g.b) BETWEEN len(tpl.b) * 0.66 AND len(tpl.b) * 1.51),
+best AS (SELECT r, unit, max_by(licence, (dice, -rank)) AS licence, max(dice) AS dice, max_by(-rank, (dice, -rank)) AS rk FROM s WHERE dice >= {licenses.DICE} GROUP BY r, unit),
+a AS (SELECT r, array_to_string(list_sort(list(DISTINCT licence)), ',') AS licences, count(*) AS n, max_by(licence, (dice, rk)) AS best, max(dice) AS dice FROM best GROUP BY r)
+SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n, 0)::BIGINT AS n_units, best AS best_licence, coalesce(dice, 0)::DOUBLE AS best_dice
+FROM d LEFT JOIN a USING (r)
+"""
