@@ -172,11 +172,12 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     placed, sources = _placed(docs, doc_id, source, text, weights, most, block_words)
     same = Window.partitionBy("__id", "__h").orderBy("off")
     parts = placed.select("no", "off", "size", F.col("doc_id").alias("__id"), F.col("h").alias("__h")).where("size > 0").withColumn("__dup", F.row_number().over(same))
-    parts = parts.join(_taken(placed, sources, most, block_words), ["no", "off"]).select("__id", "__h", "__dup", "size", "epoch", "words")
+    parts = parts.join(_taken(placed, sources, most, block_words), ["no", "off"])
+    parts = parts.select("__id", "__h", "__dup", F.col("size").alias("__size"), F.col("epoch").alias("__epoch"), F.col("words").alias("__words"))
     rows = docs.select("*", column(doc_id).alias("__i"), F.xxhash64(column(text)).alias("__g"))
     rows = rows.withColumn("__d", F.row_number().over(Window.partitionBy("__i", "__g").orderBy(F.lit(1))))
     out = rows.join(parts, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__g") == F.col("__h")) & (F.col("__d") == F.col("__dup")))
-    part = F.col("words") < F.col("size")
-    cut = F.when(part, _head(F.when(part, column(text)), F.when(part, F.col("words")))).otherwise(column(text))
+    part = F.col("__words") < F.col("__size")
+    cut = F.when(part, _head(F.when(part, column(text)), F.when(part, F.col("__words")))).otherwise(column(text))
     kept = [cut.alias(c) if c == text else column(c) for c in docs.columns]
-    return out.select(*kept, F.col("epoch").alias("mix_epoch"), F.col("words").alias("mix_words"))
+    return out.select(*kept, F.col("__epoch").alias("mix_epoch"), F.col("__words").alias("mix_words"))
