@@ -38,8 +38,13 @@ def in_blocks(df: DataFrame, block: Column) -> DataFrame:
     return df.withColumn(BLK, block)
 
 
-def _blocked(df: DataFrame, block: Column | None) -> DataFrame:
-    return df if BLK in df.columns else df.withColumn(BLK, block)
+def _blocked(df: DataFrame, block: Column | None, keys: Sequence[str]) -> DataFrame:
+    """df with its block number; a NULL key would be lost in the joins below, so it fails instead."""
+    if BLK in df.columns:
+        return df
+    for k in keys:
+        block = F.when(F.col(k).isNotNull(), block).otherwise(F.raise_error(F.lit(f"NULL in the key {k} of an ordered scan")))
+    return df.withColumn(BLK, block)
 
 
 def _kept(df: DataFrame) -> list[Column]:
@@ -85,7 +90,7 @@ def scan(
     before a row, ``lag`` to the value of the previous row. Plain values and a single order column are cheapest.
     """
     sums, last, lag = sums or {}, last or {}, lag or {}
-    base = _blocked(df, block)
+    base = _blocked(df, block, keys)
     for n, v in [*((n, v) for n, (v, _) in sums.items()), *((n, v) for n, (v, _) in last.items()), *lag.items()]:
         base = base.withColumn("__v_" + n, v)
     names = [*sums, *last, *lag]
@@ -146,7 +151,7 @@ def lag_rows(df, keys, order, block, values: Mapping[str, Column]) -> DataFrame:
 
 def next_after(df, keys, order, block, values: Mapping[str, Column]) -> DataFrame:
     """First non-NULL value after every row."""
-    base = _blocked(df, block)
+    base = _blocked(df, block, keys)
     for name, value in values.items():
         base = base.withColumn("__v_" + name, value)
     ends = base.groupBy(*keys, BLK).agg(*[_edge_value(order, "__v_" + n, False).alias("__e_" + n) for n in values])
@@ -175,6 +180,16 @@ def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, ou
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k).withColumn(out, F.col(out) - 1)
 
 
+def numbered(df: DataFrame, count: str, out: str, width: int = 1 << 16) -> DataFrame:
+    """One row per number 0 .. count - 1 beside each row. Numbers are dealt in steps of ``width``, so a count of billions is never
+    one array."""
+    steps = F.sequence(F.lit(0).cast("bigint"), int_div(F.col(count) - 1, width))
+    some = df.where(F.col(count) > 0).select("*", F.explode(steps).alias("__step"))
+    first = F.col("__step") * width
+    inside = F.sequence(first, F.least(first + (width - 1), F.col(count) - 1))
+    return some.select(*_kept(df), F.explode(inside).alias(out))
+
+
 def with_halo(df: DataFrame, pos: str, before: int, after: int, width: int = 1 << 16) -> DataFrame:
     """Cut a dense integer position into blocks and copy the rows near an edge into the neighbouring block.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions.bits import be_uint
 from mediaframe.functions.lineage import cut_lineage
-from mediaframe.functions.ordered import by_width, first_k, last_at, running_sum
+from mediaframe.functions.ordered import by_width, first_k, last_at, numbered, running_sum
 
 FILE = ["file_id"]
 
@@ -35,9 +35,8 @@ def sps_summary(sps: Column) -> list[Column]:
 
 def sample_sizes(tracks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per sample from either form of the size table."""
-    const = tracks.where(F.col("const_size") != 0).select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sample_count") - 1)).alias("sample_idx"), F.col("const_size").alias("size")
-    )
+    const = tracks.where(F.col("const_size") != 0).select(*keys, F.col("sample_count").cast("bigint").alias("sample_count"), F.col("const_size").alias("size"))
+    const = numbered(const, "sample_count", "sample_idx").select(*keys, "sample_idx", "size")
     listed = tracks.where(F.col("const_size") == 0).select(*keys, F.posexplode("sizes").alias("sample_idx", "size"))
     return const.unionByName(listed.withColumn("sample_idx", F.col("sample_idx").cast("bigint")))
 

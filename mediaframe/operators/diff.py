@@ -95,6 +95,8 @@ def _rank() -> Column:
     sort every pixel first.
     """
     place = F.col("plane").cast("bigint") * (1 << 40) + F.col("y").cast("bigint") * (1 << 20) + F.col("x")
+    fits = F.col("plane").between(0, 3) & F.col("y").between(0, (1 << 20) - 1) & F.col("x").between(0, (1 << 20) - 1) & F.col("d").between(0, (1 << 21) - 1)
+    place = F.when(fits, place).otherwise(F.raise_error(F.lit("a pixel's plane, row, column or difference is out of range")))
     return F.col("d").cast("bigint") * (1 << 42) + (lit_long((1 << 42) - 1) - place)
 
 

@@ -149,10 +149,13 @@ def chroma_inside(full_x: Column, full_y: Column, w: Column, h: Column, frame_w:
 
 def explode_partitions(mb: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per partition with its vector, phases, positions, margins and family."""
-    p = mb.select(*keys, "mb_x", "mb_y", "mb_width", "mb_height", "mv_l0", "ref_l0", "base_ref",
-                  F.explode(partitions(F.col("mb_type"), F.col("sub"))).alias("p"))
-    mvx, mvy, ref = part_vector(F.col("mv_l0"), F.col("ref_l0"), F.col("p.n"))
-    p = p.select(*keys, "mb_x", "mb_y", "mb_width", "mb_height", "base_ref", "p.*", mvx.alias("mv_x"), mvy.alias("mv_y"), ref.alias("part_ref"))
+    def placed(p: Column) -> Column:
+        mvx, mvy, ref = part_vector(F.col("mv_l0"), F.col("ref_l0"), p["n"])
+        return F.struct(*[p[c].alias(c) for c in ("n", "x_off", "y_off", "w", "h")], mvx.alias("mv_x"), mvy.alias("mv_y"), ref.alias("part_ref"))
+
+    # vectors are looked up before the explode, so the cell arrays are not copied to every partition
+    parts = F.transform(partitions(F.col("mb_type"), F.col("sub")), placed)
+    p = mb.select(*keys, "mb_x", "mb_y", "mb_width", "mb_height", "base_ref", F.inline(parts))
     p = p.withColumn("full_x", absolute(F.col("mv_x"), F.col("mb_x"), F.col("x_off")))
     p = p.withColumn("full_y", absolute(F.col("mv_y"), F.col("mb_y"), F.col("y_off")))
     px, py = phase_and_pel(F.col("full_x")), phase_and_pel(F.col("full_y"))
@@ -261,8 +264,7 @@ def reference_groups(req: DataFrame, batch: Sequence[str], order: str, cap: int
     # a reference number is one signed byte, so a batch has at most 256 of them after the aggregation
     used = fam.withColumn("ref_first", F.min("first").over(Window.partitionBy(*batch, "ref")))
     no = F.dense_rank().over(Window.partitionBy(*batch).orderBy("ref_first", "ref")) - 1
-    r = used.withColumn("ref_no", no).drop("ref_first").withColumn("within_cap", F.col("ref_no") < cap)
-    return r.withColumn("ref_no", F.when(F.col("within_cap"), F.col("ref_no")))
+    return used.withColumn("ref_no", no).drop("ref_first").withColumn("within_cap", F.col("ref_no") < cap)
 
 
 # ------------------------------------------------------------- packing
@@ -330,6 +332,7 @@ def gate_chroma(c: Column, cbp: Column, nnz: Column, dc: Column) -> Column:
     return F.transform(gated, lambda v, i: F.when(i == 0, dc + 32).otherwise(v))
 
 
-def tracked(out: DataFrame, order: Sequence[str], cap: int = S.TRACK_MAX) -> DataFrame:
-    """The first ``cap`` taken blocks of every route (the tracking list is a top-k by definition)."""
-    return first_k(out.where("taken"), ["route"], order, cap, "track_no")
+def tracked(out: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, cap: int = S.TRACK_MAX) -> DataFrame:
+    """Taken blocks numbered per file (``keys``) and route in decode order; those beyond a tracking list of ``cap`` are flagged."""
+    numbered = row_index(out.where("taken"), [*keys, "route"], order, block, "track_no")
+    return numbered.withColumn("within_cap", F.col("track_no") < cap)

@@ -188,9 +188,10 @@ def _(spark, sf):
 
 @query(
     "blocks_edge_strength",
-    """SELECT a.file_id, a.frame, a.mb_y AS brow, a.mb_x AS bcol, CASE WHEN b.mb_y=a.mb_y THEN 'V' ELSE 'H' END AS edge, CASE WHEN a.coded OR b.coded THEN 2 ELSE 1 END AS strength
-       FROM mb a JOIN mb b ON a.file_id=b.file_id AND a.frame=b.frame AND ((b.mb_y=a.mb_y AND b.mb_x=a.mb_x-1) OR (b.mb_x=a.mb_x AND b.mb_y=a.mb_y-1))
-       WHERE a.coded OR b.coded OR a.mv_x<>b.mv_x OR a.mv_y<>b.mv_y""",
+    """WITH s AS MATERIALIZED (SELECT file_id, frame, mb_y, mb_x, coded, mv_x, mv_y FROM mb),
+       o AS (SELECT file_id, frame, mb_y, mb_x+1 AS mb_x, 'V' AS edge, coded, mv_x, mv_y FROM s UNION ALL SELECT file_id, frame, mb_y+1, mb_x, 'H', coded, mv_x, mv_y FROM s)
+       SELECT a.file_id, a.frame, a.mb_y AS brow, a.mb_x AS bcol, edge, CASE WHEN a.coded OR o.coded THEN 2 ELSE 1 END AS strength
+       FROM s a JOIN o ON a.file_id=o.file_id AND a.frame=o.frame AND a.mb_y=o.mb_y AND a.mb_x=o.mb_x WHERE a.coded OR o.coded OR a.mv_x<>o.mv_x OR a.mv_y<>o.mv_y""",
     ["mb"],
 )
 def _(spark, sf):

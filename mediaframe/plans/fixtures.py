@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mediaframe.functions.bits import clip255, int_div
-from mediaframe.functions.ordered import by_hour, by_width, row_index, running_sum
+from mediaframe.functions.ordered import by_hour, by_width, numbered, row_index, running_sum
 
 MB_WIDTH = 16
 MB_HEIGHT = 12
@@ -123,12 +123,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, chunk_no, chunk_off."""
-    return (
-        table(spark, sf_dir, "supplier")
-        .select(F.col("s_suppkey").alias("file_id"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(400).cast("bigint"))).alias("chunk_no"))
-        .withColumn("chunk_off", F.col("chunk_no") * 100000)
-    )
+    """file_id, chunk_no, chunk_off: as many chunks as the file has samples, so that every sample finds one."""
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("file_id")).agg(F.count("*").alias("n"))
+    return numbered(n, "n", "chunk_no").select("file_id", (F.col("chunk_no") + 1).alias("chunk_no"), ((F.col("chunk_no") + 1) * 100000).alias("chunk_off"))
 
 
 def movie_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,9 +219,9 @@ def macroblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def macroblock_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macroblocks with the cached vector (80) and reference (40) arrays of the decoder record."""
     mb = macroblocks(spark, sf_dir)
-    cell = F.sequence(F.lit(0), F.lit(39))
-    mv = F.flatten(F.transform(cell, lambda i: F.array(F.col("mv_x") + i % 5 - 2, F.col("mv_y") + i % 3 - 1)))
-    ref = F.transform(cell, lambda i: F.col("ref") + F.when((i + F.col("n9")) % 29 == 0, 1).otherwise(0))
+    # plain expressions per cell compile, a lambda over the cells would be interpreted
+    mv = F.array(*[v for i in range(40) for v in (F.col("mv_x") + (i % 5 - 2), F.col("mv_y") + (i % 3 - 1))])
+    ref = F.array(*[F.col("ref") + F.when((F.col("n9") + i) % 29 == 0, 1).otherwise(0) for i in range(40)])
     return mb.select(
         "*",
         mv.alias("mv_l0"),
@@ -383,7 +380,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT s_suppkey AS file_id, unnest([1, 5+s_suppkey%7, 20+s_suppkey%11]) AS first_chunk,
             unnest([1+s_suppkey%3, 2+s_suppkey%4, 1+s_suppkey%5]) AS spc FROM supplier""",
     ),
-    "chk": ((), "SELECT s_suppkey AS file_id, n AS chunk_no, n*100000 AS chunk_off FROM supplier, range(1,401) t(n)"),
+    "chk": ((), "SELECT file_id, c AS chunk_no, c*100000 AS chunk_off FROM (SELECT l_suppkey AS file_id, unnest(range(1, count(*)+1)) AS c FROM lineitem GROUP BY l_suppkey)"),
     "mb": (
         (),
         """SELECT file_id, frame, seq, seq%16 AS mb_x, seq//16 AS mb_y,

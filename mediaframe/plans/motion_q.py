@@ -167,7 +167,7 @@ def _(spark, sf):
     "motion_reference_groups",
     """WITH g AS (SELECT file_id, frame, ref, CASE WHEN diag THEN 'diag' ELSE 'single' END AS family, count(*) AS n, min(seq*16+n) AS first FROM (SELECT * REPLACE (part_ref AS ref) FROM part) GROUP BY ALL),
        f AS (SELECT file_id, frame, ref, row_number() OVER (PARTITION BY file_id, frame ORDER BY min(first), ref)-1 AS ref_no FROM g GROUP BY file_id, frame, ref)
-       SELECT file_id, frame, ref, family, n, first, CASE WHEN ref_no<3 THEN ref_no END AS ref_no, ref_no<3 AS within_cap FROM g JOIN f USING (file_id, frame, ref)""",
+       SELECT file_id, frame, ref, family, n, first, ref_no, ref_no<3 AS within_cap FROM g JOIN f USING (file_id, frame, ref)""",
     ["part"],
 )
 def _(spark, sf):
@@ -245,9 +245,10 @@ def _(spark, sf):
 
 @query(
     "motion_tracked",
-    """SELECT route, file_id, frame, seq, track_no FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY file_id, frame, seq)-1 AS track_no FROM outc WHERE reason IS NULL) WHERE track_no<4096""",
+    """SELECT *, track_no<500 AS within_cap FROM (SELECT route, file_id, frame, seq, row_number() OVER (PARTITION BY file_id, route ORDER BY frame, seq)-1 AS track_no FROM outc WHERE reason IS NULL)""",
     ["outc"],
 )
 def _(spark, sf):
     out = M.outcomes(fx.macroblock_info(spark, sf))
-    return M.tracked(out.select("route", *KEY, "taken"), KEY).drop("taken")
+    block = F.struct("frame", int_div(F.col("seq"), 1 << 16))
+    return M.tracked(out.select("route", *KEY, "taken"), ["file_id"], ["frame", "seq"], block, cap=500).drop("taken")

@@ -86,14 +86,18 @@ def _(spark, sf):
 
 @query(
     "source_step_log",
-    "SELECT o_orderkey AS k, 'step'||o_orderkey%5 AS tag, printf('0x%x', o_orderkey) AS addr, o_custkey::VARCHAR AS size, 2::BIGINT AS n_words, (o_orderkey*3)%4294967296 AS word1 FROM orders",
+    """SELECT o_orderkey AS k, 'step'||o_orderkey%5 AS tag, printf('0x%x', o_orderkey) AS addr, o_custkey::VARCHAR AS size, printf('0x%x', o_orderkey+16) AS cursor_base, o_orderkey%7 AS last_try,
+       2::BIGINT AS n_words, (o_orderkey*3)%4294967296 AS word1 FROM orders""",
 )
 def _(spark, sf):
     k = F.col("o_orderkey")
-    line = F.format_string("[step%d] map: addr=0x%x size=%d words: %08x %08x", k % 5, k, F.col("o_custkey"), k, F.pmod(k * 3, F.lit(4294967296)))
+    # compound keys, and one key with several values in a line
+    line = F.format_string("[step%d] map: addr=0x%x size=%d (link-base=0x%x cursor-base=0x%x) try=%d try=%d words: %08x %08x",
+                           k % 5, k, F.col("o_custkey"), k, k + 16, k % 3, k % 7, k, F.pmod(k * 3, F.lit(4294967296)))
     t = X.parse_step_log(fx.table(spark, sf, "orders").select(k.alias("k"), line.alias("value")), ["k"])
     get = lambda n: F.try_element_at("f", F.lit(n)).alias(n)
-    return t.select("k", "tag", get("addr"), get("size"), F.size("words").alias("n_words"), F.get("words", F.lit(1)).alias("word1"))
+    more = [F.try_element_at("f", F.lit("cursor-base")).alias("cursor_base"), F.try_element_at("f", F.lit("try")).cast("bigint").alias("last_try")]
+    return t.select("k", "tag", get("addr"), get("size"), *more, F.size("words").alias("n_words"), F.get("words", F.lit(1)).alias("word1"))
 
 
 @query(

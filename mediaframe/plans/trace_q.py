@@ -371,6 +371,11 @@ def _(spark, sf):
     return X.first_changes(X.snapshot_changes(_snaps(spark, sf)))
 
 
+@query("trace_snapshot_all_changes", f"SELECT off, snap, v, prev FROM {CHANGES}", ["tim"])
+def _(spark, sf):
+    return X.snapshot_changes(_snaps(spark, sf))
+
+
 @query(
     "trace_steady_counters",
     f"SELECT off, count(*) AS changes, min(v-prev) AS step FROM {CHANGES} GROUP BY off HAVING min(v-prev)=max(v-prev) AND count(*)=(SELECT count(*) FROM tim WHERE tim.run=off)-1",

@@ -55,9 +55,11 @@ def capture_words(files: DataFrame) -> DataFrame:
     """Words of the good captures; a trailing piece of under four bytes is dropped."""
     good = capture_headers(files).where("ok")
     n = F.floor((F.octet_length("content") - CAPTURE_HEADER) / 4).cast("int")
-    hexed = good.select("path", F.hex(F.expr(f"substring(content, {CAPTURE_HEADER + 1})")).alias("h"), n.alias("n")).where("n > 0")
-    at = hexed.select("path", "h", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("dw"))
-    return at.select("path", F.col("dw").cast("bigint").alias("dw"), hex_to_long(F.substring(F.col("h"), F.col("dw") * 8 + 1, F.lit(8))).alias("w"))
+    # each word is cut out of the bytes before the explode, so the content is neither copied to every word nor scanned again
+    word = lambda dw: be_uint(F.col("content"), dw * 4 + CAPTURE_HEADER, 4)
+    words = F.transform(F.sequence(F.lit(0), F.col("n") - 1), word)
+    cut = good.select("path", "content", n.alias("n")).where("n > 0").select("path", F.posexplode(words).alias("dw", "w"))
+    return cut.select("path", F.col("dw").cast("bigint").alias("dw"), "w")
 
 
 def rejected_captures(files: DataFrame) -> DataFrame:
@@ -67,6 +69,13 @@ def rejected_captures(files: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- traces
 
 
+def fields(pairs: Column) -> Column:
+    """Map of 'k=v' strings; where a key is repeated, its last value holds."""
+    split = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substring(p, F.instr(p, "=") + 1, F.length(p)).alias("v")))
+    last = F.aggregate(split, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
+    return last
+
+
 def parse_trace(lines: DataFrame, keys: list[str], text: str = "line") -> DataFrame:
     """kind, f (map of k=v fields), hist (op, cnt, words) and the free tail; comment lines are left out."""
     parts = F.split(F.col(text), "\t")
@@ -83,7 +92,7 @@ def parse_trace(lines: DataFrame, keys: list[str], text: str = "line") -> DataFr
             F.get(entry(t), F.lit(2)).cast("bigint").alias("words"),
         ),
     )
-    as_map = F.str_to_map(F.array_join(pairs, "\t"), F.lit("\t"), F.lit("="))
+    as_map = fields(pairs)
     free = F.array_join(F.filter(tail, lambda p: ~p.startswith("HIST")), "\t")
     return lines.where(~F.col(text).startswith("#")).select(
         *keys, F.get(parts, F.lit(0)).alias("kind"), as_map.alias("f"), hist.alias("hist"), free.alias("tail")
@@ -166,11 +175,11 @@ def cache_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
 def parse_step_log(lines: DataFrame, keys: list[str], text: str = "value") -> DataFrame:
     """[tag] lines: tag, k=v fields and the hex words of the line."""
     tag = F.regexp_extract(text, r"^\[([^\]]+)\]", 1)
-    pairs = F.regexp_extract_all(text, F.lit(r"([A-Za-z_0-9@+]+)=([^\s,)]+)"), F.lit(0))
+    pairs = F.regexp_extract_all(text, F.lit(r"([A-Za-z_0-9@+-]+)=([^\s,)]+)"), F.lit(0))
     body = F.regexp_replace(F.col(text), r"^\[[^\]]+\]", "")
     words = F.transform(F.regexp_extract_all(body, F.lit(r"(?:^|\s)([0-9a-f]{8})(?=\s|$)"), F.lit(1)), hex_to_long)
     return lines.where(F.col(text).rlike(r"^\[[^\]]+\]")).select(
-        *keys, tag.alias("tag"), F.str_to_map(F.array_join(F.array_distinct(pairs), "\t"), F.lit("\t"), F.lit("=")).alias("f"), words.alias("words"), F.trim(body).alias("text")
+        *keys, tag.alias("tag"), fields(pairs).alias("f"), words.alias("words"), F.trim(body).alias("text")
     )
 
 
@@ -185,6 +194,7 @@ def timeline_changes(lines: DataFrame, keys: list[str], text: str = "value") ->
 
 # ------------------------------------------------------------- decoder trace lines
 
+# Line templates of the decoder trace.
 FRAME_BOUNDARY = r"FRAME BOUNDARY: \w*frameno=(\d+) frame_num=(-?\d+) poc=(-?\d+) slice_type=(-?\d+)"
 PART_CENSUS = r"PART CENSUS: 16x16=(\d+) 16x8=(\d+) 8x16=(\d+) 8x8\(whole\)=(\d+) 8x8\(8x4\)=(\d+) 8x8\(4x8\)=(\d+) 8x8\(4x4\)=(\d+) other=(\d+)"
 MC_PART = (

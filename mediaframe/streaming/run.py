@@ -49,6 +49,11 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def complete(emitted: DataFrame, rest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a drained stream has emitted, and the rows of ``rest`` (same columns) whose keys were still held back in its state."""
+    return emitted.unionByName(rest.join(emitted.select(*keys), list(keys), "left_anti").select(*emitted.columns))
+
+
 def first_matches(stream: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """Stop the stream once n rows have been written; the surplus of the last micro-batch is cut by order."""
     spark = stream.sparkSession

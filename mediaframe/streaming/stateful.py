@@ -124,7 +124,10 @@ def flush_batches(mb: DataFrame, queue_max: int = S.QUEUE_MAX) -> DataFrame:
 
 
 def late_patch(items: DataFrame, late: DataFrame, item_keys: list[str], delay: str = "10 minutes", within: str = "1 hour") -> DataFrame:
-    """Stream-stream join of placeholders with their later results; both sides carry ts and forget old rows."""
+    """Stream-stream outer join of placeholders with their later results; both sides carry ts and forget old rows.
+
+    A placeholder without a result leaves with a NULL once the watermark has passed its time; those still waiting when a drain ends
+    are added by ``run.complete``."""
     a = items.withWatermark("ts", delay).alias("a")
     b = late.withColumnRenamed("ts", "late_ts").withWatermark("late_ts", delay).alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in item_keys]
@@ -132,7 +135,7 @@ def late_patch(items: DataFrame, late: DataFrame, item_keys: list[str], delay: s
     for c in on[1:]:
         cond = cond & c
     cond = cond & (F.col("late_ts") >= F.col("ts")) & (F.col("late_ts") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
-    return a.join(b, cond).select(*[F.col(f"a.{c}") for c in items.columns], F.col("b.late_ts"), F.col("b.value").alias("late_value"))
+    return a.join(b, cond, "left_outer").select(*[F.col(f"a.{c}") for c in items.columns], F.col("b.late_ts"), F.col("b.value").alias("late_value"))
 
 
 def budget_monitor(frames: DataFrame, budget_ms: float = 33.333, window: str = "1 hour", delay: str | None = "10 minutes") -> DataFrame:
