@@ -28,9 +28,9 @@ def by_width(name: str, width: int = 1 << 16) -> Column:
     return int_div(F.col(name), width)
 
 
-def by_hour(name: str) -> Column:
-    """Block number of a timestamp order column."""
-    return int_div(F.unix_seconds(F.col(name).cast("timestamp")), 3600)
+def by_span(name: str, seconds: int = 600) -> Column:
+    """Block number of a timestamp order column: a block holds what one key sends in ``seconds``, the block totals what is left of time."""
+    return int_div(F.unix_seconds(F.col(name).cast("timestamp")), seconds)
 
 
 def in_blocks(df: DataFrame, block: Column) -> DataFrame:

@@ -58,6 +58,29 @@ def _frame(keys: Sequence[str], key_values, columns: dict) -> pd.DataFrame:
     return pd.DataFrame({**held, **cols})
 
 
+def visited(group: np.ndarray, pos: np.ndarray, nxt: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by group and pos, a walk from start[group] visits. Pointer doubling: log2 of the longest walk passes over all rows."""
+    n = len(pos)
+    places = np.unique(pos)
+    at = lambda g, p: g * len(places) + np.minimum(np.searchsorted(places, p), len(places) - 1)
+    order = at(group, pos)
+
+    def row(g, p):
+        i = np.minimum(np.searchsorted(order, at(g, p)), n - 1)
+        return np.where((group[i] == g) & (pos[i] == p), i, n)  # n: leads out of the batch
+
+    jump = np.append(row(group, nxt), n)
+    hit = np.zeros(n + 1, bool)
+    hit[row(np.arange(len(start)), start)] = True
+    while True:
+        reached = jump[np.flatnonzero(hit[:n])]
+        new = reached[(reached < n) & ~hit[reached]]
+        if not len(new):
+            return hit[:n]
+        hit[new] = True
+        jump = jump[jump]
+
+
 def _walk_sorted(edges: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame:
     """All groups of a partition in one sorted pass; only the position expected next is carried along."""
 
@@ -68,15 +91,14 @@ def _walk_sorted(edges: DataFrame, keys: list[str], schema: T.StructType) -> Dat
                 continue
             ids = pdf[keys]
             change = (ids != ids.shift()).any(axis=1).to_numpy()
-            change[0] = last is None or tuple(ids.iloc[0]) != last
-            last = tuple(ids.iloc[-1])
-            hit = np.zeros(len(pdf), bool)
-            for i, (new, pos, nxt) in enumerate(zip(change.tolist(), pdf["pos"].tolist(), pdf["nxt"].tolist())):
-                if new:
-                    expected = 0
-                if pos == expected:
-                    hit[i] = True
-                    expected = nxt
+            change[0] = True
+            group = np.cumsum(change) - 1
+            start = np.zeros(group[-1] + 1, np.int64)
+            start[0] = expected if last is not None and tuple(ids.iloc[0]) == last else 0
+            pos, nxt = pdf["pos"].to_numpy(np.int64), pdf["nxt"].to_numpy(np.int64)
+            hit = visited(group, pos, nxt, start)
+            mine = np.flatnonzero(hit & (group == group[-1]))
+            expected, last = int(nxt[mine[-1]] if len(mine) else start[-1]), tuple(ids.iloc[-1])
             yield pdf.loc[hit, [*keys, "pos"]]
 
     return edges.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInPandas(walk, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from mediaframe.functions.bits import be_uint
 from mediaframe.functions.lineage import cut_lineage
 from mediaframe.functions.ordered import by_width, first_k, last_at, numbered, running_sum
+from mediaframe.functions.skew import spread_join
 
 FILE = ["file_id"]
 
@@ -45,7 +46,7 @@ def chunk_table(narrow: DataFrame, wide: DataFrame, keys: Sequence[str] = FILE)
     """Chunk offsets from 32-bit and 64-bit tables; per file the later table (larger box_off) replaces the other."""
     both = narrow.unionByName(wide)
     keep = both.groupBy(*keys).agg(F.max("box_off").alias("box_off"))
-    return both.join(keep, [*keys, "box_off"], "left_semi").select(*keys, "chunk_no", "chunk_off")
+    return spread_join(both, keep, [*keys, "box_off"], "chunk_no", "left_semi").select(*keys, "chunk_no", "chunk_off")
 
 
 def run_rows(tracks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -112,7 +113,7 @@ def track_counts(tracks: DataFrame) -> DataFrame:
 
 def in_bounds(samples: DataFrame, files: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
     """Samples that end inside their file; ``files`` has the keys and length."""
-    return samples.join(files.select(*keys, "length"), list(keys)).where(F.col("off") + F.col("size") <= F.col("length")).drop("length")
+    return spread_join(samples, files.select(*keys, "length"), keys, "sample_idx").where(F.col("off") + F.col("size") <= F.col("length")).drop("length")
 
 
 def unit_histogram(units: DataFrame) -> DataFrame:

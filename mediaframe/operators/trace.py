@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from mediaframe.functions.bits import bits, int_div, lit_long, u32_hex
 from mediaframe.functions.ordered import BLK, by_width, first_k, in_blocks, lag_rows, last_at, next_after, running_sum, with_halo
 from mediaframe.functions.reach import reachable
+from mediaframe.functions.skew import spread_join
 
 STREAM = ["stream_id"]
 FILLER = 0x80000000
@@ -176,7 +177,7 @@ def findings(words: DataFrame, heads: DataFrame, dim: DataFrame, allow_hang_risk
 def empty_streams(streams: DataFrame, words: DataFrame) -> DataFrame:
     """Declared streams without words."""
     none = lambda n: F.lit(None).cast("bigint").alias(n)
-    gone = streams.select("stream_id").join(words.select("stream_id"), "stream_id", "left_anti")
+    gone = streams.select("stream_id").join(words.select("stream_id").distinct(), "stream_id", "left_anti")
     return gone.select("stream_id", none("dw"), none("ord"), none("addr"), F.lit("empty_stream").alias("rule"), F.lit("ERROR").alias("severity"))
 
 
@@ -253,12 +254,12 @@ def insert_words(words: DataFrame, payload: DataFrame, at: DataFrame) -> DataFra
     """Insert payload (stream_id, k, w) at ``at`` (stream_id, pos, head_dw) and grow the record header at head_dw."""
     n = payload.groupBy("stream_id").agg(F.count("*").alias("n"))
     plan = at.join(n, "stream_id")
-    moved = words.join(plan, "stream_id").select(
+    moved = spread_join(words, plan, "stream_id", "dw").select(
         "stream_id",
         F.when(F.col("dw") >= F.col("pos"), F.col("dw") + F.col("n")).otherwise(F.col("dw")).alias("dw"),
         F.when(F.col("dw") == F.col("head_dw"), F.col("w") + F.col("n")).otherwise(F.col("w")).alias("w"),
     )
-    put = payload.join(at, "stream_id").select("stream_id", (F.col("pos") + F.col("k")).alias("dw"), "w")
+    put = spread_join(payload, at, "stream_id", "k").select("stream_id", (F.col("pos") + F.col("k")).alias("dw"), "w")
     return moved.unionByName(put)
 
 
@@ -270,10 +271,10 @@ def insertion_check(control: DataFrame, injected: DataFrame, payload: DataFrame,
     n = payload.groupBy("stream_id").agg(F.count("*").alias("n"))
     plan = at.select("stream_id", "pos").join(n, "stream_id")
     before = F.col("dw") < F.col("pos")
-    want = control.join(plan, "stream_id").select(
+    want = spread_join(control, plan, "stream_id", "dw").select(
         "stream_id", F.when(before, F.col("dw")).otherwise(F.col("dw") + F.col("n")).alias("dw"), F.col("w").alias("want"),
         F.when(before, "before").otherwise("after").alias("part"),
-    ).unionByName(payload.join(at, "stream_id").select("stream_id", (F.col("pos") + F.col("k")).alias("dw"), F.col("w").alias("want"), F.lit("payload").alias("part")))
+    ).unionByName(spread_join(payload, at, "stream_id", "k").select("stream_id", (F.col("pos") + F.col("k")).alias("dw"), F.col("w").alias("want"), F.lit("payload").alias("part")))
     j = want.join(injected.select("stream_id", "dw", F.col("w").alias("got")), ["stream_id", "dw"], "full_outer")
     same = F.col("want").eqNullSafe(F.col("got"))
     ok = lambda p: F.coalesce(F.bool_and(F.when(F.col("part") == p, same)), F.lit(True))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mediaframe.functions.bits import clip255, int_div
-from mediaframe.functions.ordered import by_hour, by_width, numbered, row_index, running_sum
+from mediaframe.functions.ordered import by_span, by_width, numbered, row_index, running_sum
 
 MB_WIDTH = 16
 MB_HEIGHT = 12
@@ -195,7 +195,7 @@ def macroblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = li.withColumn("file_id", F.col("l_suppkey") % 10).withColumn("frame", F.col("l_orderkey") % 30)
     idx = row_index(li, ["file_id", "frame"], LINE_ORDER, by_width("l_orderkey"), "seq")
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    types = F.array(*[F.lit(v) for v in (131080, 8, 16, 32, 64, 2, 1, 16777224)])
+    types = F.array(*[F.lit(v) for v in (131080, 8, 16, 32, 64, 2, 1, 16777224, 16392, 147464)])
     coeff = [((part * (i + 1) + supp) % 41 - 20).cast("int") for i in range(16)]
     return idx.select(
         "file_id",
@@ -203,7 +203,7 @@ def macroblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq",
         (F.col("seq") % MB_WIDTH).cast("int").alias("mb_x"),
         int_div(F.col("seq"), MB_WIDTH).cast("int").alias("mb_y"),
-        F.get(types, (part % 8).cast("int")).alias("mb_type"),
+        F.get(types, (part % 10).cast("int")).alias("mb_type"),
         ((part * 7) % 161 - 80).cast("int").alias("mv_x"),
         ((supp * 11) % 161 - 80).cast("int").alias("mv_y"),
         (supp % 4).cast("int").alias("ref"),
@@ -267,7 +267,7 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 10).alias("run"), "ts", "event_id", "event_type", F.col("value").alias("live_ms"),
         (F.col("value") / (1 + F.col("event_id") % 5)).alias("ref_ms"),
     )
-    return row_index(e, ["run"], ["ts", "event_id"], by_hour("ts"), "f")
+    return row_index(e, ["run"], ["ts", "event_id"], by_span("ts"), "f")
 
 
 def profile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,7 +384,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "mb": (
         (),
         """SELECT file_id, frame, seq, seq%16 AS mb_x, seq//16 AS mb_y,
-            [131080,8,16,32,64,2,1,16777224][l_partkey%8+1] AS mb_type,
+            [131080,8,16,32,64,2,1,16777224,16392,147464][l_partkey%10+1] AS mb_type,
             (l_partkey*7)%161-80 AS mv_x, (l_suppkey*11)%161-80 AS mv_y, l_suppkey%4 AS ref,
             CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS slice, l_partkey%64 AS cbp, l_partkey%5=0 AS coded,
             l_partkey%9 AS n9,
@@ -419,10 +419,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "outc": (
         ("route", "part"),
-        """SELECT r.*, CASE WHEN route='skip' THEN coalesce(b, nr, whole) WHEN route='p16x16' THEN coalesce(dct, b, nr, whole)
-              WHEN route IN ('p16x8','p8x8') THEN coalesce(b, dct, nr, pr) WHEN route<>'intra' THEN route END AS reason
+        """SELECT r.*, CASE WHEN route='skip' THEN coalesce(b, l1, nr, whole) WHEN route='p16x16' THEN coalesce(dct, b, l1, nr, whole)
+              WHEN route IN ('p16x8','p8x8') THEN coalesce(b, l1, dct, nr, pr) WHEN route<>'intra' THEN route END AS reason
           FROM (SELECT r.*, CASE WHEN slice=3 THEN 'b_slice' END AS b, CASE WHEN mb_type & 16777216 <> 0 THEN 'dct8x8' END AS dct,
-              CASE WHEN ref>=3 THEN 'no_ref' END AS nr,
+              CASE WHEN ref>=3 THEN 'no_ref' END AS nr, CASE WHEN mb_type & 49152 <> 0 THEN 'list1' END AS l1,
               CASE WHEN NOT (px-2>=0 AND py-2>=0 AND px+18<256 AND py+18<192) THEN 'luma_margin' WHEN NOT (cx>=0 AND cy>=0 AND cx+9<128 AND cy+9<96) THEN 'chroma_margin' END AS whole, p.pr
             FROM (SELECT *, (mv_x+mb_x*64)>>2 AS px, (mv_y+mb_y*64)>>2 AS py, (mv_x+mb_x*64)>>3 AS cx, (mv_y+mb_y*64)>>3 AS cy FROM route) r
             LEFT JOIN (SELECT file_id, frame, seq, arg_min(why, n) AS pr FROM (SELECT file_id, frame, seq, n,

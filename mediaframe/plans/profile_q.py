@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediaframe.functions.ordered import by_hour
+from mediaframe.functions.ordered import by_span
 from mediaframe.operators import profile as P
 from mediaframe.plans import fixtures as fx
 from mediaframe.plans.registry import query
@@ -22,7 +22,7 @@ def r4(df, *keep):
 )
 def _(spark, sf):
     t = fx.timings(spark, sf).select("run", "f", "ts")
-    return r4(P.inter_arrival(t, ["run"], ["ts", "f"], by_hour("ts"), "ts")).drop("ts")
+    return r4(P.inter_arrival(t, ["run"], ["ts", "f"], by_span("ts"), "ts")).drop("ts")
 
 
 @query(

@@ -84,6 +84,87 @@ def _(spark, sf):
     return f.select("line_no", "frame", "live_ms", "ref_ms", "luma_bad", "luma_max", "chroma_bad", "significant")
 
 
+def _report(spark, sf, form, cols):
+    """One report line per event, made from the template and columns of the event number."""
+    i = F.col("event_id")
+    return fx.table(spark, sf, "events").select(i.alias("line_no"), F.format_string(form, *cols(i)).alias("value"))
+
+
+@query(
+    "source_totals_lines",
+    "SELECT event_id AS line_no, event_id%90+1 AS frames, event_id%977+0.5::DOUBLE AS live_total, event_id%31+0.25::DOUBLE AS live_avg, event_id%773+0.5::DOUBLE AS ref_total, event_id%29+0.75::DOUBLE AS ref_avg FROM events",
+)
+def _(spark, sf):
+    form = "Totals over %d frames: live=%d.5ms (%d.25ms/frame avg) ref=%d.5ms (%d.75ms/frame avg)"
+    return X.totals_lines(_report(spark, sf, form, lambda i: [i % 90 + 1, i % 977, i % 31, i % 773, i % 29]), ["line_no"])
+
+
+@query(
+    "source_steady_lines",
+    "SELECT event_id AS line_no, event_id%401+0.5::DOUBLE AS live_steady, event_id%37+0.25::DOUBLE AS ref_steady, event_id%19+0.5::DOUBLE AS ratio, CASE WHEN event_id%2=0 THEN 'slower' ELSE 'faster' END AS label FROM events",
+)
+def _(spark, sf):
+    form = "Steady-state (excludes frame 0): live=%d.5ms/frame ref=%d.25ms/frame -> GPU is %d.5x %s than CPU"
+    return X.steady_lines(_report(spark, sf, form, lambda i: [i % 401, i % 37, i % 19, F.when(i % 2 == 0, "slower").otherwise("faster")]), ["line_no"])
+
+
+@query("source_budget_lines", "SELECT event_id AS line_no, event_id%50+0.5::DOUBLE AS budget_ms, event_id%60 AS met, event_id%60+3 AS n, (event_id%101)::DOUBLE AS pct FROM events")
+def _(spark, sf):
+    form = "Real-time check (budget=%d.5ms/frame, assumed 30fps): %d/%d frames (excl. frame 0) met budget (%d%%) - NOT real-time yet"
+    return X.budget_lines(_report(spark, sf, form, lambda i: [i % 50, i % 60, i % 60 + 3, i % 101]), ["line_no"]).withColumn("pct", F.col("pct").cast("double"))
+
+
+_LIVE = ["intra", "skip", "skip_declined", "p16x16", "p16x16_declined", "p16x8", "p16x8_declined", "p8x8", "p8x8_declined", "declined"]
+
+
+@query("source_live_lines", "SELECT event_id AS line_no, " + ", ".join(f"event_id%{101 + 7 * i} AS {n}" for i, n in enumerate(_LIVE)) + " FROM events")
+def _(spark, sf):
+    form = "  live totals: %d intra, %d skip (%d declined), %d P_16x16 (%d declined), %d P_16x8/P_8x16 (%d declined), %d P_8x8 (%d declined), %d declined to CPU"
+    return X.live_lines(_report(spark, sf, form, lambda i: [i % (101 + 7 * k) for k in range(10)]), ["line_no"])
+
+
+@query(
+    "source_site_calls",
+    """SELECT event_id AS line_no, unnest(['pack','upload']) AS site, unnest([event_id%53, event_id%59]) AS calls, unnest([event_id%211+0.5::DOUBLE, event_id%223+0.25::DOUBLE]) AS total_ms FROM events""",
+)
+def _(spark, sf):
+    form = "  dispatch profile: %d calls; pack: %d calls, %d.5ms total (0.31ms/call); upload: %d calls, %d.25ms total (0.59ms/call)"
+    return X.site_calls(_report(spark, sf, form, lambda i: [i, i % 53, i % 211, i % 59, i % 223]), ["line_no"])
+
+
+@query("source_site_cpu", "SELECT event_id AS line_no, unnest(['pack','upload']) AS site, unnest([event_id%53+0.5::DOUBLE, event_id%59+0.25::DOUBLE]) AS cpu_ms FROM events")
+def _(spark, sf):
+    form = "  CPU-time breakdown: pack cpu=%d.5ms (67%% of its wall); upload cpu=%d.25ms (75%% of its wall)"
+    return X.site_cpu(_report(spark, sf, form, lambda i: [i % 53, i % 59]), ["line_no"])
+
+
+@query(
+    "source_phase_costs",
+    "SELECT event_id AS line_no, unnest(['draw','read+wait']) AS phase, unnest([event_id%53+0.5::DOUBLE, event_id%59+0.25::DOUBLE]) AS wall_ms, unnest([event_id%47+0.5::DOUBLE, event_id%43+0.75::DOUBLE]) AS cpu_ms FROM events",
+)
+def _(spark, sf):
+    form = "  phase breakdown: draw wall=%d.5ms cpu=%d.5ms; read+wait wall=%d.25ms cpu=%d.75ms"
+    return X.phase_costs(_report(spark, sf, form, lambda i: [i % 53, i % 47, i % 59, i % 43]), ["line_no"])
+
+
+@query(
+    "source_cache_lines",
+    "SELECT event_id AS line_no, event_id%5003 AS hits, event_id%17+0.5::DOUBLE AS hit_ms, event_id%13+0.5::DOUBLE AS hit_cpu_ms, event_id%61 AS misses, event_id%89+0.5::DOUBLE AS miss_ms, event_id%83+0.5::DOUBLE AS miss_cpu_ms FROM events",
+)
+def _(spark, sf):
+    form = "  reference cache: %d hits (wall=%d.5ms cpu=%d.5ms, 0.003ms/hit); %d misses (wall=%d.5ms cpu=%d.5ms, 2.23ms/miss)"
+    return X.cache_lines(_report(spark, sf, form, lambda i: [i % 5003, i % 17, i % 13, i % 61, i % 89, i % 83]), ["line_no"])
+
+
+_CENSUS = ["p16x16", "p16x8", "p8x16", "p8x8", "p8x8_8x4", "p8x8_4x8", "p8x8_4x4", "other"]
+
+
+@query("source_census_lines", "SELECT event_id AS line_no, " + ", ".join(f"event_id%{11 + 4 * i} AS {n}" for i, n in enumerate(_CENSUS)) + " FROM events")
+def _(spark, sf):
+    form = "PART CENSUS: 16x16=%d 16x8=%d 8x16=%d 8x8(whole)=%d 8x8(8x4)=%d 8x8(4x8)=%d 8x8(4x4)=%d other=%d"
+    return X.census_lines(_report(spark, sf, form, lambda i: [i % (11 + 4 * k) for k in range(8)]), ["line_no"])
+
+
 @query(
     "source_step_log",
     """SELECT o_orderkey AS k, 'step'||o_orderkey%5 AS tag, printf('0x%x', o_orderkey) AS addr, o_custkey::VARCHAR AS size, printf('0x%x', o_orderkey+16) AS cursor_base, o_orderkey%7 AS last_try,

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from mediaframe.functions.bits import bits, byte_swap, int_div, lit_long, wrap_diff32
 from mediaframe.functions.lineage import cut_lineage
-from mediaframe.functions.ordered import by_hour, by_width, first_k
+from mediaframe.functions.ordered import by_span, by_width, first_k
 from mediaframe.operators import trace as X
 from mediaframe.plans import fixtures as fx
 from mediaframe.plans.registry import query
@@ -393,7 +393,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     c = fx.counters(spark, sf)
-    points = X.change_points(c, ["run"], ["ts", "f"], by_hour("ts"), "v").drop("ts")
+    points = X.change_points(c, ["run"], ["ts", "f"], by_span("ts"), "v").drop("ts")
     return first_k(points, ["run"], ["f"], 16)
 
 

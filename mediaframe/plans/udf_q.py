@@ -50,11 +50,12 @@ def _(spark, sf):
     return U.handled_counts(U.with_fallback(mb, "cost", short_vectors, ["mv_x", "mv_y"], F.lit(-1)), ["slice"])
 
 
-@query("udf_observed", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("udf_observed", "SELECT count(*) AS seen, max(value) AS max_value, count(DISTINCT event_type) AS types FROM events")
 def _(spark, sf):
     e = fx.table(spark, sf, "events").select("event_type", "value")
-    seen, _ = U.observed(e, "events_seen", F.count(F.lit(1)).alias("rows"), F.max("value").alias("max_value"))
-    return seen.groupBy("event_type").agg(F.count("*").alias("n"))
+    seen, metrics = U.observed(e, "events_seen", F.count(F.lit(1)).alias("seen"), F.max("value").alias("max_value"))
+    types = len(seen.groupBy("event_type").agg(F.count("*").alias("n")).collect())  # five event types
+    return spark.createDataFrame([(metrics.get["seen"], metrics.get["max_value"], types)], "seen long, max_value double, types long")
 
 
 @query(
