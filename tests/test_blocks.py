@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.operators import blocks as B
 from mediaframe.operators import diff as D
-from mediaframe.sources import synthetic as G
+from tests import synthetic as G
 
 W, H = 32, 16
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mediaframe.functions.lineage import cut_lineage, work_dir
 from mediaframe.operators import diff as D
 from mediaframe.sources import sinks as K
-from mediaframe.sources import synthetic as G
+from tests import synthetic as G
 
 
 @pytest.fixture(scope="module")
