@@ -43,14 +43,3 @@ def runs(texts, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
         size += n
     if start < len(texts):
         yield start, len(texts)
-
-
-SALTS = 8
-
-
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """Join of many rows to one row per key where a key may hold a third of all rows: the left rows of a key are dealt to
-    SALTS parts by the column ``by``, and the right row is copied to each."""
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "__salt"], how).drop("__salt")

@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import column, spread_join, stored, utf8
+from mediaframe.functions.skew import spread_join
+from mediaframe.llm.common import column, stored, utf8
 
 SHINGLE = 4
 RADIUS = 4
