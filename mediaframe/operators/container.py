@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.functions.bits import be_uint
+from mediaframe.functions.bits import be_uint, int_div
 from mediaframe.functions.lineage import cut_lineage
 from mediaframe.functions.ordered import by_width, first_k, last_at, numbered, running_sum
 from mediaframe.functions.skew import spread_join
@@ -92,6 +92,32 @@ def expand_samples(sizes: DataFrame, chunks_spc: DataFrame, keys: Sequence[str]
     return out.select(*keys, "sample_idx", "chunk_no", (F.col("chunk_off") + F.col("before")).alias("off"), "size")
 
 
+TRACK = ["path", "track_id"]
+SLICE = 1024
+
+
+def track_samples(tracks: DataFrame) -> DataFrame:
+    """path, track_id, sample_idx, chunk_no, off, size of the samples of track rows that fall into a chunk."""
+    chunks = tracks.select(*TRACK, F.posexplode("chunk_offsets").alias("i", "chunk_off"))
+    chunks = chunks.select(*TRACK, (F.col("i") + 1).cast("bigint").alias("chunk_no"), "chunk_off")
+    return expand_samples(sample_sizes(tracks, TRACK), samples_per_chunk(chunks, run_rows(tracks, TRACK), TRACK), TRACK)
+
+
+def payloads(files: DataFrame, tracks: DataFrame, samples: DataFrame) -> DataFrame:
+    """Bytes of every sample inside its file: path, track_id, sample_idx, off, nal_length_size, payload; only tracks with video.
+
+    Samples meet the file's bytes in slices of SLICE, so a file's content is joined once per slice and cut in the JVM.
+    """
+    video = tracks.where(F.col("sps").isNotNull()).select(*TRACK, "nal_length_size")
+    part = samples.withColumn("part", int_div(F.col("sample_idx"), SLICE)).groupBy(*TRACK, "part")
+    spans = part.agg(F.collect_list(F.struct("sample_idx", "off", "size")).alias("spans")).join(video, TRACK)
+    held = files.select("path", "content").join(spans, "path")
+    inside = F.filter("spans", lambda s: s["off"] + s["size"] <= F.octet_length("content"))
+    cut = lambda s: F.substring(F.col("content"), (s["off"] + 1).cast("int"), s["size"].cast("int"))
+    rows = F.transform(inside, lambda s: F.struct(s["sample_idx"].alias("sample_idx"), s["off"].alias("off"), cut(s).alias("payload")))
+    return held.select(*TRACK, "nal_length_size", F.inline(rows))
+
+
 def reject_reason(track: DataFrame) -> DataFrame:
     """Add reason (NULL for a usable file): no video, no samples, no chunks, no runs - in that order."""
     reason = F.coalesce(

@@ -80,14 +80,20 @@ def _(spark, sf):
     return t.select("path", F.hex(C.decoder_config(F.col("sps"), F.col("pps"), F.col("nal_length_size"))).alias("config"))
 
 
+def _payloads(spark, sf):
+    files = fx.movie_files(spark, sf)
+    tracks = cut_lineage(mv.tracks(files))  # parsed once, read by four branches
+    return C.payloads(files, tracks, C.track_samples(tracks))
+
+
 @query("container_units", UNITS + " SELECT * FROM u")
 def _(spark, sf):
-    return mv.units(fx.movie_files(spark, sf)).drop("track_id")
+    return mv.units(_payloads(spark, sf)).drop("track_id")
 
 
 @query("container_unit_histogram", UNITS + " SELECT nal_type, count(*) AS n, sum(len)::BIGINT AS bytes FROM u WHERE NOT bad_tail GROUP BY nal_type")
 def _(spark, sf):
-    return C.unit_histogram(mv.units(fx.movie_files(spark, sf)))
+    return C.unit_histogram(mv.units(_payloads(spark, sf)))
 
 
 @query(
@@ -95,7 +101,7 @@ def _(spark, sf):
     UNITS + " SELECT path, " + ", ".join(f"count(*) FILTER (NOT bad_tail AND nal_type={t}) AS t{t}" for t in (1, 5, 6, 7, 8)) + " FROM u GROUP BY path",
 )
 def _(spark, sf):
-    return C.unit_pivot(mv.units(fx.movie_files(spark, sf)), (1, 5, 6, 7, 8))
+    return C.unit_pivot(mv.units(_payloads(spark, sf)), (1, 5, 6, 7, 8))
 
 
 @query(
@@ -105,8 +111,7 @@ def _(spark, sf):
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)),1)-1 AS s FROM documents))""",
 )
 def _(spark, sf):
-    p = mv.payloads(fx.movie_files(spark, sf))
-    return p.select("path", "sample_idx", F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest"))
+    return _payloads(spark, sf).select("path", "sample_idx", F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest"))
 
 
 @query(
@@ -118,10 +123,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     t = cut_lineage(mv.tracks(fx.movie_files(spark, sf)))  # parsed once, read by three branches
-    k = ["path", "track_id"]
-    chunks = t.select(*k, F.posexplode("chunk_offsets").alias("i", "chunk_off")).select(*k, (F.col("i") + 1).cast("bigint").alias("chunk_no"), "chunk_off")
-    spc = C.samples_per_chunk(chunks, C.run_rows(t, k), k)
-    return C.expand_samples(C.sample_sizes(t, k), spc, k)
+    return C.track_samples(t)
 
 
 @query(

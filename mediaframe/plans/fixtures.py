@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,12 +150,12 @@ def movie_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_chunks = F.when(F.col("n") <= 2, F.col("n")).otherwise(2 + F.ceil((F.col("n") - 2) / 3)).cast("int")
     out = out.withColumn("nc", n_chunks)
     first = F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda c: F.when(c < 2, c).otherwise(2 + (c - 2) * 3).cast("int"))
-    prefix = F.aggregate(
-        F.col("sizes"),
-        F.array(F.lit(0).cast("bigint")),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
-    )
-    out = out.withColumn("prefix", prefix).withColumn("first", first)
+
+    @F.pandas_udf("array<bigint>")
+    def running(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda s: np.concatenate(([0], np.cumsum(s, dtype="int64"))))
+
+    out = out.withColumn("prefix", running("sizes")).withColumn("first", first)
     box = lambda name, payload: F.concat(u32(F.length(payload) / 2 + 8), F.hex(F.lit(name).cast("binary")), payload)
     hx = lambda s: F.lit(s)
     wide = F.col("doc_id") % 2 == 0

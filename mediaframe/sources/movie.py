@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from mediaframe.schemas import BOX, NAL, TRACK
 
 CONTAINERS = ("moov", "trak", "mdia", "minf", "stbl")
+MAX_DEPTH = 64
 
 
 def iter_boxes(buf: bytes, pos: int, end: int, in_table: bool = False) -> Iterator[tuple[str, int, int, int]]:
@@ -55,7 +56,7 @@ def flatten(buf: bytes) -> list[tuple]:
                 track_here = track
             me = len(out)
             out.append((me, parent, depth, ptype, name, off, head, size, track_here))
-            if name in CONTAINERS:
+            if name in CONTAINERS and depth < MAX_DEPTH:  # deeper nesting is no media file
                 descend(off + head, off + size, me, depth + 1, name, track_here)
 
     descend(0, len(buf), None, 0, None, 0)
@@ -133,24 +134,6 @@ def parse_tracks(buf: bytes) -> list[dict]:
     return [t for t in tracks.values()]
 
 
-def playable(t: dict) -> bool:
-    return bool(t.get("video")) and t.get("sample_count", 0) > 0 and len(t.get("chunk_offsets", ())) > 0 and len(t.get("first_chunk", ())) > 0
-
-
-def sample_spans(t: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and sizes of the samples that fall into a chunk."""
-    offs, first, spc = t["chunk_offsets"], t["first_chunk"], t["samples_per_chunk"]
-    n = int(t["sample_count"])
-    sizes = np.full(n, t["const_size"], "int64") if t["const_size"] else t["sizes"]
-    run = np.searchsorted(first, np.arange(1, len(offs) + 1), side="right") - 1
-    per = spc[run]  # a chunk before the first run wraps to the last one
-    starts = np.concatenate([[0], np.cumsum(per)[:-1]]).astype("int64")
-    n = min(len(sizes), int(per.sum()))
-    chunk = np.searchsorted(starts + per, np.arange(n), side="right")
-    before = np.concatenate([[0], np.cumsum(sizes[:n])]).astype("int64")
-    return offs[chunk] + before[:n] - before[starts[chunk]], sizes[:n]
-
-
 def split_units(buf: bytes, off: int, size: int, prefix: int) -> list[tuple]:
     """(index, payload offset, length, type, bad_tail) of the length-prefixed units of one sample."""
     out, at, end = [], off, off + size
@@ -169,65 +152,36 @@ def _rows(schema: T.StructType, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[f.name for f in schema.fields], dtype=object)
 
 
-def boxes(files: DataFrame) -> DataFrame:
-    """Box rows of every file (path, content)."""
+def _parsed(files: DataFrame, schema: T.StructType, parse) -> DataFrame:
+    """Rows that ``parse(content)`` finds in every file, one frame per batch of files."""
 
     def run(batches):
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                yield _rows(BOX, [(path, *b[:-1]) for b in flatten(content)])
+            yield _rows(schema, [(path, *row) for path, content in zip(pdf["path"], pdf["content"]) for row in parse(content)])
 
-    return files.select("path", "content").mapInPandas(run, BOX)
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def boxes(files: DataFrame) -> DataFrame:
+    """Box rows of every file (path, content)."""
+    return _parsed(files, BOX, lambda content: [b[:-1] for b in flatten(content)])
 
 
 def tracks(files: DataFrame) -> DataFrame:
     """Track rows of every file; list columns hold the sample tables."""
     names = [f.name for f in TRACK.fields[1:]]
-
-    def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                yield _rows(TRACK, [(path, *[t.get(n) for n in names]) for t in parse_tracks(content)])
-
-    return files.select("path", "content").mapInPandas(run, TRACK)
-
-
-def units(files: DataFrame) -> DataFrame:
-    """Length-prefixed units of every sample inside the file; samples past the end of the file are left out."""
-
-    def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows = []
-                for t in filter(playable, parse_tracks(content)):
-                    offs, sizes = sample_spans(t)
-                    for i, (off, size) in enumerate(zip(offs.tolist(), sizes.tolist())):
-                        if off + size <= len(content):
-                            rows += [(path, t["track_id"], i, *u) for u in split_units(content, off, size, t["nal_length_size"])]
-                yield _rows(NAL, rows)
-
-    return files.select("path", "content").mapInPandas(run, NAL)
-
-
-PAYLOAD = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("track_id", T.IntegerType()),
-        T.StructField("sample_idx", T.LongType()),
-        T.StructField("payload", T.BinaryType()),
-    ]
-)
+    return _parsed(files, TRACK, lambda content: [[t.get(n) for n in names] for t in parse_tracks(content)])
 
 
-def payloads(files: DataFrame) -> DataFrame:
-    """Bytes of every sample; hash or filter them next, they are as large as the files."""
+def units(payloads: DataFrame) -> DataFrame:
+    """Length-prefixed units of every payload (path, track_id, sample_idx, off, nal_length_size, payload), at file offsets."""
+    cols = ["path", "track_id", "sample_idx", "off", "nal_length_size", "payload"]
 
     def run(batches):
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                for t in filter(playable, parse_tracks(content)):
-                    offs, sizes = sample_spans(t)
-                    spans = [(i, o, n) for i, (o, n) in enumerate(zip(offs.tolist(), sizes.tolist())) if o + n <= len(content)]
-                    yield _rows(PAYLOAD, [(path, t["track_id"], i, content[o : o + n]) for i, o, n in spans])
+            rows = []
+            for path, track, i, off, prefix, payload in zip(*(pdf[c] for c in cols)):
+                rows += [(path, track, i, k, off + at, n, kind, bad) for k, at, n, kind, bad in split_units(payload, 0, len(payload), prefix)]
+            yield _rows(NAL, rows)
 
-    return files.select("path", "content").mapInPandas(run, PAYLOAD)
+    return payloads.select(*cols).mapInPandas(run, NAL)

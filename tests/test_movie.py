@@ -69,20 +69,31 @@ def test_size_zero_runs_to_the_end():
     assert [b[4] for b in mv.flatten(inside)] == ["stbl"]
 
 
+def units_of(files):
+    t = mv.tracks(files)
+    return mv.units(C.payloads(files, t, C.track_samples(t)))
+
+
+def plain_spans(t):
+    """Offsets and sizes chunk by chunk."""
+    left, out = list(t["sizes"]), []
+    for no, at in enumerate(t["chunk_offsets"], 1):
+        per = [s for f, s in zip(t["first_chunk"], t["samples_per_chunk"]) if f <= no][-1]
+        for _ in range(min(per, len(left))):
+            out.append((at, left[0]))
+            at += left.pop(0)
+    return out
+
+
 def test_tracks_samples_units(spark, movie_bytes):
     df = spark.createDataFrame([("a", movie_bytes)], "path string, content binary")
     t = mv.tracks(df)
     v = t.where("track_id = 1").first()
     assert (v.width, v.height, v.nal_length_size, bytes(v.sps), bytes(v.pps)) == (640, 360, 4, SPS, PPS)
     assert t.where("track_id = 2").first().sps is None
-    k = ["path", "track_id"]
-    video = t.where("track_id = 1")
-    chunks = video.select(*k, F.posexplode("chunk_offsets").alias("i", "chunk_off")).select(*k, (F.col("i") + 1).cast("bigint").alias("chunk_no"), "chunk_off")
-    rel = C.expand_samples(C.sample_sizes(video, k), C.samples_per_chunk(chunks, C.run_rows(video, k), k), k)
-    one = mv.parse_tracks(movie_bytes)[0]
-    offs, sizes = mv.sample_spans(one)
-    assert [(r.off, r.size) for r in rel.orderBy("sample_idx").collect()] == list(zip(offs.tolist(), sizes.tolist()))
-    got = [(r.sample_idx, r.nal_idx, r.len, r.nal_type, r.bad_tail) for r in mv.units(df).orderBy("sample_idx", "nal_idx").collect()]
+    rel = C.track_samples(t.where("track_id = 1"))
+    assert [(r.off, r.size) for r in rel.orderBy("sample_idx").collect()] == plain_spans(mv.parse_tracks(movie_bytes)[0])
+    got = [(r.sample_idx, r.nal_idx, r.len, r.nal_type, r.bad_tail) for r in units_of(df).orderBy("sample_idx", "nal_idx").collect()]
     assert got == [(0, 0, 3, 7, False), (0, 1, 2, 8, False), (1, 0, 9, 5, False), (2, 0, 4, 1, False), (2, 1, 6, None, True), (3, 0, 6, 1, False)]
     counts = C.reject_reason(C.track_counts(t))
     assert {r.track_id: r.reason for r in counts.collect()} == {1: None, 2: "no_video"}
@@ -101,4 +112,4 @@ def test_scan_bytes_prunes_content(spark, tmp_path, movie_bytes):
     (tmp_path / "note.txt").write_text("no")
     f = scan_bytes(spark, str(tmp_path), "*.mp4")
     assert [(r.length) for r in f.select("length").collect()] == [len(movie_bytes)]
-    assert mv.units(f).count() == 6
+    assert units_of(f).count() == 6
