@@ -106,12 +106,14 @@ def schedule(spark, sources: pd.DataFrame, most: int = MOST, block_words: int =
                 b = np.maximum(blocks[no], 1)
                 yield pd.DataFrame({"slot": c * CHUNK + np.arange(len(no)), "no": no, "epoch": rank // b, "block": rank % b})
 
-    counts = spark.range(chunks).mapInPandas(count, "chunk long, no int, n long")
+    # a fixed number of parts: a chunk is a tiny row that becomes many slots, which adaptive coalescing cannot know
+    parts = max(1, min(chunks, 10_000))
+    counts = spark.range(0, chunks, 1, parts).mapInPandas(count, "chunk long, no int, n long")
     before = Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("chunk", "no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranks = ranks.groupBy("chunk").agg(F.collect_list(F.struct("no", "first")).alias("s")).select("chunk", F.col("s.no").alias("nos"), F.col("s.first").alias("firsts"))
     # an epoch past the last allowed one only arises from rounding up to whole blocks
-    return ranks.mapInPandas(expand, "slot long, no int, epoch long, block long").where(F.col("epoch") < most)
+    return ranks.repartition(parts, "chunk").mapInPandas(expand, "slot long, no int, epoch long, block long").where(F.col("epoch") < most)
 
 
 def streams(rows: DataFrame, sources: pd.DataFrame) -> DataFrame:
@@ -128,12 +130,13 @@ def streams(rows: DataFrame, sources: pd.DataFrame) -> DataFrame:
 
 def _taken(placed: DataFrame, sources: pd.DataFrame, most: int, block_words: int) -> DataFrame:
     """no, off, epoch, words: what each document gives in each epoch."""
+    # the planner takes generated slots for as few as the chunks they come from; they must not be broadcast
     used = schedule(placed.sparkSession, sources, most, block_words).select("no", "block", "epoch")
     first, last = F.floor(F.col("off") / block_words), F.floor((F.col("off") + F.col("size") - 1) / block_words)
     pieces = placed.where("size > 0").select("no", "off", "size", F.explode(F.sequence(first, last)).alias("block"))
     start, end = F.col("block") * block_words, (F.col("block") + 1) * block_words
     words = F.least(end, F.col("off") + F.col("size")) - F.greatest(start, F.col("off"))
-    return pieces.select("no", "off", "block", words.alias("words")).join(used, ["no", "block"]).groupBy("no", "off", "epoch").agg(F.sum("words").alias("words"))
+    return pieces.select("no", "off", "block", words.alias("words")).join(used.hint("merge"), ["no", "block"]).groupBy("no", "off", "epoch").agg(F.sum("words").alias("words"))
 
 
 def _placed(docs: DataFrame, doc_id: str, source: str, text: str, weights, most: int, block_words: int):
@@ -147,7 +150,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
     placed, sources = _placed(docs, doc_id, source, text, weights, most, block_words)
     taken = _taken(placed, sources, most, block_words).groupBy("no", "off").agg(F.sum("words").alias("taken"))
     keyed = placed.withColumn("at", F.when(F.col("size") > 0, F.col("off")))  # a document without words shares its offset
-    joined = keyed.join(taken.select("no", F.col("off").alias("at"), "taken"), ["no", "at"], "left")
+    joined = keyed.join(taken.select("no", F.col("off").alias("at"), "taken").hint("merge"), ["no", "at"], "left")
     return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
@@ -172,11 +175,11 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     placed, sources = _placed(docs, doc_id, source, text, weights, most, block_words)
     same = Window.partitionBy("__id", "__h").orderBy("off")
     parts = placed.select("no", "off", "size", F.col("doc_id").alias("__id"), F.col("h").alias("__h")).where("size > 0").withColumn("__dup", F.row_number().over(same))
-    parts = parts.join(_taken(placed, sources, most, block_words), ["no", "off"])
+    parts = parts.join(_taken(placed, sources, most, block_words).hint("merge"), ["no", "off"])
     parts = parts.select("__id", "__h", "__dup", F.col("size").alias("__size"), F.col("epoch").alias("__epoch"), F.col("words").alias("__words"))
     rows = docs.select("*", column(doc_id).alias("__i"), F.xxhash64(column(text)).alias("__g"))
     rows = rows.withColumn("__d", F.row_number().over(Window.partitionBy("__i", "__g").orderBy(F.lit(1))))
-    out = rows.join(parts, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__g") == F.col("__h")) & (F.col("__d") == F.col("__dup")))
+    out = rows.join(parts.hint("merge"), F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__g") == F.col("__h")) & (F.col("__d") == F.col("__dup")))
     part = F.col("__words") < F.col("__size")
     cut = F.when(part, _head(F.when(part, column(text)), F.when(part, F.col("__words")))).otherwise(column(text))
     kept = [cut.alias(c) if c == text else column(c) for c in docs.columns]
