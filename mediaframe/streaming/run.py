@@ -12,6 +12,9 @@ from mediaframe.functions.lineage import cut_lineage, work_dir
 from mediaframe.functions.ordered import by_width, in_blocks, lag_rows, last_at
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*", files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_batch:
@@ -20,18 +23,17 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str
 
 
 def _start(writer, spark: SparkSession, path: str | None = None):
-    """Start a query with at most one state partition per core.
+    """Start a query on the RocksDB state store, which keyed state needs and which stays off the heap.
 
-    A query fixes its number of state partitions on its first run and every micro-batch commits all of them; the session
-    setting is put back at once, the query keeps its own copy.
+    The query keeps its own copy of the setting; the session's is put back at once.
     """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
     try:
         return writer.start(path) if path else writer.start()
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
@@ -55,20 +57,24 @@ def complete(emitted: DataFrame, rest: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def first_matches(stream: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """Stop the stream once n rows have been written; the surplus of the last micro-batch is cut by order."""
+    """Stop the stream once n rows have been written; the surplus of the last micro-batch is cut by order.
+
+    What has been written is counted from the files of the earlier micro-batches, so a restart or a repeated micro-batch keeps the count.
+    """
     spark = stream.sparkSession
     base = work_dir(spark, "first")
-    seen = {"n": 0}
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=-1")
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())]))
+    written = lambda before: rows.parquet(f"{base}/out").where(F.col("batch") < before).count()
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        if seen["n"] < n:
-            part = batch.orderBy(*order).limit(n - seen["n"])
-            part.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-            seen["n"] += spark.read.schema(stream.schema).parquet(f"{base}/out/batch={batch_id}").count()
+        left = n - written(batch_id)
+        if left > 0:
+            batch.orderBy(*order).limit(left).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
     q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     while not q.awaitTermination(1):
-        if seen["n"] >= n:
+        if written(1 << 62) >= n:
             q.stop()
     return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 

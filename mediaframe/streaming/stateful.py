@@ -9,6 +9,7 @@ watched by ``run.counter_watch`` instead.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,12 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from mediaframe import schemas as S
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def _with_state(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: T.StructType) -> DataFrame:
-    """Keyed state needs the RocksDB store, which also keeps it off the heap."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Keyed state needs the RocksDB store; ``run.append_log`` starts its queries with it."""
     return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
 
 
@@ -40,27 +37,30 @@ class Reorder(StatefulProcessor):
         self.depth = depth
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getListState("pending", T.StructType([T.StructField("poc", T.LongType()), T.StructField("decode_no", T.LongType())]))
+        place = T.StructType([T.StructField("poc", T.LongType()), T.StructField("decode_no", T.LongType())])
+        self.pending = handle.getMapState("pending", place, T.StructType([T.StructField("waits", T.BooleanType())]))
         self.shown = handle.getValueState("shown", T.StructType([T.StructField("n", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        wait = [tuple(v) for v in self.pending.get()] if self.pending.exists() else []
+        old = {tuple(k) for k in self.pending.keys()} if self.pending.exists() else set()
+        wait = sorted(old)  # a sorted list is a heap
         n = self.shown.get()[0] if self.shown.exists() else 0
         out = []
         ended = False
         for r in _one_frame(rows, ["decode_no"]).itertuples():
-            wait.append((int(r.poc), int(r.decode_no)))
+            heapq.heappush(wait, (int(r.poc), int(r.decode_no)))
             ended = ended or bool(r.last)
             while len(wait) > (0 if ended else self.depth):
-                first = min(wait)
-                wait.remove(first)
-                out.append((*key, n, *first))
+                out.append((*key, n, *heapq.heappop(wait)))
                 n += 1
         if ended:
             self.pending.clear()
             self.shown.clear()
         else:
-            self.pending.put(wait) if wait else self.pending.clear()
+            for gone in old.difference(wait):
+                self.pending.removeKey(gone)
+            for new in set(wait).difference(old):
+                self.pending.updateValue(new, (True,))
             self.shown.update((n,))
         yield pd.DataFrame(out, columns=["stream", "epoch", "display_no", "poc", "decode_no"])
 
