@@ -57,13 +57,13 @@ def run_rows(tracks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def samples_per_chunk(chunks: DataFrame, runs: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
-    """Add spc to every chunk: the run it lies in, or the last run when it precedes them all."""
+    """Add spc to every chunk: the run it lies in, or the last run of the table (by run_no, else by first_chunk) when it precedes them all."""
     keys = list(keys)
     none = lambda n: F.lit(None).cast("bigint").alias(n)
     at = lambda c, side: (F.col(c) * 2 + side).cast("bigint").alias("at")  # noqa: E731  (a run sorts before the chunk it starts at)
     r = runs.select(*keys, at("first_chunk", 0), none("chunk_no"), none("chunk_off"), "spc")
     # the last run also stands before chunk 1, which gives early chunks their value without a join on the file
-    last = runs.groupBy(*keys).agg(F.max_by("spc", "first_chunk").alias("spc"))
+    last = runs.groupBy(*keys).agg(F.max_by("spc", "run_no" if "run_no" in runs.columns else "first_chunk").alias("spc"))
     r = r.unionByName(last.select(*keys, F.lit(-1).cast("bigint").alias("at"), none("chunk_no"), none("chunk_off"), "spc"))
     c = chunks.select(*keys, at("chunk_no", 1), "chunk_no", "chunk_off", none("spc"))
     found = last_at(r.unionByName(c), keys, ["at"], by_width("at"), {"hit": F.col("spc")})

@@ -291,8 +291,11 @@ def content_equal(live: DataFrame, ref: DataFrame, by: Sequence[str], payload: S
 
 def invariant_breaks(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows present in only one snapshot; empty means nothing changed."""
-    a = before.exceptAll(after).withColumn("side", F.lit("before"))
-    return a.unionByName(after.exceptAll(before).withColumn("side", F.lit("after")))
+    n = F.sum("__n")
+    both = before.withColumn("__n", F.lit(1)).unionByName(after.withColumn("__n", F.lit(-1)))
+    extra = both.groupBy(*[F.col(f"`{c}`") for c in before.columns]).agg(n.alias("__n")).where(F.col("__n") != 0)
+    side = F.array_repeat(F.when(F.col("__n") > 0, "before").otherwise("after"), F.abs("__n").cast("int"))
+    return extra.select(*[F.col(f"`{c}`") for c in before.columns], F.explode(side).alias("side"))
 
 
 def parse_tuples(text: Column) -> Column:

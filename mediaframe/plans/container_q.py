@@ -139,13 +139,14 @@ def _(spark, sf):
     return C.sample_sizes(tracks, ["file_id"]).unionByName(listed)
 
 
-CHUNKS2 = """(SELECT file_id, chunk_no, CASE WHEN file_id%3=0 THEN chunk_off+5000000000 ELSE chunk_off END AS chunk_off FROM chk WHERE file_id%3=0 OR file_id%2=0)"""
+CHUNKS2 = """(SELECT file_id, chunk_no, CASE WHEN file_id%3=0 THEN chunk_off+5000000000 ELSE chunk_off END AS chunk_off FROM chk)"""
 
 
 @query("container_chunk_table", "SELECT * FROM " + CHUNKS2, ["chk"])
 def _(spark, sf):
     c = fx.chunks(spark, sf)
-    narrow = c.where("file_id % 2 = 0").withColumn("box_off", F.lit(100).cast("bigint"))
+    # some files have the narrow table, some the wide one, some both
+    narrow = c.where("file_id % 6 <> 3").withColumn("box_off", F.lit(100).cast("bigint"))
     wide = c.where("file_id % 3 = 0").withColumn("box_off", F.lit(900).cast("bigint")).withColumn("chunk_off", F.col("chunk_off") + F.lit(5000000000))
     return C.chunk_table(narrow, wide)
 

@@ -110,15 +110,15 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, first_chunk, spc."""
+    """file_id, run_no, first_chunk, spc."""
     s = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
         s.alias("file_id"),
         F.inline(
             F.array(
-                F.struct(F.lit(1).cast("bigint").alias("first_chunk"), (1 + s % 3).alias("spc")),
-                F.struct((5 + s % 7).alias("first_chunk"), (2 + s % 4).alias("spc")),
-                F.struct((20 + s % 11).alias("first_chunk"), (1 + s % 5).alias("spc")),
+                F.struct(F.lit(0).alias("run_no"), F.lit(1).cast("bigint").alias("first_chunk"), (1 + s % 3).alias("spc")),
+                F.struct(F.lit(1).alias("run_no"), (5 + s % 7).alias("first_chunk"), (2 + s % 4).alias("spc")),
+                F.struct(F.lit(2).alias("run_no"), (20 + s % 11).alias("first_chunk"), (1 + s % 5).alias("spc")),
             )
         ),
     )

@@ -325,14 +325,15 @@ def _(spark, sf):
 @query(
     "trace_dictionary_diff",
     """SELECT addr, a.name AS name_a, b.name AS name_b, CASE WHEN a.name IS NULL THEN 'only_b' WHEN b.name IS NULL THEN 'only_a' ELSE 'differs' END AS state FROM
-       (SELECT p_partkey*4 AS addr, p_brand AS name FROM part WHERE p_size<40) a FULL JOIN
-       (SELECT p_partkey*4 AS addr, CASE WHEN p_size%10=0 THEN p_brand||'*' ELSE p_brand END AS name FROM part WHERE p_size>5) b USING (addr) WHERE a.name IS DISTINCT FROM b.name""",
+       (SELECT p_partkey*4 AS addr, p_brand AS name FROM part) a FULL JOIN
+       (SELECT p_partkey*4+CASE WHEN p_size>45 THEN 2 ELSE 0 END AS addr, CASE WHEN p_size%10=0 THEN p_brand||'*' ELSE p_brand END AS name FROM part) b USING (addr) WHERE a.name IS DISTINCT FROM b.name""",
 )
 def _(spark, sf):
     p = fx.table(spark, sf, "part")
-    addr = (F.col("p_partkey") * 4).alias("addr")
-    a = p.where("p_size < 40").select(addr, F.col("p_brand").alias("name"))
-    b = p.where("p_size > 5").select(addr, F.when(F.col("p_size") % 10 == 0, F.concat("p_brand", F.lit("*"))).otherwise(F.col("p_brand")).alias("name"))
+    addr = F.col("p_partkey") * 4
+    moved = addr + F.when(F.col("p_size") > 45, 2).otherwise(0)
+    a = p.select(addr.alias("addr"), F.col("p_brand").alias("name"))
+    b = p.select(moved.alias("addr"), F.when(F.col("p_size") % 10 == 0, F.concat("p_brand", F.lit("*"))).otherwise(F.col("p_brand")).alias("name"))
     return X.dictionary_diff(a, b)
 
 
