@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mediaframe.llm import chat, decontaminate, html, language, licenses, mixing, quality, simhash, tokens, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,3 +78,12 @@ def test_filters_keep_all_columns(spark):
         assert out.columns == docs.columns
         out.collect()
     assert mixing.mixed(docs).columns == [*docs.columns, "mix_epoch", "mix_words"]
+
+
+@pytest.mark.parametrize("rows", [[], ROWS, ROWS + [(100 + i, f"Text{i} has{i} " + " ".join(f"w{i}x{k}," for k in range(80)) + ".", "en", None if i % 3 else "s", 1) for i in range(12)]])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    clashing(spark.createDataFrame(rows, DOCS)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(BENCH if rows else [], ITEMS).write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*spark.read.parquet(str(tmp_path / "documents.parquet")).columns, "mix_epoch", "mix_words"]
+    assert {r.doc_id for r in out.collect()} <= {r[0] for r in rows}
