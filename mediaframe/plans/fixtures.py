@@ -241,12 +241,20 @@ def macroblock_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stream_id, dw, w. At most 40 words per stream (ten order keys of up to four words)."""
+    """stream_id, dw, w. At most 60 words per stream (ten order keys of up to six words); every packet fault and policy rule occurs."""
     k = F.col("o_orderkey")
     u = lambda c: F.pmod(c, F.lit(4294967296).cast("bigint"))
     L = lambda v: F.lit(v).cast("bigint")
     w = (
-        F.when(k % 6 == 0, F.array(L(2147483648)))
+        F.when(k % 40 == 9, F.array(L(5 * 65536 + 4352), u(k)))  # the last key of a stream: packets longer than what is left
+        .when(k % 40 == 19, F.array(L(1073741824), u(k)))
+        .when(k % 40 == 29, F.array(L(3221225472 + 7 * 65536 + 4096), u(k)))
+        .when(k % 30 == 1, F.array(L(4263), u(k)))  # a register never allowed
+        .when(k % 30 == 7, F.array(L(4166), u(k)))  # a register that may hang
+        .when(k % 18 == 4, F.array(L(3221225472 + 32512), u(k)))  # an unknown opcode
+        .when(k % 12 == 5, F.array(2147483649 + k % 100))  # a filler with low bits
+        .when(k % 12 == 2, F.array(L(4244), k % 64, L(131072 + 32768 + 4245), u(k), u(k + 1), u(k + 2)))  # a program with its slot
+        .when(k % 6 == 0, F.array(L(2147483648)))
         .when(k % 6 == 1, F.array(65536 + 4352 + k % 768, u(k), u(k * 3)))
         .when(k % 6 == 2, F.array(L(131072 + 32768 + 4245), u(k), u(k + 1), u(k + 2)))
         .when(k % 6 == 3, F.array(L(1073741824) + (k % 2048) * 2048 + (k * 7) % 2048, u(k), u(k * 5)))
@@ -348,7 +356,7 @@ def frame_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stream_id, line: the words of a stream as a comma list (at most 40 words)."""
+    """stream_id, line: the words of a stream as a comma list (at most 60 words)."""
     w = words(spark, sf_dir)
     tok = F.concat(F.lit("0x"), F.lower(F.lpad(F.hex("w"), 8, "0")))
     packed = w.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("dw", tok.alias("t")))).alias("a"))
@@ -435,13 +443,21 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY k,i)-1 AS dw, w FROM (
             SELECT o_orderkey//10 AS stream_id, o_orderkey AS k, unnest(a) AS w, generate_subscripts(a,1)-1 AS i FROM (
-              SELECT o_orderkey, CASE o_orderkey%6
+              SELECT o_orderkey, CASE WHEN o_orderkey%40=9 THEN [332032::BIGINT, o_orderkey%4294967296]
+                WHEN o_orderkey%40=19 THEN [1073741824::BIGINT, o_orderkey%4294967296]
+                WHEN o_orderkey%40=29 THEN [3221688320::BIGINT, o_orderkey%4294967296]
+                WHEN o_orderkey%30=1 THEN [4263::BIGINT, o_orderkey%4294967296]
+                WHEN o_orderkey%30=7 THEN [4166::BIGINT, o_orderkey%4294967296]
+                WHEN o_orderkey%18=4 THEN [3221257984::BIGINT, o_orderkey%4294967296]
+                WHEN o_orderkey%12=5 THEN [2147483649+o_orderkey%100]
+                WHEN o_orderkey%12=2 THEN [4244::BIGINT, o_orderkey%64, (131072+32768+4245)::BIGINT, o_orderkey%4294967296, (o_orderkey+1)%4294967296, (o_orderkey+2)%4294967296]
+                ELSE CASE o_orderkey%6
                 WHEN 0 THEN [2147483648::BIGINT]
                 WHEN 1 THEN [65536+4352+o_orderkey%768, o_orderkey%4294967296, (o_orderkey*3)%4294967296]
                 WHEN 2 THEN [(131072+32768+4245)::BIGINT, o_orderkey%4294967296, (o_orderkey+1)%4294967296, (o_orderkey+2)%4294967296]
                 WHEN 3 THEN [1073741824::BIGINT+(o_orderkey%2048)*2048+(o_orderkey*7)%2048, o_orderkey%4294967296, (o_orderkey*5)%4294967296]
                 WHEN 4 THEN [3221229568::BIGINT, o_orderkey%4294967296]
-                ELSE [0::BIGINT] END AS a FROM orders))""",
+                ELSE [0::BIGINT] END END AS a FROM orders))""",
     ),
     "tim": (
         (),

@@ -25,7 +25,7 @@ def _(spark, sf):
 
 
 def _captures(spark, sf):
-    """One capture per stream (at most 40 words); some with a wrong magic number, some with stray bytes at the end."""
+    """One capture per stream (at most 60 words); some with a wrong magic number, some with stray bytes at the end."""
     w = fx.words(spark, sf).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("dw", u32_hex(F.col("w")).alias("h")))).alias("a"))
     s = F.col("stream_id")
     magic = F.when(s % 13 == 0, "50414331").otherwise("50414330")

@@ -131,6 +131,28 @@ def _(spark, sf):
     return X.distinct_registers(_writes(spark, sf))
 
 
+@query(
+    "trace_findings_allowed",
+    FIND.replace(" WHEN addr IN (" + ",".join(map(str, X.HANG_RISK)) + ") THEN 'hang_risk'", " WHEN addr IN (" + ",".join(map(str, X.HANG_RISK)) + ") THEN NULL")
+    + " SELECT rule, severity, count(*) AS n FROM f GROUP BY ALL",
+    ["word"],
+)
+def _(spark, sf):
+    """Findings by rule with the switch that allows the registers that may hang."""
+    w, h = _heads(spark, sf)
+    return X.findings(w, h, X.register_dim(spark), allow_hang_risk=True).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query(
+    "trace_findings_by_rule",
+    FIND + " SELECT rule, severity, count(*) AS n FROM f GROUP BY ALL",
+    ["word"],
+)
+def _(spark, sf):
+    w, h = _heads(spark, sf)
+    return X.findings(w, h, X.register_dim(spark)).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
 @query(
     "trace_gate",
     FIND
@@ -236,7 +258,7 @@ def _(spark, sf):
 
 @query(
     "trace_program_words",
-    """SELECT p.stream_id, p.dw AS prog_dw, NULL::BIGINT AS slot, d.dw-p.dw-1 AS k, d.w FROM word p JOIN word d ON d.stream_id=p.stream_id AND d.dw>p.dw AND d.dw<=p.dw+((p.w>>16)&16383)+1 WHERE p.w & 65535 = 37013 AND p.w>>30=0""",
+    """SELECT p.stream_id, p.dw AS prog_dw, CASE WHEN l2 & 65535 = 4244 THEN l1 END AS slot, d.dw-p.dw-1 AS k, d.w FROM (SELECT *, lag(w,1) OVER q AS l1, lag(w,2) OVER q AS l2 FROM word WINDOW q AS (PARTITION BY stream_id ORDER BY dw)) p JOIN word d ON d.stream_id=p.stream_id AND d.dw>p.dw AND d.dw<=p.dw+((p.w>>16)&16383)+1 WHERE p.w & 65535 = 37013 AND p.w>>30=0""",
     ["word"],
 )
 def _(spark, sf):

@@ -84,7 +84,7 @@ def _(spark, sf):
 def _(spark, sf):
     U.register_table_functions(spark)
     w = fx.words(spark, sf)
-    # at most 40 words per stream
+    # at most 60 words per stream
     packed = w.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("dw", "w"))).alias("a")).select("stream_id", F.col("a.w").alias("words"))
     packed.createOrReplaceTempView("mediaframe_buffers")
     return spark.sql("SELECT stream_id, p.* FROM mediaframe_buffers, LATERAL packets(words) p")
