@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mediaframe import schemas as S
 from mediaframe.functions.bits import clip, int_div
 from mediaframe.functions.ordered import by_width
 from mediaframe.operators import blocks as B
@@ -73,6 +74,16 @@ def _(spark, sf):
     return B.scatter(t, KEY, "b", "residual")
 
 
+@query(
+    "blocks_dc_order",
+    f"SELECT file_id, frame, seq, array_to_string(list_transform({list(S.LUMA_DC_FROM)}, lambda i: c[i+1]), ',') AS dc FROM mb",
+    ["mb"],
+)
+def _(spark, sf):
+    ordered = F.transform(B.dc_order(F.col("c")), lambda v: v.cast("string"))
+    return fx.macroblocks(spark, sf).select(*KEY, F.array_join(ordered, ",").alias("dc"))
+
+
 # filter sums and half samples with clamped edges
 TAPS = """WITH cl AS (SELECT frame, x, y, ref AS v FROM pix),
   g AS (SELECT frame, list(v ORDER BY y, x) AS a FROM cl GROUP BY frame),
