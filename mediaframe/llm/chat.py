@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import column
+from mediaframe.llm.common import column, small_batches
 
 CONTROLS = ("<turn>", "<text>", "</turn>")
 TEMPLATE = """
@@ -466,7 +466,7 @@ def formatted(turns: DataFrame, template: str = TEMPLATE, controls: tuple[str, .
                 n += len(t)
             yield (conv, part, "".join(out), spans), n
 
-    ordered = turns.select(*[column(c).alias(c) for c in ("conv_id", "turn", "role", "text")])
+    ordered = small_batches(turns).select(*[column(c).alias(c) for c in ("conv_id", "turn", "role", "text")])
     ordered = ordered.withColumn("conv_id", F.col("conv_id").cast("bigint")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(lambda it: _flushed(parts(_rows(it)), schema, part_chars), PARTS)
 

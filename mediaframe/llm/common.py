@@ -23,6 +23,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of at most BATCH_ROWS rows in its session from here on.
+
+    Spark sizes batches by rows alone and 10,000 long texts, held as Arrow and again as Python strings, are too many for a
+    worker. The setting belongs to the session because Spark reads it when the plan runs; a smaller value is left alone.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def column(name: str) -> Column:
     """A column by its literal name, dots included."""
     return F.col(f"`{name.replace('`', '``')}`")

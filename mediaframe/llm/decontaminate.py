@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaframe.llm.common import column, runs, stored, utf8
+from mediaframe.llm.common import column, runs, small_batches, stored, utf8
 
 WIDTH = 10
 BLOCK_BYTES = 32 << 20
@@ -178,6 +178,7 @@ def find_hits(
     width: int = WIDTH, block_bytes: int = BLOCK_BYTES, out: str = "hits",
 ) -> DataFrame:
     """docs with the struct column ``out`` (n_words, spans, items)."""
+    docs = small_batches(docs)
     blocks = list(_blocks(benchmark, item_id, item_text, block_bytes))
     for k, block in enumerate(blocks):
         index = docs.sparkSession.sparkContext.broadcast(NgramIndex.build([tuple(r) for r in block], width))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaframe.llm.common import column
+from mediaframe.llm.common import column, small_batches
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*>", re.S
@@ -308,4 +308,4 @@ def extracted(pages: pd.Series) -> pd.Series:
 def report(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     text = extracted(column(html))
-    return pages.select(column(page_id).alias("page_id"), column(url).alias("url"), text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    return small_batches(pages).select(column(page_id).alias("page_id"), column(url).alias("url"), text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

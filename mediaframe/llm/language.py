@@ -10,8 +10,9 @@ likelihoods at the per-character scale of SCALE characters. Rejection is calibra
 the mean and spread of their cross-entropy, the spread modelled as a + b / length, and a text further than ``z`` spreads
 above its language's mean is rejected.
 
-Size bound: the model goes to every task, so it holds at most ``max_grams`` grams per language. All grams are counted;
-should a language have more, the rarest counts are cut off whole (a count cut-off, as usual with these models).
+Size bound: the model goes to every task, so it holds at most ``max_grams`` grams per language and MAX_CELLS probabilities in
+all. All grams are counted; should a language have more, the rarest counts are cut off whole (a count cut-off, as usual with these
+models).
 
 Defined cases: texts that are null, empty or without a letter are ``und`` with score 0 and rejected; equal entropies go to
 the language that sorts first; rows with a null id or language train nothing; repeated rows count repeatedly; with no
@@ -28,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaframe.llm.common import column, runs, stored
+from mediaframe.llm.common import column, runs, small_batches, stored
 
 ORDER = 4
-MAX_GRAMS = 1_000_000
-Z = 6.0
+MAX_GRAMS = 500_000
+MAX_CELLS = 16_000_000  # grams of all languages times languages
+Z = 8.0
 SCALE = 20.0
-FLOOR = 0.05  # least spread of the entropy, nats per character
+FLOOR = 0.1  # least spread of the entropy, nats per character
+RUN_CHARS = 1 << 20  # characters handled at once, at about 100 bytes each
 UNDETERMINED = "und"
 
 VERDICT = T.StructType([
@@ -80,7 +83,8 @@ def grams(texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     chars, owner = letters(texts)
     if not len(chars):
         return np.empty(0, np.uint64), owner
-    first = np.searchsorted(owner, owner)  # where the character's text begins
+    begin = np.flatnonzero(np.diff(owner, prepend=-1))
+    first = np.repeat(begin, np.diff(np.append(begin, len(owner))))  # where the character's text begins
     at, out = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
     for back in range(order - 1, -1, -1):
         c = np.full(len(chars), 32, np.uint64)
@@ -102,20 +106,21 @@ def gram_counts(train: DataFrame, lang: str, text: str, order: int = ORDER) -> D
         for df in batches:
             for name, part in df.groupby("lang", sort=True):
                 texts = part["text"].tolist()
-                for a, b in runs(texts):
+                for a, b in runs(texts, RUN_CHARS):
                     g, n = np.unique(grams(texts[a:b], order)[0], return_counts=True)
                     yield pd.DataFrame({"lang": name, "gram": g.view(np.int64), "n": n})
 
-    rows = train.select(column(lang).alias("lang"), column(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = small_batches(train).select(column(lang).alias("lang"), column(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     return rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def bounded(counts: DataFrame, max_grams: int) -> DataFrame:
     """Counts with at most ``max_grams`` grams a language, cut at a count."""
     levels = counts.groupBy("lang", "n").agg(F.count("*").alias("types"))
-    sizes = levels.groupBy("lang").agg(F.sum("types").alias("all")).where(F.col("all") > max_grams).collect()
+    sizes = levels.groupBy("lang").agg(F.sum("types").alias("all")).collect()
+    max_grams = min(max_grams, max(1, MAX_CELLS // max(1, len(sizes)) ** 2))
     cut = {}
-    for r in sizes:  # a level of the count table at a time, from the top
+    for r in (r for r in sizes if r["all"] > max_grams):  # a level of the count table at a time, from the top
         seen = 0
         for n, types in levels.where(F.col("lang") == r["lang"]).orderBy(F.desc("n")).select("n", "types").toLocalIterator():
             if seen + types > max_grams:
@@ -196,7 +201,7 @@ class Model:
     def entropies(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character (texts x languages) and the number of characters behind it."""
         sums, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        for a, b in runs(texts):
+        for a, b in runs(texts, RUN_CHARS):
             g, owner = grams(texts[a:b])
             kinds = np.sort(np.unique(g))
             logs = self.log_prob(kinds)
@@ -256,7 +261,7 @@ def calibrated(model: Model, docs: DataFrame, lang: str, text: str) -> Model:
             out = pd.DataFrame({"j": j, "long": n[ok] >= 1000, "e": e, "e2": e * e, "inv": 1.0 / n[ok], "n": 1})
             yield out.groupby(["j", "long"], as_index=False).sum()
 
-    rows = docs.select(column(lang).alias("lang"), column(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = small_batches(docs).select(column(lang).alias("lang"), column(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     parts = rows.mapInPandas(sums, "j long, long boolean, e double, e2 double, inv double, n long")
     table = parts.groupBy("j", "long").agg(*[F.sum(c).alias(c) for c in ("e", "e2", "inv", "n")]).toPandas()
     k = len(model.langs)
@@ -284,7 +289,7 @@ def judged(df: DataFrame, model: Model, text: str = "text", out: str = "language
     def verdict(texts: pd.Series) -> pd.DataFrame:
         return shared.value.judge(texts.tolist(), z)
 
-    return df.withColumn(out, verdict(column(text)))
+    return small_batches(df).withColumn(out, verdict(column(text)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mediaframe.functions.ordered import running_sum
-from mediaframe.llm.common import column, stored
+from mediaframe.llm.common import column, small_batches, stored
 
 BLOCK_WORDS = 64
 CHUNK = 1 << 16
@@ -177,7 +177,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     parts = placed.select("no", "off", "size", F.col("doc_id").alias("__id"), F.col("h").alias("__h")).where("size > 0").withColumn("__dup", F.row_number().over(same))
     parts = parts.join(_taken(placed, sources, most, block_words).hint("merge"), ["no", "off"])
     parts = parts.select("__id", "__h", "__dup", F.col("size").alias("__size"), F.col("epoch").alias("__epoch"), F.col("words").alias("__words"))
-    rows = docs.select("*", column(doc_id).alias("__i"), F.xxhash64(column(text)).alias("__g"))
+    rows = small_batches(docs).select("*", column(doc_id).alias("__i"), F.xxhash64(column(text)).alias("__g"))
     rows = rows.withColumn("__d", F.row_number().over(Window.partitionBy("__i", "__g").orderBy(F.lit(1))))
     out = rows.join(parts.hint("merge"), F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__g") == F.col("__h")) & (F.col("__d") == F.col("__dup")))
     part = F.col("__words") < F.col("__size")

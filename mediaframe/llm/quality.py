@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaframe.llm.common import SPACE, column, utf8
+from mediaframe.llm.common import SPACE, column, small_batches, utf8
 
 MIN_WORDS = 50
 MAX_LOST = 0.5
@@ -54,6 +54,8 @@ FIGURES = T.StructType([
     T.StructField("base_failed", T.BooleanType()),
     T.StructField("kept", T.BooleanType()),
 ])
+#: with the text without its failing lines where there are some
+CLEANED = T.StructType([*FIGURES.fields, T.StructField("clean", T.StringType())])
 
 
 def line_fails(line: str, words: list[str]) -> str | None:
@@ -128,20 +130,20 @@ def measured(df: DataFrame, text: str = "text", out: str = "quality", min_words:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([figures(t, min_words, max_lost) for t in texts], columns=FIGURES.names)
 
-    return df.withColumn(out, run(column(text)))
+    return small_batches(df).withColumn(out, run(column(text)))
 
 
 def keep_good(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_lost: float = MAX_LOST, strip_lines: bool = True) -> DataFrame:
     """Kept documents with the columns of df; their failing lines are removed unless ``strip_lines`` is off."""
-    kept = measured(df, text, "__q", min_words, max_lost).where("__q.kept")
-    if strip_lines:
 
-        @F.pandas_udf("string")
-        def strip(texts: pd.Series) -> pd.Series:
-            return texts.map(clean_text)
+    @F.pandas_udf(CLEANED)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [figures(t, min_words, max_lost) for t in texts]
+        clean = [clean_text(t) if strip_lines and f[-1] and f[-3] else None for t, f in zip(texts, found, strict=True)]
+        return pd.DataFrame(found, columns=FIGURES.names).assign(clean=pd.Series(clean, dtype=object))
 
-        kept = kept.withColumn(text, F.when(F.col("__q.lost_words") > 0, strip(F.when(F.col("__q.lost_words") > 0, column(text)))).otherwise(column(text)))
-    return kept.drop("__q")
+    kept = small_batches(df).withColumn("__q", run(column(text))).where("__q.kept")
+    return kept.withColumn(text, F.coalesce("__q.clean", column(text))).drop("__q")
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.functions.skew import spread_join
-from mediaframe.llm.common import column, stored, utf8
+from mediaframe.llm.common import column, small_batches, stored, utf8
 
 SHINGLE = 4
 RADIUS = 4
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(t, shingle)) for t in texts], dtype="int64")
 
-    return docs.select(column(doc_id).alias("doc_id"), prints(column(text)).alias("fp"))
+    return small_batches(docs).select(column(doc_id).alias("doc_id"), prints(column(text)).alias("fp"))
 
 
 def band_masks(radius: int, bands: int) -> list[int]:

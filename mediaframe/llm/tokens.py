@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaframe.llm.common import column, utf8
+from mediaframe.llm.common import column, small_batches, utf8
 
 LIMIT = 1024
 CHUNK_CHARS = 8192
@@ -238,7 +238,7 @@ def counted(df: DataFrame, path: str, text: str = "text", out: str = "tokens") -
         c = counter(path)
         return pd.DataFrame([(len(utf8(t)), c.count(t)) for t in texts], columns=COUNTS.names)
 
-    return df.withColumn(out, run(column(text)))
+    return small_batches(df).withColumn(out, run(column(text)))
 
 
 def report(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:

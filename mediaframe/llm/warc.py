@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions.lineage import work_dir
 from mediaframe.functions.skew import spread_join
-from mediaframe.llm.common import column, stored
+from mediaframe.llm.common import column, small_batches, stored
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 16 << 20
@@ -236,7 +236,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
         if lines:
             yield pa.RecordBatch.from_pandas(close(), preserve_index=False)
 
-    listed = placed(pages, **columns).mapInArrow(write, "path string, bytes long, records long")
+    listed = placed(small_batches(pages), **columns).mapInArrow(write, "path string, bytes long, records long")
     return stored(listed.withColumn("folder", F.lit(folder)), "archives")
 
 
