@@ -34,7 +34,7 @@ CHUNK = 1 << 16
 WEIGHTS = (5, 2, 1)
 MOST = 3
 MAX_SOURCES = 100_000
-ROWS_A_BUCKET = 10_000
+ROWS_A_BUCKET = 1000
 GOLDEN = 0x9E3779B97F4A7C15  # 2^64 / golden ratio
 
 
