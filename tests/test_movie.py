@@ -113,3 +113,10 @@ def test_scan_bytes_prunes_content(spark, tmp_path, movie_bytes):
     f = scan_bytes(spark, str(tmp_path), "*.mp4")
     assert [(r.length) for r in f.select("length").collect()] == [len(movie_bytes)]
     assert units_of(f).count() == 6
+
+
+def test_samples_beyond_the_last_chunk_are_left_out(spark):
+    sizes = spark.createDataFrame([(1, i, 10) for i in range(5)], "file_id long, sample_idx long, size long")
+    chunks = spark.createDataFrame([(1, 1, 100, 2), (1, 2, 200, 1)], "file_id long, chunk_no long, chunk_off long, spc long")
+    got = [(r.sample_idx, r.chunk_no, r.off) for r in C.expand_samples(sizes, chunks).orderBy("sample_idx").collect()]
+    assert got == [(0, 1, 100), (1, 1, 110), (2, 2, 200)]
