@@ -7,7 +7,8 @@ Words are runs of non-white-space (ASCII white space). Line rules, on lines with
 * shouting: three words or more, upper case and no lower case;
 * stutter: eight words or more, a third of them equal to the word before;
 * boilerplate: at most 20 words with a phrase of cookie banners, site menus or copyright lines;
-* punctuation: 12 words or more and not one of them ends a sentence or clause.
+* punctuation: 12 words or more and not one of them ends a sentence or clause, by the marks of any script; a line with a word in
+  a script written without such marks (Thai, Lao) passes.
 
 A document is rejected if its base figures fail (fewer than ``min_words`` words; more than half of its words inside
 3-word windows found twice or more) or if more than ``max_lost`` of its words stand on failing lines.
@@ -36,7 +37,25 @@ BOILERPLATE = (
     r"newsletter|click here|read more|share (this|on)|follow us|powered by|skip to (main )?content)"
 )
 SEPARATOR = r"[!-/:-@\[-`{-~»›•·–—→]+"
-STOP = r"[.!?…。,;:][\"')\]»”’]*$"
+# Unicode's Terminal_Punctuation (sentence and clause marks of all scripts) beyond ASCII, without the word dividers U+1361 and
+# U+16EB-16ED, with the Armenian marks that stand inside a word. Scripts without spaces put them inside a word, so they count anywhere.
+MARKS = (
+    "\u037E\u0387\u055C-\u055E\u0589\u05C3\u060C\u061B\u061D-\u061F\u06D4\u0700-\u070A\u070C\u07F8\u07F9\u0830-\u0835\u0837-\u083E\u085E"
+    "\u0964\u0965\u0E5A\u0E5B\u0F08\u0F0D-\u0F12\u104A\u104B\u1362-\u1368\u166E\u1735\u1736\u17D4-\u17D6\u17DA\u1802-\u1805\u1808\u1809"
+    "\u1944\u1945\u1AA8-\u1AAB\u1B4E\u1B4F\u1B5A\u1B5B\u1B5D-\u1B5F\u1B7D-\u1B7F\u1C3B-\u1C3F\u1C7E\u1C7F\u2024\u203C\u203D\u2047-\u2049"
+    "\u2CF9-\u2CFB\u2E2E\u2E3C\u2E41\u2E4C\u2E4E\u2E4F\u2E53\u2E54\u2E60\u2E61\u3001\u3002\uA4FE\uA4FF\uA60D-\uA60F\uA6F3-\uA6F7\uA876"
+    "\uA877\uA8CE\uA8CF\uA92F\uA9C7-\uA9C9\uAA5D-\uAA5F\uAADF\uAAF0\uAAF1\uABEB\uFE12\uFE15\uFE16\uFE50-\uFE52\uFE54-\uFE57\uFF01\uFF0C"
+    "\uFF0E\uFF1A\uFF1B\uFF1F\uFF61\uFF64\U0001039F\U000103D0\U00010857\U0001091F\U00010A56\U00010A57\U00010AF0-\U00010AF5"
+    "\U00010B3A-\U00010B3F\U00010B99-\U00010B9C\U00010F55-\U00010F59\U00010F86-\U00010F89\U00011047-\U0001104D\U000110BE-\U000110C1"
+    "\U00011141-\U00011143\U000111C5\U000111C6\U000111CD\U000111DE\U000111DF\U00011238-\U0001123C\U000112A9\U000113D4\U000113D5"
+    "\U0001144B-\U0001144D\U0001145A\U0001145B\U000115C2-\U000115C5\U000115C9-\U000115D7\U00011641\U00011642\U0001173C-\U0001173E"
+    "\U00011944\U00011946\U00011A42\U00011A43\U00011A9B\U00011A9C\U00011AA1\U00011AA2\U00011C41-\U00011C43\U00011C71\U00011EF7\U00011EF8"
+    "\U00011F43\U00011F44\U00012470-\U00012474\U00016A6E\U00016A6F\U00016AF5\U00016B37-\U00016B39\U00016B44\U00016D6E\U00016D6F\U00016E97"
+    "\U00016E98\U0001BC9F\U0001DA87-\U0001DA8A"
+)
+# Thai, Lao, New Tai Lue, Tai Viet; Linear A and B, Old Italic, Gothic, hieroglyphs
+UNMARKED = "\u0E01-\u0E4F\u0E81-\u0EDF\u1980-\u19DF\uAA80-\uAADD\U00010000-\U000100FA\U00010300-\U0001034A\U00010600-\U00010767\U00013000-\U0001343F"
+STOP = f"[.!?…,;:·][\"')\\]»”’“‘«›‹]*$|[{MARKS}{UNMARKED}]"
 
 _WORD = re.compile(r"[^ \t-\r]+")
 _BOILER = re.compile(BOILERPLATE, re.I)

@@ -97,6 +97,29 @@ def test_line_rules(line, rule):
     assert quality.line_fails(line, line.split()) == rule
 
 
+SCRIPTS = {
+    "Urdu": ("یہ ایک سادہ جملہ ہے جو کتاب کے بارے میں بہت کچھ بتاتا ہے", "۔"), "Arabic": ("ذهب الولد إلى السوق مع أخيه ثم عاد إلى البيت قبل غروب الشمس", "؟"),
+    "Persian": ("او هر روز به کتابخانه می رود و کتاب تازه ای برای خواندن", "؛"), "Hindi": ("यह एक सरल वाक्य है जो पुस्तक के बारे में बहुत कुछ बताता", "।"),
+    "Amharic": ("ይህ ቀላል ዓረፍተ ነገር ነው ስለ መጽሐፉ ብዙ ነገር የሚናገር እና ረጅም የሆነ", "።"), "Armenian": ("սա պարզ նախադասություն է որը շատ բան է պատմում այդ գրքի մասին մեզ", "։"),
+    "Khmer": ("នេះ ជា ប្រយោគ សាមញ្ញ មួយ ដែល និយាយ អំពី សៀវភៅ និង អ្នក អាន ច្រើន", "។"), "Burmese": ("ဒါ က ရိုးရှင်း တဲ့ ဝါကျ တစ်ခု ဖြစ် ပြီး စာအုပ် အကြောင်း ပြော ပါ တယ်", "။"),
+    "Tibetan": ("འདི ནི ཚིག སྟབས བདེ ཞིག ཡིན པས དེབ ཀྱི སྐོར བཤད", "།"), "Chinese": ("这 是 一 个 简单 的 句子 它 说明 了 书 的 内容", "！"), "Japanese": ("これ は 本 に ついて 多く の こと を 語る 文 です", "？よ"),
+    "Greek": ("αυτή είναι μια απλή πρόταση που λέει πολλά για το βιβλίο μας", "·"), "Syriac": ("ܗܢܐ ܗܘ ܦܬܓܡܐ ܦܫܝܛܐ ܕܡܡܠܠ ܥܠ ܟܬܒܐ ܘܥܠ ܩܪܘܝܐ ܕܝܠܗ ܒܝܬܐ ܪܒܐ", "܀"),
+    "Thai": ("นี่ คือ ประโยค ง่าย ๆ ที่ บอก เรื่อง ของ หนังสือ ให้ ผู้อ่าน", ""), "Lao": ("ນີ້ ແມ່ນ ປະໂຫຍກ ງ່າຍ ທີ່ ບອກ ເລື່ອງ ຂອງ ປຶ້ມ ໃຫ້ ຜູ້ ອ່ານ ຮູ້", ""),
+    "German": ("sie sagte ihm gestern noch einmal ganz leise „komm doch bald zu mir zurück", ".“"),
+}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_clean_text_of_every_script_is_kept(script):
+    words, stop = SCRIPTS[script]
+    text = "\n".join(f"{words} {i}{chr(97 + i % 26) if script == 'German' else words.split()[i % 11]}{i * i}{stop}" for i in range(10))
+    assert all(len(x.split()) >= 12 and quality.line_fails(x, x.split()) is None for x in text.split("\n"))
+    assert quality.figures(text, max_lost=0)[5] == 0 and quality.clean_text(text) == text
+    if stop:  # the mark decides, not the script
+        bare = text.split("\n")[0].removesuffix(stop)
+        assert quality.line_fails(bare, bare.split()) == "punctuation"
+
+
 def test_lines_are_removed_before_documents_are_judged():
     prose = "\n".join(f"Line{i} tells{i} of{i} things{i} that{i} are{i} new{i}." for i in range(10))
     junk = "\n".join(f"Home{i} / News{i} / Sport{i} / Contact{i}" for i in range(3))
