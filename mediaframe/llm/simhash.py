@@ -16,7 +16,7 @@ round are written to the shared folder.
 
 Defined cases: null, empty and wordless texts have fingerprint zero and are linked like any other; a text shorter than
 the shingle is one shingle; a null doc_id never names a component unless all of its documents have none; repeated rows
-stay repeated rows. Extra columns are not read.
+stay repeated rows in the report, while ``keep_one`` judges rows and keeps one of them. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -62,14 +62,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-
+def _prints(shingle: int):
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(t, shingle)) for t in texts], dtype="int64")
 
-    return small_batches(docs).select(column(doc_id).alias("doc_id"), prints(column(text)).alias("fp"))
+    return prints
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long)."""
+    return small_batches(docs).select(column(doc_id).alias("doc_id"), _prints(shingle)(column(text)).alias("fp"))
 
 
 def band_masks(radius: int, bands: int) -> list[int]:
@@ -194,18 +197,22 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def named(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, bands: int = BANDS) -> DataFrame:
+    """fp, root, component_id for every distinct fingerprint of prints (doc_id, fp); root is the component's smallest fingerprint."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    linked = stored(components(links(distinct.select("fp"), radius, tile, bands)), "components")
+    roots = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    roots = roots.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return stored(roots.join(ids, "root").select("fp", "root", "component_id"), "named")
+
+
 def clustered(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, bands: int = BANDS
 ) -> DataFrame:
     """doc_id, fp, component_id for every row."""
     prints = stored(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = stored(components(links(distinct.select("fp"), radius, tile, bands)), "components")
-    named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = stored(named.join(ids, "root").select("fp", "component_id"), "named")
-    return spread_join(prints, final, "fp", "doc_id").select("doc_id", "fp", "component_id")
+    return spread_join(prints, named(prints, radius, tile, bands), "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -214,8 +221,17 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The document with the smallest id of each component, with the columns of docs. doc_id should be unique; rows without
-    one are kept."""
-    names = clustered(docs, doc_id, text, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(names.withColumnRenamed("doc_id", "__gone"), column(doc_id) == F.col("__gone"), "left_anti")
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, bands: int = BANDS
+) -> DataFrame:
+    """One row of each component, with the columns of docs: the smallest doc_id, nulls last, and of equal ones the first by row number.
+
+    Rows are numbered as they are written out with their fingerprint, so a row keeps its number.
+    """
+    rows = small_batches(docs).withColumn("__fp", _prints(shingle)(column(text))).withColumn("__row", F.monotonically_increasing_id())
+    rows = stored(rows, "rows")
+    prints = rows.select(column(doc_id).alias("doc_id"), F.col("__fp").alias("fp"), "__row")
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__row")).alias("first")
+    firsts = prints.groupBy("fp").agg(first).join(named(prints, radius, tile, bands), "fp")
+    kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select("first.__row")
+    return rows.join(kept, "__row", "left_semi").select(*map(column, docs.columns))

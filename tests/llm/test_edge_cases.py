@@ -87,3 +87,15 @@ def test_pipeline_on_odd_tables(spark, tmp_path, rows):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == [*spark.read.parquet(str(tmp_path / "documents.parquet")).columns, "mix_epoch", "mix_words"]
     assert {r.doc_id for r in out.collect()} <= {r[0] for r in rows}
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    texts = [" ".join(f"{c}{k}{c * (k % 5)}" for k in range(60)) for c in "abcdef"]
+    rows = [
+        (7, texts[0], "x"), (7, texts[0], "x"), (7, texts[0], "x"),  # repeated rows
+        (None, texts[1], "x"), (None, texts[1], "y"), (None, texts[2], "x"), (9, texts[2], "x"), (None, texts[5], "x"),  # no id
+        (1, texts[3], "x"), (2, texts[3], "x"), (2, texts[4], "x"),  # one id, a copy and a text of its own
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = sorted(((r.doc_id, texts.index(r.text)) for r in simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([(7, 0), (None, 1), (9, 2), (None, 5), (1, 3), (2, 4)], key=str)
