@@ -6,7 +6,7 @@ Spark); lower orders use continuation counts, discounts come from the counts of
 64-bit gram hashes with a row of probabilities per language beside it, looked up by binary search.
 
 A text goes to the language with the lowest cross-entropy per character. ``score`` is that language's share of the
-likelihoods at the per-character scale of SCALE characters. Rejection is calibrated on the training texts: per language
+likelihoods at the per-character scale of SCALE characters. Rejection is calibrated on the training texts (cross-fitted with ``folds``): per language
 the mean and spread of their cross-entropy, the spread modelled as a + b / length, and a text further than ``z`` spreads
 above its language's mean is rejected.
 
@@ -22,6 +22,7 @@ training text at all every text is ``und``. Extra columns are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -232,22 +233,39 @@ class Model:
         })
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
-    """Model of all rows of docs with a text and a language, calibrated on the same rows."""
-    counts = bounded(stored(gram_counts(docs, lang, text, order), "grams"), max_grams)
+def fitted(counts: DataFrame, order: int, max_grams: int) -> Model:
     found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    table = counts.toPandas()  # at most max_grams rows a language
+    table = bounded(counts, max_grams).toPandas()  # at most max_grams rows a language
     for name, part in table.groupby("lang"):
         found[str(name)] = part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy()
-    model = Model.fit(found, order)
-    return calibrated(model, docs, lang, text) if found else model
-
-
-def calibrated(model: Model, docs: DataFrame, lang: str, text: str) -> Model:
-    """Mean and spread of the entropy of each language's own texts, from sums over all of them.
-
-    Two length classes give two equations for the spread a + b / n; texts are counted with the class's mean 1 / n.
-    """
+    return Model.fit(found, order)
+
+
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, max_grams: int = MAX_GRAMS, folds: int = 1) -> Model:
+    """Model of all rows of docs with a text and a language. With two ``folds`` or more it is calibrated by cross-fitting, each
+    fold (equal texts share one) judged by a model of the others; otherwise on the rows it learned from."""
+    if folds < 2:
+        model = fitted(stored(gram_counts(docs, lang, text, order), "grams"), order, max_grams)
+        return calibrated(model, entropy_sums(model, docs, lang, text)) if model.langs else model
+    fold = F.pmod(F.xxhash64(column(text)), F.lit(folds))
+    parts = [docs.where(fold == k) for k in range(folds)]
+    counts = [stored(gram_counts(part, lang, text, order), "grams") for part in parts]
+
+    def summed(tables: list[DataFrame]) -> DataFrame:
+        return stored(reduce(DataFrame.unionByName, tables).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+
+    model, sums = fitted(summed(counts), order, max_grams), []
+    for k in range(folds):
+        others = fitted(summed(counts[:k] + counts[k + 1 :]), order, max_grams)
+        if others.langs:
+            sums.append(entropy_sums(others, parts[k], lang, text))
+    if sums and sum(map(len, sums)):
+        return calibrated(model, pd.concat(sums).groupby(["lang", "long"], as_index=False).sum())
+    return calibrated(model, entropy_sums(model, docs, lang, text)) if model.langs else model
+
+
+def entropy_sums(model: Model, docs: DataFrame, lang: str, text: str) -> pd.DataFrame:
+    """Per language and length class (long), over its own texts: sums of entropy, its square, 1 / length, and rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = {n: i for i, n in enumerate(model.langs)}
 
@@ -264,10 +282,22 @@ def calibrated(model: Model, docs: DataFrame, lang: str, text: str) -> Model:
     rows = small_batches(docs).select(column(lang).alias("lang"), column(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     parts = rows.mapInPandas(sums, "j long, long boolean, e double, e2 double, inv double, n long")
     table = parts.groupBy("j", "long").agg(*[F.sum(c).alias(c) for c in ("e", "e2", "inv", "n")]).toPandas()
+    return table.assign(lang=[model.langs[int(j)] for j in table["j"]]).drop(columns="j")
+
+
+def calibrated(model: Model, table: pd.DataFrame) -> Model:
+    """Mean and spread of the entropy of each language's own texts, from the sums over all of them.
+
+    Two length classes give two equations for the spread a + b / n; texts are counted with the class's mean 1 / n. A language
+    no fold could judge (all its texts in one) takes the widest figures of the others.
+    """
+    place = {n: i for i, n in enumerate(model.langs)}
     k = len(model.langs)
     mean, a, b = np.full(k, np.inf), np.full(k, FLOOR**2), np.zeros(k)
-    for j, part in table.groupby("j"):
-        j, n = int(j), part["n"].sum()
+    for name, part in table.groupby("lang"):
+        if name not in place:
+            continue
+        j, n = place[name], part["n"].sum()
         mean[j] = part["e"].sum() / n
         var = {bool(r.long): (max(0.0, r.e2 / r.n - 2 * mean[j] * r.e / r.n + mean[j] ** 2), r.inv / r.n) for r in part.itertuples()}
         short, long = var.get(False), var.get(True)
@@ -277,6 +307,9 @@ def calibrated(model: Model, docs: DataFrame, lang: str, text: str) -> Model:
         else:
             v, inv = short or long
             b[j] = v / inv
+    judged = np.isfinite(mean)
+    if judged.any():
+        mean[~judged], a[~judged], b[~judged] = mean[judged].max(), a[judged].max(), b[judged].max()
     model.mean, model.spread = mean, np.stack([a, b])
     return model
 

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from mediaframe.llm import decontaminate, html, language, licenses, quality, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -176,6 +177,22 @@ def test_language_models_tell_held_out_texts(spark):
     assert odd["rejected"].tolist() == [True, True, True, True, False] and odd["lang"].tolist()[1:] == ["und", "und", "und", "aa"]
 
 
+def test_language_stage_learns_all_labelled_rows(spark):
+    rnd = random.Random(11)
+    sounds = {"aa": ("klmt", "aio"), "bb": ("strv", "yě"), "cc": ("pqdf", "uö"), "dd": ("жшчщ", "ыэю")}
+
+    def text(lang, n):
+        c, v = sounds[lang]
+        return " ".join("".join(rnd.choice(c) + rnd.choice(v) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+
+    rows = [(i, text(lang, 60), lang) for i, lang in enumerate(["aa", "bb"] * 100)]
+    rows += [(None, text("cc", 60), "cc") for _ in range(12)]  # rare, and without an id
+    rows += [(1000 + i, text("cc", 60), None) for i in range(20)] + [(2000 + i, text("dd", 60), None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r.doc_id for r in corpus_pipeline.known_languages(spark, docs, "").collect()]
+    assert got.count(None) == 12 and sorted(i for i in got if i is not None) == [*range(200), *range(1000, 1020)]
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["abra cadabra", "abba baba", "carab"]
     g, n = __import__("numpy").unique(language.grams(texts)[0], return_counts=True)
