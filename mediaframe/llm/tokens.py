@@ -1,17 +1,18 @@
-"""Token counts by a tokenizer compiled to finite-state transducers.
+"""Token counts by a splitter and a tokenizer compiled to a finite-state transducer.
 
 Byte-level BPE is two machines. A splitter cuts a text into pieces, and a piece machine reads a piece's bytes and emits
-token counts. Both are compiled to deterministic transducers whose transitions carry the number of tokens they emit.
+token counts. The piece machine is compiled to a deterministic transducer whose transitions carry the number of tokens they
+emit; the splitter is the tokenizer's regular expression, not a transducer.
 
 *Piece machine.* An encoding is BPE's own exactly if every two neighbouring tokens encode to themselves. After some bytes the
 machine therefore needs only, for each suffix that could still grow into a longer token, the last token before that suffix and how many
 tokens stand there. Counts are kept relative to the least, which the transition emits, so the states are finitely many; they are
 built when first reached and kept in a table (state, byte) -> (state, emitted).
 
-*Chunks.* Texts are cut into chunks. Before white space that follows other characters a piece always ends, whatever came before, so a
-chunk's state map is the same for every entry state from its first such point on. A chunk is summarised as head (up to that
-point), emitted tokens, tail (from its last such point). Two summaries compose to one (the left tail and the right head are read by the
-machine), composition is associative, and a text's count is the parallel prefix composition of its chunks' maps.
+*Chunks.* Texts are cut into chunks. Before white space that follows other characters a piece always ends, whatever came before, so
+what follows a chunk's first such point is the same for every entry state. A chunk is summarised as head (up to that
+point), emitted tokens, tail (from its last such point); there is no map over entry states. Two summaries join to one (the left tail and
+the right head are read again), joining is associative, and a text's summaries are joined in one loop in its own row.
 
 Special strings inside texts are cut out first, as the tokenizer library does, and count one token each.
 
