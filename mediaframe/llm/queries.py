@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaframe.llm import chat, decontaminate, html, language, licenses, mixing, quality, simhash, tokens, warc
+from mediaframe.llm import chat, decontaminate, html, language, licenses, mixing, packing, quality, search, simhash, tokens, warc
 from mediaframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 _WORDS = r"list_filter(regexp_split_to_array(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 SQL["op2_decontaminate"] = f"""
@@ -205,3 +217,20 @@ a AS (SELECT r, array_to_string(list_sort(list(DISTINCT licence)), ',') AS licen
 SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n, 0)::BIGINT AS n_units, best AS best_licence, coalesce(dice, 0)::DOUBLE AS best_dice
 FROM d LEFT JOIN a USING (r)
 """
+
+_TERMS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL["op11_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format(t="text")} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, {_TERMS.format(t="text")} AS w FROM benchmark),
+al AS (SELECT count(*)::HUGEINT AS big_n, sum(len(w))::HUGEINT AS big_l FROM d WHERE len(w) > 0),
+qt AS (SELECT DISTINCT q, item_id, unnest(w) AS t FROM b),
+dt AS (SELECT r, doc_id, t, n, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w)::HUGEINT AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS wt FROM dt, al GROUP BY t),
+s AS (
+  SELECT q, item_id, r, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+  FROM dt JOIN df USING (t) JOIN qt USING (t), al GROUP BY q, item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+WHERE rank <= {search.K}
+"""
