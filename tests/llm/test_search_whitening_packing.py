@@ -235,3 +235,13 @@ def test_parts_do_not_change_the_ids():
         split = packing.parts(text, size)
         assert "".join(split) == text
         assert [i for p in split for i in library.encode(p, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
+
+
+def test_both_encoders_give_the_same_ids(monkeypatch):
+    rng = random.Random(4)
+    texts = ["", " ", "\n" * 300_000 + "a", " " * 3_000_000, "x" * 100_000, "a <|endoftext|>  <|endoftext|><|endoftext", "漢字" * 20_000]
+    texts += ["".join(rng.choices("aZé😀 \n\t'7!　\x1c\x85<|>́ٵ", k=500)) for _ in range(100)]
+    assert packing.rank_encoder(BPE) is not None and packing.rank_encoder(public_tokenizers.path("word_bpe_49k.json")) is None
+    quick = [packing.token_ids(t, BPE).tolist() for t in texts]
+    monkeypatch.setattr(packing, "rank_encoder", lambda path: None)
+    assert quick == [packing.token_ids(t, BPE).tolist() for t in texts]
