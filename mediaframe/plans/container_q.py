@@ -9,6 +9,7 @@ from mediaframe.operators import container as C
 from mediaframe.plans import fixtures as fx
 from mediaframe.plans.registry import query
 from mediaframe.sources import movie as mv
+from mediaframe.sources.ranged import movie_rows
 
 # sizes of every box of the assembled files
 DOCS = """WITH d AS (SELECT doc_id, 'doc'||doc_id||'.mp4' AS path, len(string_split(text, chr(10))) AS n, len(string_split(text, ' '))-1 AS sp, strlen(text) AS b FROM documents),
@@ -37,7 +38,7 @@ UNITS = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line
 
 @query("container_boxes", DOCS + " SELECT path, type, parent_type, depth, off, 8::BIGINT AS hdr, size FROM bx")
 def _(spark, sf):
-    return mv.boxes(fx.movie_files(spark, sf)).select("path", "type", "parent_type", "depth", "off", "hdr", "size")
+    return movie_rows(spark, fx.movie_folder(spark, sf), "boxes").select("path", "type", "parent_type", "depth", "off", "hdr", "size")
 
 
 @query(
@@ -55,7 +56,7 @@ def _(spark, sf):
        100::BIGINT AS profile_idc, 31::BIGINT AS level_idc, n AS n_samples, nc AS n_chunks, CASE WHEN nc>2 THEN 2 ELSE 1 END AS n_runs FROM t""",
 )
 def _(spark, sf):
-    t = mv.tracks(fx.movie_files(spark, sf))
+    t = movie_rows(spark, fx.movie_folder(spark, sf), "tracks")
     return t.select(
         "path", "track_id", "width", "height", "nal_length_size", F.hex("sps").alias("sps"), F.hex("pps").alias("pps"),
         *C.sps_summary(F.col("sps")), F.col("sample_count").alias("n_samples"), F.size("chunk_offsets").alias("n_chunks"), F.size("first_chunk").alias("n_runs"),
@@ -80,20 +81,18 @@ def _(spark, sf):
     return t.select("path", F.hex(C.decoder_config(F.col("sps"), F.col("pps"), F.col("nal_length_size"))).alias("config"))
 
 
-def _payloads(spark, sf):
-    files = fx.movie_files(spark, sf)
-    tracks = cut_lineage(mv.tracks(files))  # parsed once, read by four branches
-    return C.payloads(files, tracks, C.track_samples(tracks))
+def _units(spark, sf):
+    return movie_rows(spark, fx.movie_folder(spark, sf), "units")
 
 
 @query("container_units", UNITS + " SELECT * FROM u")
 def _(spark, sf):
-    return mv.units(_payloads(spark, sf)).drop("track_id")
+    return _units(spark, sf).drop("track_id")
 
 
 @query("container_unit_histogram", UNITS + " SELECT nal_type, count(*) AS n, sum(len)::BIGINT AS bytes FROM u WHERE NOT bad_tail GROUP BY nal_type")
 def _(spark, sf):
-    return C.unit_histogram(mv.units(_payloads(spark, sf)))
+    return C.unit_histogram(_units(spark, sf))
 
 
 @query(
@@ -101,7 +100,7 @@ def _(spark, sf):
     UNITS + " SELECT path, " + ", ".join(f"count(*) FILTER (NOT bad_tail AND nal_type={t}) AS t{t}" for t in (1, 5, 6, 7, 8)) + " FROM u GROUP BY path",
 )
 def _(spark, sf):
-    return C.unit_pivot(mv.units(_payloads(spark, sf)), (1, 5, 6, 7, 8))
+    return C.unit_pivot(_units(spark, sf), (1, 5, 6, 7, 8))
 
 
 @query(
@@ -111,7 +110,7 @@ def _(spark, sf):
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)),1)-1 AS s FROM documents))""",
 )
 def _(spark, sf):
-    return _payloads(spark, sf).select("path", "sample_idx", F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest"))
+    return movie_rows(spark, fx.movie_folder(spark, sf), "payloads").select("path", "sample_idx", F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest"))
 
 
 @query(

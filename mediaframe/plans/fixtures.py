@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mediaframe.functions.bits import clip255, int_div
+from mediaframe.functions.lineage import work_dir
 from mediaframe.functions.ordered import by_span, by_width, numbered, row_index, running_sum
+from mediaframe.sources.files import write_files
 
 MB_WIDTH = 16
 MB_HEIGHT = 12
@@ -188,6 +190,13 @@ def movie_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("path", F.octet_length("content").cast("bigint").alias("length"), "content")
 
 
+def movie_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The media files of all documents as files below a shared folder."""
+    root = work_dir(spark, "movies")
+    write_files(movie_files(spark, sf_dir), root)
+    return root
+
+
 # ---------------------------------------------------------------- macroblocks
 
 

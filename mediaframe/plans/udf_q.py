@@ -10,9 +10,10 @@ from mediaframe.operators import udf as U
 from mediaframe.operators.blocks import smooth_edge
 from mediaframe.plans import fixtures as fx
 from mediaframe.plans.blocks_q import edge_rows
-from mediaframe.plans.container_q import UNITS, _payloads
+from mediaframe.plans.container_q import UNITS
 from mediaframe.plans.registry import query
 from mediaframe.plans.trace_q import HEADS
+from mediaframe.sources.ranged import movie_rows
 
 
 @F.pandas_udf(T.IntegerType())
@@ -75,7 +76,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     U.register_table_functions(spark)
-    p = _payloads(spark, sf)
+    p = movie_rows(spark, fx.movie_folder(spark, sf), "payloads")
     p.createOrReplaceTempView("mediaframe_payloads")
     return spark.sql("SELECT path, sample_idx, u.* FROM mediaframe_payloads, LATERAL split_units(payload, 4) u")
 

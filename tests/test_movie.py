@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from mediaframe.operators import container as C
 from mediaframe.sources import movie as mv
+from mediaframe.sources.files import write_files
+from mediaframe.sources.ranged import movie_rows
 from mediaframe.sources.text import scan_bytes
 
 SPS, PPS = bytes.fromhex("6764001facd940"), bytes.fromhex("68ebe3cb")
@@ -69,9 +71,13 @@ def test_size_zero_runs_to_the_end():
     assert [b[4] for b in mv.flatten(inside)] == ["stbl"]
 
 
-def units_of(files):
-    t = mv.tracks(files)
-    return mv.units(C.payloads(files, t, C.track_samples(t)))
+def units_of(files, root):
+    """Units by way of files read in ranges, which must equal the units of their payloads."""
+    write_files(files, str(root))
+    got = movie_rows(files.sparkSession, str(root), "units")
+    again = mv.units(movie_rows(files.sparkSession, str(root), "payloads"))
+    assert sorted(got.collect(), key=str) == sorted(again.collect(), key=str)
+    return got
 
 
 def plain_spans(t):
@@ -85,7 +91,7 @@ def plain_spans(t):
     return out
 
 
-def test_tracks_samples_units(spark, movie_bytes):
+def test_tracks_samples_units(spark, tmp_path, movie_bytes):
     df = spark.createDataFrame([("a", movie_bytes)], "path string, content binary")
     t = mv.tracks(df)
     v = t.where("track_id = 1").first()
@@ -93,7 +99,7 @@ def test_tracks_samples_units(spark, movie_bytes):
     assert t.where("track_id = 2").first().sps is None
     rel = C.track_samples(t.where("track_id = 1"))
     assert [(r.off, r.size) for r in rel.orderBy("sample_idx").collect()] == plain_spans(mv.parse_tracks(movie_bytes)[0])
-    got = [(r.sample_idx, r.nal_idx, r.len, r.nal_type, r.bad_tail) for r in units_of(df).orderBy("sample_idx", "nal_idx").collect()]
+    got = [(r.sample_idx, r.nal_idx, r.len, r.nal_type, r.bad_tail) for r in units_of(df, tmp_path).orderBy("sample_idx", "nal_idx").collect()]
     assert got == [(0, 0, 3, 7, False), (0, 1, 2, 8, False), (1, 0, 9, 5, False), (2, 0, 4, 1, False), (2, 1, 6, None, True), (3, 0, 6, 1, False)]
     counts = C.reject_reason(C.track_counts(t))
     assert {r.track_id: r.reason for r in counts.collect()} == {1: None, 2: "no_video"}
@@ -112,7 +118,7 @@ def test_scan_bytes_prunes_content(spark, tmp_path, movie_bytes):
     (tmp_path / "note.txt").write_text("no")
     f = scan_bytes(spark, str(tmp_path), "*.mp4")
     assert [(r.length) for r in f.select("length").collect()] == [len(movie_bytes)]
-    assert units_of(f).count() == 6
+    assert units_of(f, tmp_path / "out").count() == 6
 
 
 def test_samples_beyond_the_last_chunk_are_left_out(spark):
