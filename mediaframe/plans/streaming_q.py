@@ -14,6 +14,7 @@ from mediaframe.plans import fixtures as fx
 from mediaframe.plans.registry import query
 from mediaframe.streaming import run as R
 from mediaframe.streaming import stateful as S
+from mediaframe.streaming import timers as Z
 
 EVENTS = T.StructType(
     [
@@ -200,3 +201,52 @@ def _(spark, sf):
     last = e.agg(F.max("ts").alias("last")).select((F.col("last") - F.expr("INTERVAL 70 minutes")).alias("since"))
     recent = e.join(F.broadcast(last), F.col("ts") >= F.date_trunc("hour", F.col("since"))).drop("since")
     return R.complete(closed, S.budget_monitor(recent, delay=None), ["hour", "run"]).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+BOUND_MS = 20 * 60_000
+
+
+def _by_time(spark, df, parts=3, files=4):
+    """Rows with ts as a stream of ``parts`` micro-batches, one stretch of time each, of ``files`` files."""
+    kept = cut_lineage(df)
+    ends = kept.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    path, step = work_dir(spark, "staged"), (ends["b"] - ends["a"]) / parts
+    cuts = [None, *(ends["a"] + step * k for k in range(1, parts)), None]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = kept.where(F.lit(True) if a is None else F.col("ts") >= F.lit(a)).where(F.lit(True) if b is None else F.col("ts") < F.lit(b))
+        part.repartition(files).write.mode("append").parquet(path)
+    return R.file_stream(spark, path, kept.schema, files_per_batch=files)
+
+
+@query(
+    "stream_timeout",
+    f"""WITH p AS (SELECT run, epoch_us(ts)//1000 AS ms, f, v, lag(v) OVER w AS prev FROM ctr WINDOW w AS (PARTITION BY run ORDER BY epoch_us(ts)//1000, f)),
+      c AS (SELECT *, lead(ms) OVER (PARTITION BY run ORDER BY ms, f) AS next FROM p WHERE prev IS NULL OR v<>prev)
+      SELECT run, ms, v, prev, 'change' AS kind FROM c WHERE prev IS NOT NULL
+      UNION ALL SELECT run, ms+{BOUND_MS}, v, NULL, 'timeout' FROM c WHERE ms+{BOUND_MS}<coalesce(next, (SELECT max(ms)+1 FROM p))""",
+    ["ctr"],
+)
+def _(spark, sf):
+    polls = fx.counters(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return R.drain(Z.bounded_wait(_by_time(spark, polls), BOUND_MS, "0 seconds"))
+
+
+@query(
+    "stream_expiring_reorder",
+    """SELECT run AS stream, f//12 AS epoch, row_number() OVER (PARTITION BY run, f//12 ORDER BY poc)-1 AS display_no, poc, f AS decode_no
+       FROM (SELECT run, f, ((f%12)//3)*6+[0,4,2][f%3+1] AS poc FROM tim WHERE NOT (f%12=11 AND (f//12)%3=0))""",
+    ["tim"],
+)
+def _(spark, sf):
+    """A third of the epochs lose their last row; a row of another stream, far behind the others, lets the watermark pass them all."""
+    f = F.col("f")
+    poc = int_div(f % 12, 3) * 6 + F.get(F.array(F.lit(0), F.lit(4), F.lit(2)), (f % 3).cast("int"))
+    frames = fx.timings(spark, sf).select(
+        F.col("run").alias("stream"), int_div(f, 12).alias("epoch"), f.alias("decode_no"), poc.cast("bigint").alias("poc"), (f % 12 == 11).alias("last"), F.col("ts").cast("timestamp").alias("ts")
+    ).where("not (last and epoch % 3 = 0)")
+    end = frames.agg((F.max("ts") + F.expr("INTERVAL 400 days")).alias("ts")).select(
+        *[F.lit(-1).cast("bigint").alias(c) for c in ("stream", "epoch", "decode_no", "poc")], F.lit(True).alias("last"), "ts"
+    ).where("ts is not null")
+    # an epoch's rows may lie days apart in the events
+    shown = R.drain(Z.expiring_reorder(_by_time(spark, frames.unionByName(end), parts=1), depth=3, wait_ms=300 * 86_400_000, delay="1 day"))
+    return shown.where("stream >= 0")
