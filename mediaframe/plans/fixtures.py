@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -280,11 +280,16 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- timings, profiles, counters, log lines
 
 
+def ticks(ms: Column) -> Column:
+    """Milliseconds as whole ticks of a 1024 per millisecond clock: sums are exact, in whatever order they are taken."""
+    return F.floor(ms * 1024) / 1024
+
+
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run, f, ts, live_ms, ref_ms."""
     e = table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 10).alias("run"), "ts", "event_id", "event_type", F.col("value").alias("live_ms"),
-        (F.col("value") / (1 + F.col("event_id") % 5)).alias("ref_ms"),
+        (F.col("user_id") % 10).alias("run"), "ts", "event_id", "event_type", ticks(F.col("value")).alias("live_ms"),
+        ticks(F.col("value") / (1 + F.col("event_id") % 5)).alias("ref_ms"),
     )
     return row_index(e, ["run"], ["ts", "event_id"], by_span("ts"), "f")
 
@@ -296,8 +301,8 @@ def profile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_type").alias("site"),
         F.get(names, (F.col("event_id") % 4).cast("int")).alias("phase"),
-        F.col("value").alias("wall_ms"),
-        (F.col("value") * (F.col("event_id") % 101) / 100.0).alias("cpu_ms"),
+        ticks(F.col("value")).alias("wall_ms"),
+        ticks(F.col("value") * (F.col("event_id") % 101) / 100.0).alias("cpu_ms"),
         "event_id",
         "ts",
         "user_id",
@@ -311,7 +316,7 @@ def stage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 3).alias("clip"),
         F.get(names, (F.col("event_id") % 3).cast("int")).alias("stage"),
         F.get(F.array(*[F.lit(v) for v in (1, 2, 4, 8)]), (F.col("event_id") % 4).cast("int")).alias("threads"),
-        F.col("value").alias("ms"),
+        ticks(F.col("value")).alias("ms"),
         "event_id",
     )
 
@@ -471,16 +476,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "tim": (
         (),
         """SELECT user_id%10 AS run, row_number() OVER (PARTITION BY user_id%10 ORDER BY ts,event_id)-1 AS f, ts, event_type, event_id,
-            value AS live_ms, value/(1+event_id%5) AS ref_ms FROM events""",
+            floor(value*1024)/1024 AS live_ms, floor(value/(1+event_id%5)*1024)/1024 AS ref_ms FROM events""",
     ),
     "prof": (
         (),
-        """SELECT event_type AS site, ['pack','upload','draw','read'][event_id%4+1] AS phase, value AS wall_ms,
-            value*(event_id%101)/100.0 AS cpu_ms, event_id, ts, user_id FROM events""",
+        """SELECT event_type AS site, ['pack','upload','draw','read'][event_id%4+1] AS phase, floor(value*1024)/1024 AS wall_ms,
+            floor(value*(event_id%101)/100.0::DOUBLE*1024)/1024 AS cpu_ms, event_id, ts, user_id FROM events""",
     ),
     "stg": (
         (),
-        """SELECT user_id%3 AS clip, ['full','nodeblock','entropy'][event_id%3+1] AS stage, 1 << (event_id%4) AS threads, value AS ms, event_id FROM events""",
+        """SELECT user_id%3 AS clip, ['full','nodeblock','entropy'][event_id%3+1] AS stage, 1 << (event_id%4) AS threads, floor(value*1024)/1024 AS ms, event_id FROM events""",
     ),
     "ctr": (
         ("tim",),

@@ -1,4 +1,4 @@
-"""Profile queries. Doubles are rounded so both engines' summation orders agree."""
+"""Profile queries. Times are whole ticks, so sums do not depend on their order; quotients are rounded for the reader."""
 
 from __future__ import annotations
 
