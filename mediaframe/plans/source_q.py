@@ -15,6 +15,7 @@ from mediaframe.plans.registry import query
 from mediaframe.schemas import EDGE, MB_INFO
 from mediaframe.sources import sinks as K
 from mediaframe.sources import text as X
+from mediaframe.sources.files import read_files, write_files
 
 
 @query("source_binary_scan")
@@ -235,18 +236,31 @@ def _c(e: str) -> str:
     return f"least(255,greatest(0,{e}))"
 
 
-@query(
-    "sink_ppm_images",
+PPM = (
     f"""SELECT frame, 11+192 AS bytes, md5(unhex('50360A3820380A3235350A'||string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY p))) AS digest FROM (
         SELECT frame, p, {_c('y+trunc(1.402::DOUBLE*(v-128))::BIGINT')} AS r, {_c('y-trunc(0.344136::DOUBLE*(u-128))::BIGINT-trunc(0.714136::DOUBLE*(v-128))::BIGINT')} AS g,
-          {_c('y+trunc(1.772::DOUBLE*(u-128))::BIGINT')} AS b FROM (SELECT frame, p, ref AS y, live AS u, (ref*3+live)%256 AS v FROM pix)) GROUP BY frame""",
-    ["pix"],
+          {_c('y+trunc(1.772::DOUBLE*(u-128))::BIGINT')} AS b FROM (SELECT frame, p, ref AS y, live AS u, (ref*3+live)%256 AS v FROM pix)) GROUP BY frame"""
 )
-def _(spark, sf):
+
+
+def _pictures(spark, sf):
     c = F.col
     px = fx.pixels(spark, sf).select("frame", "y", "x", c("ref").alias("l"), c("live").alias("u"), ((c("ref") * 3 + c("live")) % 256).alias("w"))
-    img = K.ppm_images(px.select("frame", "y", "x", *B.rgb_full(c("l"), c("u"), c("w"))))
-    return img.select("frame", F.octet_length("image").alias("bytes"), F.md5("image").alias("digest"))
+    return K.ppm_images(px.select("frame", "y", "x", *B.rgb_full(c("l"), c("u"), c("w"))))
+
+
+@query("sink_ppm_images", PPM, ["pix"])
+def _(spark, sf):
+    return _pictures(spark, sf).select("frame", F.octet_length("image").alias("bytes"), F.md5("image").alias("digest"))
+
+
+@query("sink_picture_files", PPM, ["pix"])
+def _(spark, sf):
+    """The pictures as files, committed together, and read back."""
+    root = work_dir(spark, "pictures")
+    write_files(K.picture_files(_pictures(spark, sf), "image", ".ppm"), root)
+    frame = F.regexp_extract("path", r"frame=(\d+)\.ppm", 1).cast("bigint").alias("frame")
+    return read_files(spark, root).select(frame, F.octet_length("content").alias("bytes"), F.md5("content").alias("digest"))
 
 
 @query(

@@ -12,6 +12,8 @@ from mediaframe.operators import motion as M
 from mediaframe.operators.blocks import luma_dc
 from mediaframe.plans import fixtures as fx
 from mediaframe.plans.registry import query
+from mediaframe.sources.files import opened
+from mediaframe.sources.logs import growing_log, read_epochs, write_epochs
 from mediaframe.streaming import run as R
 from mediaframe.streaming import stateful as S
 from mediaframe.streaming import timers as Z
@@ -250,3 +252,46 @@ def _(spark, sf):
     # an epoch's rows may lie days apart in the events
     shown = R.drain(Z.expiring_reorder(_by_time(spark, frames.unionByName(end), parts=1), depth=3, wait_ms=300 * 86_400_000, delay="1 day"))
     return shown.where("stream >= 0")
+
+
+LOG_ROWS = 5000
+
+
+def _grow(spark, rows, root, stage):
+    """Log files of the rows up to a stage: each is written anew, longer, with the same beginning."""
+
+    def write(pdf):
+        system, base = opened(root)
+        name = f"{base}/log{pdf['file'].iloc[0]}.txt"
+        with system.open_output_stream(f"{base}/_{pdf['file'].iloc[0]}.part") as f:
+            f.write("".join(line + "\n" for line in pdf.sort_values(["stage", "event_id"])["line"]).encode())
+        system.move(f"{base}/_{pdf['file'].iloc[0]}.part", name)
+        return pdf[["file"]].head(1)
+
+    opened(root)[0].create_dir(opened(root)[1], recursive=True)
+    # a file holds at most LOG_ROWS events
+    rows.where(F.col("stage") <= stage).groupBy("file").applyInPandas(write, "file long").count()
+
+
+@query("stream_growing_log", "SELECT event_id, user_id, event_type FROM events")
+def _(spark, sf):
+    """Lines of log files that grow three times; a query of its own follows each growth."""
+    e = fx.table(spark, sf, "events").select("event_id", int_div(F.col("event_id"), LOG_ROWS).alias("file"), (F.col("event_id") % 3).alias("stage"), F.concat_ws(" ", "event_id", "user_id", "event_type").alias("line"))
+    rows, root, base = cut_lineage(e), work_dir(spark, "logs"), work_dir(spark, "follow")
+    for stage in range(3):
+        _grow(spark, rows, root, stage)
+        stream = growing_log(spark, root, 16 << 10)
+        R.append_log(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    word = F.split("line", " ")
+    got = spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return got.select(word[0].cast("bigint").alias("event_id"), word[1].cast("bigint").alias("user_id"), word[2].alias("event_type"))
+
+
+@query("sink_epoch_log", "SELECT event_id, user_id, event_type FROM events")
+def _(spark, sf):
+    root, word = work_dir(spark, "log"), F.split("line", " ")
+    e = fx.table(spark, sf, "events").select(F.concat_ws(" ", "event_id", "user_id", "event_type").alias("line"))
+    path = work_dir(spark, "staged")
+    e.repartition(6).write.parquet(path)
+    write_epochs(R.file_stream(spark, path, e.schema, files_per_batch=2), root, work_dir(spark, "checkpoint")).awaitTermination()
+    return read_epochs(spark, root).select(word[0].cast("bigint").alias("event_id"), word[1].cast("bigint").alias("user_id"), word[2].alias("event_type"))

@@ -36,6 +36,12 @@ def ppm_images(rgb: DataFrame, picture: Sequence[str] = ("frame",)) -> DataFrame
     return g.select(*picture, F.unhex(F.concat(head, F.array_join(F.col("a.h"), ""))).alias("image"))
 
 
+def picture_files(pictures: DataFrame, content: str, suffix: str, picture: Sequence[str] = ("frame",)) -> DataFrame:
+    """path, content for ``files.write_files``: one file per picture, named by its key."""
+    name = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in picture])
+    return pictures.select(F.concat(name, F.lit(suffix)).alias("path"), F.col(content).alias("content"))
+
+
 def raw_planes(px: DataFrame, picture: Sequence[str] = ("frame",)) -> DataFrame:
     """Planes one after the other, rows without padding, from (picture, plane, y, x, v)."""
     rows = _joined(px, [*picture, "plane", "y"], ["x"], _byte(F.col("v")), "h")
