@@ -13,7 +13,8 @@ Scale: ranks come from per-chunk slot counts and a running sum over chunks; docu
 source has to fit a task. Only one row per source reaches the driver, ``max_sources`` at most.
 
 Defined cases: null and wordless texts have size 0 and take nothing; an empty table gives no rows; equal rows are
-separate documents of the stream; ties in the shuffled order go to the smaller id. A source's taken words differ from its
+separate documents of the stream. The shuffled order is that of a hash of id and text, then of a hash of the whole row, so it does not depend on the
+order of the input, whatever ids repeat or lack; equal rows are counted once and numbered, and never gathered. A source's taken words differ from its
 target by a few blocks. Extra columns pass through ``mixed`` untouched and are not read by ``report``.
 """
 
@@ -21,12 +22,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mediaframe.functions.ordered import running_sum
+from mediaframe.functions.ordered import numbered, running_sum
 from mediaframe.llm.common import column, small_batches, stored
 
 BLOCK_WORDS = 64
@@ -35,6 +36,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 MAX_SOURCES = 100_000
 ROWS_A_BUCKET = 1000
+COPIES_A_TASK = 4096
 GOLDEN = 0x9E3779B97F4A7C15  # 2^64 / golden ratio
 
 
@@ -61,14 +63,24 @@ def slot_sources(first: int, n: int, bounds: np.ndarray) -> np.ndarray:
     return np.searchsorted(bounds, points, side="right")
 
 
+def whole_row(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes over all columns."""
+    cells = [F.to_json(F.struct(column(n))) if "map<" in t else column(n) for n, t in docs.dtypes]
+    return F.xxhash64(*cells), F.hash(*cells)
+
+
 def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """doc_id, source, size, key (its place in the shuffled order), h1 and h2 (hashes of the row), copies: a row per distinct row."""
     words = F.coalesce(F.regexp_count(column(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
-    return docs.select(column(doc_id).alias("doc_id"), column(source).alias("source"), words.alias("size"), F.xxhash64(column(text)).alias("h"))
+    parts = F.concat(F.coalesce(column(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(column(text), F.lit("")).cast("binary")))
+    h1, h2 = whole_row(docs)
+    rows = docs.select(column(doc_id).alias("doc_id"), column(source).alias("source"), words.alias("size"), F.md5(parts.cast("binary")).alias("key"), h1.alias("h1"), h2.alias("h2"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
 
 
 def plan(rows: DataFrame, weights=WEIGHTS, most: float = MOST, block_words: int = BLOCK_WORDS, max_sources: int = MAX_SOURCES) -> pd.DataFrame:
     """One row per source: source, no, source_size, target, blocks."""
-    found = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
+    found = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources; merge them before mixing")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -99,10 +111,11 @@ def schedule(spark, sources: pd.DataFrame, most: int = MOST, block_words: int =
         for df in batches:
             for c, nos, firsts in zip(df["chunk"], df["nos"], df["firsts"], strict=True):
                 no = slot_sources(c * CHUNK, min(CHUNK, slots - c * CHUNK), bounds)
+                by_source = np.argsort(no, kind="stable")
+                found, starts, n = np.unique(no[by_source], return_index=True, return_counts=True)
+                before = dict(zip(nos, firsts, strict=True))
                 rank = np.empty(len(no), np.int64)
-                for s, first in zip(nos, firsts, strict=True):
-                    at = np.flatnonzero(no == s)
-                    rank[at] = first + np.arange(len(at))
+                rank[by_source] = np.arange(len(no)) - np.repeat(starts - [before[s] for s in found], n)
                 b = np.maximum(blocks[no], 1)
                 yield pd.DataFrame({"slot": c * CHUNK + np.arange(len(no)), "no": no, "epoch": rank // b, "block": rank % b})
 
@@ -117,15 +130,15 @@ def schedule(spark, sources: pd.DataFrame, most: int = MOST, block_words: int =
 
 
 def streams(rows: DataFrame, sources: pd.DataFrame) -> DataFrame:
-    """rows with no and off: the words of its source that stand before each document in the shuffled stream."""
+    """A row per document (equal rows numbered in ``copy``) with no and off: the words of its source that stand before it in the shuffled stream."""
     spark, digits, n = rows.sparkSession, 0, int(sources["docs"].max()) if len(sources) else 0
     while n > ROWS_A_BUCKET * 16**digits:
         digits += 1
     listed = spark.createDataFrame(sources[["source", "no", "source_size", "target"]].values.tolist(), "source string, no int, source_size long, target double")
     known = F.broadcast(listed.withColumnRenamed("source", "__s"))  # at most max_sources rows
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    return running_sum(rows, ["no"], ["key", "doc_id"], F.substring("key", 1, digits), F.col("size"), "off", inclusive=False).drop("key")
+    group = running_sum(rows, ["no"], ["key", "h1", "h2"], F.substring("key", 1, digits), F.col("size") * F.col("copies"), "off", inclusive=False)
+    return numbered(group, "copies", "copy").withColumn("off", F.col("off") + F.col("copy") * F.col("size")).drop("key")
 
 
 def _taken(placed: DataFrame, sources: pd.DataFrame, most: int, block_words: int) -> DataFrame:
@@ -173,13 +186,17 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     """The mix itself: a row per document and epoch that takes it, with the columns of docs, mix_epoch and mix_words. The
     last document an epoch takes of a source is cut to the words taken."""
     placed, sources = _placed(docs, doc_id, source, text, weights, most, block_words)
-    same = Window.partitionBy("__id", "__h").orderBy("off")
-    parts = placed.select("no", "off", "size", F.col("doc_id").alias("__id"), F.col("h").alias("__h")).where("size > 0").withColumn("__dup", F.row_number().over(same))
+    parts = placed.where("size > 0").select("no", "off", "size", "h1", "h2", "copy")
     parts = parts.join(_taken(placed, sources, most, block_words).hint("merge"), ["no", "off"])
-    parts = parts.select("__id", "__h", "__dup", F.col("size").alias("__size"), F.col("epoch").alias("__epoch"), F.col("words").alias("__words"))
-    rows = small_batches(docs).select("*", column(doc_id).alias("__i"), F.xxhash64(column(text)).alias("__g"))
-    rows = rows.withColumn("__d", F.row_number().over(Window.partitionBy("__i", "__g").orderBy(F.lit(1))))
-    out = rows.join(parts.hint("merge"), F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__g") == F.col("__h")) & (F.col("__d") == F.col("__dup")))
+    dealt = lambda n: F.floor(F.col(n) / COPIES_A_TASK).alias("__deal")
+    parts = parts.select(F.col("h1").alias("__p1"), F.col("h2").alias("__p2"), dealt("copy"), F.col("size").alias("__size"), F.col("epoch").alias("__epoch"), F.col("words").alias("__words"))
+    # equal rows are one row here, before they are shuffled, and many again only after the join, dealt over tasks
+    h1, h2 = whole_row(docs)
+    rows = small_batches(docs).select("*", h1.alias("__h1"), h2.alias("__h2"))
+    rows = rows.groupBy("__h1", "__h2").agg(F.count("*").alias("__n"), *[F.first(column(c)).alias(c) for c in docs.columns])
+    deals = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / COPIES_A_TASK))
+    rows = rows.select("*", F.explode(deals).alias("__d"))
+    out = rows.join(parts.hint("merge"), (F.col("__h1") == F.col("__p1")) & (F.col("__h2") == F.col("__p2")) & (F.col("__d") == F.col("__deal")))
     part = F.col("__words") < F.col("__size")
     cut = F.when(part, _head(F.when(part, column(text)), F.when(part, F.col("__words")))).otherwise(column(text))
     kept = [cut.alias(c) if c == text else column(c) for c in docs.columns]

@@ -156,7 +156,7 @@ _MOST = mixing.MOST
 
 SQL["op5_mixing"] = f"""
 WITH RECURSIVE d AS (
-  SELECT row_number() OVER () AS r, doc_id, source, coalesce(len({_TOKENS.format(t="text")}), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(len({_TOKENS.format(t="text")}), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 src AS (
   SELECT *, (ARRAY[5, 2, 1])[1 + no % 3]::DOUBLE AS w
@@ -175,7 +175,7 @@ slot AS (SELECT i, (i::HUGEINT * {_GOLDEN}) % 18446744073709551616::HUGEINT AS p
 ranked AS (SELECT b.no, b.blocks, row_number() OVER (PARTITION BY b.no ORDER BY i) - 1 AS rank FROM slot s JOIN bound b ON s.p >= b.lo AND s.p < b.hi),
 used AS (SELECT no, rank % blocks AS block, count(*) AS n FROM ranked WHERE rank // blocks < {_MOST} GROUP BY ALL),
 placed AS (
-  SELECT d.*, tg.no, tg.source_size, tg.target, coalesce(sum(size) OVER (PARTITION BY no ORDER BY key, doc_id NULLS FIRST, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  SELECT d.*, tg.no, tg.source_size, tg.target, coalesce(sum(size) OVER (PARTITION BY no ORDER BY key, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
   FROM d JOIN tg ON d.source IS NOT DISTINCT FROM tg.source),
 piece AS (SELECT r, no, off, size, unnest(range(off // {_B}, (off + size - 1) // {_B} + 1)) AS block FROM placed WHERE size > 0),
 tk AS (

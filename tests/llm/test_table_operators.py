@@ -115,6 +115,37 @@ def test_mix_takes_what_the_targets_ask_for(spark):
     assert words == Counter({r.doc_id: r.taken for r in out if r.taken})
 
 
+def _order(rows):
+    return sorted(map(str, rows))
+
+
+def test_mix_does_not_depend_on_the_order_of_rows(spark):
+    """Repeated and missing ids with different texts, one text in two sources, equal rows, extra columns that differ."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(99)}" for _ in range(n))
+    rows = [(7, text(40 + i), "a", i) for i in range(20)] + [(None, text(30 + i), "b", i) for i in range(20)] + [(None, None, None, 1)] * 3
+    rows += [(1, text(640), s, 0) for s in ("a",)] + [(1, rows[0][1], s, 0) for s in ("a", "b", "c")] + [(2, rows[3][1], "c", k) for k in range(5)] + [(3, "same words here", "b", 9)] * 50
+    schema = "doc_id long, text string, source string, extra int"
+    one, other = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[::-1], schema).repartition(5)
+    assert _order(mixing.report(one).collect()) == _order(mixing.report(other).collect())
+    assert _order(mixing.mixed(one).collect()) == _order(mixing.mixed(other).collect())
+
+
+def test_mixed_delivers_what_the_report_says(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES_A_TASK", 7)
+    same = " ".join(["one text of ten words that stands in two sources"] * 64)
+    rows = [(1, same, "b"), (1, same, "a")] + [(i, f"filler {i} " * 50, "b") for i in range(2, 30)] + [(50, "copy of a copy", "a")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for r in mixing.report(docs).collect():
+        want[r.doc_id, r.source] += r.taken
+    for r in mixing.mixed(docs).collect():
+        assert len(r.text.split()) == r.mix_words
+        got[r.doc_id, r.source] += r.mix_words
+    assert got == Counter({k: n for k, n in want.items() if n})
+
+
+
 def test_slots_are_spread_evenly():
     bounds = np.array([int(0.5 * 2**64), int(0.8 * 2**64)], np.uint64)
     s = mixing.slot_sources(0, 10_000, bounds)
