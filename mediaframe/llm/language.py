@@ -2,18 +2,20 @@
 
 One model per language over letters and word gaps: texts are lower-cased, every run of other characters is one gap, and
 a text starts and ends with a gap. The order-4 grams of all training texts are counted (per batch in numpy, then by
-Spark); lower orders use continuation counts, discounts come from the counts of counts. Each order is one sorted array of
-64-bit gram hashes with a row of probabilities per language beside it, looked up by binary search.
+Spark). Lower orders use continuation counts and discounts come from the counts of counts; Spark takes both over all grams of all languages, and none is
+cut off.
+
+*Table.* log p(gram) is a sum of entries: one for the gram at each order it is known at (by how much it is likelier there than the lower order says), one for
+the weight of the lower order after each context that is known, and a constant. Since entries only add up, the table may be cut anywhere: it is written to the shared folder
+in blocks by hash, of about BLOCK_ENTRIES entries each, as sorted arrays of grams with (language, weight) beside them. Tasks read the blocks, one at a time, look their
+grams up by binary search and add up over the blocks and CHUNK languages at a time; the driver holds a few numbers per language and no grams. So neither the number of label
+values nor an alphabet of any size changes a result; they only cost passes.
 
 A text goes to the language with the lowest cross-entropy per character. ``score`` is that language's share of the
 likelihoods at the per-character scale of SCALE characters. Rejection is calibrated on the training texts (cross-fitted with ``folds``): per language
 the mean and spread of their cross-entropy, the spread modelled as a + b / length, and a text further than ``z`` spreads
 above its language's mean is rejected.
 
-Size bound: the model goes to every task, so it holds at most ``max_grams`` grams per language and MAX_CELLS probabilities in
-all. All grams are counted; should a language have more, the rarest counts are cut off whole (a count cut-off, as usual with these
-models).
-
 Defined cases: texts that are null, empty or without a letter are ``und`` with score 0 and rejected; equal entropies go to
 the language that sorts first; rows with a null id or language train nothing; repeated rows count repeatedly; with no
 training text at all every text is ``und``. Extra columns are not read.
@@ -21,20 +23,26 @@ training text at all every text is ``und``. Extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mediaframe.functions.lineage import work_dir
+from mediaframe.functions.skew import spread_join
 from mediaframe.llm.common import column, runs, small_batches, stored
 
 ORDER = 4
-MAX_GRAMS = 500_000
-MAX_CELLS = 16_000_000  # grams of all languages times languages
+BLOCK_ENTRIES = 2_000_000  # of the table that a task holds at once, 20 bytes each
+CHUNK = 8  # languages scored at once
+BASE = 1.0 / (1 << 16)  # probability of a character nothing is known of
 Z = 8.0
 SCALE = 20.0
 FLOOR = 0.1  # least spread of the entropy, nats per character
@@ -115,148 +123,189 @@ def gram_counts(train: DataFrame, lang: str, text: str, order: int = ORDER) -> D
     return rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def bounded(counts: DataFrame, max_grams: int) -> DataFrame:
-    """Counts with at most ``max_grams`` grams a language, cut at a count."""
-    levels = counts.groupBy("lang", "n").agg(F.count("*").alias("types"))
-    sizes = levels.groupBy("lang").agg(F.sum("types").alias("all")).collect()
-    max_grams = min(max_grams, max(1, MAX_CELLS // max(1, len(sizes)) ** 2))
-    cut = {}
-    for r in (r for r in sizes if r["all"] > max_grams):  # a level of the count table at a time, from the top
-        seen = 0
-        for n, types in levels.where(F.col("lang") == r["lang"]).orderBy(F.desc("n")).select("n", "types").toLocalIterator():
-            if seen + types > max_grams:
-                cut[r["lang"]] = n
-                break
-            seen += types
-    for name, n in cut.items():
-        counts = counts.where((F.col("lang") != name) | (F.col("n") > n))
-    return counts
-
-
 def _mask(order: int) -> np.uint64:
     return np.uint64((1 << 16 * order) - 1)
 
 
+def _low(order: int) -> Column:
+    """The last ``order`` characters of the packed gram g."""
+    return F.col("g").bitwiseAND(F.lit((1 << 16 * order) - 1).cast("long"))
+
+
+def estimates(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """m, lang, g, ctx, own, back for the grams g of all orders m: own discounted probability, and weight of the lower order after ctx."""
+    per = [counts.select(F.lit(order).alias("m"), "lang", F.col("gram").alias("g"), "n")]
+    for m in range(order - 1, 0, -1):
+        # continuation counts: in how many kinds of grams does the shorter gram end
+        per.append(per[-1].groupBy("lang", _low(m).alias("g")).agg(F.count("*").alias("n")).select(F.lit(m).alias("m"), "lang", "g", "n"))
+    kinds = stored(reduce(DataFrame.unionByName, per).withColumn("ctx", F.shiftrightunsigned("g", 16)), "grams")
+    n1, n2 = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+    cut = kinds.groupBy("m", "lang").agg(F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(0.5).alias("d"))
+    total = kinds.groupBy("m", "lang", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    total = spread_join(total, cut, ["m", "lang"], "ctx", salts=64)
+    rows = kinds.join(total, ["m", "lang", "ctx"])
+    own, back = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total"), F.col("d") * F.col("kinds") / F.col("total")
+    return stored(rows.select("m", "lang", "g", "ctx", own.alias("own"), back.alias("back")), "estimates")
+
+
+def entries(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """t, key, lang, w: what the table adds for a gram (t = 2 (m - 1)) and for a context (t = 2 m - 1) of order m."""
+    out, lower = [], None
+    for m in range(1, order + 1):
+        own = rows.where(F.col("m") == m).drop("m")
+        if lower is None:
+            own = own.withColumn("low", F.lit(BASE))
+        else:
+            own = own.withColumn("s", _low(m - 1)).join(lower.select("lang", F.col("g").alias("s"), F.col("p").alias("low")), ["lang", "s"])
+        lower = own.withColumn("p", F.col("own") + F.col("back") * F.col("low"))
+        w = F.log(F.col("p")) - F.log(F.col("back") * F.col("low"))
+        out.append(lower.select(F.lit(2 * m - 2).alias("t"), F.col("g").alias("key"), "lang", w.alias("w")))
+        back = rows.where(F.col("m") == m).groupBy("lang", "ctx").agg(F.log(F.first("back")).alias("w"))
+        out.append(back.select(F.lit(2 * m - 1).alias("t"), F.col("ctx").alias("key"), "lang", "w"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@dataclass
+class Table:
+    """One kind of entries of a block: sorted keys, and the languages and weights of key i at start[i] .. start[i + 1]."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    w: np.ndarray
+
+    def add_to(self, out: np.ndarray, wanted: np.ndarray, first: int) -> None:
+        """Add the weights of languages first, first + 1, ... for the wanted keys to the rows of out."""
+        if not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        rows = np.flatnonzero(self.keys[at] == wanted)
+        a, b = self.start[at[rows]], self.start[at[rows] + 1]
+        n = b - a
+        flat = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        rows, lang = np.repeat(rows, n), self.lang[flat] - first
+        inside = (lang >= 0) & (lang < out.shape[1])
+        # a pair of key and language stands once, so no cell is met twice
+        out[rows[inside], lang[inside]] += self.w[flat[inside]]
+
+
+@lru_cache(maxsize=1)
+def block(path: str, number: int, langs: tuple[str, ...], order: int) -> list[Table]:
+    """Block ``number`` of a table, by kind of entry."""
+    place = {n: i for i, n in enumerate(langs)}
+    system, base = pafs.FileSystem.from_uri(path)
+    files = system.get_file_info(pafs.FileSelector(f"{base.rstrip('/')}/b={number}", allow_not_found=True))
+    parts = [pq.read_table(i.path, filesystem=system, columns=["t", "key", "lang", "w"]) for i in files if i.path.endswith(".parquet")]
+    empty = np.empty(0, np.int64)
+    t, key, lang, w = empty, empty, empty, empty.astype(float)
+    if parts:
+        t, key, w = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("t", "key", "w"))
+        names = pd.concat([p["lang"].to_pandas() for p in parts])
+        lang = names.map(place).to_numpy(np.int64)
+    out = []
+    for kind in range(2 * order):
+        mine = np.flatnonzero(t == kind)
+        k = key[mine].view(np.uint64)
+        s = np.lexsort((lang[mine], k))
+        keys, start = np.unique(k[s], return_index=True)
+        out.append(Table(keys, np.append(start, len(s)), lang[mine][s], w[mine][s]))
+    return out
+
+
 @dataclass
 class Model:
-    """keys[m]: sorted gram hashes of order m + 1; prob[m]: their discounted probability per language;
-    back[m]: weight of the lower order after the gram as context, per language."""
+    """Where the table of all languages lies and what rejection needs; the grams stay in the shared folder."""
 
-    langs: list[str]
-    keys: list[np.ndarray]
-    prob: list[np.ndarray]
-    back: list[np.ndarray]
+    langs: tuple[str, ...]
+    path: str
+    blocks: int
+    order: int = ORDER
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None  # per language: a and b of a + b / length
 
-    @classmethod
-    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Model:
-        langs = sorted(counts)
-        per: list[list] = [[] for _ in range(order)]
-        weights: list[list] = [[] for _ in range(order)]
-        for name in langs:
-            g, n = counts[name]
-            for m in range(order, 0, -1):
-                s = np.argsort(g)
-                g, n = g[s], n[s].astype(np.float64)
-                ctx, at = np.unique(g >> np.uint64(16), return_inverse=True)
-                total = np.bincount(at, n)
-                n1, n2 = (n == 1).sum(), (n == 2).sum()
-                d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-                kinds = np.bincount(at)
-                per[m - 1].append((g, np.maximum(n - d, 0) / total[at]))
-                weights[m - 1].append((ctx, d * kinds / total))
-                # continuation counts: in how many kinds of grams does the shorter gram end
-                g, n = np.unique(g & _mask(m - 1), return_counts=True)
-        keys, prob, back = [], [], []
-        for m in range(order):
-            k, p = cls._aligned(per[m], len(langs), 0.0)
-            keys.append(k)
-            prob.append(p)
-            back.append(cls._aligned(weights[m], len(langs), 1.0))
-        return cls(langs, keys, prob, back)
-
-    @staticmethod
-    def _aligned(tables, n: int, default: float) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.unique(np.concatenate([k for k, _ in tables])) if tables else np.empty(0, np.uint64)
-        out = np.full((len(keys), n), default)
-        for j, (k, v) in enumerate(tables):
-            out[np.searchsorted(keys, k), j] = v
-        return keys, out
-
-    @staticmethod
-    def _rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-        if not len(keys):
-            return np.full((len(wanted), values.shape[1]), default)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where((keys[at] == wanted)[:, None], values[at], default)
-
-    def log_prob(self, g: np.ndarray) -> np.ndarray:
-        """Log-probability of each packed gram's last character per language."""
-        p = np.full((len(g), len(self.langs)), 1.0 / (1 << 16))
-        for m in range(len(self.keys)):
-            own = g & _mask(m + 1)
-            p = self._rows(self.keys[m], self.prob[m], own, 0.0) + self._rows(*self.back[m], own >> np.uint64(16), 1.0) * p
-        return np.log(p)
-
-    def entropies(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character (texts x languages) and the number of characters behind it."""
-        sums, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        for a, b in runs(texts, RUN_CHARS):
-            g, owner = grams(texts[a:b])
-            kinds = np.sort(np.unique(g))
-            logs = self.log_prob(kinds)
-            at = np.searchsorted(kinds, g)
-            sizes[a:b] = np.bincount(owner, minlength=b - a)
-            for j in range(len(self.langs)):
-                sums[a:b, j] = np.bincount(owner, logs[at, j], b - a)
-        return -sums / np.maximum(sizes, 1)[:, None], sizes
+    def log_prob(self, g: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Log-probability of each packed gram's last character in languages first .. last - 1."""
+        w = np.full((len(g), last - first), np.log(BASE))
+        for number in range(self.blocks):
+            for kind, table in enumerate(block(self.path, number, self.langs, self.order)):
+                own = g & _mask(kind // 2 + 1)
+                table.add_to(w, own >> np.uint64(16) if kind % 2 else own, first)
+        return w
+
+    def entropies(self, texts, run: int = RUN_CHARS) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """Per run of texts and chunk of languages: first and last text, first language, cross-entropy per character (texts x languages) and
+        the number of characters behind it."""
+        for a, b in runs(texts, run * (1 if self.blocks < 2 else 4)):
+            g, owner = grams(texts[a:b], self.order)
+            kinds, at = np.unique(g, return_inverse=True)
+            sizes = np.bincount(owner, minlength=b - a)
+            for first in range(0, len(self.langs), CHUNK):
+                last = min(first + CHUNK, len(self.langs))
+                logs = self.log_prob(kinds, first, last)
+                h = np.stack([np.bincount(owner, logs[at, j], b - a) for j in range(last - first)], 1)
+                yield a, b, first, -h / np.maximum(sizes, 1)[:, None], sizes
+
+    def own_entropies(self, texts, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy of each text in language own[i] (NaN where that is -1) and its number of characters."""
+        out, sizes = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64)
+        for a, b, first, h, n in self.entropies(texts):
+            sizes[a:b] = n
+            j = own[a:b] - first
+            here = np.flatnonzero((j >= 0) & (j < h.shape[1]) & (own[a:b] >= 0))
+            out[a + here] = h[here, j[here]]
+        return out, sizes
 
     def judge(self, texts, z: float = Z) -> pd.DataFrame:
-        h, n = self.entropies(texts)
-        if not self.langs:
-            n = np.zeros(len(texts), np.int64)
-            h = np.zeros((len(texts), 1))
-        best = h.argmin(axis=1)
-        low = h[np.arange(len(h)), best]
-        share = 1 / np.exp(-SCALE * (h - low[:, None])).sum(axis=1)
+        low, best, weight = np.full(len(texts), np.inf), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        n = np.zeros(len(texts), np.int64)
+        for a, b, first, h, sizes in self.entropies(texts):
+            n[a:b] = sizes
+            at = h.argmin(axis=1)
+            least = h[np.arange(b - a), at]
+            now = np.minimum(low[a:b], least)
+            weight[a:b] = weight[a:b] * np.exp(-SCALE * (low[a:b] - now)) + np.exp(-SCALE * (h - now[:, None])).sum(axis=1)
+            best[a:b] = np.where(least < low[a:b], first + at, best[a:b])
+            low[a:b] = now
+        known = n > 0
+        rejected = ~known
         if self.mean is not None and self.langs:
             limit = self.mean[best] + z * np.sqrt(self.spread[0][best] + self.spread[1][best] / np.maximum(n, 1))
-            rejected = (n == 0) | (low > limit)
-        else:
-            rejected = n == 0
+            rejected |= low > limit
         names = np.array([*self.langs, UNDETERMINED], object)
-        known = n > 0
         return pd.DataFrame({
-            "lang": names[np.where(known, best, len(self.langs))], "score": np.where(known, share, 0.0),
+            "lang": names[np.where(known, best, len(self.langs))], "score": np.where(known, 1 / np.maximum(weight, 1.0), 0.0),
             "entropy": np.where(known, low, np.nan), "letters": n, "rejected": rejected,
         })
 
 
-def fitted(counts: DataFrame, order: int, max_grams: int) -> Model:
-    found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    table = bounded(counts, max_grams).toPandas()  # at most max_grams rows a language
-    for name, part in table.groupby("lang"):
-        found[str(name)] = part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy()
-    return Model.fit(found, order)
+def fitted(spark, counts: DataFrame, order: int) -> Model:
+    """The model of counted grams (lang, gram, n): its table is written in blocks below the shared folder."""
+    rows = estimates(counts, order)
+    langs = tuple(sorted(r["lang"] for r in rows.select("lang").distinct().collect()))  # a row per language
+    blocks = max(1, -(-2 * rows.count() // BLOCK_ENTRIES))
+    path = work_dir(spark, "language")
+    table = entries(rows, order).withColumn("b", F.pmod(F.xxhash64("t", "key"), F.lit(blocks)))
+    table.repartition(blocks, "b").write.partitionBy("b").parquet(path)
+    return Model(langs, path, blocks, order)
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, max_grams: int = MAX_GRAMS, folds: int = 1) -> Model:
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, folds: int = 1) -> Model:
     """Model of all rows of docs with a text and a language. With two ``folds`` or more it is calibrated by cross-fitting, each
     fold (equal texts share one) judged by a model of the others; otherwise on the rows it learned from."""
+    spark = docs.sparkSession
     if folds < 2:
-        model = fitted(stored(gram_counts(docs, lang, text, order), "grams"), order, max_grams)
+        model = fitted(spark, stored(gram_counts(docs, lang, text, order), "counts"), order)
         return calibrated(model, entropy_sums(model, docs, lang, text)) if model.langs else model
     fold = F.pmod(F.xxhash64(column(text)), F.lit(folds))
     parts = [docs.where(fold == k) for k in range(folds)]
-    counts = [stored(gram_counts(part, lang, text, order), "grams") for part in parts]
+    counts = [stored(gram_counts(part, lang, text, order), "counts") for part in parts]
 
     def summed(tables: list[DataFrame]) -> DataFrame:
-        return stored(reduce(DataFrame.unionByName, tables).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+        return tables[0] if len(tables) == 1 else reduce(DataFrame.unionByName, tables).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
-    model, sums = fitted(summed(counts), order, max_grams), []
+    model, sums = fitted(spark, summed(counts), order), []
     for k in range(folds):
-        others = fitted(summed(counts[:k] + counts[k + 1 :]), order, max_grams)
+        others = fitted(spark, summed(counts[:k] + counts[k + 1 :]), order)
         if others.langs:
             sums.append(entropy_sums(others, parts[k], lang, text))
     if sums and sum(map(len, sums)):
@@ -271,12 +320,10 @@ def entropy_sums(model: Model, docs: DataFrame, lang: str, text: str) -> pd.Data
 
     def sums(batches):
         for df in batches:
-            h, n = shared.value.entropies(df["text"].tolist())
-            own = df["lang"].map(place).to_numpy(float)
-            ok = (n > 0) & ~np.isnan(own)
-            j = own[ok].astype(int)
-            e = h[np.flatnonzero(ok), j]
-            out = pd.DataFrame({"j": j, "long": n[ok] >= 1000, "e": e, "e2": e * e, "inv": 1.0 / n[ok], "n": 1})
+            own = df["lang"].map(place).fillna(-1).to_numpy(np.int64)
+            e, n = shared.value.own_entropies(df["text"].tolist(), own)
+            ok = (n > 0) & ~np.isnan(e)
+            out = pd.DataFrame({"j": own[ok], "long": n[ok] >= 1000, "e": e[ok], "e2": e[ok] ** 2, "inv": 1.0 / n[ok], "n": 1})
             yield out.groupby(["j", "long"], as_index=False).sum()
 
     rows = small_batches(docs).select(column(lang).alias("lang"), column(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -193,15 +196,86 @@ def test_language_stage_learns_all_labelled_rows(spark):
     assert got.count(None) == 12 and sorted(i for i in got if i is not None) == [*range(200), *range(1000, 1020)]
 
 
-def test_kneser_ney_sums_to_one():
-    texts = ["abra cadabra", "abba baba", "carab"]
-    g, n = __import__("numpy").unique(language.grams(texts)[0], return_counts=True)
-    model = language.Model.fit({"x": (g, n)})
-    import numpy as np
+def brute_models(rows, order=4):
+    """Interpolated Kneser-Ney by dictionaries: language -> function(gram) -> probability."""
+    found = {}
+    for text, lang in rows:
+        g, _ = language.grams([text], order)
+        for x in g.tolist():
+            found.setdefault(lang, Counter())[x] += 1
+
+    def model(counts):
+        levels, now = {}, dict(counts)
+        for m in range(order, 0, -1):
+            n1, n2 = sum(n == 1 for n in now.values()), sum(n == 2 for n in now.values())
+            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            total, kinds = Counter(), Counter()
+            for g, n in now.items():
+                total[g >> 16] += n
+                kinds[g >> 16] += 1
+            levels[m] = now, d, total, kinds
+            now = Counter(g & (1 << 16 * (m - 1)) - 1 for g in now)
+
+        def p(g, m=order):
+            if m == 0:
+                return 1 / 65536
+            g &= (1 << 16 * m) - 1
+            now, d, total, kinds = levels[m]
+            ctx = g >> 16
+            if not total[ctx]:
+                return p(g, m - 1)
+            return max(now.get(g, 0) - d, 0) / total[ctx] + d * kinds[ctx] / total[ctx] * p(g, m - 1)
+
+        return p
+
+    return {lang: model(c) for lang, c in found.items()}
+
+
+@pytest.mark.parametrize(("entries", "chunk"), [(2_000_000, 8), (150, 2)])
+def test_language_query_equals_brute_force(spark, monkeypatch, entries, chunk):
+    """The whole query: predictions, scores and rejection's entropies by models of dictionaries, with one block and with many."""
+    monkeypatch.setattr(language, "BLOCK_ENTRIES", entries)
+    monkeypatch.setattr(language, "CHUNK", chunk)
+    rnd = random.Random(5)
+    sound = {"aa": "kalmiot", "bb": "strvlye", "cc": "ouépqd", "dd": "жшчыэю", "ee": "kalmstry"}
+    text = lambda lang, n: " ".join("".join(rnd.choice(sound[lang]) for _ in range(rnd.randint(1, 6))) for _ in range(n))
+    rows = [(i, text(lang, rnd.randint(0, 25)), lang) for i, lang in enumerate(sorted(sound) * 12)] + [(99, "ab", None), (98, None, "aa"), (None, "kala", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = [(t, lang) for i, t, lang in rows if i is not None and lang and t and zlib.crc32(str(i).encode()) % 4 != 2]
+    models = brute_models(learned)
+    got = {r.doc_id: r for r in language.report(docs).collect()}
+    for i, t, _ in rows:
+        g, _ = language.grams([t])
+        if not len(g):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        h = {lang: -sum(math.log(p(x)) for x in g.tolist()) / len(g) for lang, p in sorted(models.items())}
+        low = min(h.values())
+        assert h[got[i].lang_pred] - low < 1e-9
+        assert abs(got[i].score - 1 / sum(math.exp(-language.SCALE * (x - low)) for x in h.values())) < 1e-6
+
+
+def test_a_thousand_label_values_spoil_nothing(spark):
+    """Two languages and a thousand labels of one short text each: no gram is cut off, and held-out texts keep their language."""
+    rnd = random.Random(6)
+    sound = {"aa": ("klmt", "aio"), "bb": ("strv", "yeu")}
+    word = lambda lang: "".join(rnd.choice(sound[lang][0]) + rnd.choice(sound[lang][1]) for _ in range(rnd.randint(1, 3)))
+    rows = [(i, " ".join(word(lang) for _ in range(60)), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    junk = [(1000 + i, "".join(rnd.choice("bcdfghjwxz") for _ in range(12)), f"label {i}") for i in range(1000)]
+    out = language.report(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string").repartition(4)).collect()
+    want = {i: lang for i, _, lang in rows}
+    held = [r for r in out if r.held_out and r.doc_id in want]
+    assert len(held) > 15 and all(r.lang_pred == want[r.doc_id] for r in held)
 
+
+def test_kneser_ney_sums_to_one(spark):
+    texts = ["abra cadabra", "abba baba", "carab"]
+    docs = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string")
+    model = language.train(docs)
+    g = np.unique(language.grams(texts)[0])
     for context in {int(x) >> 16 for x in g}:
         every = (np.uint64(context & ((1 << 48) - 1)) << np.uint64(16)) | np.arange(1 << 16, dtype=np.uint64)
-        assert abs(np.exp(model.log_prob(every)).sum() - 1) < 1e-9
+        assert abs(np.exp(model.log_prob(every, 0, 1)).sum() - 1) < 1e-9
 
 
 def test_anchors_lose_no_match():
