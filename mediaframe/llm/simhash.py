@@ -5,11 +5,16 @@ A document's fingerprint has bit b set if over half of its word shingles' XXH64
 
 Every link is found. Cut 64 bits into ``bands`` ranges: fingerprints at most r bits apart agree on at least bands - r of
 them, so rows meet only in cells, one for each choice of bands - r ranges and their value. A cell of more than ``tile`` fingerprints is dealt into
-tiles by hash and the tiles of a cell are compared pair by pair, each pair in a task of its own; a task orders a tile by
-population count, cuts it into strips and skips strip pairs whose counts are more than the radius apart, as their
-fingerprints cannot be linked. The rest is numpy exclusive-or and bit counts. A tile pair returns a spanning forest of its
+tiles in the order of their population counts, and its tiles are compared pair by pair, each pair in a task of its own; a row is sent to no pair whose
+other tile holds only counts beyond the radius, as such fingerprints cannot be linked. Inside a pair the rows stand by population count, and a row is compared
+with the rows in reach of its count alone, by numpy exclusive-or and bit counts. A tile pair returns a spanning forest of its
 links instead of all of them: the same components with fewer rows than fingerprints.
 
+*Similar texts* (``keep_similar``, the pipeline's stage). A radius of 4 finds very close copies only. Texts that share 80 % of their five-word shingles differ in
+about 15 % of the bits, so this stage takes 128 bits and a radius of WIDE. No ranges are left whole at such a radius; rows meet in TABLES tables of cells, one for
+each choice of CELL_BITS bits, which miss one of thirty pairs of similarity 0.8 and hardly any closer one. Each link of a forest is then confirmed by
+the exact share of common shingles of the two texts.
+
 Copies meet first: one row per distinct fingerprint carries its smallest doc_id, by partial aggregation. Components come
 from rounds of minimum-label hooking and pointer jumping over the fingerprints that have a link; the label tables of each
 round are written to the shared folder.
@@ -28,6 +33,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mediaframe.functions.skew import spread_join
 from mediaframe.llm.common import column, small_batches, stored, utf8
@@ -37,10 +43,20 @@ RADIUS = 4
 SEED = 42
 BANDS = 6
 TILE = 4096
-STRIP = 256
+SMALL = 32  # rows of a cell that are compared for all cells of a batch at once
+FEW_CELLS = 20_000
 _LOW = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
+#: of keep_similar
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE = 29
+TABLES = 32
+CELL_BITS = 14
+_BITS_SEED = 7
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = utf8(text).translate(_LOW).split()
     if not words:
@@ -82,67 +98,63 @@ def band_masks(radius: int, bands: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(ranges, bands - radius)]
 
 
-def strip_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
-    """Index pairs of linked rows of two arrays ordered by population count, strip pair by strip pair."""
-    ca, cb = np.bitwise_count(a).astype(np.int16), np.bitwise_count(b).astype(np.int16)
-    for i in range(0, len(a), STRIP):
-        x = a[i : i + STRIP]
-        lo, hi = ca[i] - radius, ca[min(i + STRIP, len(a)) - 1] + radius
-        for j in range(i if same else 0, len(b), STRIP):
-            if cb[j] > hi:
-                break
-            if cb[min(j + STRIP, len(b)) - 1] < lo:
+def forest(v: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links between rows of v (rows x 64-bit words), as pairs of row numbers, the smaller value first reached.
+
+    Rows stand by population count; each row, once reached, is compared with the rows not yet reached whose counts lie within the radius. ``side`` (0 or 1 a row)
+    only allows links between unlike sides, unless all are alike: two tiles are linked to each other, a tile to itself.
+    """
+    count = np.bitwise_count(v).sum(axis=1, dtype=np.int16)
+    order = np.lexsort((*v.T[::-1], count))
+    v, count, side = v[order], count[order], side[order]
+    two = len(side) > 0 and side.min() != side.max()
+    free = np.ones(len(v), bool)
+    lo, hi = np.searchsorted(count, count - radius), np.searchsorted(count, count + radius, side="right")
+    out = []
+    for start in range(len(v)):
+        if not free[start]:
+            continue
+        free[start] = False
+        reached = [start]
+        while reached:
+            i = reached.pop()
+            near = np.arange(lo[i], hi[i])[free[lo[i] : hi[i]]]
+            if two:
+                near = near[side[near] != side[i]]
+            if not len(near):
                 continue
-            r, c = np.nonzero(np.bitwise_count(x[:, None] ^ b[j : j + STRIP][None, :]) <= radius)
-            yield r + i, c + j
-
-
-class _Forest:
-    """Union-find over local row numbers; ``join`` says whether the edge was needed."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest, as value pairs, of the links inside one tile (right is None) or between two."""
-    order = lambda v: v[np.argsort(np.bitwise_count(v), kind="stable")]
-    a = order(left)
-    b, off = (a, 0) if right is None else (order(right), len(a))
-    forest, out = _Forest(len(a) + (len(b) if off else 0)), []
-    for r, c in strip_links(a, b, radius, right is None):
-        for i, j in zip(r.tolist(), c.tolist(), strict=True):
-            if (off or i < j) and forest.join(i, j + off):
-                out.append((int(a[i]), int(b[j])))
+            far = np.zeros(len(near), np.uint16)
+            for w in range(v.shape[1]):
+                far += np.bitwise_count(v[near, w] ^ v[i, w])
+            near = near[far <= radius]
+            free[near] = False
+            out += [(int(order[i]), int(order[j])) for j in near]
+            reached += near[::-1].tolist()
     return out
 
 
-def _tiles(batches, radius: int):
+def _tiles(batches, radius: int, keys: list[str], values: list[str], name: str):
     """Rows sorted by cell and tile pair; a tile pair is complete when the next one begins."""
-    keys, rest = ["band", "cell", "a", "b"], None
+    rest = None
 
     def links(df: pd.DataFrame):
         k = df[keys].to_numpy()
         edge = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1), [True])))
-        v, left, two = df["fp"].to_numpy().view(np.uint64), (df["t"] == df["a"]).to_numpy(), (df["a"] != df["b"]).to_numpy()
-        found = []
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if e - s > 1:
-                x = v[s:e]
-                found += tile_forest(x[left[s:e]], x[~left[s:e]], radius) if two[s] else tile_forest(x, None, radius)
-        p = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        v, side = df[values].to_numpy().view(np.uint64), (df["t"] != df["a"]).to_numpy().astype(np.int8)
+        one = (df["a"] == df["b"]).to_numpy()
+        rows, found = df[name].to_numpy(), []
+        size = np.diff(edge)
+        group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= SMALL, size)
+        wanted = size > SMALL
+        for d in range(1, min(SMALL, size.max(initial=0))):
+            i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
+            far = sum(np.bitwise_count(v[i, w] ^ v[i + d, w]).astype(np.uint16) for w in range(v.shape[1]))
+            wanted[group[i[far <= radius]]] = True
+        for g in np.flatnonzero(wanted).tolist():
+            s, e = int(edge[g]), int(edge[g + 1])
+            if one[s] or side[s:e].min() != side[s:e].max():
+                found += [(s + i, s + j) for i, j in forest(v[s:e], side[s:e], radius)]
+        p = rows[np.array(found, np.int64).reshape(-1, 2)]
         return pd.DataFrame({"u": p.min(axis=1), "v": p.max(axis=1)})
 
     for df in batches:
@@ -158,18 +170,42 @@ def _tiles(batches, radius: int):
         yield links(rest)
 
 
+def tile_links(cells: DataFrame, keys: list[str], values: list[str], name: str, radius: int, tile: int) -> DataFrame:
+    """u < v of the column ``name``: a spanning forest of the links inside each cell (keys) of rows with their fingerprint (values)."""
+    pop = sum((F.bit_count(c) for c in values[1:]), F.bit_count(values[0]))
+    cells = cells.select(*keys, *dict.fromkeys([*values, name]), pop.alias("pop"))
+    hot = stored(cells.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > tile).drop("n"), "hot")
+    cells_found = hot.count()
+    if cells_found:
+        few = cells_found <= FEW_CELLS  # then a broadcast holds at most 129 counts of each
+        meet = (lambda a, b, on, how: a.join(F.broadcast(b), on, how)) if few else (lambda a, b, on, how: spread_join(a, b, on, name, how))
+        per = meet(cells, hot, keys, "left_semi").groupBy(*keys, "pop").agg(F.count("*").alias("n"))
+        by = Window.partitionBy(*keys).orderBy("pop")
+        before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        per = per.select(*keys, "pop", F.floor(before / tile).alias("lo"), F.floor((before + F.col("n") - 1) / tile).alias("hi"))
+        reach = by.rangeBetween(-radius, radius)
+        per = per.select(*keys, "pop", "lo", "hi", F.min("lo").over(reach).alias("first"), F.max("hi").over(reach).alias("last"))
+        rows = meet(cells, per, [*keys, "pop"], "left")
+        t = F.when(F.col("lo").isNull(), F.lit(0)).otherwise(F.col("lo") + F.pmod(F.xxhash64(*values), F.col("hi") - F.col("lo") + 1)).cast("int")
+    else:
+        rows, t = cells.withColumn("first", F.lit(0)).withColumn("last", F.lit(0)), F.lit(0)
+    rows = rows.withColumn("t", t)
+    mates = F.sequence(F.coalesce("first", F.lit(0)).cast("int"), F.coalesce("last", F.lit(0)).cast("int"))
+    mates = F.transform(mates, lambda o: F.struct(F.least("t", o).alias("a"), F.greatest("t", o).alias("b")))
+    keep = list(dict.fromkeys([*values, name]))
+    pairs = rows.select(*keys, *keep, "t", F.inline(mates))
+    groups = [*keys, "a", "b"]
+    dealt = pairs.repartition(*groups).sortWithinPartitions(*groups)
+    return dealt.mapInPandas(lambda it: _tiles(it, radius, groups, values, name), "u long, v long").distinct()
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, bands: int = BANDS) -> DataFrame:
     """u < v: enough linked pairs of the distinct fingerprints (column fp) to connect all that are connected."""
     cell = lambda m: F.col("fp").bitwiseAND(F.lit(_signed(m)))
     cells = [F.struct(F.lit(i).alias("band"), cell(m).alias("cell")) for i, m in enumerate(band_masks(radius, bands))]
     rows = distinct.select("fp", F.inline(F.array(*cells)))
     sizes = rows.groupBy("band", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    cells = rows.join(sizes, ["band", "cell"]).select("band", "cell", "fp", tiles.alias("k"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("t"))
-    mates = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("t", o).alias("a"), F.greatest("t", o).alias("b")))
-    pairs = cells.select("band", "cell", "fp", "t", F.inline(mates))
-    dealt = pairs.repartition("band", "cell", "a", "b").sortWithinPartitions("band", "cell", "a", "b")
-    return dealt.mapInPandas(lambda it: _tiles(it, radius), "u long, v long").distinct()
+    return tile_links(rows.join(sizes, ["band", "cell"]).drop("n"), ["band", "cell"], ["fp"], "fp", radius, tile)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,3 +271,67 @@ def keep_one(
     firsts = prints.groupBy("fp").agg(first).join(named(prints, radius, tile, bands), "fp")
     kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select("first.__row")
     return rows.join(kept, "__row", "left_semi").select(*map(column, docs.columns))
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """128-bit hashes (rows of 16 bytes) of a text's distinct word shingles; a shorter text is one shingle, a text without words has none."""
+    words = utf8(text).translate(_LOW).split()
+    kinds = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(k, SEED) for k in kinds), np.uint8).reshape(-1, 16)
+
+
+def wide_fingerprint(text: str | None, shingle: int = SIMILAR_SHINGLE) -> tuple[int, int]:
+    """128 majority bits over the distinct shingles, as two signed longs."""
+    h = shingle_hashes(text, shingle)
+    ones = np.zeros(128, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    a, b = np.packbits(2 * ones > len(h)).view(">i8")
+    return int(a), int(b)
+
+
+def jaccard(a: str | None, b: str | None, shingle: int = SIMILAR_SHINGLE) -> float:
+    """Share of common shingles of two texts; texts without words are equal."""
+    x, y = ({bytes(r) for r in shingle_hashes(t, shingle)} for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def bit_choices(tables: int = TABLES, bits: int = CELL_BITS) -> list[tuple[int, int]]:
+    """Masks of two words, ``bits`` of 128 set in each."""
+    rng = np.random.default_rng(_BITS_SEED)
+    chosen = [sum(1 << int(i) for i in rng.choice(128, bits, replace=False)) for _ in range(tables)]
+    return [(m & (1 << 64) - 1, m >> 64) for m in chosen]
+
+
+def keep_similar(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE, tile: int = TILE
+) -> DataFrame:
+    """One row of each group of texts that share ``similarity`` of their word shingles with one another, in a chain if need be, with the columns of docs: the smallest
+    doc_id, nulls last, and of equal ones the first by row number. Texts without words are one group."""
+
+    @F.pandas_udf("f1 long, f2 long")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([wide_fingerprint(t, shingle) for t in texts], columns=["f1", "f2"], dtype="int64")
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    rows = small_batches(docs).withColumn("__f", prints(column(text))).withColumn("__row", F.monotonically_increasing_id())
+    rows = stored(rows, "rows")
+    first = F.min(F.struct(F.isnull(column(doc_id)).alias("no_id"), column(doc_id).alias("id"), "__row")).alias("first")
+    firsts = stored(rows.groupBy(F.col("__f.f1").alias("f1"), F.col("__f.f2").alias("f2")).agg(first).select("f1", "f2", "first", F.col("first.__row").alias("row")), "distinct")
+
+    cell = lambda c, m: F.col(c).bitwiseAND(F.lit(_signed(m)))
+    cells = [F.struct(F.lit(i).alias("band"), cell("f1", a).alias("c1"), cell("f2", b).alias("c2")) for i, (a, b) in enumerate(bit_choices())]
+    met = firsts.select("f1", "f2", "row", F.inline(F.array(*cells)))
+    near = stored(tile_links(met, ["band", "c1", "c2"], ["f1", "f2"], "row", radius, tile), "near")
+
+    texts = rows.select(F.col("__row").alias("row"), column(text).alias("x"))
+    mine = texts.join(near.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "row", "left_semi")
+    pairs = near.join(mine.select(F.col("row").alias("u"), F.col("x").alias("xu")), "u").join(mine.select(F.col("row").alias("v"), F.col("x").alias("xv")), "v")
+    sure = pairs.where(alike("xu", "xv") >= similarity).select("u", "v")
+    groups = stored(components(sure), "components")
+    rooted = firsts.join(groups.withColumnRenamed("node", "row"), "row", "left").select("first", F.coalesce("root", "row").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*map(column, docs.columns))

@@ -74,7 +74,7 @@ def test_results_of_odd_rows(spark):
 def test_filters_keep_all_columns(spark):
     docs, items = clashing(spark.createDataFrame(ROWS, DOCS)), spark.createDataFrame(BENCH, ITEMS)
     model = language.train(language.training_rows(docs))
-    for out in (quality.keep_good(docs), simhash.keep_one(docs), decontaminate.decontaminate(docs, items), decontaminate.decontaminate(docs, items, remove="spans"), language.keep_known(docs, model)):
+    for out in (quality.keep_good(docs), simhash.keep_one(docs), simhash.keep_similar(docs), decontaminate.decontaminate(docs, items), decontaminate.decontaminate(docs, items, remove="spans"), language.keep_known(docs, model)):
         assert out.columns == docs.columns
         out.collect()
     assert mixing.mixed(docs).columns == [*docs.columns, "mix_epoch", "mix_words"]
@@ -99,3 +99,4 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     got = sorted(((r.doc_id, texts.index(r.text)) for r in simhash.keep_one(docs).collect()), key=str)
     assert got == sorted([(7, 0), (None, 1), (9, 2), (None, 5), (1, 3), (2, 4)], key=str)
+    assert got == sorted(((r.doc_id, texts.index(r.text)) for r in simhash.keep_similar(docs).collect()), key=str)

@@ -73,13 +73,87 @@ def test_masks_hold_every_pair_within_the_radius(bands):
         assert any(flips & m == 0 for m in masks)
 
 
-def test_tiles_skip_only_far_counts():
+def spans(pairs, rows):
+    """Groups of row numbers the pairs connect."""
+    name = {i: i for i in rows}
+    for a, b in pairs:
+        a, b = name[a], name[b]
+        for i in name:
+            if name[i] in (a, b):
+                name[i] = min(a, b)
+    return name
+
+
+def test_forest_spans_all_links():
     rnd = np.random.default_rng(1)
-    v = rnd.integers(0, 1 << 63, 700, dtype=np.uint64)
-    v[350:] = v[:350] ^ np.uint64(5)
-    found = {frozenset(p) for p in simhash.tile_forest(v, None, 4)}
-    assert found == {frozenset((int(a), int(b))) for a, b in zip(v[:350], v[350:], strict=True)}
-    assert {frozenset(p) for p in simhash.tile_forest(v[:350], v[350:], 4)} == found
+    v = rnd.integers(0, 1 << 63, 200, dtype=np.uint64)
+    v[100:] = v[:100] ^ np.uint64(5)
+    v[50] = v[51] ^ np.uint64(9)
+    every = [(i, j) for i in range(200) for j in range(i) if int(v[i] ^ v[j]).bit_count() <= 4]
+    one = simhash.forest(v[:, None], np.zeros(200, np.int8), 4)
+    assert spans(one, range(200)) == spans(every, range(200)) and len(one) == 100
+    side = (np.arange(200) >= 100).astype(np.int8)
+    two = simhash.forest(v[:, None], side, 4)
+    assert spans(two, range(200)) == spans([p for p in every if side[p[0]] != side[p[1]]], range(200))
+    wide = np.stack([v, v[::-1]], 1)
+    every = [(i, j) for i in range(200) for j in range(i) if sum(int(x).bit_count() for x in wide[i] ^ wide[j]) <= 9]
+    assert spans(simhash.forest(wide, np.zeros(200, np.int8), 9), range(200)) == spans(every, range(200))
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_hot_cells_are_dealt_by_population_count(spark, monkeypatch, few):
+    """Cells of far more rows than a tile: the tiles' links are those of all pairs, and rows go to no tile beyond the radius."""
+    monkeypatch.setattr(simhash, "FEW_CELLS", few)
+    rnd = random.Random(few)
+    base = [rnd.getrandbits(64) & rnd.getrandbits(64) if i % 2 else rnd.getrandbits(64) | rnd.getrandbits(64) for i in range(150)]
+    prints = sorted({x ^ sum(1 << b for b in rnd.sample(range(64), k)) for x in base for k in (0, 2, 5)})
+    rows = [(i % 3, i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(prints)]
+    cells = spark.createDataFrame(rows, "cell long, name long, fp long")
+    got = [(r.u, r.v) for r in simhash.tile_links(cells, ["cell"], ["fp"], "name", 5, 16).collect()]
+    every = [(i, j) for i in range(len(prints)) for j in range(i) if i % 3 == j % 3 and (prints[i] ^ prints[j]).bit_count() <= 5]
+    assert spans(got, range(len(prints))) == spans(every, range(len(prints)))
+
+
+def near_copy(words, rnd, share):
+    """A copy with words replaced until about ``share`` of the five-word shingles are common."""
+    out, left = list(words), set(range(len(words)))
+    while simhash.jaccard(" ".join(words), " ".join(out)) > share:
+        i = rnd.choice(sorted(left))
+        left -= set(range(i - 4, i + 5))
+        out[i] = f"new{rnd.randrange(10**6)}"
+        if not left:
+            break
+    return " ".join(out)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rnd = random.Random(12)
+    text = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    rows, pairs, apart = [], 0, 0
+    for i in range(120):
+        words = text(rnd.choice([60, 150, 400]))
+        copy = near_copy(words, rnd, rnd.uniform(0.82, 0.99))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, copy)]
+        pairs += simhash.jaccard(" ".join(words), copy) >= 0.8
+    for i in range(120, 160):  # related, but below the limit: both stay
+        words = text(150)
+        copy = near_copy(words, rnd, 0.72)
+        apart += 2 * (simhash.jaccard(" ".join(words), copy) < 0.8)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, copy)]
+    rows += [(1000 + i, "") for i in range(5)] + [(2000 + i, rows[0][1]) for i in range(30)]
+    kept = {r.doc_id for r in simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    gone = sum(2 * i + 1 not in kept for i in range(120))
+    assert all(2 * i in kept for i in range(160)) and gone >= 0.95 * pairs
+    assert sum(i in kept for i in range(240, 320)) == apart == 80
+    assert 1000 in kept and not kept & set(range(1001, 1005)) and not kept & set(range(2000, 2030))
+
+
+def test_a_large_group_of_near_copies_leaves_one(spark):
+    rnd = random.Random(13)
+    base = [f"w{rnd.randrange(3000)}" for _ in range(200)]
+    rows = [(0, " ".join(base))] + [(i, near_copy(base, rnd, 0.96)) for i in range(1, 400)]
+    kept = simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tile=64).collect()
+    assert 0 in {r.doc_id for r in kept} and len(kept) <= 4
 
 
 def test_chain_is_one_component(spark):
