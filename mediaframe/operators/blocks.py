@@ -1,8 +1,8 @@
 """Block and pixel kernels as column arithmetic, bounded windows and equi-joins.
 
-Small blocks (4x4) live in arrays and stay on their row. Pixel planes are long tables; a picture row or
-column is bounded by the picture size, and planes are hashed by picture once so horizontal and vertical
-windows share that one shuffle.
+Small blocks (4x4) live in arrays and stay on their row. Pixel planes are long tables, cut into tiles that carry copies of the pixels
+around them; planes are hashed by tile once, so the horizontal and vertical windows of all filters share that one shuffle and
+none spans more than a tile, however large the picture.
 """
 
 from __future__ import annotations
@@ -108,38 +108,72 @@ def _neighbours(value: str, group: Sequence[str], axis: str, clamp: bool) -> lis
     return out
 
 
-def half_pel(px: DataFrame, picture: Sequence[str], clamp: bool = True, value: str = "v") -> DataFrame:
-    """Add h_raw, v_raw (filter sums), half_h and half_v; without clamp, pixels too near an edge get NULL."""
-    p = px.repartition(*picture)
-    p = p.withColumn("h_raw", tap6(_neighbours(value, [*picture, "y"], "x", clamp)))
-    p = p.withColumn("v_raw", tap6(_neighbours(value, [*picture, "x"], "y", clamp)))
+TILE = 64
+TILES = ["__ty", "__tx"]
+#: pixels a tile sees before and after its own: the filter's taps, and one neighbour of a filtered pixel behind them
+BEFORE, AFTER = 2, 4
+
+
+def in_tiles(px: DataFrame, picture: Sequence[str], size: int | None = None, before: int = BEFORE, after: int = AFTER) -> DataFrame:
+    """Pixels (picture, y, x, ...) with the tile that works on them: each pixel once as its tile's own (``__own``), and as a copy for the tiles
+    within ``before`` and ``after`` pixels. A picture of any size so is many small groups, shuffled once."""
+    size = size or TILE
+
+    def tiles(c: str) -> tuple[Column, Column]:
+        t = F.floor(F.col(c) / size).cast("int")
+        r = F.col(c) - t * size
+        return t, F.array_compact(F.array(t, F.when(r >= size - before, t + 1), F.when(r < after, t - 1)))
+
+    (own_y, ys), (own_x, xs) = tiles("y"), tiles("x")
+    cut = px.withColumn("__ty", F.explode(ys)).withColumn("__tx", F.explode(xs)).withColumn("__own", (F.col("__ty") == own_y) & (F.col("__tx") == own_x))
+    return cut.repartition(*picture, *TILES)
+
+
+def own(tiled: DataFrame) -> DataFrame:
+    """The tiles' own pixels, without the copies."""
+    return tiled.where("__own").drop("__own", *TILES)
+
+
+def _half_pel(p: DataFrame, group: Sequence[str], clamp: bool, value: str = "v") -> DataFrame:
+    p = p.withColumn("h_raw", tap6(_neighbours(value, [*group, "y"], "x", clamp)))
+    p = p.withColumn("v_raw", tap6(_neighbours(value, [*group, "x"], "y", clamp)))
     rnd = lambda c: clip255(F.shiftright(F.col(c) + 16, 5))
     full = lambda c: F.when(F.col(c).isNotNull(), rnd(c))  # noqa: E731  (least/greatest skip NULL)
     return p.withColumn("half_h", full("h_raw")).withColumn("half_v", full("v_raw"))
 
 
-def centre(px: DataFrame, picture: Sequence[str], clamp: bool = True, rounded_middle: bool = False) -> DataFrame:
-    """Add half_c, the two-stage centre sample; ``px`` comes from half_pel."""
+def half_pel(px: DataFrame, picture: Sequence[str], clamp: bool = True, value: str = "v") -> DataFrame:
+    """Add h_raw, v_raw (filter sums), half_h and half_v; without clamp, pixels too near an edge get NULL."""
+    return own(_half_pel(in_tiles(px, picture), [*picture, *TILES], clamp, value))
+
+
+def _centre(px: DataFrame, group: Sequence[str], clamp: bool, rounded_middle: bool = False) -> DataFrame:
     src = px.withColumn("__s", F.shiftright(F.col("h_raw") + 16, 5) if rounded_middle else F.col("h_raw"))
-    raw = src.withColumn("__c", tap6(_neighbours("__s", [*picture, "x"], "y", clamp)))
+    raw = src.withColumn("__c", tap6(_neighbours("__s", [*group, "x"], "y", clamp)))
     done = F.shiftright(F.col("__c") + 16, 5) if rounded_middle else F.shiftright(F.col("__c") + 512, 10)
     return raw.withColumn("half_c", F.when(F.col("__c").isNotNull(), clip255(done))).drop("__s", "__c")
 
 
+def centre(px: DataFrame, picture: Sequence[str], clamp: bool = True, rounded_middle: bool = False) -> DataFrame:
+    """Add half_c, the two-stage centre sample; ``px`` comes from half_pel."""
+    return own(_centre(in_tiles(px, picture), [*picture, *TILES], clamp, rounded_middle))
+
+
 PHASE_INPUTS = ("v", "half_h", "half_v", "half_c", "v_right", "v_below", "half_v_right", "half_h_below")
 
 
 def phase_inputs(px: DataFrame, picture: Sequence[str], clamp: bool = True) -> DataFrame:
     """Everything the 16 quarter-pel phases select from."""
-    c = centre(half_pel(px, picture, clamp), picture, clamp)
-    right, below = Window.partitionBy(*picture, "y").orderBy("x"), Window.partitionBy(*picture, "x").orderBy("y")
+    group = [*picture, *TILES]
+    c = _centre(_half_pel(in_tiles(px, picture), group, clamp), group, clamp)
+    right, below = Window.partitionBy(*group, "y").orderBy("x"), Window.partitionBy(*group, "x").orderBy("y")
 
     def near(col: str, w) -> Column:
         nxt = F.lead(col, 1).over(w)
         return F.coalesce(nxt, F.col(col)) if clamp else nxt
 
     c = c.withColumn("v_right", near("v", right)).withColumn("half_v_right", near("half_v", right))
-    return c.withColumn("v_below", near("v", below)).withColumn("half_h_below", near("half_h", below))
+    return own(c.withColumn("v_below", near("v", below)).withColumn("half_h_below", near("half_h", below)))
 
 
 def quarter_pel(fx: Column, fy: Column) -> Column:
@@ -202,15 +236,16 @@ def motion_compensate(px: DataFrame, grid: DataFrame, ref: DataFrame, width: int
 
 def bilinear(px: DataFrame, picture: Sequence[str], fx: Column, fy: Column, value: str = "v") -> DataFrame:
     """Eighth-pel bilinear sample; a neighbour outside the plane counts only if its weight is zero, else NULL."""
-    p = px.repartition(*picture)
-    right, below = Window.partitionBy(*picture, "y").orderBy("x"), Window.partitionBy(*picture, "x").orderBy("y")
+    group = [*picture, *TILES]
+    p = in_tiles(px, picture, before=0, after=1)
+    right, below = Window.partitionBy(*group, "y").orderBy("x"), Window.partitionBy(*group, "x").orderBy("y")
     p = p.withColumn("__r", F.lead(value, 1).over(right))
     p = p.withColumn("__b", F.lead(value, 1).over(below)).withColumn("__d", F.lead("__r", 1).over(below))
     term = lambda weight, v: F.when(weight == 0, 0).otherwise(weight * v)
     total = (
         term((8 - fx) * (8 - fy), F.col(value)) + term(fx * (8 - fy), F.col("__r")) + term((8 - fx) * fy, F.col("__b")) + term(fx * fy, F.col("__d"))
     )
-    return p.withColumn("sample", F.shiftright((total + 32).cast("int"), 6)).drop("__r", "__b", "__d")
+    return own(p.withColumn("sample", F.shiftright((total + 32).cast("int"), 6)).drop("__r", "__b", "__d"))
 
 
 def add_residual(pred: DataFrame, residual: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Pixel kernels against direct evaluation on small synthetic planes."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,48 @@ def test_generator_shares(spark):
     total = 4 * 80 * 40
     assert 0.17 * total < n.count() < 0.23 * total
     assert n.where(F.exists("c", lambda c: F.abs(c) > 200)).count() == 0
+
+
+@pytest.mark.parametrize("size", [4, 7])
+def test_any_tile_gives_the_same_samples(spark, plane, monkeypatch, size):
+    """Tiles smaller than the picture, and as small as their borders, against one tile for all of it."""
+    shifted = plane.select("frame", (F.col("y") - 6).alias("y"), (F.col("x") - 5).alias("x"), "v")
+
+    def results():
+        out = []
+        for px in (plane, shifted):
+            for clamp in (True, False):
+                h = B.half_pel(px, ["frame"], clamp)
+                out += [h, B.centre(h, ["frame"], clamp), B.centre(h, ["frame"], clamp, rounded_middle=True), B.phase_inputs(px, ["frame"], clamp)]
+            out.append(B.bilinear(px, ["frame"], F.col("x") % 8, F.col("y") % 8))
+        return [sorted(map(str, df.collect())) for df in out]
+
+    want = results()
+    monkeypatch.setattr(B, "TILE", size)
+    assert results() == want
+
+
+def test_a_wide_picture_is_many_groups(spark):
+    """A strip as wide as an 8K picture: no group of a filter is larger than a tile and its border."""
+    width, height = 7680, 80
+    px = spark.range(width * height).select(F.lit(0).alias("frame"), (F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
+    px = px.withColumn("v", ((F.col("x") * 7 + F.col("y") * 13 + F.col("x") * F.col("y")) % 256).cast("int"))
+    tiled = B.in_tiles(px, ["frame"])
+    sizes = tiled.groupBy("frame", *B.TILES).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= (B.TILE + B.BEFORE + B.AFTER) ** 2 and sizes[1] >= (width // B.TILE) * 2
+    got = np.array(B.phase_inputs(px, ["frame"]).orderBy("y", "x").select("half_h", "half_v", "half_c", "half_v_right", "half_h_below").collect())
+    y, x = np.mgrid[0:height, 0:width]
+    v = ((x * 7 + y * 13 + x * y) % 256).astype(np.int64)
+    tap = lambda a, axis: sum(w * np.take(a, np.clip(np.arange(a.shape[axis]) + k, 0, a.shape[axis] - 1), axis) for k, w in zip(range(-2, 4), (1, -5, 20, 20, -5, 1)))
+    half = lambda raw: np.clip((raw + 16) >> 5, 0, 255)
+    h, w = half(tap(v, 1)), half(tap(v, 0))
+    c = np.clip((tap(tap(v, 1), 0) + 512) >> 10, 0, 255)
+    right, below = np.c_[w[:, 1:], w[:, -1:]], np.r_[h[1:], h[-1:]]
+    assert (got == np.stack([h.ravel(), w.ravel(), c.ravel(), right.ravel(), below.ravel()], 1)).all()
+
+
+def test_no_filter_deals_by_picture(spark, plane):
+    for df in (B.phase_inputs(plane, ["frame"]), B.bilinear(plane, ["frame"], F.lit(1), F.lit(1))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert len(dealt) == 1 and "__ty" in dealt[0] and "__tx" in dealt[0]
