@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from mediaframe.functions.bits import bits, byte_swap, int_div, lit_long, wrap_diff32
 from mediaframe.functions.lineage import cut_lineage
 from mediaframe.functions.ordered import by_span, by_width, first_k
+from mediaframe.functions.spans import span_join
 from mediaframe.operators import trace as X
 from mediaframe.plans import fixtures as fx
 from mediaframe.plans.registry import query
@@ -456,3 +457,20 @@ def _(spark, sf):
     return fx.table(spark, sf, "orders").select(k.alias("k"), d.alias("diff"), (d >= 2).alias("reached"))
 
 
+
+
+@query(
+    "trace_span_join",
+    """WITH v AS (SELECT *, w&32767 AS addr FROM word),
+      sp AS (SELECT p_partkey*37%32768 AS low, p_partkey*37%32768+CASE p_partkey%4 WHEN 0 THEN p_size*p_size ELSE p_size%5-1 END AS high, p_partkey%97 AS rank, p_brand AS name FROM part),
+      b AS (SELECT addr, min({'r': rank, 'l': low, 'h': high, 'n': name}).n AS name FROM (SELECT DISTINCT addr FROM v) JOIN sp ON addr BETWEEN low AND high GROUP BY addr)
+      SELECT stream_id, dw, addr, name FROM v LEFT JOIN b USING (addr)""",
+    ["word"],
+)
+def _(spark, sf):
+    """Register fields looked up in spans made from the parts: overlaps, gaps, single registers and empty spans."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    low = k * 37 % 32768
+    spans = fx.table(spark, sf, "part").select(low.alias("low"), (low + F.when(k % 4 == 0, n * n).otherwise(n % 5 - 1)).alias("high"), (k % 97).alias("rank"), F.col("p_brand").alias("name"))
+    rows = fx.words(spark, sf).select("stream_id", "dw", F.col("w").bitwiseAND(F.lit(32767).cast("bigint")).alias("addr"))
+    return span_join(rows, spans, "addr", "dw")
