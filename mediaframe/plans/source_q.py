@@ -16,6 +16,7 @@ from mediaframe.schemas import EDGE, MB_INFO
 from mediaframe.sources import sinks as K
 from mediaframe.sources import text as X
 from mediaframe.sources.files import read_files, write_files
+from mediaframe.sources.records import read_records, write_records
 
 
 @query("source_binary_scan")
@@ -291,3 +292,13 @@ def _(spark, sf):
 def _(spark, sf):
     d = D.align(fx.pixel_version(spark, sf, "live"), fx.pixel_version(spark, sf, "ref"))
     return K.frame_report_text(D.frame_report(d))
+
+
+@query("source_records", "SELECT file_id, frame, seq, mb_type, array_to_string(c, ',') AS c FROM mb WHERE seq BETWEEN 20 AND 60", ["mb"])
+def _(spark, sf):
+    """Macroblocks as fixed-width records; files and groups without the wanted blocks are skipped, and columns not asked for stay undecoded."""
+    root = work_dir(spark, "records")
+    layout = [("file_id", "<i8", 1), ("frame", "<i8", 1), ("seq", "<i8", 1), ("mb_type", "<i8", 1), ("mv_x", "<i8", 1), ("mv_y", "<i8", 1), ("cbp", "<i8", 1), ("c", "<i8", 16)]
+    write_records(fx.macroblocks(spark, sf), root, layout, keys=["seq", "file_id"])
+    got = read_records(spark, root, ["file_id", "frame", "seq", "mb_type", "c"], between=[("seq", 20, 60)]).where("seq BETWEEN 20 AND 60")
+    return got.withColumn("c", F.array_join("c", ","))
