@@ -51,15 +51,23 @@ def capture_headers(files: DataFrame) -> DataFrame:
     return f.withColumn("ok", F.coalesce(F.col("magic") == CAPTURE_MAGIC, F.lit(False)))
 
 
-def capture_words(files: DataFrame) -> DataFrame:
-    """Words of the good captures; a trailing piece of under four bytes is dropped."""
-    good = capture_headers(files).where("ok")
+CAPTURE_PART = 4096
+
+
+def capture_words(files: DataFrame, part: int = CAPTURE_PART) -> DataFrame:
+    """Words of the good captures; a trailing piece of under four bytes is dropped.
+
+    A capture is cut into parts of ``part`` words, and words are cut out of their part, so no row holds all words of a capture.
+    """
     n = F.floor((F.octet_length("content") - CAPTURE_HEADER) / 4).cast("int")
-    # each word is cut out of the bytes before the explode, so the content is neither copied to every word nor scanned again
-    word = lambda dw: be_uint(F.col("content"), dw * 4 + CAPTURE_HEADER, 4)
-    words = F.transform(F.sequence(F.lit(0), F.col("n") - 1), word)
-    cut = good.select("path", "content", n.alias("n")).where("n > 0").select("path", F.posexplode(words).alias("dw", "w"))
-    return cut.select("path", F.col("dw").cast("bigint").alias("dw"), "w")
+    good = capture_headers(files).where("ok").select("path", "content", n.alias("n")).where("n > 0")
+    starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(part))
+    piece = lambda s: F.substring(F.col("content"), s * 4 + CAPTURE_HEADER + 1, F.least(F.lit(part), F.col("n") - s) * 4)
+    # pieces are cut before the explode, so the content is not copied to each of them
+    parts = good.select("path", F.posexplode(F.transform(starts, piece)).alias("i", "piece"))
+    words = F.transform(F.sequence(F.lit(0), (F.octet_length("piece") / 4 - 1).cast("int")), lambda k: be_uint(F.col("piece"), k * 4, 4))
+    cut = parts.select("path", "i", F.posexplode(words).alias("k", "w"))
+    return cut.select("path", (F.col("i").cast("bigint") * part + F.col("k")).alias("dw"), "w")
 
 
 def rejected_captures(files: DataFrame) -> DataFrame:

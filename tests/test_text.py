@@ -119,3 +119,12 @@ def test_stage_table(spark):
 def test_sweep_elbow(spark):
     df = spark.createDataFrame([("a", 4, 8000.0), ("a", 8, 4100.0), ("a", 16, 2500.0), ("a", 32, 2450.0)], "k string, slots int, ms double")
     assert [r.slots for r in P.sweep_elbow(df, ["k"], "slots", "ms").where("elbow").collect()] == [32]
+
+
+def test_captures_are_cut_in_parts(spark):
+    head = struct.pack(">5I", 1, 2, 3, 0x50414330, 0)
+    rows = [(str(n), bytearray(head + struct.pack(f">{n}I", *range(n)) + tail)) for n in (0, 1, 4, 5, 9) for tail in (b"", b"xyz")][::2] + [("odd", bytearray(head + struct.pack(">9I", *range(9)) + b"xyz"))]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    for part in (1, 4, 4096):
+        got = sorted((r.path, r.dw, r.w) for r in S.capture_words(files, part).collect())
+        assert got == sorted((p, k, k) for p in ("1", "4", "5", "9", "odd") for k in range(9 if p == "odd" else int(p)))
