@@ -154,13 +154,13 @@ def _(spark, sf):
 
 @query("stream_counter_steps", "SELECT run, f, v, prev FROM (SELECT *, lag(v) OVER (PARTITION BY run ORDER BY f) AS prev FROM ctr) WHERE v<>prev", ["ctr"])
 def _(spark, sf):
-    """The change points again, three micro-batches of one file each."""
+    """The change points again, three micro-batches of four files each."""
     polls = cut_lineage(fx.counters(spark, sf).drop("ts"))
     path, third = work_dir(spark, "staged"), polls.groupBy("run").agg((F.max("f") / 3 + 1).cast("bigint").alias("third"))
     parts = polls.join(third, "run").withColumn("part", F.least(F.lit(2), F.floor(F.col("f") / F.col("third")))).drop("third")
     for k in range(3):
-        parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
-    return R.counter_changes(R.file_stream(spark, path, polls.schema, files_per_batch=1))
+        parts.where(F.col("part") == k).drop("part").repartition(4).write.mode("append").parquet(path)
+    return R.counter_changes(R.file_stream(spark, path, polls.schema, files_per_batch=4))
 
 
 @query(
