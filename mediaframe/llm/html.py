@@ -28,6 +28,7 @@ from mediaframe.llm.common import column, small_batches
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*>", re.S
 )
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -112,7 +113,8 @@ def _signs(attrs: str, inside: bool) -> tuple[int, bool, bool]:
 
 def read(source: str) -> Page:
     """Blocks and containers of a page."""
-    page, stack, counts = Page(), [Open("", 0, False, False, 0, False)], {}
+    page, stack = Page(), [Open("", 0, False, False, 0, False)]
+    places: dict[str, list[int]] = {}  # where the open elements of each tag stand in the stack
     texts: list[str] = []
     linked = 0
     state = {"tag": "", "low": 1, "depth": 1}
@@ -149,22 +151,24 @@ def read(source: str) -> Page:
         texts.append(text)
 
     def pop():
-        counts[stack.pop().tag] -= 1
+        places[stack.pop().tag].pop()
         state["low"] = min(state["low"], len(stack))
 
     def close(tag: str):
-        if counts.get(tag):
+        if places.get(tag):
             while stack[-1].tag != tag:
                 pop()
             pop()
 
-    at, n = 0, len(source)
+    at, n, last = 0, len(source), source.rfind(">")
     while at < n:
-        m = _TAG.search(source, at)
+        # behind the last ">" no tag can end, and only an unclosed comment is left to find
+        m = _TAG.search(source, at) if at <= last else _COMMENT.search(source, at)
         add(source[at : m.start() if m else n])
         if not m:
             break
-        at, tag = m.end(), (m["name"] or "").lower()
+        tag = (m["name"] or "").lower() if m.re is _TAG else ""
+        at = m.end()
         if not tag:
             continue
         if m["close"]:
@@ -175,14 +179,17 @@ def read(source: str) -> Page:
         if tag == "br":
             add(" ")
             continue
-        if counts.get("head") and tag not in HEAD:
+        if places.get("head") and tag not in HEAD:
             close("head")
         if tag in BLOCK:
             flush()
-            if counts.get("p"):
+            if places.get("p"):
                 close("p")
-            ends = CLOSES.get(tag, ())
-            while ends and (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ends or stack[i].tag in SCOPE), 0)) and stack[i].tag in ends:
+            ends = CLOSES.get(tag)
+            while ends:
+                i = max((places[t][-1] for t in ends | SCOPE if places.get(t)), default=0)
+                if not i or stack[i].tag not in ends:
+                    break
                 while len(stack) > i:
                     pop()
         if tag in VOID:
@@ -199,8 +206,8 @@ def read(source: str) -> Page:
         if tag in BLOCK and tag != "p":
             page.boxes.append(box)
             box = len(page.boxes) - 1
+        places.setdefault(tag, []).append(len(stack))
         stack.append(Open(tag, top.against + against, top.favour or favour or tag in FOR_TAGS, top.never or hidden or tag in NEVER, box, top.link or tag == "a"))
-        counts[tag] = counts.get(tag, 0) + 1
         if m["attrs"].endswith("/") and tag in ("svg", "math", "path"):
             pop()
     flush()

@@ -43,7 +43,7 @@ ORDER = 4
 BLOCK_ENTRIES = 2_000_000  # of the table that a task holds at once, 20 bytes each
 CHUNK = 8  # languages scored at once
 BASE = 1.0 / (1 << 16)  # probability of a character nothing is known of
-Z = 8.0
+Z = 6.0
 SCALE = 20.0
 FLOOR = 0.1  # least spread of the entropy, nats per character
 RUN_CHARS = 1 << 20  # characters handled at once, at about 100 bytes each

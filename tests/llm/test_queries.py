@@ -71,6 +71,25 @@ def test_held_out_languages(spark):
     assert rows and sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
 
 
+FOREIGN = [
+    "Der schnelle braune Fuchs springt über den faulen Hund und läuft danach in den dunklen Wald hinein, wo er bis zum Abend schläft.",
+    "Le renard brun rapide saute par-dessus le chien paresseux puis s'enfuit dans la forêt sombre où il dort jusqu'au soir.",
+    "Быстрая коричневая лиса прыгает через ленивую собаку и убегает в тёмный лес, где спит до самого вечера.",
+    "Szybki brązowy lis przeskakuje nad leniwym psem i ucieka do ciemnego lasu, gdzie śpi przez cały dzień.",
+    "素早い茶色の狐はのろまな犬を飛び越えて暗い森へ走り去った。そして夕方まで眠った。",
+    "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee sitten pimeään metsään nukkumaan koko päiväksi.",
+    "xq zvkj wqpl mnbv cxzq lkjh gfds qpwo eiru tyal skdj fhgz mxnc bvqp wkej rhtg ybnu vmic oxlp",
+]
+
+
+def test_language_stage_rejects_what_no_language_explains(spark):
+    """Planted texts in languages, or none, that the corpus's made-up prose is not written in go; its own documents all stay."""
+    docs = table(spark, SF, "documents")
+    planted = spark.createDataFrame([(10_000 + i, t, None, "x", len(t)) for i, t in enumerate(FOREIGN)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.known_languages(spark, docs.unionByName(planted), SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     columns, model = docs.columns, language.train(language.training_rows(docs))

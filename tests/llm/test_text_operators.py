@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -167,6 +168,19 @@ def test_cut_is_minimal():
         assert side[0] and not side[1] and cost == brute_cut(n, edges, 0, 1)
 
 
+@pytest.mark.parametrize("page", ["<a" * 500_000, '<a "' * 250_000 + ">x", "<table>" + "<span>" * 20_000 + "<td>x" * 20_000, "<span><li>x" * 40_000, "<" * 500_000, "<!--" * 250_000])
+def test_broken_pages_take_linear_time(page):
+    """Up to a megabyte of unclosed tags, quotes and comments, and elements nested by the ten thousand."""
+    start = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - start < 8
+
+
+def test_unclosed_markup_keeps_the_text_before_it():
+    assert html.main_text("<article><p>One sentence of the main text, long enough to stay. <b>And more.</b></p><a href='x") .startswith("One sentence")
+    assert html.main_text("<article><p>One sentence of the main text, long enough to stay.</p><!-- never closed <p>no</p>") == "One sentence of the main text, long enough to stay."
+
+
 def test_language_models_tell_held_out_texts(spark):
     words = {"aa": ["kala", "mola", "tika", "lomu"], "bb": ["strng", "vlkch", "zrst", "prchl"], "cc": ["ouéa", "éieu", "oiça", "auée"]}
     rnd = random.Random(8)
