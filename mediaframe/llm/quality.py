@@ -6,7 +6,8 @@ Words are runs of non-white-space (ASCII white space). Line rules, on lines with
 * navigation: three separators (words that are only punctuation) or more, making up a fifth of the words;
 * shouting: three words or more, upper case and no lower case;
 * stutter: eight words or more, a third of them equal to the word before;
-* boilerplate: at most 20 words with a phrase of cookie banners, site menus or copyright lines;
+* boilerplate: at most 20 words, a third or more of them in phrases of cookie banners, site menus or copyright lines; a sentence that only
+  mentions one passes;
 * punctuation: 12 words or more and not one of them ends a sentence or clause, by the marks of any script; a line with a word in
   a script written without such marks (Thai, Lao) passes.
 
@@ -33,7 +34,7 @@ MIN_WORDS = 50
 MAX_LOST = 0.5
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
-    r"(cookie|javascript|privacy policy|terms of (use|service)|all rights reserved|copyright|sign (up|in)|log ?in|subscribe|"
+    r"((we|site) uses? cookies|cookie|javascript|privacy policy|terms of (use|service)|all rights reserved|copyright|sign (up|in)|log ?in|subscribe|"
     r"newsletter|click here|read more|share (this|on)|follow us|powered by|skip to (main )?content)"
 )
 SEPARATOR = r"[!-/:-@\[-`{-~»›•·–—→]+"
@@ -89,7 +90,7 @@ def line_fails(line: str, words: list[str]) -> str | None:
         return "shouting"
     if n >= 8 and sum(a == b for a, b in zip(words, words[1:], strict=False)) * 3 >= n:
         return "stutter"
-    if n <= 20 and _BOILER.search(line):
+    if n <= 20 and sum(len(m[0].split(" ")) for m in _BOILER.finditer(line)) * 3 >= n:
         return "boilerplate"
     if n >= 12 and not any(_STOP.search(w) for w in words):
         return "punctuation"

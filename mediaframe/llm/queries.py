@@ -128,7 +128,7 @@ j AS (
     len(list_filter(lw, lambda x: regexp_full_match(x, '{_SEP_SQL}') AND contains('|/>»›•·–—→-*+:', x[1]))) AS seps,
     NOT regexp_matches(line, '\\p{{Ll}}') AND regexp_matches(line, '\\p{{Lu}}') AS loud,
     len(list_filter(range(1, len(lw)), lambda k: lw[k] = lw[k + 1])) AS stutter,
-    regexp_matches(lower(line), '{_BOILER_SQL}') AS boiler,
+    coalesce(list_sum(list_transform(regexp_extract_all(lower(line), '{_BOILER_SQL}'), lambda x: len(string_split(x, ' ')))), 0) * 3 >= len(lw) AS boiler,
     len(list_filter(lw, lambda x: regexp_matches(x, '{_STOP_SQL}'))) AS stops
   FROM l WHERE len(lw) > 0),
 s AS (

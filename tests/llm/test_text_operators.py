@@ -176,6 +176,13 @@ def test_broken_pages_take_linear_time(page):
     assert time.process_time() - start < 8
 
 
+def test_a_mention_is_no_boilerplate():
+    for line in ("Bake the cookie dough for ten minutes, then cool.", "The court held that copyright law applies here.", "She reads the newsletter of the bird club every month."):
+        assert quality.line_fails(line, line.split()) is None
+    for line in ("All rights reserved.", "Copyright 2020 Example", "Click here to subscribe", "Privacy Policy Terms of Use", "Sign up for our newsletter"):
+        assert quality.line_fails(line, line.split()) == "boilerplate"
+
+
 def test_unclosed_markup_keeps_the_text_before_it():
     assert html.main_text("<article><p>One sentence of the main text, long enough to stay. <b>And more.</b></p><a href='x") .startswith("One sentence")
     assert html.main_text("<article><p>One sentence of the main text, long enough to stay.</p><!-- never closed <p>no</p>") == "One sentence of the main text, long enough to stay."
