@@ -5,8 +5,9 @@ consecutive words of an item; a shorter item is one window. The windows' rolling
 task holds; training texts are turned into word numbers, hashed at every position in numpy, looked up in the array, and
 each hit is verified against the window's words.
 
-Size bound: items are broadcast in blocks of at most ``block_bytes`` of text. Every block scans all documents; between
-blocks the hits found so far are written to the shared folder, so a task never holds more than one block.
+Size bound: items are broadcast in blocks of at most ``block_bytes`` of text. A long item is first cut into parts that share ``width`` - 1 words, which have
+the item's windows; only a single word, or ``width`` of them, longer than a block makes a larger one. Every block scans all documents; between
+blocks the hits found so far are written to the shared folder, so neither a task nor the driver holds more than one block.
 
 Defined cases: null and wordless texts have no words and no hits; null and wordless items have no windows; repeated
 items count once by item_id, a null item_id marks words but is no item; several rows of one document stay several rows;
@@ -132,27 +133,45 @@ def without_spans(text: str, spans: list[int]) -> str:
     return "".join([*out, text[last:]])
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """Items in lists of at most ``block_bytes`` of text each; sizes are added up before anything is collected."""
-    items = benchmark.select(column(item_id).cast("bigint").alias("i"), column(text).alias("t")).where(F.col("t").isNotNull()).distinct()
+def item_parts(text: str, width: int, part_bytes: int) -> list[str]:
+    """The text, or pieces of about ``part_bytes`` that share ``width`` - 1 words and together hold each of its windows once."""
+    if len(utf8(text)) <= part_bytes:
+        return [text]
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, i = [], 0
+    while i == 0 or i + width <= len(at):
+        j = min(i + width, len(at))
+        while j < len(at) and at[j][1] - at[i][0] <= part_bytes // 4:  # a character has four bytes at most
+            j += 1
+        out.append(text[at[i][0] : at[j - 1][1]] if at else "")
+        i = j - width + 1 if j < len(at) else len(at)
+        if i >= len(at):
+            break
+    return out
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int, width: int = WIDTH):
+    """Items, long ones in parts, in lists of at most ``block_bytes`` of text each, one after the other; sizes are added up before anything is collected."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: item_parts(t, width, max(block_bytes // 16, 1)))
+
+    whole = benchmark.select(column(item_id).cast("bigint").alias("i"), column(text).alias("t")).where(F.col("t").isNotNull()).distinct()
+    items = stored(small_batches(whole).select("i", F.explode(cut("t")).alias("t")), "items")
     sized = items.withColumn("n", F.octet_length("t").cast("bigint"))
-    total, most = sized.agg(F.sum("n"), F.max("n")).first()
-    if (most or 0) > block_bytes:
-        raise ValueError(f"a benchmark item of {most} bytes is over block_bytes")
+    total = sized.agg(F.sum("n")).first()[0]
     # each item hashes to a part; parts are packed into blocks by their summed size
-    parts = max(1, 16 * -(-(total or 0) // block_bytes))
+    parts = max(1, 64 * -(-(total or 0) // block_bytes))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
-    groups, size = [[]], 0
+    group, size = [], 0
     for p, n in sized.groupBy(part.alias("p")).agg(F.sum("n")).orderBy("p").collect():
-        if n > block_bytes:
-            raise ValueError("benchmark items hash unevenly; raise block_bytes")
-        if size + n > block_bytes:
-            groups.append([])
-            size = 0
-        groups[-1].append(p)
+        if group and size + n > block_bytes:
+            yield sized.where(part.isin(group)).select("i", "t").collect()
+            group, size = [], 0
+        group.append(p)
         size += n
-    for g in groups:
-        yield sized.where(part.isin(g)).select("i", "t").collect()
+    yield sized.where(part.isin(group)).select("i", "t").collect()
 
 
 def _first(index):
@@ -179,13 +198,15 @@ def find_hits(
 ) -> DataFrame:
     """docs with the struct column ``out`` (n_words, spans, items)."""
     docs = small_batches(docs)
-    blocks = list(_blocks(benchmark, item_id, item_text, block_bytes))
-    for k, block in enumerate(blocks):
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes, width)
+    block, first = next(blocks), True
+    while block is not None:
         index = docs.sparkSession.sparkContext.broadcast(NgramIndex.build([tuple(r) for r in block], width))
-
-        docs = docs.withColumn(out, _first(index)(column(text)) if k == 0 else _later(index)(column(text), column(out)))
-        if k + 1 < len(blocks):
+        docs = docs.withColumn(out, _first(index)(column(text)) if first else _later(index)(column(text), column(out)))
+        block, first = next(blocks, None), False
+        if block is not None:
             docs = stored(docs, "hits")
+            index.destroy()
     return docs
 
 

@@ -80,8 +80,23 @@ def test_hits_in_blocks_equal_one_block(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     one = decontaminate.report(docs, bench).collect()
     assert sorted(one) == sorted(decontaminate.report(docs, bench, block_bytes=700).collect())
-    with pytest.raises(ValueError):
-        decontaminate.report(docs, bench, block_bytes=5)
+
+
+def test_items_longer_than_a_block_are_cut(spark):
+    """An item of several blocks' size hits what it hit whole; its parts hold each of its windows, and no others."""
+    rnd = random.Random(4)
+    long = " ".join(rnd.choice(["alpha", "beta", "ß", "x", "delta7", "EPS"]) for _ in range(1500)) + "  -- last, words!"
+    for size in (1, 50, 400, 10**6):
+        parts = decontaminate.item_parts(long, 10, size)
+        got = Counter(tuple(w[i : i + 10]) for w in map(decontaminate.words, parts) for i in range(len(w) - 9))
+        w = decontaminate.words(long)
+        assert got == Counter(tuple(w[i : i + 10]) for i in range(len(w) - 9))
+    assert decontaminate.item_parts("few words", 10, 3) == ["few words"] and decontaminate.item_parts("...", 10, 1) == [""]
+    docs = spark.createDataFrame([(i, "before " + " ".join(long.split()[40 * i : 40 * i + 9 + i % 3]) + " after") for i in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, long), (2, "short item"), (3, None)], "item_id long, text string")
+    one = decontaminate.report(docs, bench).collect()
+    assert sorted(one) == sorted(decontaminate.report(docs, bench, block_bytes=3000).collect())
+    assert {r.contaminated for r in one} == {True, False}
 
 
 def test_repeated_words_equal_brute_force():
