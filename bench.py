@@ -13,11 +13,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "diff_frame_report", "diff_drill_down", "diff_worst_pixel", "diff_origin_block", "diff_tracked_errors", "diff_content_equal",
     "container_samples", "container_samples_per_chunk", "container_units", "container_file_summary",
-    "motion_outcome_counts", "motion_shape_census", "motion_margins", "motion_reference_groups", "motion_capacity_chunks", "motion_display_order",
+    "motion_outcome_counts", "motion_shape_census", "motion_margins", "motion_reference_groups", "motion_display_order",
     "profile_steady_state", "profile_phase_breakdown", "profile_cpu_share", "profile_inter_arrival",
     "trace_packets", "trace_findings", "trace_last_state", "trace_gate", "trace_programs", "trace_sessions",
     "blocks_inverse_transform", "blocks_half_pel", "blocks_motion_compensate", "blocks_edge_strength", "blocks_smooth_edge",
-    "batch_flush_batches", "sink_ppm_images", "stream_budget_monitor",
+    "sink_ppm_images", "stream_budget_monitor",
 ]
 
 
