@@ -190,16 +190,20 @@ def outcomes(mb: DataFrame) -> DataFrame:
         .when(~chroma_inside(fx, fy, sixteen, sixteen, fw, fh), "chroma_margin")
     )
 
-    def part_reason(p: Column) -> Column:
-        mx, my, ref = part_vector(F.col("mv_l0"), F.col("ref_l0"), p["n"])
-        ax, ay = absolute(mx, F.col("mb_x"), p["x_off"]), absolute(my, F.col("mb_y"), p["y_off"])
-        return (
-            F.when(ref != F.col("base_ref"), "ref_differs")
-            .when(~luma_inside(ax, ay, p["w"], p["h"], fw, fh), "luma_margin")
-            .when(~chroma_inside(ax, ay, p["w"], p["h"], fw, fh), "chroma_margin")
-        )
-
-    first_part = F.get(F.filter(F.transform(partitions(t, F.col("sub")), part_reason), lambda r: r.isNotNull()), F.lit(0))
+    def first_reason(cells: Column) -> Column:
+        def part_reason(p: Column) -> Column:
+            mx, my, ref = part_vector(cells["mv"], cells["ref"], p["n"])
+            ax, ay = absolute(mx, F.col("mb_x"), p["x_off"]), absolute(my, F.col("mb_y"), p["y_off"])
+            return (
+                F.when(ref != F.col("base_ref"), "ref_differs")
+                .when(~luma_inside(ax, ay, p["w"], p["h"], fw, fh), "luma_margin")
+                .when(~chroma_inside(ax, ay, p["w"], p["h"], fw, fh), "chroma_margin")
+            )
+
+        return F.get(F.filter(F.transform(partitions(t, F.col("sub")), part_reason), lambda r: r.isNotNull()), F.lit(0))
+
+    # the cell arrays are bound once a row: a filter on the reason is pushed down with its columns written out, which would build them anew for every partition
+    first_part = F.get(F.transform(F.array(F.struct(F.col("mv_l0").alias("mv"), F.col("ref_l0").alias("ref"))), first_reason), F.lit(0))
     reason = (
         F.when(F.col("route") == "skip", F.coalesce(b_slice, list1, no_ref, whole))
         .when(F.col("route") == "p16x16", F.coalesce(dct, b_slice, list1, no_ref, whole))

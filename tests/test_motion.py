@@ -93,3 +93,34 @@ def test_references_beyond_the_cap_are_kept(spark):
     rows = [(1, i, i % 40, "single" if i % 3 else "diag") for i in range(120)]
     r = M.reference_groups(spark.createDataFrame(rows, "batch int, ord int, ref int, family string"), ["batch"], "ord").collect()
     assert sum(x.n for x in r) == 120 and {x.ref for x in r if not x.within_cap} == set(range(32, 40))
+
+
+def test_cell_arrays_are_built_once_a_row_under_a_filter(spark):
+    """A pushed-down filter writes out the columns it reads: inside the partition rules that was once for every use and partition."""
+    fixed = {n: F.lit(v) for n, v in dict(mb_type=S.T16X8, slice=S.SLICE_P, mb_x=3, mb_y=3, mb_width=16, mb_height=12, base_mv_x=0, base_mv_y=0, base_ref=0, has_ref=True).items()}
+    mb = spark.range(3).withColumns({**fixed, "sub": F.array(*[F.lit(8)] * 4), "mv_l0": F.array_repeat(F.col("id").cast("int"), 80), "ref_l0": F.array_repeat(F.lit(0), 40)})
+    taken = M.outcomes(mb).where("taken").select("id", "route")
+    assert taken._jdf.queryExecution().optimizedPlan().toString().count("array_repeat(cast") == 1
+    assert taken.count() == 3
+
+
+def test_macroblock_records_compile(spark):
+    """The JVM leaves methods above 8000 bytes to its interpreter."""
+    from mediaframe.plans import fixtures as fx
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rec = fx.macroblock_info(spark, "/root/testdata/sf0.001").select(F.col("mv_l0").cast("array<smallint>"), F.col("ref_l0").cast("array<tinyint>"))
+        code = rec._jdf.queryExecution().debug().codegenToSeq()
+        assert 0 < max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) <= 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_cells_of_any_line_item(spark):
+    from mediaframe.plans import fixtures as fx
+
+    for r in fx.macroblock_info(spark, "/root/testdata/sf0.001").select("mv_x", "mv_y", "ref", "n9", "mv_l0", "ref_l0").limit(200).collect():
+        assert r["mv_l0"] == [v for i in range(40) for v in (r["mv_x"] + i % 5 - 2, r["mv_y"] + i % 3 - 1)]
+        assert r["ref_l0"] == [r["ref"] + ((r["n9"] + i) % 29 == 0) for i in range(40)]
