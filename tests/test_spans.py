@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mediaframe.functions.spans import span_join
+from mediaframe.functions.spans import first_span, span_join
 from mediaframe.operators import trace as X
 
 SPANS = "low long, high long, rank long, name string"
@@ -49,3 +49,16 @@ def test_the_fixed_blocks_as_a_table(spark):
     rows = spark.range(0, 40_000, 4).selectExpr("id AS i", "id AS addr")
     both = span_join(rows, spans, "addr", "i").select("name", X.block_of(F.col("addr")).alias("block"))
     assert both.where("not (name <=> block)").count() == 0 and both.where("name is not null").count() > 0
+
+
+def test_overlapping_spans_do_not_multiply(spark):
+    """A value inside thousands of spans meets one row a width; the ends of the range of a long are spans too."""
+    big = (1 << 63) - 1
+    spans = spark.range(3000).select((F.col("id") % 50 - 7).alias("low"), (F.col("id") % 50 + 900 + F.col("id") % 7).alias("high"), (F.col("id") % 11 + 1).alias("rank"), F.col("id").cast("string").alias("name"))
+    spans = spans.unionByName(spark.createDataFrame([(-big - 1, big, 50, "all"), (big, big, 0, "top"), (-big - 1, -big, 0, "bottom"), (5, 4, 0, "none")], spans.schema)).cache()
+    values = [-big - 1, -big, -8, -7, 0, 41, 42, 899, 955, 956, big - 1, big]
+    found = first_span(spark.createDataFrame([(v,) for v in values], "v long"), spans, "v", "low", "high", "rank", ["name"])
+    held = spans.collect()
+    want = {v: min((s["rank"], s["low"], s["high"], s["name"]) for s in held if s["low"] <= v <= s["high"])[3] for v in values}
+    assert {r["v"]: r["name"] for r in found.collect()} == want
+    assert ">= __lo" not in found._jdf.queryExecution().toString()  # joined by pieces alone
