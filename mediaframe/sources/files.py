@@ -19,6 +19,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from mediaframe.functions.batches import small_batches
+
 FORMAT = "file_rows"
 ROWS = "path string, content binary"
 MANIFESTS, DATA, LIST = "_manifests", "_data", "_files"
@@ -148,7 +150,7 @@ class FileRows(DataSource):
 def write_files(rows: DataFrame, root: str, mode: str = "append") -> None:
     """Rows (path, content) as files below root; names are any strings and need not be unique."""
     rows.sparkSession.dataSource.register(FileRows)
-    rows.select("path", "content").write.format(FORMAT).mode(mode).save(root)
+    small_batches(rows.select("path", "content")).write.format(FORMAT).mode(mode).save(root)
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:

@@ -126,3 +126,18 @@ def test_samples_beyond_the_last_chunk_are_left_out(spark):
     chunks = spark.createDataFrame([(1, 1, 100, 2), (1, 2, 200, 1)], "file_id long, chunk_no long, chunk_off long, spc long")
     got = [(r.sample_idx, r.chunk_no, r.off) for r in C.expand_samples(sizes, chunks).orderBy("sample_idx").collect()]
     assert got == [(0, 1, 100), (1, 1, 110), (2, 2, 200)]
+
+
+def test_files_reach_a_worker_in_small_batches(spark):
+    """Batches end by bytes as well as by rows, so a worker's memory does not grow with the rows of its partition."""
+    import pandas as pd
+
+    files = spark.range(0, 600, 1, 1).selectExpr("cast(id AS string) AS path", "unhex(repeat('00', 30000)) AS content")
+
+    def sizes(batches):
+        for df in batches:
+            yield pd.DataFrame({"n": [df["content"].map(len).sum()]})
+
+    assert mv.boxes(files).count() == 600
+    got = [r.n for r in files.mapInPandas(sizes, "n long").collect()]
+    assert sum(got) == 600 * 30_000 and max(got) <= 8 << 20
