@@ -116,10 +116,12 @@ class ExpiringReorder(Reorder):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = list(rows)
-        yield from super().handleInputRows(key, iter(held), timerValues)
-        if not self.shown.exists():  # ended by its last row
-            self.latest.clear()
-            set_timer(self.handle, None)
+        out, ended, had = self._advance(key, iter(held))
+        yield out
+        if ended:
+            if had:
+                self.latest.clear()
+                set_timer(self.handle, None)
             return
         ms = max(int(df["ms"].max()) for df in held)
         if self.latest.exists():

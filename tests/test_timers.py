@@ -117,3 +117,31 @@ def test_lost_last_rows_are_shown_and_state_ends_empty(spark, utc):
             want = sorted((r[3], r[2]) for r in lost if r[:2] == (s, e))
             assert mine == [(i, *w) for i, w in enumerate(want)]
     assert q.lastProgress.stateOperators[0].numRowsTotal == 0
+
+
+def test_a_key_that_ends_in_its_first_batch_makes_one_state_call():
+    import pandas as pd
+
+    from mediaframe.streaming.stateful import FlushBatches
+    from mediaframe.streaming.timers import ExpiringReorder
+
+    calls = []
+
+    class State:
+        def exists(self):
+            calls.append("exists")
+            return False
+
+        def __getattr__(self, name):
+            raise AssertionError(f"{name} of a state that does not exist")
+
+    p = ExpiringReorder(3, 1000)
+    p.pending = p.shown = p.latest = p.handle = State()
+    rows = pd.DataFrame({"decode_no": [2, 0, 1], "poc": [4, 0, 2], "last": [True, False, False], "ms": [5, 3, 4]})
+    out = pd.concat(p.handleInputRows((7, 0), iter([rows]), None))
+    assert out[["display_no", "poc", "decode_no"]].to_numpy().tolist() == [[0, 0, 0], [1, 2, 1], [2, 4, 2]] and calls == ["exists"]
+    q = FlushBatches(2)
+    q.queue = State()
+    mb = pd.DataFrame({"seq": [1, 0], "mb_x": [1, 0], "mb_y": [0, 0], "intra": [True, False], "taken": [True, True], "last": [False, False], "end": [True, False]})
+    out = pd.concat(q.handleInputRows((1, 0), iter([mb]), None))
+    assert out[["seq", "batch_id"]].to_numpy().tolist() == [[0, 0], [1, 1]] and calls == ["exists", "exists"]
