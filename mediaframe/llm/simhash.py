@@ -10,10 +10,12 @@ other tile holds only counts beyond the radius, as such fingerprints cannot be l
 with the rows in reach of its count alone, by numpy exclusive-or and bit counts. A tile pair returns a spanning forest of its
 links instead of all of them: the same components with fewer rows than fingerprints.
 
-*Similar texts* (``keep_similar``, the pipeline's stage). A radius of 4 finds very close copies only. Texts that share 80 % of their five-word shingles differ in
-about 15 % of the bits, so this stage takes 128 bits and a radius of WIDE. No ranges are left whole at such a radius; rows meet in TABLES tables of cells, one for
-each choice of CELL_BITS bits, which miss one of thirty pairs of similarity 0.8 and hardly any closer one. Each link of a forest is then confirmed by
-the exact share of common shingles of the two texts.
+*Similar texts* (``keep_similar``, the pipeline's stage). A radius of 4 finds very close copies only, so this stage links texts by their sets of five-word shingles, and
+loses no link. Two sets of similarity s or more share one of the first n - ceil(s n) + 1 shingles of each, in any one order of all shingles; rows meet in a cell for each of
+these. The order is free, so shingles that are common in a bounded sample of the texts (SAMPLE) come last, and passages that many texts repeat make no large cells. Cells of
+the same rows are one. Sets of over 512 shingles are cut by the hash into pieces, one of which is as similar as the sets or more, and the pieces meet. Inside a cell, rows are compared by a lower bound of the difference of their sets: the parity of the shingles of each of 512 hash values. The
+candidates' components hold all true ones. Each row's first candidate is confirmed by the two texts; where that leaves a candidate component in several parts, all pairs between
+the parts are compared by the sets themselves, in tiles of bounded weight.
 
 Copies meet first: one row per distinct fingerprint carries its smallest doc_id, by partial aggregation. Components come
 from rounds of minimum-label hooking and pointer jumping over the fingerprints that have a link; the label tables of each
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mediaframe.functions.batches import small_batches as bounded_batches
 from mediaframe.functions.skew import spread_join
 from mediaframe.llm.common import column, small_batches, stored, utf8
 
@@ -51,10 +54,12 @@ _LOW = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: of keep_similar
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-WIDE = 29
-TABLES = 32
-CELL_BITS = 14
-_BITS_SEED = 7
+PARITY = [f"b{i}" for i in range(8)]
+SLACK = 1e-9
+SAMPLE = 8000  # texts whose shingles are counted for the order
+COMMON = 5  # texts of the sample that hold a common shingle, at least
+MOST_COMMON = 100_000
+HEAVY = 1 << 20  # shingles of a tile of texts
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -98,18 +103,25 @@ def band_masks(radius: int, bands: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(ranges, bands - radius)]
 
 
-def forest(v: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _radius(similarity: float, sizes):
+    """The most elements by which two sets of that similarity differ, by the sum of their sizes."""
+    return (1 - similarity) / (1 + similarity) * sizes + SLACK
+
+
+def forest(v: np.ndarray, side: np.ndarray, radius: float, size: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest of the links between rows of v (rows x 64-bit words), as pairs of row numbers, the smaller value first reached.
 
     Rows stand by population count; each row, once reached, is compared with the rows not yet reached whose counts lie within the radius. ``side`` (0 or 1 a row)
-    only allows links between unlike sides, unless all are alike: two tiles are linked to each other, a tile to itself.
+    only allows links between unlike sides, unless all are alike: two tiles are linked to each other, a tile to itself. With ``size``, rows are parities of sets of so many
+    elements, ``radius`` is a similarity of sets, and rows are linked unless their difference rules it out.
     """
-    count = np.bitwise_count(v).sum(axis=1, dtype=np.int16)
+    count = np.bitwise_count(v).sum(axis=1, dtype=np.int16) if size is None else size
     order = np.lexsort((*v.T[::-1], count))
     v, count, side = v[order], count[order], side[order]
     two = len(side) > 0 and side.min() != side.max()
     free = np.ones(len(v), bool)
-    lo, hi = np.searchsorted(count, count - radius), np.searchsorted(count, count + radius, side="right")
+    least, most = (count - radius, count + radius) if size is None else (count * radius - SLACK, count / radius + SLACK)
+    lo, hi = np.searchsorted(count, least), np.searchsorted(count, most, side="right")
     out = []
     for start in range(len(v)):
         if not free[start]:
@@ -126,14 +138,14 @@ def forest(v: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]
             far = np.zeros(len(near), np.uint16)
             for w in range(v.shape[1]):
                 far += np.bitwise_count(v[near, w] ^ v[i, w])
-            near = near[far <= radius]
+            near = near[far <= (radius if size is None else _radius(radius, count[near] + count[i]))]
             free[near] = False
             out += [(int(order[i]), int(order[j])) for j in near]
             reached += near[::-1].tolist()
     return out
 
 
-def _tiles(batches, radius: int, keys: list[str], values: list[str], name: str):
+def _tiles(batches, radius: float, keys: list[str], values: list[str], name: str, size: str | None = None):
     """Rows sorted by cell and tile pair; a tile pair is complete when the next one begins."""
     rest = None
 
@@ -143,17 +155,18 @@ def _tiles(batches, radius: int, keys: list[str], values: list[str], name: str):
         v, side = df[values].to_numpy().view(np.uint64), (df["t"] != df["a"]).to_numpy().astype(np.int8)
         one = (df["a"] == df["b"]).to_numpy()
         rows, found = df[name].to_numpy(), []
-        size = np.diff(edge)
-        group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= SMALL, size)
-        wanted = size > SMALL
-        for d in range(1, min(SMALL, size.max(initial=0))):
+        n = None if size is None else df[size].to_numpy().astype(np.int64)
+        length = np.diff(edge)
+        group, small = np.repeat(np.arange(len(length)), length), np.repeat(length <= SMALL, length)
+        wanted = length > SMALL
+        for d in range(1, min(SMALL, length.max(initial=0))):
             i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
             far = sum(np.bitwise_count(v[i, w] ^ v[i + d, w]).astype(np.uint16) for w in range(v.shape[1]))
-            wanted[group[i[far <= radius]]] = True
+            wanted[group[i[far <= (radius if n is None else _radius(radius, n[i] + n[i + d]))]]] = True
         for g in np.flatnonzero(wanted).tolist():
             s, e = int(edge[g]), int(edge[g + 1])
             if one[s] or side[s:e].min() != side[s:e].max():
-                found += [(s + i, s + j) for i, j in forest(v[s:e], side[s:e], radius)]
+                found += [(s + i, s + j) for i, j in forest(v[s:e], side[s:e], radius, None if n is None else n[s:e])]
         p = rows[np.array(found, np.int64).reshape(-1, 2)]
         return pd.DataFrame({"u": p.min(axis=1), "v": p.max(axis=1)})
 
@@ -170,10 +183,16 @@ def _tiles(batches, radius: int, keys: list[str], values: list[str], name: str):
         yield links(rest)
 
 
-def tile_links(cells: DataFrame, keys: list[str], values: list[str], name: str, radius: int, tile: int) -> DataFrame:
-    """u < v of the column ``name``: a spanning forest of the links inside each cell (keys) of rows with their fingerprint (values)."""
-    pop = sum((F.bit_count(c) for c in values[1:]), F.bit_count(values[0]))
-    cells = cells.select(*keys, *dict.fromkeys([*values, name]), pop.alias("pop"))
+def tile_links(cells: DataFrame, keys: list[str], values: list[str], name: str, radius: float, tile: int, size: str | None = None) -> DataFrame:
+    """u < v of the column ``name``: a spanning forest of the links inside each cell (keys) of rows with their fingerprint (values).
+
+    With ``size``, values are parities of sets of so many elements and ``radius`` is a similarity of sets; rows then stand by classes of their size."""
+    keep = list(dict.fromkeys([*values, name, *([size] if size else [])]))
+    if size is None:
+        pop, far = sum((F.bit_count(c) for c in values[1:]), F.bit_count(values[0])), radius
+    else:
+        pop, far = F.floor(F.log(F.greatest(F.col(size), F.lit(1)).cast("double")) * (2 / -np.log(radius))).cast("int"), 3  # similar sets lie two classes apart, three with rounding
+    cells = cells.select(*keys, *keep, pop.alias("pop"))
     hot = stored(cells.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > tile).drop("n"), "hot")
     cells_found = hot.count()
     if cells_found:
@@ -183,20 +202,19 @@ def tile_links(cells: DataFrame, keys: list[str], values: list[str], name: str,
         by = Window.partitionBy(*keys).orderBy("pop")
         before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         per = per.select(*keys, "pop", F.floor(before / tile).alias("lo"), F.floor((before + F.col("n") - 1) / tile).alias("hi"))
-        reach = by.rangeBetween(-radius, radius)
+        reach = by.rangeBetween(-far, far)
         per = per.select(*keys, "pop", "lo", "hi", F.min("lo").over(reach).alias("first"), F.max("hi").over(reach).alias("last"))
         rows = meet(cells, per, [*keys, "pop"], "left")
-        t = F.when(F.col("lo").isNull(), F.lit(0)).otherwise(F.col("lo") + F.pmod(F.xxhash64(*values), F.col("hi") - F.col("lo") + 1)).cast("int")
+        t = F.when(F.col("lo").isNull(), F.lit(0)).otherwise(F.col("lo") + F.pmod(F.xxhash64(*keep), F.col("hi") - F.col("lo") + 1)).cast("int")
     else:
         rows, t = cells.withColumn("first", F.lit(0)).withColumn("last", F.lit(0)), F.lit(0)
     rows = rows.withColumn("t", t)
     mates = F.sequence(F.coalesce("first", F.lit(0)).cast("int"), F.coalesce("last", F.lit(0)).cast("int"))
     mates = F.transform(mates, lambda o: F.struct(F.least("t", o).alias("a"), F.greatest("t", o).alias("b")))
-    keep = list(dict.fromkeys([*values, name]))
     pairs = rows.select(*keys, *keep, "t", F.inline(mates))
     groups = [*keys, "a", "b"]
     dealt = pairs.repartition(*groups).sortWithinPartitions(*groups)
-    return dealt.mapInPandas(lambda it: _tiles(it, radius, groups, values, name), "u long, v long").distinct()
+    return dealt.mapInPandas(lambda it: _tiles(it, radius, groups, values, name, size), "u long, v long").distinct()
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, bands: int = BANDS) -> DataFrame:
@@ -280,58 +298,185 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh3_128_digest(k, SEED) for k in kinds), np.uint8).reshape(-1, 16)
 
 
-def wide_fingerprint(text: str | None, shingle: int = SIMILAR_SHINGLE) -> tuple[int, int]:
-    """128 majority bits over the distinct shingles, as two signed longs."""
-    h = shingle_hashes(text, shingle)
-    ones = np.zeros(128, np.int64)
-    for k in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[k : k + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    a, b = np.packbits(2 * ones > len(h)).view(">i8")
-    return int(a), int(b)
-
-
 def jaccard(a: str | None, b: str | None, shingle: int = SIMILAR_SHINGLE) -> float:
     """Share of common shingles of two texts; texts without words are equal."""
     x, y = ({bytes(r) for r in shingle_hashes(t, shingle)} for t in (a, b))
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def bit_choices(tables: int = TABLES, bits: int = CELL_BITS) -> list[tuple[int, int]]:
-    """Masks of two words, ``bits`` of 128 set in each."""
-    rng = np.random.default_rng(_BITS_SEED)
-    chosen = [sum(1 << int(i) for i in rng.choice(128, bits, replace=False)) for _ in range(tables)]
-    return [(m & (1 << 64) - 1, m >> 64) for m in chosen]
+def common_shingles(docs: DataFrame, text: str = "text", shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several of about SAMPLE texts hold, ascending, and how many: it orders shingles, and any order finds the same links."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle).view("<i8")[:, 0]) for t in texts], dtype="object")
+
+    part = max(1, docs.count() // SAMPLE)
+    some = docs.select(column(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+    found = some.select(F.explode(hashes("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    top = found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas()
+    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _level(n: int) -> int:
+    """A set of n shingles is cut into 2 ** level pieces."""
+    return max(0, (n - 1).bit_length() - 9)
+
+
+def _parity(bits: np.ndarray, n: int) -> np.ndarray:
+    return np.packbits(np.bincount(bits, minlength=n) & 1).view("<i8")
+
+
+def set_profile(text: str | None, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple:
+    """Two words of a digest of the text's shingles, their number, the words of their parity; then the hashes of those it meets others by, the piece of each, and the
+    sizes and parities of the pieces. The smaller set of a pair sets the level, so a text is cut for its own size and for the least that is similar."""
+    h = shingle_hashes(text, shingle)
+    n, words = len(h), h.view("<u8").reshape(-1, 2)
+    words = words[np.lexsort((words[:, 1], words[:, 0]))]
+    digest = np.frombuffer(xxhash.xxh3_128_digest(words.tobytes(), SEED), "<i8")
+    known, count = common
+    times = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, words[:, 0]), len(known) - 1)
+        times = np.where(known[at] == words[:, 0], count[at], 0)
+    bit = (words[:, 1] & np.uint64(511)).astype(np.int64)
+    tokens, places, sizes, parities, base = [], [], [], [], 0
+    for level in sorted({_level(n), _level(int(np.ceil(similarity * n - SLACK)))}) if n else []:
+        piece = ((words[:, 1] >> np.uint64(40)) & np.uint64((1 << level) - 1)).astype(np.int64)
+        size = np.bincount(piece, minlength=1 << level)
+        order = np.lexsort((times, piece))
+        rank = np.arange(n) - (np.cumsum(size) - size)[piece[order]]
+        first = order[rank <= (size - np.ceil(similarity * size - SLACK))[piece[order]]]
+        tokens.append((words[first, 0] + np.uint64(level)).view(np.int64))
+        places.append(base + piece[first])
+        sizes.append(size)
+        parities.append(_parity(512 * piece + bit, 512 << level))
+        base += 1 << level
+    joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, places, sizes, parities)]
+    return int(digest[0]), int(digest[1]), n, *_parity(bit, 512).tolist(), *joined
+
+
+def _set_links(batches, similarity: float):
+    """Rows sorted by group and tile pair: links that join the parts of a tile pair as all its links between them would."""
+    keys, rest = ["cc", "a", "b"], None
+
+    def links(df: pd.DataFrame):
+        df = df.sort_values(["n", "row"], ignore_index=True)
+        n, part, row, side = df["n"].to_numpy(np.int64), df["part"].to_numpy().copy(), df["row"].to_numpy(), (df["t"] != df["a"]).to_numpy()
+        v, sets = df[PARITY].to_numpy().view(np.uint64), [np.frombuffer(b, np.int64) for b in df["shingles"]]
+        two, out = df["a"].iloc[0] != df["b"].iloc[0], []
+        hi = np.searchsorted(n, n / similarity + SLACK, side="right")
+        for i in range(len(n)):
+            near = np.arange(i + 1, hi[i])
+            near = near[part[near] != part[i]]
+            if two:
+                near = near[side[near] != side[i]]
+            near = near[np.bitwise_count(v[near] ^ v[i]).sum(axis=1, dtype=np.int64) <= _radius(similarity, n[near] + n[i])]
+            for j in near.tolist():
+                if part[j] == part[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - SLACK:
+                    part[part == part[j]] = part[i]
+                    out.append((min(row[i], row[j]), max(row[i], row[j])))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    for df in batches:
+        df = df if rest is None else pd.concat([rest, df], ignore_index=True)
+        if not len(df):
+            continue
+        k = df[keys].to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1))))
+        for s, e in zip(edge, edge[1:], strict=False):
+            yield links(df.iloc[s:e])
+        rest = df.iloc[edge[-1] :].reset_index(drop=True)
+    if rest is not None:
+        yield links(rest)
+
+
+def set_links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float, heavy: int = HEAVY) -> DataFrame:
+    """u < v: links that join the parts of each group as all links between them would, by the sets of members (cc, part, row, n and parity) and texts (row, x).
+
+    A group of over ``heavy`` shingles is dealt into tiles. Its largest part is dealt apart, and tiles of it are not compared with one another.
+    """
+
+    @F.pandas_udf("binary")
+    def shingles(x: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle).view("<i8")[:, 0]).tobytes() for t in x], dtype="object")
+
+    parts = members.groupBy("cc", "part").agg(F.sum("n").alias("w"))
+    per = parts.groupBy("cc").agg(F.max(F.struct("w", "part")).alias("top"), F.sum("w").alias("w"))
+    cut = lambda w: F.ceil(w / heavy).cast("int")
+    per = per.select("cc", F.col("top.part").alias("top"), cut(F.col("w") - F.col("top.w")).alias("k0"), cut(F.col("top.w")).alias("k1"), (F.col("w") <= heavy).alias("one"))
+    dealt = spread_join(members, per, "cc", "row")
+    place = lambda k: F.pmod(F.xxhash64("row"), k).cast("int")
+    top = F.col("part") == F.col("top")
+    t = F.when(F.col("one"), 0).when(top, F.col("k0") + place(F.greatest("k1", F.lit(1)))).otherwise(place(F.greatest("k0", F.lit(1))))
+    last = F.when(F.col("one"), 0).when(top, F.col("k0") - 1).otherwise(F.col("k0") + F.col("k1") - 1)
+    dealt = dealt.withColumn("t", t.cast("int")).withColumn("last", last.cast("int"))
+    dealt = dealt.join(texts, "row").withColumn("shingles", shingles("x"))
+    mates = F.transform(F.sequence(F.lit(0), "last"), lambda o: F.struct(F.least("t", o).alias("a"), F.greatest("t", o).alias("b")))
+    pairs = dealt.select("cc", "part", "row", "n", *PARITY, "shingles", "t", F.inline(mates))
+    pairs = pairs.repartition("cc", "a", "b").sortWithinPartitions("cc", "a", "b")
+    return bounded_batches(pairs).mapInPandas(lambda it: _set_links(it, similarity), "u long, v long").distinct()
+
+
+def meeting(profiles: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """u < v of rows (row, and the last four of set_profile): links whose components hold all rows of that similarity."""
+    tokens = profiles.select("row", F.inline(F.arrays_zip("token", "piece")))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+    met = stored(tokens.join(counts, "token").select("token", "row", "piece"), "met")
+    by = (F.count("*").alias("times"), F.bit_xor(F.xxhash64("row", "piece")).alias("x"), F.bit_xor(F.xxhash64("piece", "row")).alias("y"))
+    cells = met.groupBy("token").agg(*by).groupBy("times", "x", "y").agg(F.min("token").alias("token"))
+    once = met.join(cells.select("token"), "token", "left_semi").join(profiles.select("row", "sizes", "parities"), "row")
+    parity = [F.get("parities", 8 * F.col("piece") + i).alias(c) for i, c in enumerate(PARITY)]
+    return tile_links(once.select("token", "row", F.get("sizes", "piece").alias("n"), *parity), ["token"], PARITY, "row", similarity, tile, "n")
 
 
 def keep_similar(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE, tile: int = TILE
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, tile: int = TILE, heavy: int = HEAVY
 ) -> DataFrame:
     """One row of each group of texts that share ``similarity`` of their word shingles with one another, in a chain if need be, with the columns of docs: the smallest
     doc_id, nulls last, and of equal ones the first by row number. Texts without words are one group."""
+    common = common_shingles(small_batches(docs), text, shingle)
+    single, many = ["d1", "d2", "n", *PARITY], ["token", "piece", "sizes", "parities"]
 
-    @F.pandas_udf("f1 long, f2 long")
-    def prints(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_fingerprint(t, shingle) for t in texts], columns=["f1", "f2"], dtype="int64")
+    @F.pandas_udf(", ".join([*(f"{c} long" for c in single), "token array<long>", "piece array<int>", "sizes array<int>", "parities array<long>"]))
+    def profile(texts: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame([set_profile(t, shingle, similarity, common) for t in texts], columns=[*single, *many])
+        return out.astype(dict.fromkeys(single, "int64"))
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    rows = small_batches(docs).withColumn("__f", prints(column(text))).withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.withColumn("__p", profile(column(text))).withColumn("__row", F.monotonically_increasing_id())
     rows = stored(rows, "rows")
     first = F.min(F.struct(F.isnull(column(doc_id)).alias("no_id"), column(doc_id).alias("id"), "__row")).alias("first")
-    firsts = stored(rows.groupBy(F.col("__f.f1").alias("f1"), F.col("__f.f2").alias("f2")).agg(first).select("f1", "f2", "first", F.col("first.__row").alias("row")), "distinct")
-
-    cell = lambda c, m: F.col(c).bitwiseAND(F.lit(_signed(m)))
-    cells = [F.struct(F.lit(i).alias("band"), cell("f1", a).alias("c1"), cell("f2", b).alias("c2")) for i, (a, b) in enumerate(bit_choices())]
-    met = firsts.select("f1", "f2", "row", F.inline(F.array(*cells)))
-    near = stored(tile_links(met, ["band", "c1", "c2"], ["f1", "f2"], "row", radius, tile), "near")
+    firsts = stored(rows.groupBy(F.col("__p.d1").alias("d1"), F.col("__p.d2").alias("d2"), F.col("__p.n").alias("n")).agg(first).select("first", F.col("first.__row").alias("row")), "distinct")
+    profiles = rows.select(F.col("__row").alias("row"), *(F.col(f"__p.{c}").alias(c) for c in ["n", *PARITY, *many])).join(firsts.select("row"), "row", "left_semi")
+    near = stored(meeting(profiles.where("n > 0"), similarity, tile), "near")
 
     texts = rows.select(F.col("__row").alias("row"), column(text).alias("x"))
-    mine = texts.join(near.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "row", "left_semi")
-    pairs = near.join(mine.select(F.col("row").alias("u"), F.col("x").alias("xu")), "u").join(mine.select(F.col("row").alias("v"), F.col("x").alias("xv")), "v")
-    sure = pairs.where(alike("xu", "xv") >= similarity).select("u", "v")
-    groups = stored(components(sure), "components")
+    some = near.groupBy("v").agg(F.min("u").alias("u"))
+    mine = texts.join(some.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "row", "left_semi")
+    pairs = some.join(mine.select(F.col("row").alias("u"), F.col("x").alias("xu")), "u").join(mine.select(F.col("row").alias("v"), F.col("x").alias("xv")), "v")
+    sure = stored(pairs.where(alike("xu", "xv") >= similarity).select("u", "v"), "sure")
+    parts = stored(components(sure), "parts")
+
+    part = lambda side: parts.select(F.col("node").alias(side), F.col("root").alias(f"p{side}"))
+    ends = near.join(part("u"), "u", "left").join(part("v"), "v", "left").select(F.coalesce("pu", "u").alias("a"), F.coalesce("pv", "v").alias("b"))
+    open_ends = stored(ends.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "open")
+    groups = parts
+    if not open_ends.isEmpty():
+        split = components(open_ends).select(F.col("node").alias("part"), F.col("root").alias("cc"))
+        all_parts = parts.select(F.col("node").alias("row"), F.col("root").alias("part"))
+        all_parts = all_parts.unionByName(open_ends.select(F.explode(F.array("u", "v")).alias("row")).distinct().select("row", F.col("row").alias("part"))).distinct()
+        members = all_parts.join(split, "part").join(profiles.select("row", "n", *PARITY), "row")
+        more = set_links(members, texts, shingle, similarity, heavy)
+        groups = stored(components(sure.unionByName(more)), "components")
     rooted = firsts.join(groups.withColumnRenamed("node", "row"), "row", "left").select("first", F.coalesce("root", "row").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*map(column, docs.columns))

@@ -156,6 +156,25 @@ def test_a_large_group_of_near_copies_leaves_one(spark):
     assert 0 in {r.doc_id for r in kept} and len(kept) <= 4
 
 
+@pytest.mark.parametrize("tile, heavy, sample", [(4096, 1 << 20, 8000), (16, 1000, 20)])
+def test_no_similar_pair_is_left_out(spark, monkeypatch, tile, heavy, sample):
+    """Pairs and families of copies about the limit, some around one passage: the rows kept are those of all pairs."""
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    rnd = random.Random(tile)
+    passage, texts = [f"p{k}" for k in range(40)], []
+    for _ in range(150):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([6, 40, 60, 150, 400]))] + passage * rnd.randrange(2)
+        texts += [" ".join(words), near_copy(words, rnd, rnd.uniform(0.78, 0.84))]
+    for _ in range(4):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(120)]
+        texts += [near_copy(words, rnd, rnd.uniform(0.8, 0.95)) for _ in range(30)]
+    sets = [{bytes(h) for h in simhash.shingle_hashes(t, 5)} for t in texts]
+    every = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_similar(docs, tile=tile, heavy=heavy).collect()}
+    assert kept == set(spans(every, range(len(texts))).values())
+
+
 def test_chain_is_one_component(spark):
     chain = [(i, (1 << 4 * (i + 1)) - 1) for i in range(15)]
     edges = spark.createDataFrame([(a, b) for (_, a), (_, b) in zip(chain, chain[1:], strict=False)], "u long, v long")
