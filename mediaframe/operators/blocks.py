@@ -163,16 +163,21 @@ PHASE_INPUTS = ("v", "half_h", "half_v", "half_c", "v_right", "v_below", "half_v
 
 
 def phase_inputs(px: DataFrame, picture: Sequence[str], clamp: bool = True) -> DataFrame:
-    """Everything the 16 quarter-pel phases select from."""
+    """Everything the 16 quarter-pel phases select from.
+
+    What looks along x comes first, then all that looks along y, so a tile is sorted twice; the vertical filter of a right neighbour runs over ``v_right``.
+    """
     group = [*picture, *TILES]
-    c = _centre(_half_pel(in_tiles(px, picture), group, clamp), group, clamp)
     right, below = Window.partitionBy(*group, "y").orderBy("x"), Window.partitionBy(*group, "x").orderBy("y")
 
     def near(col: str, w) -> Column:
         nxt = F.lead(col, 1).over(w)
         return F.coalesce(nxt, F.col(col)) if clamp else nxt
 
-    c = c.withColumn("v_right", near("v", right)).withColumn("half_v_right", near("half_v", right))
+    c = _half_pel(in_tiles(px, picture).withColumn("v_right", near("v", right)), group, clamp)
+    c = c.withColumn("__vr", tap6(_neighbours("v_right", [*group, "x"], "y", clamp)))
+    c = c.withColumn("half_v_right", F.when(F.col("__vr").isNotNull(), clip255(F.shiftright(F.col("__vr") + 16, 5)))).drop("__vr")
+    c = _centre(c, group, clamp)
     return own(c.withColumn("v_below", near("v", below)).withColumn("half_h_below", near("half_h", below)))
 
 
@@ -226,10 +231,11 @@ def motion_compensate(px: DataFrame, grid: DataFrame, ref: DataFrame, width: int
         *picture, "y", "x", source("x", "mv_x", width).alias("sx"), source("y", "mv_y", height).alias("sy"),
         F.col("mv_x").bitwiseAND(F.lit(3)).alias("fx"), F.col("mv_y").bitwiseAND(F.lit(3)).alias("fy"),
     )
-    planes = phase_inputs(padded_plane(ref, width, height), picture, clamp=False)
-    keep = planes.where(F.col("x").between(-4, width + 1) & F.col("y").between(-4, height + 1)).select(
-        *picture, F.col("x").alias("sx"), F.col("y").alias("sy"), *PHASE_INPUTS
-    )
+    # moved so that the margin lies in the picture's first tiles, not in tiles of its own
+    plane = padded_plane(ref, width, height).withColumns({c: F.col(c) + MARGIN_LOW for c in ("x", "y")})
+    planes = phase_inputs(plane, picture, clamp=False)
+    sx, sy = (F.col(c) - MARGIN_LOW for c in ("x", "y"))
+    keep = planes.where(sx.between(-4, width + 1) & sy.between(-4, height + 1)).select(*picture, sx.alias("sx"), sy.alias("sy"), *PHASE_INPUTS)
     j = moved.join(keep, [*picture, "sx", "sy"])
     return j.select(*picture, "y", "x", quarter_pel(F.col("fx"), F.col("fy")).alias("pred"))
 

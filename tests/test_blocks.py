@@ -160,3 +160,13 @@ def test_no_filter_deals_by_picture(spark, plane):
         plan = df._jdf.queryExecution().executedPlan().toString()
         dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
         assert len(dealt) == 1 and "__ty" in dealt[0] and "__tx" in dealt[0]
+
+
+def test_phase_inputs_sort_a_tile_twice(spark, capsys):
+    """Also where the plane has a margin: that lies in the tile of the picture."""
+    px = spark.createDataFrame([(0, y, x, 3 * x + 5 * y) for y in range(8) for x in range(8)], "frame long, y int, x int, v int")
+    B.phase_inputs(px, ["frame"], clamp=False).explain()
+    assert capsys.readouterr().out.count("Sort [") == 2
+    grid = spark.createDataFrame([(0, r, c, 0, 0) for r in range(2) for c in range(2)], "frame long, brow int, bcol int, mv_x int, mv_y int")
+    out = B.motion_compensate(px.drop("v"), grid, px, 8, 8, cell=4)
+    assert {(r.y, r.x, r.pred) for r in out.collect()} == {(r.y, r.x, r.v) for r in px.collect()}
