@@ -58,7 +58,11 @@ def patch_late(rows: DataFrame, late: DataFrame, keys: Sequence[str], column: st
     return rows.join(got, list(keys), "left").withColumn(column, F.coalesce("__late", column)).drop("__late")
 
 
-def complete_items(parts: DataFrame, keys: Sequence[str], ok: str) -> DataFrame:
-    """Parts of items all of whose parts are ok; a declined item leaves nothing behind."""
-    bad = parts.where(~F.col(ok)).select(*keys).distinct()
-    return parts.join(bad, list(keys), "left_anti")
+def complete_items(items: DataFrame, keys: Sequence[str], parts: Column, reason: Column) -> DataFrame:
+    """Parts, one row each, of the items without a reason to decline; a declined item leaves nothing behind.
+
+    ``parts`` is the item's array of structs and ``reason`` an expression over all of them (NULL: whole), so an item is judged on its own row
+    and its parts need not be brought together again.
+    """
+    # not a filter: pushed below the items' own expressions, it would work them out again inside ``reason``
+    return items.select(*keys, F.inline(F.when(reason.isNull(), parts)))

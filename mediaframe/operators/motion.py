@@ -137,14 +137,14 @@ def phase_and_pel(full: Column) -> dict[str, Column]:
 
 
 def luma_inside(full_x: Column, full_y: Column, w: Column, h: Column, frame_w: Column, frame_h: Column) -> Column:
-    px, py = F.shiftright(full_x, 2), F.shiftright(full_y, 2)
-    return (px - 2 >= 0) & (py - 2 >= 0) & (px + w + 2 < frame_w) & (py + h + 2 < frame_h)
+    """pel - 2 >= 0 and pel + size + 2 < frame on both axes, as bounds on the quarter-pel position."""
+    return (full_x >= 8) & (full_y >= 8) & (full_x < (frame_w - w - 2) * 4) & (full_y < (frame_h - h - 2) * 4)
 
 
 def chroma_inside(full_x: Column, full_y: Column, w: Column, h: Column, frame_w: Column, frame_h: Column) -> Column:
-    px, py = F.shiftright(full_x, 3), F.shiftright(full_y, 3)
-    cw, ch, fw, fh = F.shiftright(w, 1), F.shiftright(h, 1), F.shiftright(frame_w, 1), F.shiftright(frame_h, 1)
-    return (px >= 0) & (py >= 0) & (px + cw + 1 < fw) & (py + ch + 1 < fh)
+    """pel >= 0 and pel + size + 1 < frame on both axes of the half-size plane, as bounds on its eighth-pel position."""
+    room = lambda frame, size: (F.shiftright(frame, 1) - F.shiftright(size, 1) - 1) * 8
+    return (full_x >= 0) & (full_y >= 0) & (full_x < room(frame_w, w)) & (full_y < room(frame_h, h))
 
 
 def explode_partitions(mb: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -175,6 +175,27 @@ def refs_agree(mb_type: Column, sub: Column, ref: Column, base_ref: Column) -> C
     return F.forall(partitions(mb_type, sub), lambda p: F.get(ref, grid_index(p["n"])) == base_ref)
 
 
+def first_part_reason() -> Column:
+    """Why the first partition that fails is declined; NULL if all pass, or without motion. All partitions are judged on the block's row."""
+    fw, fh = F.col("mb_width") * 16, F.col("mb_height") * 16
+
+    def first(cells: Column) -> Column:
+        def place(p: Column) -> Column:
+            mx, my, ref = part_vector(cells["mv"], cells["ref"], p["n"])
+            ax, ay = absolute(mx, F.col("mb_x"), p["x_off"]), absolute(my, F.col("mb_y"), p["y_off"])
+            return F.struct(ref.alias("ref"), ax.alias("x"), ay.alias("y"), p["w"].alias("w"), p["h"].alias("h"))
+
+        def judge(p: Column) -> Column:
+            at = (p["x"], p["y"], p["w"], p["h"], fw, fh)
+            return F.when(p["ref"] != F.col("base_ref"), "ref_differs").when(~luma_inside(*at), "luma_margin").when(~chroma_inside(*at), "chroma_margin")
+
+        parts = partitions(F.col("mb_type"), F.col("sub"))
+        return F.get(F.filter(F.transform(F.transform(parts, place), judge), lambda r: r.isNotNull()), F.lit(0))
+
+    # the cell arrays are bound once a row: a filter on the reason is pushed down with its columns written out, which would build them anew for every partition
+    return F.get(F.transform(F.array(F.struct(F.col("mv_l0").alias("mv"), F.col("ref_l0").alias("ref"))), first), F.lit(0))
+
+
 def outcomes(mb: DataFrame) -> DataFrame:
     """Add route, reason (first failing rule, NULL if none) and taken."""
     t, kind = F.col("mb_type"), F.col("slice")
@@ -190,24 +211,10 @@ def outcomes(mb: DataFrame) -> DataFrame:
         .when(~chroma_inside(fx, fy, sixteen, sixteen, fw, fh), "chroma_margin")
     )
 
-    def first_reason(cells: Column) -> Column:
-        def part_reason(p: Column) -> Column:
-            mx, my, ref = part_vector(cells["mv"], cells["ref"], p["n"])
-            ax, ay = absolute(mx, F.col("mb_x"), p["x_off"]), absolute(my, F.col("mb_y"), p["y_off"])
-            return (
-                F.when(ref != F.col("base_ref"), "ref_differs")
-                .when(~luma_inside(ax, ay, p["w"], p["h"], fw, fh), "luma_margin")
-                .when(~chroma_inside(ax, ay, p["w"], p["h"], fw, fh), "chroma_margin")
-            )
-
-        return F.get(F.filter(F.transform(partitions(t, F.col("sub")), part_reason), lambda r: r.isNotNull()), F.lit(0))
-
-    # the cell arrays are bound once a row: a filter on the reason is pushed down with its columns written out, which would build them anew for every partition
-    first_part = F.get(F.transform(F.array(F.struct(F.col("mv_l0").alias("mv"), F.col("ref_l0").alias("ref"))), first_reason), F.lit(0))
     reason = (
         F.when(F.col("route") == "skip", F.coalesce(b_slice, list1, no_ref, whole))
         .when(F.col("route") == "p16x16", F.coalesce(dct, b_slice, list1, no_ref, whole))
-        .when(F.col("route").isin("p16x8", "p8x8"), F.coalesce(b_slice, list1, dct, no_ref, first_part))
+        .when(F.col("route").isin("p16x8", "p8x8"), F.coalesce(b_slice, list1, dct, no_ref, first_part_reason()))
         .when(F.col("route") != "intra", F.col("route"))
     )
     out = mb.withColumn("route", route(t, kind, F.col("mb_x"), F.col("mb_y"))).withColumn("reason", reason)

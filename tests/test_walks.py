@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions.ordered import by_width
 from mediaframe.functions.reach import reachable
-from mediaframe.operators.batching import batch_stats, flush_batches
-from mediaframe.operators.motion import capacity_chunks
+from mediaframe.operators.batching import batch_stats, complete_items, flush_batches
+from mediaframe.operators.motion import capacity_chunks, chroma_inside, luma_inside
 
 
 def walk(nxt):
@@ -83,3 +83,23 @@ def test_flush_batches(spark, queue_max, p_intra):
     assert {(r.frame, r.seq): r.batch_id for r in got.collect()} == want
     stats = {r.frame: r.blocks for r in batch_stats(got, ["frame"]).collect()}
     assert sum(stats.values()) == len(want)
+
+
+def test_complete_items_judges_an_item_on_its_row(spark):
+    rows = [(1, [(0, True), (1, True)]), (2, [(0, True), (1, False), (2, True)]), (3, []), (4, None), (5, [(0, True)])]
+    items = spark.createDataFrame(rows, "item int, parts array<struct<n:int,ok:boolean>>")
+    bad = F.get(F.filter("parts", lambda p: ~p["ok"]), F.lit(0))["n"]
+    got = complete_items(items, ["item"], F.col("parts"), bad)
+    assert sorted((r.item, r.n) for r in got.collect()) == [(1, 0), (1, 1), (5, 0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_margins_at_their_edges(spark):
+    at = [-9, -8, -1, 0, 7, 8, 9, 700, *range(4 * (64 - 16) - 20, 4 * 64 + 4)]
+    rows = [(x, y, w, h) for x in at for y in (8, 20) for w, h in ((16, 16), (8, 4), (4, 8))] + [(y, x, w, h) for x in at for y in (8, 20) for w, h in ((16, 16), (8, 4), (4, 8))]
+    df = spark.createDataFrame(rows, "x int, y int, w int, h int")
+    args = (F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(64), F.lit(64))
+    for x, y, w, h, luma, chroma in df.select("*", luma_inside(*args), chroma_inside(*args)).collect():
+        assert luma == all((v >> 2) - 2 >= 0 and (v >> 2) + n + 2 < 64 for v, n in ((x, w), (y, h)))
+        assert chroma == all((v >> 3) >= 0 and (v >> 3) + n // 2 + 1 < 32 for v, n in ((x, w), (y, h)))
