@@ -3,7 +3,8 @@
 Blocks queue up in decode order and the queue is flushed (a) when it is full, (b) before an intra block
 whose row lies below the oldest queued block, (c) before an intra block whose left neighbour is queued,
 (d) after the last block of the picture. From any start the first flush is a look-ahead to the nearest of
-four marks, so batch starts are a forward walk and no task holds a whole group.
+four marks, so batch starts are a forward walk and no task holds a whole group. Picture rows are bounded by
+the picture's width, and blocks of ``ROWS`` of them hold all a block's marks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from mediaframe.functions.lineage import cut_lineage
 from mediaframe.functions.ordered import BLK, by_width, in_blocks, next_after, running_sum, scan
 from mediaframe.functions.reach import reachable
 
+ROWS = 1 << 8
+
 
 def flush_batches(mb: DataFrame, keys: Sequence[str], is_last: Column, queue_max: int = S.QUEUE_MAX) -> DataFrame:
     """Taken blocks with their batch_id (0-based per group).
@@ -26,23 +29,23 @@ def flush_batches(mb: DataFrame, keys: Sequence[str], is_last: Column, queue_max
     """
     keys, big = list(keys), lambda c: c.cast("bigint")
     base = cut_lineage(mb.select(*keys, "seq", "mb_x", "mb_y", "intra", "taken", is_last.alias("last")))
-    rows = in_blocks(base, by_width("seq"))
+    # blocks of whole picture rows: all marks are looked up in the one partitioning
+    rows = in_blocks(base, by_width("mb_y", ROWS))
     before = {"p_taken": F.col("taken"), "p_x": F.col("mb_x"), "p_y": F.col("mb_y")}
     rows = scan(rows, keys, ["seq"], None, sums={"t": (big(F.col("taken")), False)}, lag=before)
     left_queued = F.col("p_taken") & (F.col("p_x") == F.col("mb_x") - 1) & (F.col("p_y") == F.col("mb_y"))
+    rows = rows.withColumn("left", F.col("intra") & left_queued).where("taken or intra or last")
     ends = F.when(F.col("last"), F.col("t") + big(F.col("taken")))
-    marks = {"by_left": F.when(F.col("intra") & left_queued, F.col("t")), "by_last": ends}
-    rows = next_after(rows, keys, ["seq"], None, marks).withColumn("by_last", F.coalesce(ends, "by_last")).drop(BLK)
-    rows = cut_lineage(rows.select(*keys, "seq", "mb_x", "mb_y", "intra", "taken", "t", "by_left", "by_last"))
-
-    per_row = rows.groupBy(*keys, "mb_y").agg(F.min(F.when(F.col("intra"), F.col("t"))).alias("first_intra"))
-    lower = next_after(per_row, keys, ["mb_y"], by_width("mb_y"), {"by_row": F.col("first_intra")}).drop("first_intra")
-    queued = rows.where("taken").join(lower, [*keys, "mb_y"])
-    nxt = F.least(F.col("t") + queue_max, "by_left", "by_last", "by_row")
-    edges = cut_lineage(queued.select(*keys, "seq", "mb_x", "mb_y", "t", nxt.alias("nxt")))
-    starts = reachable(edges.select(*keys, F.col("t").alias("pos"), "nxt"), keys).select(*keys, F.col("pos").alias("t"), F.lit(1).alias("new"))
-    flagged = edges.drop("nxt").join(starts, [*keys, "t"], "left")
-    numbered = running_sum(flagged, keys, ["t"], by_width("t"), big(F.coalesce("new", F.lit(0))), "batch_id")
+    marks = {"by_left": F.when(F.col("left"), F.col("t")), "by_last": ends}
+    rows = next_after(rows, keys, ["seq"], None, marks, {"by_row": ("mb_y", F.when(F.col("intra"), F.col("t")))}).where("taken")
+    nxt = F.least(F.col("t") + queue_max, "by_left", F.coalesce(ends, "by_last"), "by_row")
+    edges = cut_lineage(rows.select(*keys, "seq", "mb_x", "mb_y", "t", nxt.alias("nxt")))
+    starts = cut_lineage(reachable(edges.select(*keys, F.col("t").alias("pos"), "nxt"), keys))
+
+    # a start is a row of its own in front of its block, so that numbering the batches shuffles the blocks once and joins nothing
+    none = [F.lit(None).cast(edges.schema[c].dataType).alias(c) for c in ("seq", "mb_x", "mb_y")]
+    both = edges.select(*keys, "t", F.lit(1).alias("own"), "seq", "mb_x", "mb_y").unionByName(starts.select(*keys, F.col("pos").alias("t"), F.lit(0).alias("own"), *none))
+    numbered = running_sum(both, keys, ["t", "own"], by_width("t"), big(1 - F.col("own")), "batch_id").where("own = 1")
     return numbered.select(*keys, "seq", "mb_x", "mb_y", (F.col("batch_id") - 1).alias("batch_id"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mediaframe.functions.ordered import by_width
+from mediaframe.functions.ordered import by_width, next_after
 from mediaframe.functions.reach import reachable
 from mediaframe.operators.batching import batch_stats, complete_items, flush_batches
 from mediaframe.operators.motion import capacity_chunks, chroma_inside, luma_inside
@@ -85,6 +85,28 @@ def test_flush_batches(spark, queue_max, p_intra):
     assert sum(stats.values()) == len(want)
 
 
+@pytest.mark.parametrize("p_intra", [0.005, 0.3])
+def test_flush_batches_of_a_picture_of_many_blocks(spark, p_intra):
+    rnd = random.Random(5)
+    pic = [(s, s % 2, s // 2, rnd.random() < p_intra, rnd.random() < 0.4) for s in range(2 * 900)]
+    df = spark.createDataFrame(pic, "seq bigint, mb_x int, mb_y int, intra boolean, taken boolean").withColumn("frame", F.lit(1))
+    got = flush_batches(df, ["frame"], (F.col("mb_x") == 1) & (F.col("mb_y") == 899), 50)
+    assert {r.seq: r.batch_id for r in got.collect()} == simulate(pic, 50, (1, 899))
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Join") == 1  # only the block totals
+
+
+def test_next_after_beyond_the_own_value(spark):
+    rows = [(g, i, i // 3, rnd) for g in "ab" for i in range(60) for rnd in [random.Random(f"{g}{i}").choice([None, None, 60 - i, i])]]
+    df = spark.createDataFrame(rows, "g string, i bigint, row bigint, v bigint").repartition(3)
+    got = next_after(df, ["g"], ["i"], by_width("row", 4), {"near": F.col("v")}, {"least": ("row", F.col("v"))}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        mine = [x for x in rows if x[0] == r.g and x[3] is not None]
+        assert r.least == min((x[3] for x in mine if x[2] > r.row), default=None)
+        assert r.near == next((x[3] for x in mine if x[1] > r.i), None)
+
+
 def test_complete_items_judges_an_item_on_its_row(spark):
     rows = [(1, [(0, True), (1, True)]), (2, [(0, True), (1, False), (2, True)]), (3, []), (4, None), (5, [(0, True)])]
     items = spark.createDataFrame(rows, "item int, parts array<struct<n:int,ok:boolean>>")
