@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from mediaframe.functions.batches import small_batches
 from mediaframe.sources.movie import split_units
 
 
@@ -54,6 +57,44 @@ class Packets:
             at += 1 + data
 
 
+UNIT = [("nal_idx", pa.int32()), ("off", pa.int64()), ("len", pa.int64()), ("nal_type", pa.int32()), ("bad_tail", pa.bool_())]
+
+
+def unit_lists(payloads: pa.Array, prefixes: pa.Array) -> pa.Array:
+    """``split_units`` of every payload of an Arrow batch, as one list a payload. Only the lengths are walked in a loop."""
+    ends, at_, len_, kind_, bad_ = [0], [], [], [], []
+    for buf, prefix in zip(payloads.to_pylist(), prefixes.to_pylist()):
+        at, end = 0, len(buf or b"")
+        while end - at > prefix:
+            start = at + prefix
+            n = int.from_bytes(buf[at:start], "big")
+            if n == 0 or n > end - start:
+                break
+            at_.append(start)
+            len_.append(n)
+            kind_.append(buf[start] & 31)
+            at = start + n
+        bad_.append(at < end)
+        if at < end:
+            at_.append(at)
+            len_.append(end - at)
+            kind_.append(None)
+        ends.append(len(at_))
+    stops = np.array(ends, "int64")
+    counts = np.diff(stops)
+    bad = np.zeros(len(at_), bool)
+    bad[stops[1:][np.array(bad_, bool)] - 1] = True
+    columns = [np.arange(len(at_)) - np.repeat(stops[:-1], counts), at_, len_, kind_, bad]
+    rows = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, UNIT)], fields=[pa.field(n, t) for n, t in UNIT])
+    return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), rows)
+
+
+def units_of(payloads: DataFrame, payload: str, prefix: int, keep: list[str]) -> DataFrame:
+    """The rows of ``split_units(payload, prefix)`` beside the columns ``keep``, an Arrow batch of payloads at a time."""
+    lists = F.arrow_udf(unit_lists, "array<struct<nal_idx:int,off:bigint,len:bigint,nal_type:int,bad_tail:boolean>>")
+    return small_batches(payloads).select(*keep, F.inline(lists(F.col(payload), F.lit(prefix))))
+
+
 def register_table_functions(spark: SparkSession) -> None:
     """split_units(payload, prefix) and packets(words) for SQL, one row of input at a time."""
     units = F.udtf(SplitUnits, returnType="nal_idx int, off bigint, len bigint, nal_type int, bad_tail boolean")

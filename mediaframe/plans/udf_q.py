@@ -75,10 +75,7 @@ def _(spark, sf):
     UNITS + ", z AS (SELECT path, sample_idx, min(off-CASE WHEN bad_tail THEN 0 ELSE 4 END) AS o FROM u GROUP BY ALL) SELECT path, sample_idx, nal_idx, off-o AS off, len, nal_type, bad_tail FROM u JOIN z USING (path, sample_idx)",
 )
 def _(spark, sf):
-    U.register_table_functions(spark)
-    p = movie_rows(spark, fx.movie_folder(spark, sf), "payloads")
-    p.createOrReplaceTempView("mediaframe_payloads")
-    return spark.sql("SELECT path, sample_idx, u.* FROM mediaframe_payloads, LATERAL split_units(payload, 4) u")
+    return U.units_of(movie_rows(spark, fx.movie_folder(spark, sf), "payloads"), "payload", 4, ["path", "sample_idx"])
 
 
 @query("udf_packets", HEADS + " SELECT stream_id, dw, w, kind, cnt, complete FROM h", ["word"])
