@@ -31,24 +31,30 @@ def _schema(edges: DataFrame, keys: Sequence[str], with_next: bool) -> T.StructT
     return T.StructType(fields)
 
 
-def _follow(pos: np.ndarray, nxt: np.ndarray, start: int) -> list[int]:
+def _follow(pos: np.ndarray, nxt: np.ndarray, start: int) -> np.ndarray:
     """Positions visited from start, as long as the next position exists."""
-    table = dict(zip(pos.tolist(), nxt.tolist()))
-    seen = []
-    at = start
-    while at in table:
-        seen.append(at)
-        at = table[at]
-    return seen
+    order = np.argsort(pos)
+    pos, nxt = pos[order], nxt[order]
+    return pos[visited(np.zeros(len(pos), np.int64), pos, nxt, np.array([start]))]
 
 
-def _exits(pos: np.ndarray, nxt: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int]]:
-    """(entry, first position outside the known ones) for every wanted entry."""
+def _exits(pos: np.ndarray, nxt: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every wanted entry that is known, and the first position outside the known ones after it. Pointer doubling, as in ``visited``."""
+    if not len(pos):
+        return pos, nxt
     order = np.argsort(pos)
-    exit_of: dict[int, int] = {}
-    for p, n in zip(pos[order][::-1].tolist(), nxt[order][::-1].tolist()):
-        exit_of[p] = exit_of.get(n, n)
-    return [(e, exit_of[e]) for e in wanted.tolist() if e in exit_of]
+    pos, nxt = pos[order], nxt[order]
+    at = lambda p: np.minimum(np.searchsorted(pos, p), len(pos) - 1)
+    jump = at(nxt)
+    jump = np.where(pos[jump] == nxt, jump, np.arange(len(pos)))  # a row that leads out leads to itself
+    while True:
+        further = jump[jump]
+        if np.array_equal(further, jump):
+            break
+        jump = further
+    entry = at(wanted)
+    entry = entry[pos[entry] == wanted]
+    return pos[entry], nxt[jump[entry]]
 
 
 def _frame(keys: Sequence[str], key_values, columns: dict) -> pd.DataFrame:
@@ -132,10 +138,10 @@ def _reachable(edges: DataFrame, keys: list[str], block: int, top: int) -> DataF
 
     def contract(key, left, right):
         got = _exits(left["pos"].to_numpy(), left["nxt"].to_numpy(), right["pos"].to_numpy())
-        return _frame(keys, key[:-1], {"pos": [g[0] for g in got], "nxt": [g[1] for g in got]})
+        return _frame(keys, key[:-1], dict(zip(("pos", "nxt"), got)))
 
     def expand(key, left, right):
-        if len(right) == 0:
+        if len(right) == 0 or len(left) == 0:
             return _frame(keys, key[:-1], {"pos": []})
         return _frame(keys, key[:-1], {"pos": _follow(left["pos"].to_numpy(), left["nxt"].to_numpy(), int(right["pos"].iloc[0]))})
 

@@ -298,13 +298,15 @@ def capacity_chunks(items: DataFrame, keys: Sequence[str], order: Sequence[str],
     full = F.col("owner") + cap
     edges = found.select(*keys, F.col("owner").alias("pos"), F.when(F.col("hit_end") > full, F.col("hit_start")).otherwise(full).alias("nxt"))
     alone = laid.where(F.col(width) > cap).select(*keys, F.col("__s").alias("pos"), (F.col("__s") + F.col(width)).alias("nxt"))
-    starts = reachable(cut_lineage(edges.unionByName(alone)), keys).select(*keys, F.col("pos").alias("__s"), F.lit(1).cast("bigint").alias("__new"))
-    flagged = laid.join(starts, [*keys, "__s"], "left")
+    starts = cut_lineage(reachable(cut_lineage(edges.unionByName(alone)), keys))
+    # a start is a row of its own in front of its item, so that numbering the chunks shuffles the items once and joins nothing
+    empty = [F.lit(None).cast(laid.schema[c].dataType).alias(c) for c in items.columns if c not in keys]
+    mark = starts.select(*keys, F.col("pos").alias("__s"), F.lit(0).alias("__own"), *empty)
     begun = scan(
-        flagged, keys, ["__s"], by_width("__s"),
-        sums={"chunk_no": (F.coalesce("__new", F.lit(0).cast("bigint")), True)}, last={"__b": (F.when(F.col("__new") == 1, F.col("__s")), False)},
+        laid.withColumn("__own", F.lit(1)).unionByName(mark), keys, ["__s", "__own"], by_width("__s"),
+        sums={"chunk_no": ((1 - F.col("__own")).cast("bigint"), True)}, last={"__b": (F.when(F.col("__own") == 0, F.col("__s")), False)},
     )
-    return begun.select(*items.columns, (F.col("chunk_no") - 1).alias("chunk_no"), (F.col("__s") - F.col("__b")).alias("start_col"))
+    return begun.where("__own = 1").select(*items.columns, (F.col("chunk_no") - 1).alias("chunk_no"), (F.col("__s") - F.col("__b")).alias("start_col"))
 
 
 def fixed_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, size: int = S.DC_BATCH_BLOCKS) -> DataFrame:

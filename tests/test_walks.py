@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mediaframe.functions.ordered import by_width, next_after
-from mediaframe.functions.reach import reachable
+from mediaframe.functions.reach import _exits, reachable
 from mediaframe.operators.batching import batch_stats, complete_items, flush_batches
 from mediaframe.operators.motion import capacity_chunks, chroma_inside, luma_inside
 
@@ -125,3 +126,31 @@ def test_margins_at_their_edges(spark):
     for x, y, w, h, luma, chroma in df.select("*", luma_inside(*args), chroma_inside(*args)).collect():
         assert luma == all((v >> 2) - 2 >= 0 and (v >> 2) + n + 2 < 64 for v, n in ((x, w), (y, h)))
         assert chroma == all((v >> 3) >= 0 and (v >> 3) + n // 2 + 1 < 32 for v, n in ((x, w), (y, h)))
+
+
+def test_capacity_chunks_joins_only_block_totals(spark):
+    rnd = random.Random(1)
+    widths = [rnd.choice([4, 8, 16, 90]) for _ in range(200)]
+    df = spark.createDataFrame([(1, i, w, "x") for i, w in enumerate(widths)], "g int, ord bigint, w int, more string").repartition(3)
+    got = capacity_chunks(df, ["g"], ["ord"], by_width("ord", 16), "w", cap=64)
+    assert [(r.chunk_no, r.start_col) for r in got.orderBy("ord").collect()] == next_fit(widths, 64)
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Join") == 1
+
+
+def test_exits_of_a_long_block():
+    rnd = random.Random(4)
+    edges = {p: p + rnd.choice([1, 1, 2, 700]) for p in range(3000) if rnd.random() < 0.9}
+    pos, nxt = np.array(list(edges))[::-1], np.array(list(edges.values()))[::-1]
+    wanted = np.arange(0, 3100, 7)
+    entries, exits = _exits(pos, nxt, wanted)
+    assert isinstance(exits, np.ndarray)
+    known = [w for w in wanted.tolist() if w in edges]
+    assert entries.tolist() == known
+
+    def leave(at):
+        while at in edges:
+            at = edges[at]
+        return at
+
+    assert exits.tolist() == [leave(w) for w in known]
+    assert [len(a) for a in _exits(pos[:0], nxt[:0], wanted)] == [0, 0]
