@@ -197,18 +197,17 @@ def block(path: str, number: int, langs: tuple[str, ...], order: int) -> list[Ta
     files = system.get_file_info(pafs.FileSelector(f"{base.rstrip('/')}/b={number}", allow_not_found=True))
     parts = [pq.read_table(i.path, filesystem=system, columns=["t", "key", "lang", "w"]) for i in files if i.path.endswith(".parquet")]
     empty = np.empty(0, np.int64)
-    t, key, lang, w = empty, empty, empty, empty.astype(float)
+    t, key, lang, w = empty, empty, empty.astype(np.int32), empty.astype(float)
     if parts:
         t, key, w = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("t", "key", "w"))
-        names = pd.concat([p["lang"].to_pandas() for p in parts])
-        lang = names.map(place).to_numpy(np.int64)
+        lang = np.concatenate([p["lang"].to_pandas().map(place).to_numpy(np.int32) for p in parts])
     out = []
     for kind in range(2 * order):
         mine = np.flatnonzero(t == kind)
         k = key[mine].view(np.uint64)
         s = np.lexsort((lang[mine], k))
         keys, start = np.unique(k[s], return_index=True)
-        out.append(Table(keys, np.append(start, len(s)), lang[mine][s], w[mine][s]))
+        out.append(Table(keys, np.append(start, len(s)).astype(np.int32), lang[mine][s], w[mine][s]))
     return out
 
 

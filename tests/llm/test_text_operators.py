@@ -336,3 +336,11 @@ def test_licences_equal_brute_force(spark):
                 names.add(max(scores)[2])
                 best = max(best, max(scores)[0])
         assert (got[i].licences, got[i].best_dice) == (",".join(sorted(names)), best)
+
+
+def test_quality_is_worked_out_once(spark):
+    """Over a scan the filter could take a copy of the rules with it, and each task would hold two Python workers."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = quality.keep_good(docs)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert kept.count() == quality.measured(docs).where("quality.kept").count() > 0
