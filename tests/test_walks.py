@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from mediaframe.functions.ordered import by_width, next_after
 from mediaframe.functions.reach import _exits, reachable
 from mediaframe.operators.batching import batch_stats, complete_items, flush_batches
-from mediaframe.operators.motion import capacity_chunks, chroma_inside, luma_inside
+from mediaframe.operators.motion import capacity_chunks, chroma_inside, luma_inside, outcomes
+from mediaframe.plans import fixtures, streaming_q
 
 
 def walk(nxt):
@@ -154,3 +155,11 @@ def test_exits_of_a_long_block():
 
     assert exits.tolist() == [leave(w) for w in known]
     assert [len(a) for a in _exits(pos[:0], nxt[:0], wanted)] == [0, 0]
+
+
+def test_cell_arrays_are_built_for_judged_blocks_only(spark):
+    sf, key = "/root/testdata/sf0.001", ["file_id", "frame", "seq"]
+    got = streaming_q._blocks(spark, sf)
+    assert sorted(got.select(*key, "taken").collect()) == sorted(outcomes(fixtures.macroblock_info(spark, sf)).select(*key, "taken").collect())
+    lines = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "array_repeat" in x]
+    assert lines and all("CASE WHEN" in x.split("array_repeat")[0] for x in lines)
